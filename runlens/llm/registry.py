@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_records
+from . import exact_dedup, licenses, packing, pii, secrets, token_records
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,9 +24,29 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_documents(spark, sf_dir))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(_documents(spark, sf_dir))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_personal_data(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_token_records": op6_token_records,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
