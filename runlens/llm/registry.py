@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, pii, secrets, token_records
+from . import decontaminate, exact_dedup, language_id, licenses, packing, pii, secrets, token_records
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -42,6 +50,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op6_token_records": op6_token_records,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,

@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def _lower(keep: np.ndarray) -> np.ndarray:
