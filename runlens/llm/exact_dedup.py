@@ -4,9 +4,10 @@ Texts are equal when identical after lower-casing A-Z (a null text counts as emp
 only their digests, are grouping keys at every stage:
 
 1. local: the partial aggregation before each exchange leaves one row a text and task;
-2. salted: rows of one digest and text are merged within SALTS salts, dealt by input partition, so a text that a
-   third of all rows share meets SALTS tasks, each with at most one row an input task;
-3. global: the at most SALTS winners a text are combined.
+2. salted: rows of one digest, salt and text are merged. Digests that over 1/HOT_SHARE of all rows share (under
+   HOT_SHARE of them, so they are broadcast) are dealt to SALTS salts by input partition; such a text meets SALTS
+   tasks, each with at most one row an input task. All other digests have one salt, so are done here;
+3. global: the at most SALTS winners of a hot text are combined.
 
 Every row then finds its group by digest. Digests that more than one text share (none are known for SHA-256)
 are told apart by joining on the text itself.
@@ -23,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lookup, write_table
+from .shared import HOT_SHARE, lookup, write_table
 
 SALTS = 16
 
@@ -47,19 +48,27 @@ def _combine(rows: DataFrame, *keys: str) -> DataFrame:
 def find_copies(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text)."""
     rows = _digested(docs)
-    salted = rows.select("digest", "norm", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-    winners = _combine(_combine(salted, "digest", "salt", "norm"), "digest", "norm")
-    groups = winners.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    members = write_table(rows.select("doc_id", "digest"), "copy-members")
+    sizes = members.groupBy("digest").agg(F.count("*").alias("rows"))
+    total = members.count()
+    hot = sizes.filter(F.col("rows") > max(total // HOT_SHARE, 1)).select("digest", F.lit(True).alias("hot"))
+    dealt = rows.withColumn("part", F.spark_partition_id()).join(F.broadcast(hot), "digest", "left")
+    salt = F.when(F.col("hot"), F.pmod("part", F.lit(SALTS)))
+    merged = _combine(dealt.select("digest", "norm", salt.alias("salt"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), "digest", "salt", "norm")
+    merged = merged.withColumn("hot_norm", F.when(F.col("salt").isNotNull(), F.col("norm")))
+    # a hot text has one row here; the rows of a digest without salt are different texts already, and are counted
+    winners = merged.groupBy("digest", "hot_norm").agg(F.count("*").alias("rows"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    texts = F.sum(F.when(F.col("hot_norm").isNull(), F.col("rows")).otherwise(F.lit(1)))
+    groups = winners.groupBy("digest").agg(texts.alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     groups = write_table(groups, "copy-groups")
-    total, most = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("texts")).first()
-    members = rows.select("doc_id", "digest")
-    if most is not None and most > 1:  # some digest stands for several texts: those rows are told apart by text
+    if groups.filter("texts > 1").isEmpty():
+        found = lookup(members, groups.drop("texts"), "digest", "n", total)
+    else:  # some digest stands for several texts: its rows are told apart by text
         shared = groups.filter("texts > 1").select("digest")
         found = lookup(members.join(shared, "digest", "left_anti"), groups.filter("texts = 1").drop("texts"), "digest", "n", total)
-        apart = rows.join(shared, "digest", "left_semi").select("doc_id", "digest", "norm")
-        found = found.unionByName(apart.join(winners, ["digest", "norm"]).drop("norm"))
-    else:
-        found = lookup(members, groups.drop("texts"), "digest", "n", total)
+        apart = rows.join(shared, "digest", "left_semi")
+        by_text = apart.select("digest", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+        found = found.unionByName(apart.join(_combine(by_text, "digest", "norm"), ["digest", "norm"]).drop("norm"))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
