@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard, language_id, licenses, packing, pii, secrets, token_records
+from . import decontaminate, exact_dedup, jaccard, language_id, licenses, packing, pii, secrets, token_records, tool_calls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,6 +32,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"), tool_calls.MESSAGE_SCHEMAS, implicit=True)
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_tool_calls": op5_tool_calls,
     "op6_token_records": op6_token_records,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
@@ -64,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op5_tool_calls": tool_calls.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
