@@ -205,3 +205,23 @@ def _peek(blocks: Iterator[list[Item]]) -> Iterator[tuple[list[Item], bool]]:
         yield held, False
         held = block
     yield held, True
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a hit word, with all their columns."""
+
+    def run(batches, handle):
+        bench = Benchmark(handle.value)
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch.column("text")):
+                words = Words(data, offsets, alnum_words())
+                _, found = bench.find(words)
+                yield batch.slice(i, j - i).filter(pa.array([not f for f in found], pa.bool_()))
+
+    rows = docs
+    for items, last in _peek(blocks_of(benchmark, block_bytes)):
+        handle = docs.sparkSession.sparkContext.broadcast(items)
+        rows = rows.mapInArrow(lambda it, h=handle: run(it, h), docs.schema)
+        if not last:
+            rows = write_table(rows, "clean")
+    return rows

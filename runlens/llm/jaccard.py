@@ -238,18 +238,26 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(mask.ravel())
 
 
-def _maybe(batches, mask_handle) -> Iterator[pa.RecordBatch]:
+def _marked(batches, mask_handle, wanted: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id the bit set holds (or, unless ``wanted``, does not hold; a null one never)."""
     packed, bits = mask_handle.value
     for batch in batches:
-        at = _positions(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)
-        yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+        ids = batch.column("doc_id").cast(pa.int64())
+        at = _positions(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+        held = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(held == wanted))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text) of the documents that are probably among the ids: all that are, and few others."""
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: the rows whose doc_id may be among the ids (all that are, and few others), and the rest."""
     mask = id_filter(ids, column)
     handle = docs.sparkSession.sparkContext.broadcast((np.packbits(mask), len(mask)))
-    return docs.filter("doc_id is not null").mapInArrow(lambda it: _maybe(it, handle), "doc_id long, text string")
+    return docs.mapInArrow(lambda it: _marked(it, handle), docs.schema), docs.mapInArrow(lambda it: _marked(it, handle, False), docs.schema)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """(doc_id, text) of the documents that are probably among the ids: all that are, and few others."""
+    return split_by_ids(docs, ids, column)[0]
 
 
 # ------------------------------------------------------------------ comparing
