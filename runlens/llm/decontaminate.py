@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import in_batches, write_table
 from .words import U, Words, alnum_words, chunks, mix
 
 WINDOW = 10
@@ -192,7 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     for k, (items, last) in enumerate(_peek(blocks_of(benchmark, block_bytes))):
         handle = spark.sparkContext.broadcast(items)
         first = k == 0
-        rows = rows.mapInArrow(lambda it, h=handle, f=first, z=last: _scan(it, h, f, z), RESULT if last else f"doc_id {kind}, text string, hits binary, found array<string>")
+        rows = in_batches(rows).mapInArrow(lambda it, h=handle, f=first, z=last: _scan(it, h, f, z), RESULT if last else f"doc_id {kind}, text string, hits binary, found array<string>")
         if not last:
             rows = write_table(rows, "decontamination")
     return rows
@@ -221,7 +221,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     rows = docs
     for items, last in _peek(blocks_of(benchmark, block_bytes)):
         handle = docs.sparkSession.sparkContext.broadcast(items)
-        rows = rows.mapInArrow(lambda it, h=handle: run(it, h), docs.schema)
+        rows = in_batches(rows).mapInArrow(lambda it, h=handle: run(it, h), docs.schema)
         if not last:
             rows = write_table(rows, "clean")
     return rows

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lookup, write_table
+from .shared import in_batches, lookup, write_table
 from .words import U, Words, chunks, mix, space_words, windows
 
 SHINGLE = 5
@@ -186,8 +186,8 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
 
 def heavy_tokens(docs: DataFrame, n_buckets: int) -> np.ndarray:
     """The counted tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
-    dealt = docs.mapInArrow(lambda it: _tokens_to_count(it, n_buckets), "bucket long, tokens binary")
-    counts = write_table(_by_bucket(dealt, n_buckets).mapInArrow(_count, "token long, n long"), "heavy-tokens")
+    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, n_buckets), "bucket long, tokens binary")
+    counts = write_table(in_batches(_by_bucket(dealt, n_buckets)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
     least = LIGHT
     if counts.count() > HEAVY_MOST:  # 1/HEAVY_MOST steps of the counts' distribution; a tie drops all its tokens
         sizes = counts.select(F.ceil(F.log2("n") * 16).alias("step")).groupBy("step").count().orderBy(F.desc("step")).collect()
@@ -230,8 +230,8 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([b.tobytes() for b in out.values()], pa.binary())], ["bucket", "bits"])
 
-    rows = ids.select(F.col(column).cast("long")).mapInArrow(mark, "bucket long, bits binary")
-    found = rows.repartition(min(bits >> 16, 64), "bucket").mapInArrow(unite, "bucket long, bits binary").collect()
+    rows = in_batches(ids.select(F.col(column).cast("long"))).mapInArrow(mark, "bucket long, bits binary")
+    found = in_batches(rows.repartition(min(bits >> 16, 64), "bucket")).mapInArrow(unite, "bucket long, bits binary").collect()
     mask = np.zeros((bits >> 16, 1 << 13), np.uint8)
     for k, b in found:
         mask[k] = np.frombuffer(b, np.uint8)
@@ -252,7 +252,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
     """``docs`` in two: the rows whose doc_id may be among the ids (all that are, and few others), and the rest."""
     mask = id_filter(ids, column)
     handle = docs.sparkSession.sparkContext.broadcast((np.packbits(mask), len(mask)))
-    return docs.mapInArrow(lambda it: _marked(it, handle), docs.schema), docs.mapInArrow(lambda it: _marked(it, handle, False), docs.schema)
+    return in_batches(docs).mapInArrow(lambda it: _marked(it, handle), docs.schema), in_batches(docs).mapInArrow(lambda it: _marked(it, handle, False), docs.schema)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -298,7 +298,7 @@ def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame) -> DataFram
     places = write_table(left.unionByName(right), "opened")
     rows = texts_of(docs, places, "doc").join(places, F.col("doc_id") == F.col("doc"))
     dealt = rows.select("anchor", "chunk", "role", "doc_id", "text").repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "role", "doc_id")
-    return write_table(dealt.mapInArrow(_compare, "a long, b long"), "links")
+    return write_table(in_batches(dealt).mapInArrow(_compare, "a long, b long"), "links")
 
 
 # ------------------------------------------------------------------ matrix and bound
@@ -472,19 +472,19 @@ def _qualifying(rows: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFr
     """The pairs of groups (g, h) whose bound reaches the threshold."""
     wanted = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
     own = write_table(members.join(wanted, "gid").select("gid", "doc", "n"), "matrix-members")
-    bits = texts_of(rows, own, "doc").mapInArrow(_bitmaps, "doc_id long, bits binary")
+    bits = in_batches(texts_of(rows, own, "doc")).mapInArrow(_bitmaps, "doc_id long, bits binary")
     dealt = bits.join(own, F.col("doc_id") == F.col("doc")).select("gid", "n", "bits")
-    unions = write_table(dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(_unite, UNIONS), "unions")
+    unions = write_table(in_batches(dealt.repartition("gid").sortWithinPartitions("gid")).mapInArrow(_unite, UNIONS), "unions")
     sides = pairs
     for side in ("g", "h"):
         sides = sides.join(unions.select(F.col("gid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("docs", "n", "bits"))), side)
-    return write_table(sides.mapInArrow(_bound, "g long, h long"), "qualifying")
+    return write_table(in_batches(sides).mapInArrow(_bound, "g long, h long"), "qualifying")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = write_table(rows.mapInArrow(_summarise, SETS), "sets")
+    sets = write_table(in_batches(rows).mapInArrow(_summarise, SETS), "sets")
     linkable = sets.filter("n > 0 and doc_id is not null")
     keys = [f"k{j}" for j in range(SKETCHES)]
     classes = write_table(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), *(F.min(c).alias(c) for c in ("n", *keys))), "classes")
@@ -497,10 +497,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
     members = _groups(nodes, star)
 
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, parts))
-    prefixes = rows.mapInArrow(lambda it: _prefixes(it, heavy), "doc_id long, prefix binary").filter(F.octet_length("prefix") > 0)
+    prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, heavy), "doc_id long, prefix binary").filter(F.octet_length("prefix") > 0)
     columns = prefixes.join(members, F.col("doc_id") == F.col("doc")).select("gid", "cluster", "n", "prefix")
-    entries = columns.mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, tokens binary, gid binary, below binary, n binary")
-    pairs = write_table(_by_bucket(entries, parts).mapInArrow(_meet, "g long, h long").distinct(), "candidates")
+    entries = in_batches(columns).mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, tokens binary, gid binary, below binary, n binary")
+    pairs = write_table(in_batches(_by_bucket(entries, parts)).mapInArrow(_meet, "g long, h long").distinct(), "candidates")
     opened = _qualifying(rows, members, pairs)
     docs_of = members.select("gid", "doc")
     anchors = docs_of.join(opened.select(F.col("g").alias("gid")).distinct(), "gid").select(F.col("gid").alias("anchor"), "doc")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .words import chunks
 
 BUCKETS = 1 << 15
@@ -147,7 +148,7 @@ def sample_features(docs: DataFrame, per_lang: int, max_langs: int) -> list[tupl
     chosen = rows.select("lang", "text", key.alias("key")).filter(F.pmod("key", F.lit(1 << 24)) < share * (1 << 24))
     # repeated doc_ids share a hash: the limit keeps the bound where they would break it
     chosen = chosen.limit(2 * per_lang * len(sizes) + 1000)
-    got = chosen.mapInArrow(_features, "lang string, key long, buckets binary, counts binary").collect()
+    got = in_batches(chosen).mapInArrow(_features, "lang string, key long, buckets binary, counts binary").collect()
     out = [(r["lang"], r["key"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in got]
     return [(lang, b, c) for lang, _, b, c in sorted(out, key=lambda r: (r[1], r[0], len(r[2]))) if len(b)]
 
@@ -240,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_lang: int = 800, m
     """doc_id, held_out, lang_pred, score, rejected of every row of ``docs`` (doc_id, text, lang)."""
     handle = docs.sparkSession.sparkContext.broadcast(model or train_on(docs, per_lang, max_langs))
     rows = docs.select("doc_id", "text", (_fold(docs) == 1).alias("held_out"))
-    return rows.mapInArrow(lambda it: _predict(it, handle), RESULT)
+    return in_batches(rows).mapInArrow(lambda it: _predict(it, handle), RESULT)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -255,4 +256,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 _, _, rejected = predict_chunk(found, tables, data, offsets)
                 yield batch.slice(i, j - i).filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import in_batches
 from .words import LOWER, Words, alnum_words, chunks, span_hashes
 
 #: The base phrases (by their words) and labels.
@@ -236,4 +237,4 @@ def _scan(batches) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_scan, SCHEMA)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import in_batches, write_table
 from .tokens import encoder, with_end
 from .words import chunks
 
@@ -58,7 +58,7 @@ def _pieces(batches, tokenizer: str, capacity: int, end_id: int, with_ids: bool)
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids, ``end_id`` added, into pieces; ``with_ids`` adds the ids (u32, little-endian) as ``ids``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return in_batches(rows).mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Plan:
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = ranked.select(*pieces.columns, F.col("rank").cast("long").alias("rank"))
     steps, stride = plan.arrays(), total + 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(lambda it: _assign(it, steps, stride), schema)
+    return in_batches(ranked).mapInArrow(lambda it: _assign(it, steps, stride), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import in_batches
 from .spans import Span, digest_batch, digest_schema
 
 BASE = ["email", "ip", "card", "phone"]
@@ -145,7 +146,7 @@ def _scan(batches) -> Iterator[pa.RecordBatch]:
 
 def scan_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, digest_schema(BASE))
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_scan, digest_schema(BASE))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -165,4 +166,4 @@ def redact(docs: DataFrame) -> DataFrame:
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, batch.schema.field(i), pa.array(map(clean, batch.column(i).to_pylist()), batch.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import in_batches
 from .spans import Span, digest_batch, digest_schema
 from .words import LOWER, chunks
 
@@ -217,4 +218,4 @@ def _scan(batches) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, digest_schema(BASE))
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_scan, digest_schema(BASE))

@@ -23,6 +23,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/runlens-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch. Whole texts are long rows: Spark's default of 10,000 rows costs an executor
+#: several copies of over 30 MB a task, outside the JVM's heap.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches for what is mapped over it (smaller settings stay)."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, write_table
+from .shared import fresh_path, in_batches, write_table
 from .tokens import encoder, with_end
 from .words import chunks
 
@@ -144,7 +144,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
-    return write_table(rows.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
+    return write_table(in_batches(rows).mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
 
 
 def read_records(files: DataFrame, shuffle_seed: int | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def read_records(files: DataFrame, shuffle_seed: int | None = None) -> DataFrame
     if not base:
         return spark.createDataFrame([], RECORDS)
     tasks = spark.createDataFrame(base, "path string, base long").repartition(len(base), "path")
-    return tasks.mapInArrow(lambda it: _read(it, shuffle_seed), RECORDS)
+    return in_batches(tasks).mapInArrow(lambda it: _read(it, shuffle_seed), RECORDS)
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
