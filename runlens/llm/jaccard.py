@@ -6,16 +6,18 @@ shingles the chance that a clash changes their overlap is about 1e-13). Document
 
 1. *Classes*: documents with one set (by a 128-bit digest of the sorted set) are represented by the smallest doc_id.
 2. *Groups*: representatives whose sketches (three, each of two minima under hash orders) agree are compared with the
-   smallest of them; verified links give clusters of similar documents, which are cut into groups of about
-   GROUP documents. A document that resembles none is a group of its own.
+   smallest of them; verified links give clusters. A cluster and the documents that share a sketch with it are a family
+   of similar documents, cut into groups of about GROUP. A document that resembles none is a group of its own.
 3. *Matrix columns*: any global order of tokens gives an exact prefix filter; this one puts tokens that more than
    ``LIGHT`` documents have last, where their hash lies in the counted share of the hash space, so passages that
    many documents share stay out of prefixes. The matrix keeps, for each token in some prefix, the groups that
-   have it; two groups of different clusters meet where they share such a token and their sizes allow a link.
-4. *Bound*: each group's token union is kept as a bitmap. Tokens of the one union that the other's bitmap lacks are
-   surely missing, which bounds the overlap; for groups of one document on either side the bound is the query's own.
-5. *Open*: only groups whose bound reaches the threshold are opened: their documents' texts are fetched and
-   compared exactly. Components of all verified links give the result.
+   have it; two groups meet where they share such a token, have documents of different clusters, and their sizes
+   allow a link.
+4. *Bound*: each group's token union is kept as a bitmap. A group of one document is a query; its tokens that the
+   other union's bitmap lacks are surely missing there, which bounds the overlap.
+5. *Open*: only groups whose bound reaches the threshold (or that give none) are opened: their documents' texts are
+   fetched and compared exactly, unless their clusters are already known to be joined. Components of all verified
+   links give the result.
 
 Links within one class or cluster need no further pairs: component ids lose nothing by leaving them out.
 
@@ -264,40 +266,52 @@ def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def _compare(batches) -> Iterator[pa.RecordBatch]:
-    """Rows by (anchor, chunk), anchors' documents first: a link of each partner with the first of them that it links with."""
-    at, anchors = None, []
+    """Rows by (anchor, chunk), anchors' documents first: links between documents of clusters not yet joined here.
+
+    What is known to be one cluster, by earlier links or by those found in this chunk, is not compared again.
+    """
+    at, anchors, joined = None, [], {}
+
+    def root(c: int) -> int:
+        while joined.get(c, c) != c:
+            c = joined[c]
+        return c
+
     for batch in batches:
         keys = list(zip(batch.column("anchor").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
-        roles, docs = batch.column("role").to_pylist(), batch.column("doc_id").to_pylist()
+        roles, docs, clusters = (batch.column(c).to_pylist() for c in ("role", "doc_id", "cluster"))
         a_out, b_out = [], []
         for i, _, data, offsets in chunks(batch.column("text")):
             tokens, bounds = shingle_sets(data, offsets)
             for k in range(len(bounds) - 1):
-                own = tokens[bounds[k] : bounds[k + 1]]
+                own, doc, cluster = tokens[bounds[k] : bounds[k + 1]], docs[i + k], clusters[i + k]
                 if keys[i + k] != at:
-                    at, anchors = keys[i + k], []
+                    at, anchors, joined = keys[i + k], [], {}
                 if roles[i + k] == 0:
-                    anchors.append((docs[i + k], own.copy()))
+                    anchors.append((doc, cluster, own.copy()))
                     continue
-                for other, theirs in anchors:
-                    if other != docs[i + k] and linked(own, theirs):
-                        a_out.append(docs[i + k])
+                mine = root(cluster)
+                for other, theirs, set_ in anchors:
+                    other_root = root(theirs)
+                    if other_root != mine and linked(own, set_):
+                        a_out.append(doc)
                         b_out.append(other)
-                        break
+                        joined[max(mine, other_root)] = mine = min(mine, other_root)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame) -> DataFrame:
-    """Verified links (a, b) of each partner (anchor, doc) with a document of its anchor (anchor, doc).
+    """Verified links (a, b) between the documents of each anchor and its partners, both (anchor, doc, cluster).
 
-    An anchor's partners are cut into chunks of about CHUNK_PARTNERS; each chunk gets the anchor's documents.
+    Links are found until the clusters they join are one. An anchor's partners are cut into chunks of about
+    CHUNK_PARTNERS; each chunk gets the anchor's documents.
     """
     sizes = partners.groupBy("anchor").agg(F.ceil(F.count("*") / CHUNK_PARTNERS).cast("int").alias("chunks"))
-    right = partners.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("doc"), "chunks").cast("int").alias("chunk"), "doc", F.lit(1).alias("role"))
-    left = anchors.join(sizes, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc", F.lit(0).alias("role"))
+    right = partners.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("doc"), "chunks").cast("int").alias("chunk"), "doc", "cluster", F.lit(1).alias("role"))
+    left = anchors.join(sizes, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc", "cluster", F.lit(0).alias("role"))
     places = write_table(left.unionByName(right), "opened")
     rows = texts_of(docs, places, "doc").join(places, F.col("doc_id") == F.col("doc"))
-    dealt = rows.select("anchor", "chunk", "role", "doc_id", "text").repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "role", "doc_id")
+    dealt = rows.select("anchor", "chunk", "role", "doc_id", "cluster", "text").repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "role", "doc_id")
     return write_table(in_batches(dealt).mapInArrow(_compare, "a long, b long"), "links")
 
 
@@ -351,34 +365,39 @@ def _entries(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups of different clusters that share a prefix token and may be similar by size."""
+    """Pairs of groups, a group with itself included, that share a prefix token and may hold a link between two clusters."""
     for tokens, gid, below, n in _whole_buckets(batches, {"tokens": "<u8", "gid": "<i8", "below": "<i8", "n": "<i8"}):
         order = np.lexsort((gid, tokens))
         tokens, gid, cluster, n = tokens[order], gid[order], (gid - below)[order], n[order]
-        new = np.ones(len(tokens), bool)  # one entry a token and group, with the range of its sizes
+        new = np.ones(len(tokens), bool)  # one entry a token and group, with the ranges of its sizes and clusters
         new[1:] = (tokens[1:] != tokens[:-1]) | (gid[1:] != gid[:-1])
         head = np.flatnonzero(new)
-        least, most = (np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)) if len(head) else (n, n)
-        tokens, gid, cluster = tokens[head], gid[head], cluster[head]
+        if not len(head):
+            continue
+        least, most = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
+        low, high = np.minimum.reduceat(cluster, head), np.maximum.reduceat(cluster, head)
+        tokens, gid = tokens[head], gid[head]
         edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         size = np.diff(edge)
-        found: list[np.ndarray] = []
+        mixed = np.unique(gid[low != high])
+        found: list[np.ndarray] = [np.stack([mixed, mixed], axis=1)]
         held = 0
         for a, m in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
             for lo in range(a, a + m - 1, 1024):
                 rows, others = np.arange(lo, min(lo + 1024, a + m - 1)), np.arange(lo + 1, a + m)
-                ok = (others[None] > rows[:, None]) & (cluster[rows][:, None] != cluster[others][None])
+                ok = others[None] > rows[:, None]
+                ok &= (low[rows][:, None] != high[others][None]) | (high[rows][:, None] != low[others][None])
                 ok &= (5 * most[rows][:, None] >= 4 * least[others][None]) & (5 * most[others][None] >= 4 * least[rows][:, None])
                 i, j = np.nonzero(ok)
                 if len(i):
                     found.append(np.stack([gid[rows[i]], gid[others[j]]], axis=1))
                     held += len(i)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0 if len(found[0]) > 1_000_000 else len(found[0])
-                if not held:
+                held = len(found[0])
+                if held > 500_000:
                     yield _pairs(found)
-                    found = []
+                    found, held = [], 0
         if found:
             yield _pairs([np.unique(np.concatenate(found), axis=0)])
 
@@ -456,16 +475,28 @@ def _sketch_pairs(nodes: DataFrame) -> DataFrame:
     return write_table(out.distinct(), "sketch-pairs")
 
 
-def _groups(nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """(doc, n, cluster, gid): clusters of verified similar documents, cut into groups of about GROUP."""
+def _groups(nodes: DataFrame, near: DataFrame, star: DataFrame) -> DataFrame:
+    """(doc, n, cluster, gid): clusters of verified similar documents, and groups of about GROUP of similar documents.
+
+    A group is a part of a family: a cluster with the documents outside it whose smallest sketch partner is in it. So
+    documents just under the threshold share groups with those they resemble.
+    """
     clusters = write_table(components(star), "clusters")
-    sizes = clusters.groupBy("component").agg((F.count("*") + 1).alias("docs"))
-    members = clusters.unionByName(sizes.select(F.col("component").alias("node"), "component"))
-    placed = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("docs") / GROUP)))
-    ids = placed.groupBy("component", "part").agg(F.min("node").alias("gid"))
-    placed = placed.join(ids, ["component", "part"]).select(F.col("node").alias("doc"), "component", "gid")
-    rows = nodes.select("doc", "n").join(placed, "doc", "left")
-    return write_table(rows.select("doc", "n", F.coalesce("component", "doc").alias("cluster"), F.coalesce("gid", "doc").alias("gid")), "groups")
+    cluster = F.coalesce("component", "doc").alias("cluster")
+    placed = nodes.join(clusters.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", cluster)
+    placed = write_table(placed, "placed")
+    kin = near.groupBy("doc").agg(F.min("anchor").alias("anchor"))
+    kin = kin.join(placed.select(F.col("doc").alias("anchor"), F.col("cluster").alias("family")), "anchor").select("doc", "family")
+    inner = clusters.select(F.col("component").alias("cluster")).distinct().withColumn("clustered", F.lit(True))
+    rows = placed.join(kin, "doc", "left").join(inner, "cluster", "left")
+    rows = rows.withColumn("family", F.when(F.col("clustered"), F.col("cluster")).otherwise(F.coalesce("family", "cluster")))
+    rows = write_table(rows.select("doc", "n", "cluster", "family"), "families")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("docs")).filter("docs > 1")
+    parts = rows.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / GROUP)))
+    ids = parts.groupBy("family", "part").agg(F.min("doc").alias("gid"))
+    many = parts.join(ids, ["family", "part"]).select("doc", "n", "cluster", "gid")
+    alone = rows.join(sizes, "family", "left_anti").select("doc", "n", "cluster", F.col("doc").alias("gid"))
+    return write_table(many.unionByName(alone), "groups")
 
 
 def _qualifying(rows: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -493,8 +524,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     nodes = classes.filter("n > 3").groupBy("doc").agg(*(F.max(c).alias(c) for c in ("n", *keys)))
 
     near = _sketch_pairs(nodes)
-    star = verify(rows, near.select("anchor", F.col("anchor").alias("doc")).distinct(), near)
-    members = _groups(nodes, star)
+    leaders = near.select("anchor", F.col("anchor").alias("doc"), F.col("anchor").alias("cluster")).distinct()
+    star = verify(rows, leaders, near.withColumn("cluster", F.col("doc")))
+    members = _groups(nodes, near, star)
 
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, parts))
     prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, heavy), "doc_id long, prefix binary").filter(F.octet_length("prefix") > 0)
@@ -502,9 +534,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     entries = in_batches(columns).mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, tokens binary, gid binary, below binary, n binary")
     pairs = write_table(in_batches(_by_bucket(entries, parts)).mapInArrow(_meet, "g long, h long").distinct(), "candidates")
     opened = _qualifying(rows, members, pairs)
-    docs_of = members.select("gid", "doc")
-    anchors = docs_of.join(opened.select(F.col("g").alias("gid")).distinct(), "gid").select(F.col("gid").alias("anchor"), "doc")
-    partners = opened.join(docs_of, F.col("h") == F.col("gid")).select(F.col("g").alias("anchor"), "doc")
+    docs_of = members.select("gid", "doc", "cluster")
+    anchors = docs_of.join(opened.select(F.col("g").alias("gid")).distinct(), "gid").select(F.col("gid").alias("anchor"), "doc", "cluster")
+    partners = opened.join(docs_of, F.col("h") == F.col("gid")).select(F.col("g").alias("anchor"), "doc", "cluster")
     links = star.unionByName(verify(rows, anchors, partners))
 
     found = components(links)
