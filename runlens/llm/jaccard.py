@@ -250,10 +250,14 @@ def _marked(batches, mask_handle, wanted: bool = True) -> Iterator[pa.RecordBatc
         yield batch.filter(pa.array(held == wanted))
 
 
+def _shared_filter(ids: DataFrame, column: str):
+    mask = id_filter(ids, column)
+    return ids.sparkSession.sparkContext.broadcast((np.packbits(mask), len(mask)))
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: the rows whose doc_id may be among the ids (all that are, and few others), and the rest."""
-    mask = id_filter(ids, column)
-    handle = docs.sparkSession.sparkContext.broadcast((np.packbits(mask), len(mask)))
+    handle = _shared_filter(ids, column)
     return in_batches(docs).mapInArrow(lambda it: _marked(it, handle), docs.schema), in_batches(docs).mapInArrow(lambda it: _marked(it, handle, False), docs.schema)
 
 
@@ -406,8 +410,8 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[0][:, k])) for k in (0, 1)], ["g", "h"])
 
 
-def _bitmaps(batches) -> Iterator[pa.RecordBatch]:
-    for part, tokens, bounds in _batches(batches):
+def _bitmaps(batches, mask_handle) -> Iterator[pa.RecordBatch]:
+    for part, tokens, bounds in _batches(_marked(batches, mask_handle)):
         bits = [bitmap(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits, pa.binary())], ["doc_id", "bits"])
 
@@ -503,7 +507,8 @@ def _qualifying(rows: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFr
     """The pairs of groups (g, h) whose bound reaches the threshold."""
     wanted = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
     own = write_table(members.join(wanted, "gid").select("gid", "doc", "n"), "matrix-members")
-    bits = in_batches(texts_of(rows, own, "doc")).mapInArrow(_bitmaps, "doc_id long, bits binary")
+    mask = _shared_filter(own, "doc")
+    bits = in_batches(rows).mapInArrow(lambda it: _bitmaps(it, mask), "doc_id long, bits binary")
     dealt = bits.join(own, F.col("doc_id") == F.col("doc")).select("gid", "n", "bits")
     unions = write_table(in_batches(dealt.repartition("gid").sortWithinPartitions("gid")).mapInArrow(_unite, UNIONS), "unions")
     sides = pairs
