@@ -6,11 +6,10 @@ shingles the chance that a clash changes their overlap is about 1e-13). Document
 
 1. *Classes*: documents with one set (by a 128-bit digest of the sorted set) are represented by the smallest doc_id.
 2. *Groups*: representatives whose sketches (three, each of two minima under hash orders) agree are compared with the
-   smallest of them; verified links give clusters. A cluster and the documents that share a sketch with it are a family
-   of similar documents, cut into groups of about GROUP. A document that resembles none is a group of its own.
+   smallest of them; verified links give clusters. A cluster and the documents that were found alike but not linked are
+   a family of similar documents, cut into groups of about GROUP. A document that resembles none is a group of its own.
 3. *Matrix columns*: any global order of tokens gives an exact prefix filter; this one puts tokens that more than
-   ``LIGHT`` documents have last, where their hash lies in the counted share of the hash space, so passages that
-   many documents share stay out of prefixes. The matrix keeps, for each token in some prefix, the groups that
+   ``LIGHT`` documents have last, so passages that many documents share stay out of prefixes. The matrix keeps, for each token in some prefix, the groups that
    have it; two groups meet where they share such a token, have documents of different clusters, and their sizes
    allow a link.
 4. *Bound*: each group's token union is kept as a bitmap. A group of one document is a query; its tokens that the
@@ -45,12 +44,12 @@ from .words import U, Words, chunks, mix, space_words, windows
 SHINGLE = 5
 SKETCHES = 3
 GROUP = 64
+#: Per cent of the union from which two documents, if not linked, are similar enough to share a group.
+KIN = 60
 LIGHT = 32
 HEAVY_MOST = 1 << 21
 FILTER_BITS = 1 << 27
-#: The share of the hash space whose tokens are counted: nearly twice what prefixes take.
-COUNTED = U((1 << 64) // 8 * 3)
-BUCKET_TOKENS = 500_000
+BUCKET_TOKENS = 1_000_000
 CHUNK_PARTNERS = 256
 
 
@@ -95,13 +94,19 @@ def sizes_allow(a, b):
     return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not sizes_allow(len(a), len(b)) or not len(a):
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two ascending sets."""
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= 80 * (len(a) + len(b) - common)
+    return common, len(a) + len(b) - common
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if not sizes_allow(len(a), len(b)) or not len(a):
+        return False
+    common, union = overlap(a, b)
+    return 100 * common >= 80 * union
 
 
 def _batches(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -176,7 +181,6 @@ def _by_bucket(rows: DataFrame, n: int) -> DataFrame:
 
 def _tokens_to_count(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
     for _, tokens, _ in _batches(batches):
-        tokens = tokens[tokens < COUNTED]
         yield from _deal([tokens], (mix(tokens) % U(n_buckets)).astype(np.int64), ["tokens"])
 
 
@@ -187,7 +191,7 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
 
 
 def heavy_tokens(docs: DataFrame, n_buckets: int) -> np.ndarray:
-    """The counted tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
+    """The tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
     dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, n_buckets), "bucket long, tokens binary")
     counts = write_table(in_batches(_by_bucket(dealt, n_buckets)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
     least = LIGHT
@@ -269,10 +273,14 @@ def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 # ------------------------------------------------------------------ comparing
 
 
-def _compare(batches) -> Iterator[pa.RecordBatch]:
+LINKS = "a long, b long, linked boolean"
+
+
+def _compare(batches, kin: bool) -> Iterator[pa.RecordBatch]:
     """Rows by (anchor, chunk), anchors' documents first: links between documents of clusters not yet joined here.
 
-    What is known to be one cluster, by earlier links or by those found in this chunk, is not compared again.
+    What is known to be one cluster, by earlier links or by those found in this chunk, is not compared again. With
+    ``kin``, pairs that do not link but share KIN per cent are given too, as not linked.
     """
     at, anchors, joined = None, [], {}
 
@@ -284,7 +292,7 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = list(zip(batch.column("anchor").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
         roles, docs, clusters = (batch.column(c).to_pylist() for c in ("role", "doc_id", "cluster"))
-        a_out, b_out = [], []
+        out: list[tuple[int, int, bool]] = []
         for i, _, data, offsets in chunks(batch.column("text")):
             tokens, bounds = shingle_sets(data, offsets)
             for k in range(len(bounds) - 1):
@@ -297,15 +305,20 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
                 mine = root(cluster)
                 for other, theirs, set_ in anchors:
                     other_root = root(theirs)
-                    if other_root != mine and linked(own, set_):
-                        a_out.append(doc)
-                        b_out.append(other)
+                    if other_root == mine or not (kin or sizes_allow(len(own), len(set_))):
+                        continue
+                    common, union = overlap(own, set_)
+                    if 100 * common >= 80 * union:
+                        out.append((doc, other, True))
                         joined[max(mine, other_root)] = mine = min(mine, other_root)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                    elif kin and 100 * common >= KIN * union:
+                        out.append((doc, other, False))
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked"])
 
 
-def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the documents of each anchor and its partners, both (anchor, doc, cluster).
+def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame, kin: bool = False) -> DataFrame:
+    """Verified links (a, b, linked) between the documents of each anchor and its partners, both (anchor, doc, cluster).
 
     Links are found until the clusters they join are one. An anchor's partners are cut into chunks of about
     CHUNK_PARTNERS; each chunk gets the anchor's documents.
@@ -316,7 +329,7 @@ def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame) -> DataFram
     places = write_table(left.unionByName(right), "opened")
     rows = texts_of(docs, places, "doc").join(places, F.col("doc_id") == F.col("doc"))
     dealt = rows.select("anchor", "chunk", "role", "doc_id", "cluster", "text").repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "role", "doc_id")
-    return write_table(in_batches(dealt).mapInArrow(_compare, "a long, b long"), "links")
+    return write_table(in_batches(dealt).mapInArrow(lambda it: _compare(it, kin), LINKS), "links")
 
 
 # ------------------------------------------------------------------ matrix and bound
@@ -343,17 +356,14 @@ def misses(a: np.ndarray, b: np.ndarray) -> int:
 def _prefixes(batches, handle) -> Iterator[pa.RecordBatch]:
     heavy = handle.value
     for part, tokens, bounds in _batches(batches):
-        rank = np.ones(len(tokens), np.int8)
-        low = tokens < COUNTED
-        rank[low] = 0
+        last = np.zeros(len(tokens), bool)
         if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-            rank[low & (heavy[at] == tokens)] = 2
+            last = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
         prefix = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             n = b - a
             take = n - least_overlap(n) + 1 if n > 3 else 0
-            first = np.argsort(rank[a:b], kind="stable")[:take]
+            first = np.argsort(last[a:b], kind="stable")[:take]
             prefix.append(tokens[a:b][first].tobytes())
         yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "prefix"])
 
@@ -470,26 +480,24 @@ def _bound(batches) -> Iterator[pa.RecordBatch]:
 
 def _sketch_pairs(nodes: DataFrame) -> DataFrame:
     """(anchor, doc): each document with the smallest of those that agree with it in a sketch."""
-    total = nodes.count()
-    out = None
-    for j in range(SKETCHES):
-        leaders = nodes.groupBy(f"k{j}").agg(F.min("doc").alias("anchor"), F.count("*").alias("rows")).filter("rows > 1")
-        pairs = lookup(nodes.select("doc", f"k{j}"), leaders, f"k{j}", "rows", total).filter("doc <> anchor").select("anchor", "doc")
-        out = pairs if out is None else out.unionByName(pairs)
-    return write_table(out.distinct(), "sketch-pairs")
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(j), f"k{j}") for j in range(SKETCHES)))).alias("key")
+    rows = nodes.select("doc", keys)
+    leaders = rows.groupBy("key").agg(F.min("doc").alias("anchor"), F.count("*").alias("rows")).filter("rows > 1")
+    pairs = lookup(rows, write_table(leaders, "leaders"), "key", "rows", SKETCHES * nodes.count())
+    return write_table(pairs.filter("doc <> anchor").select("anchor", "doc").distinct(), "sketch-pairs")
 
 
-def _groups(nodes: DataFrame, near: DataFrame, star: DataFrame) -> DataFrame:
+def _groups(nodes: DataFrame, star: DataFrame) -> DataFrame:
     """(doc, n, cluster, gid): clusters of verified similar documents, and groups of about GROUP of similar documents.
 
-    A group is a part of a family: a cluster with the documents outside it whose smallest sketch partner is in it. So
+    A group is a part of a family: a cluster with the documents outside it that are kin to a document in it. So
     documents just under the threshold share groups with those they resemble.
     """
-    clusters = write_table(components(star), "clusters")
+    clusters = write_table(components(star.filter("linked")), "clusters")
     cluster = F.coalesce("component", "doc").alias("cluster")
     placed = nodes.join(clusters.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", cluster)
     placed = write_table(placed, "placed")
-    kin = near.groupBy("doc").agg(F.min("anchor").alias("anchor"))
+    kin = star.filter("not linked").groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("anchor"))
     kin = kin.join(placed.select(F.col("doc").alias("anchor"), F.col("cluster").alias("family")), "anchor").select("doc", "family")
     inner = clusters.select(F.col("component").alias("cluster")).distinct().withColumn("clustered", F.lit(True))
     rows = placed.join(kin, "doc", "left").join(inner, "cluster", "left")
@@ -525,13 +533,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     keys = [f"k{j}" for j in range(SKETCHES)]
     classes = write_table(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), *(F.min(c).alias(c) for c in ("n", *keys))), "classes")
     tokens, total = classes.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    parts = max(12, int(tokens) * 3 // 8 // BUCKET_TOKENS)
+    parts = max(12, int(tokens) // BUCKET_TOKENS)
     nodes = classes.filter("n > 3").groupBy("doc").agg(*(F.max(c).alias(c) for c in ("n", *keys)))
 
     near = _sketch_pairs(nodes)
     leaders = near.select("anchor", F.col("anchor").alias("doc"), F.col("anchor").alias("cluster")).distinct()
-    star = verify(rows, leaders, near.withColumn("cluster", F.col("doc")))
-    members = _groups(nodes, near, star)
+    star = verify(rows, leaders, near.withColumn("cluster", F.col("doc")), kin=True)
+    members = _groups(nodes, star)
 
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, parts))
     prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, heavy), "doc_id long, prefix binary").filter(F.octet_length("prefix") > 0)
@@ -544,7 +552,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     partners = opened.join(docs_of, F.col("h") == F.col("gid")).select(F.col("g").alias("anchor"), "doc", "cluster")
     links = star.unionByName(verify(rows, anchors, partners))
 
-    found = components(links)
+    found = components(links.filter("linked"))
     ids = classes.select("digest", "doc", "rows").join(found, F.col("doc") == F.col("node"), "left")
     ids = write_table(ids.select("digest", "rows", F.coalesce("component", "doc").alias("component_id")), "component-ids")
     out = lookup(linkable.select("doc_id", "n", "digest"), ids, "digest", "rows", total).select("doc_id", "n", "component_id")
