@@ -38,8 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    return _drop(docs, exact_dedup.find_copies(docs).filter("not kept"))
+    """Keep one document of each group of equal texts, with DataFrame functions only."""
+    dropped = exact_dedup.find_copies(docs).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
