@@ -207,17 +207,22 @@ def dedup_payload(rows: DataFrame, keys: tuple[str, ...] = (*SHARD_KEYS, "delive
 KEPT = ["created_at", "spec_identity_id", "embed_failed_at", "embed_failure_count"]
 
 
+def _with_state(rows: DataFrame) -> DataFrame:
+    for c, kind in (("spec_identity_id", "long"), ("embed_failed_at", "timestamp"), ("embed_failure_count", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(0 if kind == "int" else None).cast(kind))
+    return rows
+
+
 def merge_observations(existing: DataFrame, delivered: DataFrame) -> DataFrame:
     """Replace, then upsert.
 
     Rows of redelivered shards go. A delivered example that another shard of the run still has takes that row's
     place and keeps its created_at, identity and failure stamps; of several deliveries the last wins.
     """
-    for c, kind in (("spec_identity_id", "long"), ("embed_failed_at", "timestamp"), ("embed_failure_count", "int")):
-        if c not in delivered.columns:
-            delivered = delivered.withColumn(c, F.lit(0 if kind == "int" else None).cast(kind))
-    last = Window.partitionBy(*SHARD_KEYS)
-    delivered = delivered.withColumn("_last", F.max("delivery_seq").over(last)).filter("delivery_seq = _last").drop("_last")
+    existing, delivered = _with_state(existing), _with_state(delivered)
+    newest = delivered.groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
+    delivered = delivered.join(newest, [*SHARD_KEYS, "delivery_seq"], "left_semi").select(*delivered.columns)
     named = latest_per_key(delivered.filter("example_id is not null"), [*RUN_KEYS, "example_id"], ["delivery_seq"])
     delivered = named.unionByName(delivered.filter("example_id is null"))
     rest = existing.join(delivered.select(*SHARD_KEYS).distinct(), SHARD_KEYS, "left_anti")
