@@ -53,7 +53,6 @@ def _pieces(batches, tokenizer: str, capacity: int, end_id: int, with_ids: bool)
             columns = list(zip(*rows, strict=True))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
-    enc.forget()
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -98,7 +98,6 @@ def _write(batches, folder: str, tokenizer: str, end_id: int) -> Iterator[pa.Rec
             index.write(entries.tobytes())
             docs += len(entries)
             ids += len(got)
-    enc.forget()
     if out is not None:
         out.close()
         index.close()

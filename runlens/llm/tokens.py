@@ -1,7 +1,7 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once a task.
+"""Token ids of whole texts by the tokenizers library, each distinct word encoded once a worker.
 
 The byte-level pre-tokenizer always starts a new piece at a single space between two characters that are no
-white space. So a text is cut there, and its ids are the ids of its space-led words laid end to end. A task
+white space. So a text is cut there, and its ids are the ids of its space-led words laid end to end. A worker
 keeps the ids of the words it has met under a mixed 64-bit hash of their bytes (for five million words the
 chance of one clash is about 1e-6) in flat arrays of at most MEMO_WORDS words, then starts anew. Runs of white
 space, and any space beside a character that may be Unicode white space, stay inside one word.
@@ -54,10 +54,6 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._clear(1 << 16)
 
-    def forget(self) -> None:
-        """Drop the words met so far: workers outlive their tasks."""
-        self._clear(1 << 16)
-
     def _clear(self, slots: int) -> None:
         self.keys = np.zeros(slots, U)  # 0 marks a free slot
         self.place = np.zeros(slots, np.int64)  # where the ids begin in pool
@@ -106,7 +102,7 @@ class WordEncoder:
             old = self.keys[held], self.place[held], self.size[held]
             slots = len(self.keys)
             while 2 * (self.words + len(keys)) > slots:
-                slots *= 4
+                slots *= 2
             self.keys, self.place, self.size = np.zeros(slots, U), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
             self._insert(*old)
         self._insert(keys, self.used + np.cumsum(size) - size, size)
