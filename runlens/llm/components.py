@@ -2,8 +2,8 @@
 
 Up to ONE_TASK distinct edges, a bound of 16 MB, are united in one task. Beyond it, large-star and small-star steps
 alternate, each over written tables. A step groups edges by node
-with a partial aggregation (the smallest neighbour) and joins it back, so a node with very many neighbours is an
-ordinary skewed join that adaptive execution splits; no component meets one task or the driver.
+with a partial aggregation (the smallest neighbour) and joins it back, nodes with very many edges by broadcast; no
+component meets one task or the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_batches, write_table
+from .shared import in_batches, lookup, write_table
 
 ONE_TASK = 1 << 20
 
@@ -43,15 +43,20 @@ def _unite(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["node", "component"])
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour and the number of edges of each node."""
+    return write_table(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both = write_table(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    joined = lookup(both, _least(both), "u", "edges", both.count()).filter("v > u")
+    return joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(edges)
+    moved = lookup(edges, least, "u", "edges", edges.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

@@ -323,8 +323,10 @@ def verify(docs: DataFrame, anchors: DataFrame, partners: DataFrame, kin: bool =
     Links are found until the clusters they join are one. An anchor's partners are cut into chunks of about
     CHUNK_PARTNERS; each chunk gets the anchor's documents.
     """
-    sizes = partners.groupBy("anchor").agg(F.ceil(F.count("*") / CHUNK_PARTNERS).cast("int").alias("chunks"))
-    right = partners.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("doc"), "chunks").cast("int").alias("chunk"), "doc", "cluster", F.lit(1).alias("role"))
+    partners = write_table(partners, "partners")
+    sizes = partners.groupBy("anchor").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / CHUNK_PARTNERS).cast("int").alias("chunks"))
+    sizes = write_table(sizes, "anchor-sizes")
+    right = lookup(partners, sizes, "anchor", "rows", partners.count()).select("anchor", F.pmod(F.xxhash64("doc"), "chunks").cast("int").alias("chunk"), "doc", "cluster", F.lit(1).alias("role"))
     left = anchors.join(sizes, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc", "cluster", F.lit(0).alias("role"))
     places = write_table(left.unionByName(right), "opened")
     rows = texts_of(docs, places, "doc").join(places, F.col("doc_id") == F.col("doc"))
@@ -503,11 +505,12 @@ def _groups(nodes: DataFrame, star: DataFrame) -> DataFrame:
     rows = placed.join(kin, "doc", "left").join(inner, "cluster", "left")
     rows = rows.withColumn("family", F.when(F.col("clustered"), F.col("cluster")).otherwise(F.coalesce("family", "cluster")))
     rows = write_table(rows.select("doc", "n", "cluster", "family"), "families")
-    sizes = rows.groupBy("family").agg(F.count("*").alias("docs")).filter("docs > 1")
-    parts = rows.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / GROUP)))
-    ids = parts.groupBy("family", "part").agg(F.min("doc").alias("gid"))
-    many = parts.join(ids, ["family", "part"]).select("doc", "n", "cluster", "gid")
-    alone = rows.join(sizes, "family", "left_anti").select("doc", "n", "cluster", F.col("doc").alias("gid"))
+    sizes = write_table(rows.groupBy("family").agg(F.count("*").alias("docs")), "family-sizes")
+    parts = lookup(rows, sizes, "family", "docs", rows.count()).withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / GROUP)))
+    parts = write_table(parts, "parts")
+    ids = parts.filter("docs > 1").groupBy("family", "part").agg(F.min("doc").alias("gid"))
+    many = parts.filter("docs > 1").join(ids, ["family", "part"]).select("doc", "n", "cluster", "gid")
+    alone = parts.filter("docs = 1").select("doc", "n", "cluster", F.col("doc").alias("gid"))
     return write_table(many.unionByName(alone), "groups")
 
 
