@@ -101,8 +101,10 @@ def _write(batches, folder: str, tokenizer: str, end_id: int) -> Iterator[pa.Rec
     if out is not None:
         out.close()
         index.close()
-        fs.move(f"{temp}.idx", f"{name}.idx")
-        fs.move(temp, f"{name}.rec")
+        for suffix, made in ((".idx", f"{temp}.idx"), (".rec", temp)):
+            if fs.get_file_info(name + suffix).type != pafs.FileType.NotFound:
+                fs.delete_file(name + suffix)  # an earlier attempt's, of the same content
+            fs.move(made, name + suffix)
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/ids-{task.partitionId():06d}"], "docs": [docs], "ids": [ids], "bytes": [at]})
 
 

@@ -15,8 +15,8 @@ import numpy as np
 
 from .words import U, span_hashes
 
-MEMO_WORDS = 1_000_000
-MEMO_IDS = 12_000_000
+MEMO_WORDS = 2_400_000
+MEMO_IDS = 16_000_000
 _loaded: dict[str, WordEncoder] = {}
 
 #: ASCII white space and separators; leading bytes of three-byte characters some of which are white space.
@@ -97,11 +97,11 @@ class WordEncoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        if 2 * (self.words + len(keys)) > len(self.keys):
+        if 5 * (self.words + len(keys)) > 3 * len(self.keys):
             held = np.flatnonzero(self.keys)
             old = self.keys[held], self.place[held], self.size[held]
             slots = len(self.keys)
-            while 2 * (self.words + len(keys)) > slots:
+            while 5 * (self.words + len(keys)) > 3 * slots:
                 slots *= 2
             self.keys, self.place, self.size = np.zeros(slots, U), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
             self._insert(*old)
