@@ -68,7 +68,7 @@ def unstable_test_runs(observations: DataFrame, run_ids: Sequence[int], name: st
     """One description's rows in the order of the window given: the cap drops what comes last in it."""
     rows = in_window(observations, run_ids).filter(F.col("name") == name)
     counted = with_population(rows, {"population_recorded_count": row_count(), "population_reported_outcome_count": F.count("outcome")})
-    place = F.array_position(F.array(*(F.lit(int(r)) for r in run_ids)), F.col("test_run_id").cast("int"))
+    place = F.array_position(F.array(*(F.lit(int(r)).cast("long") for r in run_ids)), F.col("test_run_id").cast("long"))
     return topk(counted.withColumn("window_position", place.cast("long")), [F.asc("window_position"), F.asc("id")], limit)
 
 
