@@ -50,7 +50,7 @@ LIGHT = 32
 HEAVY_MOST = 1 << 21
 FILTER_BITS = 1 << 27
 BUCKET_TOKENS = 1_000_000
-CHUNK_PARTNERS = 256
+CHUNK_PARTNERS = 64
 
 
 # ------------------------------------------------------------------ sets
@@ -190,10 +190,10 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[n > LIGHT].view(np.int64)), pa.array(n[n > LIGHT].astype(np.int64))], ["token", "n"])
 
 
-def heavy_tokens(docs: DataFrame, n_buckets: int) -> np.ndarray:
+def heavy_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     """The tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
-    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, n_buckets), "bucket long, tokens binary")
-    counts = write_table(in_batches(_by_bucket(dealt, n_buckets)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
+    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, 3 * parts), "bucket long, tokens binary")
+    counts = write_table(in_batches(_by_bucket(dealt, parts)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
     least = LIGHT
     if counts.count() > HEAVY_MOST:  # 1/HEAVY_MOST steps of the counts' distribution; a tie drops all its tokens
         sizes = counts.select(F.ceil(F.log2("n") * 16).alias("step")).groupBy("step").count().orderBy(F.desc("step")).collect()
