@@ -58,7 +58,7 @@ def _pieces(batches, tokenizer: str, capacity: int, end_id: int, with_ids: bool)
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids, ``end_id`` added, into pieces; ``with_ids`` adds the ids (u32, little-endian) as ``ids``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_batches(rows).mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return in_batches(rows, keep_words=True).mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Plan:

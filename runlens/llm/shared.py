@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,11 +35,15 @@ BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 class Batched:
     """A frame whose Arrow maps leave no idle memory behind: workers live on between tasks, several of them an executor."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self, df: DataFrame, keep_words: bool):
+        self.df, self.keep_words = df, keep_words
 
     def mapInArrow(self, run: Callable, schema: StructType | str) -> DataFrame:  # noqa: N802
+        keep_words = self.keep_words
+
         def tidied(batches):
+            if not keep_words:
+                forget_words()
             try:
                 yield from run(batches)
             finally:
@@ -47,6 +52,13 @@ class Batched:
         return self.df.mapInArrow(tidied, schema)
 
 
+def forget_words() -> None:
+    """Drop what this worker knows of words, if it has encoded texts before, for another task."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens:
+        tokens.forget()
+
+
 def release_memory() -> None:
     """Return freed memory of this process to the system, where the C library can."""
     import pyarrow
@@ -58,14 +70,17 @@ def release_memory() -> None:
         pass
 
 
-def in_batches(df: DataFrame) -> Batched:
-    """``df``, after bounding the session's Arrow batches for what is mapped over it (smaller settings stay)."""
+def in_batches(df: DataFrame, keep_words: bool = False) -> Batched:
+    """``df``, after bounding the session's Arrow batches for what is mapped over it (smaller settings stay).
+
+    ``keep_words``: what is mapped encodes texts, and goes on with the words that the worker knows.
+    """
     conf = df.sparkSession.conf
     rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return Batched(df)
+    return Batched(df, keep_words)
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

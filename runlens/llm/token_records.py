@@ -146,7 +146,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
-    return write_table(in_batches(rows).mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
+    return write_table(in_batches(rows, keep_words=True).mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
 
 
 def read_records(files: DataFrame, shuffle_seed: int | None = None) -> DataFrame:

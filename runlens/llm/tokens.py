@@ -136,6 +136,11 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop this worker's encoders and the words they know."""
+    _loaded.clear()
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with ``end_id`` after each."""
     n = len(bounds) - 1
