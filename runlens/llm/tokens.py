@@ -15,8 +15,8 @@ import numpy as np
 
 from .words import U, span_hashes
 
-MEMO_WORDS = 2_400_000
-MEMO_IDS = 16_000_000
+MEMO_WORDS = 1_100_000
+MEMO_IDS = 8_000_000
 _loaded: dict[str, WordEncoder] = {}
 
 #: ASCII white space and separators; leading bytes of three-byte characters some of which are white space.
