@@ -2,7 +2,8 @@
 
 Rules are regular expressions over lower-cased text, built from FAMILIES (how a license is named, in which
 versions) and FORMS (how texts refer to one), plus hand-written notices. A keyword prefilter over the bytes of a
-text decides which rules are tried: a rule is tried where its keyword occurs. Detections are resolved by
+text decides which rules are tried: a rule is tried where a keyword of its form and one of its name occur, and
+every match has both. Detections are resolved by
 priority: the more specific rule first, then the longer interval, then the earlier; a detection that lies
 within the interval of one accepted before it is suppressed.
 
@@ -37,62 +38,62 @@ PHRASES = {
 }
 BASE_WEIGHT = 0.8
 
-#: Label -> (keyword, pattern of the name, versions).
-FAMILIES: dict[str, tuple[str, str, list[str]]] = {
-    "gpl": ("gnu", r"(?:gnu )?(?:gpl|general public licen[cs]e)", ["1", "2", "3"]),
-    "lgpl": ("gnu", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", ["2", "2.1", "3"]),
-    "agpl": ("gnu", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", ["1", "3"]),
-    "gfdl": ("gnu", r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", ["1.1", "1.2", "1.3"]),
-    "apache": ("apache", r"apache(?: software)?(?: licen[cs]e)?", ["1", "1.1", "2"]),
-    "mit": ("mit", r"(?:mit|expat)(?: licen[cs]e)?", []),
-    "bsd": ("bsd", r"bsd(?:[- ]style)?(?: licen[cs]e)?", []),
-    "bsd-2-clause": ("bsd", r"(?:bsd[- ]2[- ]clause|(?:simplified|freebsd|two[- ]clause) bsd)(?: licen[cs]e)?", []),
-    "bsd-3-clause": ("bsd", r"(?:bsd[- ]3[- ]clause|(?:new|modified|revised|three[- ]clause) bsd)(?: licen[cs]e)?", []),
-    "isc": ("isc", r"isc(?: licen[cs]e)?", []),
-    "mpl": ("mozilla", r"(?:mpl|mozilla public licen[cs]e)", ["1", "1.1", "2"]),
-    "epl": ("eclipse", r"(?:epl|eclipse public licen[cs]e)", ["1", "2"]),
-    "eupl": ("european", r"(?:eupl|european union public licen[cs]e)", ["1", "1.1", "1.2"]),
-    "cddl": ("common development", r"(?:cddl|common development and distribution licen[cs]e)", ["1", "1.1"]),
-    "cpl": ("common public", r"(?:cpl|common public licen[cs]e)", ["1"]),
-    "afl": ("academic", r"(?:afl|academic free licen[cs]e)", ["1.1", "2", "2.1", "3"]),
-    "osl": ("open software", r"(?:osl|open software licen[cs]e)", ["1", "2", "2.1", "3"]),
-    "artistic": ("artistic", r"artistic licen[cs]e", ["1", "2"]),
-    "zlib": ("zlib", r"zlib(?: licen[cs]e)?", []),
-    "boost": ("boost", r"boost software licen[cs]e", ["1"]),
-    "unlicense": ("unlicense", r"unlicense", []),
-    "wtfpl": ("wtfpl", r"wtfpl", ["1", "2"]),
-    "python": ("python", r"(?:psf|python(?: software foundation)?) licen[cs]e", ["2"]),
-    "ofl": ("open font", r"(?:sil )?open font licen[cs]e", ["1", "1.1"]),
-    "php": ("php", r"php licen[cs]e", ["3", "3.01"]),
-    "ruby": ("ruby", r"ruby licen[cs]e", []),
-    "postgresql": ("postgresql", r"postgresql licen[cs]e", []),
-    "openssl": ("openssl", r"openssl licen[cs]e", []),
-    "zope": ("zope", r"(?:zpl|zope public licen[cs]e)", ["1.1", "2", "2.1"]),
-    "w3c": ("w3c", r"w3c(?: software)?(?: notice and)? licen[cs]e", []),
-    "ms-pl": ("microsoft public", r"(?:ms-pl|microsoft public licen[cs]e)", []),
-    "ms-rl": ("microsoft reciprocal", r"(?:ms-rl|microsoft reciprocal licen[cs]e)", []),
-    "odbl": ("open database", r"(?:odbl|open database licen[cs]e)", ["1"]),
-    "upl": ("universal permissive", r"(?:upl|universal permissive licen[cs]e)", ["1"]),
-    "bsl": ("business source", r"business source licen[cs]e", ["1", "1.1"]),
-    "sspl": ("server side", r"(?:sspl|server side public licen[cs]e)", ["1"]),
-    "elastic": ("elastic", r"elastic licen[cs]e", ["1", "2"]),
-    "openrail": ("rail", r"(?:creativeml |bigscience )?open ?rail(?:-[ms]|\+\+)?(?: licen[cs]e)?", ["1"]),
-    "cc0": ("cc0", r"cc0", ["1"]),
-    "cc-by": ("by", r"(?:cc[- ]by|creative commons attribution)", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-sa": ("sa", r"(?:cc[- ]by[- ]sa|creative commons attribution[- ]share ?alike)", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc": ("nc", r"cc[- ]by[- ]nc", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nd": ("nd", r"cc[- ]by[- ]nd", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc-sa": ("nc", r"cc[- ]by[- ]nc[- ]sa", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc-nd": ("nc", r"cc[- ]by[- ]nc[- ]nd", ["1", "2", "2.5", "3", "4"]),
+#: Label -> (keywords, one for each way the name is written; pattern of the name; versions).
+FAMILIES: dict[str, tuple[tuple[str, ...], str, list[str]]] = {
+    "gpl": (("gpl", "general public licen"), r"(?:gnu )?(?:gpl|general public licen[cs]e)", ["1", "2", "3"]),
+    "lgpl": (("lgpl", "general public licen"), r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", ["2", "2.1", "3"]),
+    "agpl": (("agpl", "affero"), r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", ["1", "3"]),
+    "gfdl": (("gfdl", "free documentation"), r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", ["1.1", "1.2", "1.3"]),
+    "apache": (("apache",), r"apache(?: software)?(?: licen[cs]e)?", ["1", "1.1", "2"]),
+    "mit": (("mit", "expat"), r"(?:mit|expat)(?: licen[cs]e)?", []),
+    "bsd": (("bsd",), r"bsd(?:[- ]style)?(?: licen[cs]e)?", []),
+    "bsd-2-clause": (("bsd",), r"(?:bsd[- ]2[- ]clause|(?:simplified|freebsd|two[- ]clause) bsd)(?: licen[cs]e)?", []),
+    "bsd-3-clause": (("bsd",), r"(?:bsd[- ]3[- ]clause|(?:new|modified|revised|three[- ]clause) bsd)(?: licen[cs]e)?", []),
+    "isc": (("isc",), r"isc(?: licen[cs]e)?", []),
+    "mpl": (("mpl", "mozilla"), r"(?:mpl|mozilla public licen[cs]e)", ["1", "1.1", "2"]),
+    "epl": (("epl", "eclipse"), r"(?:epl|eclipse public licen[cs]e)", ["1", "2"]),
+    "eupl": (("eupl", "european"), r"(?:eupl|european union public licen[cs]e)", ["1", "1.1", "1.2"]),
+    "cddl": (("cddl", "common development"), r"(?:cddl|common development and distribution licen[cs]e)", ["1", "1.1"]),
+    "cpl": (("cpl", "common public"), r"(?:cpl|common public licen[cs]e)", ["1"]),
+    "afl": (("afl", "academic"), r"(?:afl|academic free licen[cs]e)", ["1.1", "2", "2.1", "3"]),
+    "osl": (("osl", "open software"), r"(?:osl|open software licen[cs]e)", ["1", "2", "2.1", "3"]),
+    "artistic": (("artistic",), r"artistic licen[cs]e", ["1", "2"]),
+    "zlib": (("zlib",), r"zlib(?: licen[cs]e)?", []),
+    "boost": (("boost",), r"boost software licen[cs]e", ["1"]),
+    "unlicense": (("unlicense",), r"unlicense", []),
+    "wtfpl": (("wtfpl",), r"wtfpl", ["1", "2"]),
+    "python": (("psf", "python"), r"(?:psf|python(?: software foundation)?) licen[cs]e", ["2"]),
+    "ofl": (("open font",), r"(?:sil )?open font licen[cs]e", ["1", "1.1"]),
+    "php": (("php",), r"php licen[cs]e", ["3", "3.01"]),
+    "ruby": (("ruby",), r"ruby licen[cs]e", []),
+    "postgresql": (("postgresql",), r"postgresql licen[cs]e", []),
+    "openssl": (("openssl",), r"openssl licen[cs]e", []),
+    "zope": (("zpl", "zope"), r"(?:zpl|zope public licen[cs]e)", ["1.1", "2", "2.1"]),
+    "w3c": (("w3c",), r"w3c(?: software)?(?: notice and)? licen[cs]e", []),
+    "ms-pl": (("ms-pl", "microsoft public"), r"(?:ms-pl|microsoft public licen[cs]e)", []),
+    "ms-rl": (("ms-rl", "microsoft reciprocal"), r"(?:ms-rl|microsoft reciprocal licen[cs]e)", []),
+    "odbl": (("odbl", "open database"), r"(?:odbl|open database licen[cs]e)", ["1"]),
+    "upl": (("upl", "universal permissive"), r"(?:upl|universal permissive licen[cs]e)", ["1"]),
+    "bsl": (("business source",), r"business source licen[cs]e", ["1", "1.1"]),
+    "sspl": (("sspl", "server side"), r"(?:sspl|server side public licen[cs]e)", ["1"]),
+    "elastic": (("elastic",), r"elastic licen[cs]e", ["1", "2"]),
+    "openrail": (("rail",), r"(?:creativeml |bigscience )?open ?rail(?:-[ms]|\+\+)?(?: licen[cs]e)?", ["1"]),
+    "cc0": (("cc0",), r"cc0", ["1"]),
+    "cc-by": (("cc-by", "cc by", "creative commons"), r"(?:cc[- ]by|creative commons attribution)", ["1", "2", "2.5", "3", "4"]),
+    "cc-by-sa": (("cc-by", "cc by", "creative commons"), r"(?:cc[- ]by[- ]sa|creative commons attribution[- ]share ?alike)", ["1", "2", "2.5", "3", "4"]),
+    "cc-by-nc": (("cc-by", "cc by"), r"cc[- ]by[- ]nc", ["1", "2", "2.5", "3", "4"]),
+    "cc-by-nd": (("cc-by", "cc by"), r"cc[- ]by[- ]nd", ["1", "2", "2.5", "3", "4"]),
+    "cc-by-nc-sa": (("cc-by", "cc by"), r"cc[- ]by[- ]nc[- ]sa", ["1", "2", "2.5", "3", "4"]),
+    "cc-by-nc-nd": (("cc-by", "cc by"), r"cc[- ]by[- ]nc[- ]nd", ["1", "2", "2.5", "3", "4"]),
 }
 
-#: Form -> (keyword, pattern around {name}, priority, weight); lower priorities win.
-FORMS: dict[str, tuple[str, str, int, float]] = {
-    "tag": ("spdx", r"spdx-license-identifier: *{name}(?:-only|-or-later)?(?![a-z0-9])", 10, 0.95),
-    "grant": ("licen", r"licen[cs]ed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?![a-z0-9])", 20, 0.9),
-    "terms": ("terms", r"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?{name}(?![a-z0-9])", 30, 0.85),
-    "field": ("licen", r"licen[cs]e[\"']? *[:=] *[\"']?{name}(?![a-z0-9])", 40, 0.85),
-    "name": ("licen", r"(?<![a-z0-9]){name},? licen[cs]e(?![a-z0-9])", 60, 0.6),
+#: Form -> (keywords, one of which each match has; pattern around {name}; priority; weight); lower priorities win.
+FORMS: dict[str, tuple[tuple[str, ...], str, int, float]] = {
+    "tag": (("spdx",), r"spdx-license-identifier: *{name}(?:-only|-or-later)?(?![a-z0-9])", 10, 0.95),
+    "grant": (("licen",), r"licen[cs]ed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?![a-z0-9])", 20, 0.9),
+    "terms": (("terms", "conditions"), r"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?{name}(?![a-z0-9])", 30, 0.85),
+    "field": (("licen",), r"licen[cs]e[\"']? *[:=] *[\"']?{name}(?![a-z0-9])", 40, 0.85),
+    "name": (("licen",), r"(?<![a-z0-9]){name},? licen[cs]e(?![a-z0-9])", 60, 0.6),
 }
 
 #: Label -> (keyword, pattern) of notices that name no license.
@@ -116,7 +117,7 @@ NOTICES: dict[str, tuple[str, str]] = {
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    keywords: tuple[tuple[bytes, ...], ...]  # every match has one of each group
     pattern: re.Pattern
     priority: int
     weight: float
@@ -125,28 +126,28 @@ class Rule(NamedTuple):
 def rules() -> list[Rule]:
     """All rules in the order they are tried."""
     out = []
-    for label, (keyword, name, versions) in FAMILIES.items():
+    for label, (written, name, versions) in FAMILIES.items():
         for form, (cue, around, priority, weight) in FORMS.items():
             for version in [*versions, ""]:
                 tail = rf"(?:,? ?(?:version|v\.?|-)? ?){re.escape(version)}(?:\.0)?(?![0-9.]*[0-9])" if version else ""
                 if form == "name" and not version and label not in ("bsd", "mit", "isc", "zlib"):
                     tail = ""
                 pattern = around.replace("{name}", f"(?:{name}){tail}")
-                key = cue if form == "tag" or form == "grant" or form == "field" else keyword
-                out.append(Rule(f"{label}-{version}" if version else label, key.encode(), re.compile(pattern), priority - bool(version), weight))
+                keys = tuple(tuple(k.encode() for k in group) for group in (cue, written))
+                out.append(Rule(f"{label}-{version}" if version else label, keys, re.compile(pattern), priority - bool(version), weight))
     for label, (keyword, pattern) in NOTICES.items():
-        out.append(Rule(label, keyword.encode(), re.compile(pattern, re.S), 50, 0.4 if label in ("copyright", "proprietary") else 0.9))
+        out.append(Rule(label, ((keyword.encode(),),), re.compile(pattern, re.S), 50, 0.4 if label in ("copyright", "proprietary") else 0.9))
     return sorted(out, key=lambda r: (r.priority, r.label))
 
 
-_rules: dict[bytes, list[Rule]] = {}
+_rules: dict[tuple[tuple[bytes, ...], ...], list[Rule]] = {}
 
 
-def rules_by_keyword() -> dict[bytes, list[Rule]]:
-    """The worker's rules, grouped by keyword."""
+def rules_by_keywords() -> dict[tuple[tuple[bytes, ...], ...], list[Rule]]:
+    """The worker's rules, grouped by their keywords."""
     if not _rules:
         for rule in rules():
-            _rules.setdefault(rule.keyword, []).append(rule)
+            _rules.setdefault(rule.keywords, []).append(rule)
     return _rules
 
 
@@ -160,7 +161,7 @@ def detect(low: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of the accepted detections in a lower-cased text."""
     if not any(g in low for g in GATES):
         return []
-    tried = [r for keyword, own in rules_by_keyword().items() if keyword in low for r in own]
+    tried = [r for keys, own in rules_by_keywords().items() if all(any(k in low for k in group) for group in keys) for r in own]
     if not tried:
         return []
     text = low.decode("utf-8", "replace")

@@ -96,6 +96,41 @@ def test_contained_detections_are_suppressed():
     assert [r.label for _, _, r in found] == ["apache-2"]
 
 
+def all_rules(low, rules):
+    """Labels by trying every rule, most specific first, then the longest, then the earliest."""
+    text = low.decode("utf-8", "replace")
+    found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(text)]
+    kept = []
+    for a, b, r in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(x <= a and b <= y for x, y, _ in kept):
+            kept.append((a, b, r))
+    return [(a, b, r.label) for a, b, r in kept]
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("released under the gpl license", "gpl"),
+        ("under the terms of the lgpl", "lgpl"),
+        ("under the terms of the mpl 2.0", "mpl-2"),
+        ("under the conditions of the expat license", "mit"),
+        ("under the terms of creative commons attribution 4.0", "cc-by-4"),
+        ("a creative commons attribution-sharealike license", "cc-by-sa"),
+    ],
+)
+def test_abbreviations_need_no_other_word(text, label):
+    assert label in [r.label for _, _, r in licenses.detect(text.encode())]
+
+
+def test_keywords_lose_no_detection():
+    names = ["gpl", "lgpl", "agpl", "gfdl", "gnu", "general public license", "affero general public licence", "mpl", "mozilla public license", "epl", "eupl", "cddl", "cpl", "afl", "osl", "zpl", "ms-pl", "ms-rl", "odbl", "upl", "sspl", "expat", "mit", "psf", "python", "cc-by-sa", "cc by", "cc-by-nc-nd", "creative commons attribution", "sharealike", "freebsd", "apache software license", "openrail-m", "zlib"]
+    forms = ["under the terms of the ", "under conditions of ", "licensed under ", "license: ", " license", " licence", "spdx-license-identifier: ", " 2", " v3.0", ", version 2.1", " ", " ", "-only", "x", "this program is free software; you can redistribute it", "all rights reserved", "copyright (c) 2020"]
+    rules = licenses.rules()
+    for text in noise(names + forms, 400, 8, 3):
+        low = text.encode()
+        assert [(a, b, r.label) for a, b, r in licenses.detect(low)] == all_rules(low, rules), text
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
