@@ -215,8 +215,8 @@ BASELINE = next(d for d in WINDOW if (d % 7 == 0) == (WINDOW[-1] % 7 == 0))
 
 
 @query(_count_growth_sql("directory", "", 10, WINDOW[-1], BASELINE))
-def directory_window_growth(spark, sf_dir):
-    window = runs.suite_size_trajectory(A.runs(spark, sf_dir), A.shards(spark, sf_dir), runs.latest_run(A.runs(spark, sf_dir), branch="main").first(), len(WINDOW)).collect()
+def directory_window_growth(spark, sf_dir, limit=len(WINDOW)):
+    window = runs.suite_size_trajectory(A.runs(spark, sf_dir), A.shards(spark, sf_dir), runs.latest_run(A.runs(spark, sf_dir), branch="main").first(), limit).collect()
     return growth.compare_window(A.observations(spark, sf_dir), window).rows
 
 
@@ -224,8 +224,8 @@ def directory_window_growth(spark, sf_dir):
 
 
 @query(f"SELECT count(*) AS runs_with_rows, count(*) FILTER (WHERE reported > 0) AS runs_reporting_outcomes FROM (SELECT count(outcome) AS reported FROM obs WHERE test_run_id IN ({WINDOW_SQL}) GROUP BY test_run_id)")
-def window_outcome_reporting(spark, sf_dir):
-    return stability.window_outcome_reporting(A.observations(spark, sf_dir), WINDOW)
+def window_outcome_reporting(spark, sf_dir, window=WINDOW):
+    return stability.window_outcome_reporting(A.observations(spark, sf_dir), window)
 
 
 @query(f"""SELECT *, recorded_count > run_count AS shared_description FROM (
@@ -234,14 +234,14 @@ count(*) FILTER (WHERE outcome = 'failed') AS failed_count, count(DISTINCT test_
 array_to_string(list_sort(list(DISTINCT outcome) FILTER (WHERE outcome IS NOT NULL)), ',') AS outcomes, array_to_string(list_sort(list(DISTINCT spec_file_path)), ',') AS file_paths
 FROM first_obs WHERE test_run_id IN ({WINDOW_SQL}) AND name IN (SELECT name FROM first_obs WHERE test_run_id IN ({WINDOW_SQL}) AND outcome = 'failed' AND name IS NOT NULL GROUP BY name ORDER BY count(*), name LIMIT 200)
 GROUP BY name) WHERE failed_count > 0 AND reported_outcome_count > failed_count""")
-def unstable_tests(spark, sf_dir):
-    return text_lists(stability.unstable_tests(A.first_observations(spark, sf_dir), WINDOW), "outcomes", "file_paths")
+def unstable_tests(spark, sf_dir, window=WINDOW):
+    return text_lists(stability.unstable_tests(A.first_observations(spark, sf_dir), window), "outcomes", "file_paths")
 
 
 @query(f"""SELECT test_run_id, id, outcome, list_position([{WINDOW_SQL}], test_run_id) AS window_position, count(*) OVER () AS population_recorded_count,
 count(outcome) OVER () AS population_reported_outcome_count FROM obs WHERE test_run_id IN ({WINDOW_SQL}) AND name = 'example 7' ORDER BY window_position, id LIMIT 200""")
-def unstable_test_runs(spark, sf_dir):
-    rows = stability.unstable_test_runs(A.observations(spark, sf_dir), WINDOW, "example 7")
+def unstable_test_runs(spark, sf_dir, window=WINDOW):
+    rows = stability.unstable_test_runs(A.observations(spark, sf_dir), window, "example 7")
     return rows.select("test_run_id", "id", "outcome", F.col("window_position").cast("int").alias("window_position"), "population_recorded_count", "population_reported_outcome_count")
 
 
@@ -251,8 +251,54 @@ count(DISTINCT test_run_id) AS run_count, max(duration_seconds) AS slowest_secon
 array_to_string(list_sort(list(DISTINCT spec_file_path)), ',') AS file_paths
 FROM obs WHERE test_run_id IN ({WINDOW_SQL}) AND spec_identity_id IN (SELECT spec_identity_id FROM obs WHERE test_run_id = {WINDOW[-1]} AND spec_identity_id IS NOT NULL
 GROUP BY spec_identity_id ORDER BY sum(duration_seconds) DESC NULLS LAST, spec_identity_id LIMIT 10) GROUP BY spec_identity_id)""")
-def slowest_tests_window(spark, sf_dir):
-    return text_lists(rounded(stability.slowest_tests(A.observations(spark, sf_dir), WINDOW), "total_seconds"), "names", "file_paths")
+def slowest_tests_window(spark, sf_dir, window=WINDOW):
+    return text_lists(rounded(stability.slowest_tests(A.observations(spark, sf_dir), window), "total_seconds"), "names", "file_paths")
+
+
+# The same questions over the branch's whole window: its newest runs, 30 at most. The queries above keep to WINDOW.
+
+MAIN_WINDOW = "(SELECT id, created_at FROM runs WHERE branch = 'main' ORDER BY created_at DESC, id DESC LIMIT 30)"
+MAIN_LATEST = f"(SELECT max_by(id, (created_at, id)) FROM {MAIN_WINDOW})"
+MAIN_BASELINE = f"""(SELECT min_by(w.id, (w.created_at, w.id)) FROM {MAIN_WINDOW} w JOIN runs r ON r.id = w.id
+WHERE r.id <> {MAIN_LATEST} AND r.total_specs_count > 0 AND r.shard_count = (SELECT shard_count FROM runs WHERE id = {MAIN_LATEST}))"""
+
+
+def branch_window(spark, sf_dir) -> list[int]:
+    """The runs of the whole window, oldest first."""
+    newest = runs.recent_runs(A.runs(spark, sf_dir), A.shards(spark, sf_dir), "main").select("id").collect()
+    return [r["id"] for r in reversed(newest)]
+
+
+def _over_branch_window(name: str) -> str:
+    """The SQL of a query over WINDOW, with the whole window in its place."""
+    sql = ORACLES[name].replace(f"[{WINDOW_SQL}]", f"(SELECT list(id ORDER BY created_at, id) FROM {MAIN_WINDOW})")
+    sql = sql.replace(f"IN ({WINDOW_SQL})", f"IN (SELECT id FROM {MAIN_WINDOW})")
+    return sql.replace(f"test_run_id = {WINDOW[-1]} ", f"test_run_id = {MAIN_LATEST} ")
+
+
+@query(_count_growth_sql("directory", "", 10, MAIN_LATEST, MAIN_BASELINE))
+def directory_window_growth_branch_window(spark, sf_dir):
+    return directory_window_growth(spark, sf_dir, 30)
+
+
+@query(_over_branch_window("window_outcome_reporting"), base=False)
+def window_outcome_reporting_branch_window(spark, sf_dir):
+    return window_outcome_reporting(spark, sf_dir, branch_window(spark, sf_dir))
+
+
+@query(_over_branch_window("unstable_tests"), base=False)
+def unstable_tests_branch_window(spark, sf_dir):
+    return unstable_tests(spark, sf_dir, branch_window(spark, sf_dir))
+
+
+@query(_over_branch_window("unstable_test_runs"), base=False)
+def unstable_test_runs_branch_window(spark, sf_dir):
+    return unstable_test_runs(spark, sf_dir, branch_window(spark, sf_dir))
+
+
+@query(_over_branch_window("slowest_tests_window"), base=False)
+def slowest_tests_window_branch_window(spark, sf_dir):
+    return slowest_tests_window(spark, sf_dir, branch_window(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ runs and shards

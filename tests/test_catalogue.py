@@ -35,3 +35,13 @@ def test_no_cartesian_product_and_pushed_filters(spark, sf_dir):
     plan = rollups.file_durations(events, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
     assert "EqualTo(user_id,3)" in plan and "props" not in plan.split("ReadSchema")[-1][:200]
+
+
+def test_branch_window_is_the_whole_window(spark, sf_dir):
+    from runlens import queries
+
+    main = [r["id"] for r in spark.sql("SELECT id FROM range(1, 31) WHERE id % 15 <> 7 AND id % 6 <> 0 ORDER BY id").collect()]
+    assert queries.branch_window(spark, sf_dir) == main and len(main) == 23
+    assert QUERIES["window_outcome_reporting_branch_window"](spark, sf_dir).first()["runs_with_rows"] == 23
+    rows = QUERIES["slowest_tests_window_branch_window"](spark, sf_dir).collect()
+    assert max(r["run_count"] for r in rows) > len(queries.WINDOW)
