@@ -70,9 +70,34 @@ def handle_valid(value: Column) -> Column:
     return value.rlike(r"\A[a-z0-9](?:[a-z0-9]|-(?=[a-z0-9])){0,38}\z")
 
 
+def _tenths(x: Column) -> Column:
+    """Rounded to one digit as Ruby's Float#round does: halves away from zero, decided on the nearest doubles."""
+    size = F.abs(x)
+    whole = F.floor(size * 10) + F.when(size * 10 - F.floor(size * 10) >= 0.5, 1).otherwise(0)
+    whole = F.when((whole + 0.5) / 10.0 <= size, whole + 1).otherwise(whole)
+    return F.when(x < 0, -whole / 10.0).otherwise(whole / 10.0)
+
+
+def two_digits(x: Column) -> Column:
+    """C's '%.2f': the double's exact value to the nearest hundredth, exact halves to the even one.
+
+    ``x * 100`` is taken with its rounding error, which splitting ``x`` into two short halves gives exactly.
+    """
+    size = F.abs(x)
+    product = size * 100
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (high * 100 - product) + (size - high) * 100
+    whole = F.floor(product)
+    over = product - whole - 0.5
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    text = F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), text)
+
+
 def humanized_seconds(seconds: Column) -> Column:
     """12.3s under a minute, else hours, minutes and whole seconds, without zero parts."""
-    rounded = F.round(F.coalesce(seconds, F.lit(0.0)), 1)
+    rounded = _tenths(F.coalesce(seconds, F.lit(0.0)))
     whole = F.round(rounded).cast("long")
     hours, minutes, rest = F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60))
     parts = F.concat_ws(
@@ -89,7 +114,7 @@ def humanized_duration(seconds: Column) -> Column:
         F.when(seconds.isNull(), "not reported")
         .when(seconds >= 60, humanized_seconds(seconds))
         .when((seconds > 0) & (seconds < 0.01), "< 0.01s")
-        .otherwise(F.concat(F.format_string("%.2f", seconds), F.lit("s")))
+        .otherwise(F.concat(two_digits(seconds), F.lit("s")))
     )
 
 

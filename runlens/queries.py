@@ -591,3 +591,10 @@ def duration_labels(spark, sf_dir):
     d = F.col("duration_seconds")
     rows = rows.filter(d.isNull() | (F.abs(d * 100 - F.floor(d * 100) - 0.5) > 0.001))
     return rows.select("id", F.when(d >= 60, "long").otherwise(X.humanized_duration(d)).alias("label"))
+
+
+@query()
+def duration_labels_of_all_rows(spark, sf_dir):
+    """The label of every row of one run; Python's own format checks it, as SQL has none for hours and minutes."""
+    rows = A.observations(spark, sf_dir).filter(F.col("test_run_id") == RUN)
+    return rows.select("id", X.humanized_duration(F.col("duration_seconds")).alias("label"))

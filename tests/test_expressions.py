@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from runlens import queries
 from runlens.functions import expressions as X
 from runlens.functions import vectors as V
+from runlens.sources import adapters as A
 
 
 def values(spark, column, rows, schema):
@@ -31,6 +36,31 @@ def test_humanized_duration(spark, seconds, label):
     assert values(spark, X.humanized_duration(F.col("x")), [seconds], "double") == [label]
 
 
+def duration_label(x):
+    """The reference's label, with Ruby's Float#round and C's format."""
+    if x is None or x < 60:
+        return "not reported" if x is None else "< 0.01s" if 0 < x < 0.01 else f"{x:.2f}s"
+    tenths = math.floor(x * 10) + (x * 10 % 1 >= 0.5)
+    tenths += (tenths + 0.5) / 10 <= x
+    whole = math.floor(tenths / 10 + 0.5)
+    h, m, s = whole // 3600, whole % 3600 // 60, whole % 60
+    return " ".join([f"{h}h"] * (h > 0) + [f"{m}m"] * (m > 0 or h > 0) + [f"{s}s"] * (s > 0))
+
+
+def test_durations_round_as_c_does(spark):
+    rng = random.Random(1)
+    some = [k / 1000 for k in range(0, 60000, 5)] + [k / 8 for k in range(0, 600)] + [rng.uniform(0, 60) for _ in range(2000)]
+    some += [rng.choice([rng.randrange(60000, 8000000) / 1000, rng.randrange(1200, 100000) / 20]) for _ in range(3000)] + [-1.005, -0.125, 59.995, 59.996, 60.45, 3599.96, 7199.5]
+    assert values(spark, X.humanized_duration(F.col("x")), some, "double") == [duration_label(x) for x in some]
+
+
+def test_every_row_of_the_run_has_its_label(spark, sf_dir):
+    rows = A.observations(spark, sf_dir).filter(F.col("test_run_id") == queries.RUN).select("id", "duration_seconds").collect()
+    got = {r["id"]: r["label"] for r in queries.QUERIES["duration_labels_of_all_rows"](spark, sf_dir).collect()}
+    assert got == {r["id"]: duration_label(r["duration_seconds"]) for r in rows}
+    assert "long" not in got.values() and any("m" in label for label in got.values())
+
+
 def test_seconds_per_test(spark):
     assert values(spark, X.seconds_per_test(F.col("x")), [2.25, 0.0123, 0.00001, None], "double") == ["2.3s/test", "12.3ms/test", "under 0.1ms/test", None]
 
