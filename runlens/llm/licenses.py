@@ -3,7 +3,7 @@
 Rules are regular expressions over lower-cased text, built from FAMILIES (how a license is named, in which
 versions) and FORMS (how texts refer to one), plus hand-written notices. A keyword prefilter over the bytes of a
 text decides which rules are tried: a rule is tried where a keyword of its form and one of its name occur, and
-every match has both. Detections are resolved by
+every match has both. Rules see the text with white space and the comment marks of wrapped lines folded to one space. Detections are resolved by
 priority: the more specific rule first, then the longer interval, then the earlier; a detection that lies
 within the interval of one accepted before it is suppressed.
 
@@ -101,7 +101,7 @@ NOTICES: dict[str, tuple[str, str]] = {
     "mit": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     "isc": ("permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
     "bsd": ("redistribution and use", r"redistribution and use in source and binary forms"),
-    "bsd-3-clause": ("neither the name", r"neither the name of .{1,80}? nor the names of (?:its|their) contributors"),
+    "bsd-3-clause": ("neither the name", r"neither the name of (?:.{1,80}? )?nor the names of (?:its|their) contributors"),
     "apache-2": ("www.apache.org", r"https?://www\.apache\.org/licenses/license-2\.0"),
     "gpl": ("free software", r"this program is free software[:;] you can redistribute it"),
     "gnu": ("www.gnu.org", r"https?://www\.gnu\.org/licenses/"),
@@ -154,13 +154,26 @@ def rules_by_keywords() -> dict[tuple[tuple[bytes, ...], ...], list[Rule]]:
 _STRETCH = 256
 
 #: Every keyword that rules but no text in the prefilter's first look can do without: one of these must occur.
-GATES = [b"licen", b"spdx", b"copyright", b"permission", b"redistribution", b"neither the name", b"public domain", b"free software", b"www.gnu.org", b"as-is", b"boost", b"creativecommons", b"rights reserved", b"www.apache.org", b"terms", b"conditions"]
+#: They are single words, as the look is at the text before it is folded.
+GATES = [b"licen", b"spdx", b"copyright", b"permission", b"redistribution", b"neither", b"domain", b"software", b"www.gnu.org", b"as-is", b"boost", b"creativecommons", b"reserved", b"www.apache.org", b"terms", b"conditions"]
+
+
+_MARK = rb"(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|>+|\|+|!+|<!--+|(?:dnl|rem)(?=\s))"
+
+#: White space that is more than one space, with the comment marks that end a line or begin the next.
+_GAP = re.compile(rb"(?:[ \t\f\v]+" + _MARK + rb")?[ \t\f\v]*[\r\n](?:\s*" + _MARK + rb")*\s*|[ \t\f\v]{2,}|[\t\f\v]")
+
+
+def folded(low: bytes) -> bytes:
+    """The text with each run of white space, and comment marks around its line breaks, as one space."""
+    return _GAP.sub(b" ", low)
 
 
 def detect(low: bytes) -> list[tuple[int, int, Rule]]:
-    """(start, end, rule) of the accepted detections in a lower-cased text."""
+    """(start, end, rule) of the accepted detections in a lower-cased text, as places of its ``folded`` form."""
     if not any(g in low for g in GATES):
         return []
+    low = folded(low)
     tried = [r for keys, own in rules_by_keywords().items() if all(any(k in low for k in group) for group in keys) for r in own]
     if not tried:
         return []

@@ -122,13 +122,30 @@ def test_abbreviations_need_no_other_word(text, label):
     assert label in [r.label for _, _, r in licenses.detect(text.encode())]
 
 
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "  ", "\n\n", " \t\n * ", "\n# ", "\n// ", "\n  ;; ", " *\n * ", " */\n/* ", "\n-- ", "\n *\n * ", "\n# # ", "\n> ", "\n//", "\n*", "\ndnl "])
+def test_wrapped_notices_are_found(gap):
+    for text, label in [
+        ("permission to use, copy, modify, and distribute this software for any purpose", "isc"),
+        ("licensed under the gnu lesser general public license, version 2.1", "lgpl-2.1"),
+        ("redistribution and use in source and binary forms", "bsd"),
+        ("released into the public domain", "public-domain"),
+        ("neither the name of acme inc nor the names of its contributors", "bsd-3-clause"),
+        ("this program is free software; you can redistribute it", "gpl"),
+        ("all rights reserved", "proprietary"),
+    ]:
+        plain = [r.label for _, _, r in licenses.detect(text.encode())]
+        wrapped = [r.label for _, _, r in licenses.detect(text.replace(" ", gap).encode())]
+        assert label in plain and plain == wrapped, text
+    assert [r.label for _, _, r in licenses.detect(b"neither the name of \n  nor the names of its contributors")] == ["bsd-3-clause"]
+
+
 def test_keywords_lose_no_detection():
     names = ["gpl", "lgpl", "agpl", "gfdl", "gnu", "general public license", "affero general public licence", "mpl", "mozilla public license", "epl", "eupl", "cddl", "cpl", "afl", "osl", "zpl", "ms-pl", "ms-rl", "odbl", "upl", "sspl", "expat", "mit", "psf", "python", "cc-by-sa", "cc by", "cc-by-nc-nd", "creative commons attribution", "sharealike", "freebsd", "apache software license", "openrail-m", "zlib"]
     forms = ["under the terms of the ", "under conditions of ", "licensed under ", "license: ", " license", " licence", "spdx-license-identifier: ", " 2", " v3.0", ", version 2.1", " ", " ", "-only", "x", "this program is free software; you can redistribute it", "all rights reserved", "copyright (c) 2020"]
     rules = licenses.rules()
     for text in noise(names + forms, 400, 8, 3):
         low = text.encode()
-        assert [(a, b, r.label) for a, b, r in licenses.detect(low)] == all_rules(low, rules), text
+        assert [(a, b, r.label) for a, b, r in licenses.detect(low)] == all_rules(licenses.folded(low), rules), text
 
 
 def by_id(df):
