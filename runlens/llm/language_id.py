@@ -6,8 +6,9 @@ is hashed to one of BUCKETS embeddings; the text's vector is their mean over the
 softmax gives the languages' scores. Embeddings and weights are trained together by stochastic gradient descent
 in numpy, from zero-mean random starts with a fixed seed.
 
-Training reads a bounded sample: of each of the at most ``max_langs`` most frequent labels, about ``per_lang`` rows,
-chosen by a hash of doc_id, so the same rows at every run. A tenth of them is held back to fit the softmax
+Training reads a bounded sample: of each of the at most ``max_langs`` most frequent labels, about ``per_lang`` rows
+(twice that at most), chosen by a hash of doc_id and text, so the same rows at every run; copies of a row under one doc_id
+count once. A tenth of them is held back to fit the softmax
 temperature and the rejection threshold: the score under which only a ``miss`` share of the correct held-back
 predictions fall, and never over one half. Predictions are made for every row, over whole texts.
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import in_batches
@@ -137,17 +138,17 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
 
 def sample_features(docs: DataFrame, per_lang: int, max_langs: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(label, buckets, counts) of the training sample, in a fixed order."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold(docs) != 1))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold(docs) != 1))
+    rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
+    # shares are of distinct rows, so that a label of many copies of few rows keeps them
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("key").alias("kinds")).orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
         return []
     share = F.lit(None).cast("double")
     for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = rows.select("lang", "text", key.alias("key")).filter(F.pmod("key", F.lit(1 << 24)) < share * (1 << 24))
-    # repeated doc_ids share a hash: the limit keeps the bound where they would break it
-    chosen = chosen.limit(2 * per_lang * len(sizes) + 1000)
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / max(r["kinds"], 1)))).otherwise(share)
+    chosen = rows.filter(F.pmod("key", F.lit(1 << 24)) < share * (1 << 24)).dropDuplicates(["lang", "key"])
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= 2 * per_lang).drop("n")
     got = in_batches(chosen).mapInArrow(_features, "lang string, key long, buckets binary, counts binary").collect()
     out = [(r["lang"], r["key"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in got]
     return [(lang, b, c) for lang, _, b, c in sorted(out, key=lambda r: (r[1], r[0], len(r[2]))) if len(b)]

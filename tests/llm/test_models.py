@@ -7,6 +7,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from conftest import ascii_lower
@@ -178,3 +179,15 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(20), sf_dir).schema == docs.schema, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_sample_without_null_ids_and_bounded_by_label(spark):
+    texts = {"aa": "kala mina tori", "bb": "sepu warg dolin", "cc": "xiro quath belm"}
+    rows = [(None, f"{texts['aa']} null{i % 26}", "nn") for i in range(300)]
+    rows += [(7, f"{texts['aa']} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", "aa") for i in range(600)]  # one doc_id, not held out, of many texts
+    rows += [(7, texts["bb"], "bb")] * 400  # copies of one row
+    rows += [(i, f"{texts['cc']} {i}", "cc") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found = Counter(lang for lang, _, _ in language_id.sample_features(docs, 20, 8))
+    assert set(found) == {"aa", "bb", "cc"} and found["bb"] == 1
+    assert 5 <= found["aa"] <= 40 and 5 <= found["cc"] <= 40
