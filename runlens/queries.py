@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -484,13 +484,27 @@ def clusterable_population(spark, sf_dir):
 
 @query()
 def resolved_identities(spark, sf_dir):
-    """The descriptions of one run resolved against no identities, by the local embedder."""
+    """One run resolved against the identities that the run before it gave, by the local embedder.
+
+    In the later run one name in five is spelt otherwise and one in five has gained an intent.
+    """
     from .functions.vectors import lexical_embedder
 
-    rows = A.observations(spark, sf_dir).filter(F.col("test_run_id") == RUN).withColumn("spec_identity_id", F.lit(None).cast("long"))
+    rows = A.observations(spark, sf_dir).withColumn("spec_identity_id", F.lit(None).cast("long"))
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent_entity", "intent_action", "intent_behavior")})
     empty = spark.createDataFrame([], "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp")
-    linked, _ = identity.resolve(rows, empty, lexical_embedder(), {"id": RUN, "created_at": NOW})
+    _, known = identity.resolve(rows.filter(F.col("test_run_id") == RUN - 1), empty, lexical_embedder(), {"id": RUN - 1, "created_at": NOW - timedelta(days=1)})
+    known = known.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else known
+    fifth = F.regexp_extract("name", r"([0-9]+)", 1).try_cast("int") % 5
+    later = rows.filter(F.col("test_run_id") == RUN).withColumns(
+        {
+            "name": F.when(fifth == 0, F.concat(F.initcap("name"), F.lit("!"))).otherwise(F.col("name")),
+            "intent_entity": F.when(fifth == 1, F.concat(F.lit("Case "), F.sha2("name", 256))),
+            "intent_action": F.when(fifth == 1, "runs"),
+            "intent_behavior": F.when(fifth == 1, "as before"),
+        }
+    )
+    linked, _ = identity.resolve(later, known, lexical_embedder(), {"id": RUN, "created_at": NOW})
     return linked.select("id", "name", "spec_identity_id")
 
 
