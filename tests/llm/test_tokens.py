@@ -11,9 +11,9 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from runlens.llm import packing, registry, token_records
+from runlens.llm import packing, registry, token_records, tokens
 from runlens.llm.tokens import encoder, with_end
-from runlens.llm.words import chunks
+from runlens.llm.words import chunks, span_hashes
 
 PATH = public_tokenizers.path(registry.TOKENIZER)
 ODD = ["", "  a  b\n\n c ", " x", "x ", "<|endoftext|> a", "a\x1c b \x85 c", "don't  it's\t\n x\r\n y", None, "a b c 　d e　 f", "x — y z  é", " ", "\n", "a" * 500, "é è ê " * 50]
@@ -38,6 +38,35 @@ def test_ids_equal_the_librarys(spark, sf_dir):
     assert at == len(texts)
 
 
+def thue_morse(steps, a="a", b="b"):
+    text = a
+    for _ in range(steps):
+        text += text.translate(str.maketrans(a + b, b + a))
+    return text
+
+
+def encoded(enc, texts):
+    for _, _, data, offsets in chunks(pa.array(texts)):
+        ids, bounds = enc.encode(data, offsets)
+        yield from (ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def test_repetitive_words_keep_their_own_ids():
+    texts = [f"{w} and {w}" for n in (3, 5, 6, 7, 12) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    texts += ["x" * n for n in range(1, 80)] + ["\0" * n for n in range(1, 20)] + ["a" * 63 + "b", "a" * 64 + "b", "a" * 65]
+    assert list(encoded(tokens.WordEncoder(PATH), texts)) == [reference()(t) for t in texts]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    assert len(set(span_hashes(data, ends - [len(t) for t in texts], ends))) == len(texts)
+
+
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_clashing_hashes_change_no_ids(monkeypatch, kinds):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(kinds))
+    texts = ODD + [f"w{i % 7} some{i % 11} words é{i % 5}" * (i % 4) for i in range(300)]
+    assert list(encoded(tokens.WordEncoder(PATH), texts)) == [reference()(t) for t in texts]
+
+
 def test_a_spoilt_record_is_found():
     record = token_records.frame(b"payload")
     assert token_records.read_record(io.BytesIO(record)) == b"payload" and token_records.read_record(io.BytesIO(b"")) is None
