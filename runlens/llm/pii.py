@@ -11,7 +11,8 @@ Base kinds: email, ip, card, phone. Added by the method: ``url`` (a scheme with
 
 Cases: null and empty texts have no spans; rows that repeat a doc_id each get their row; an empty table gives no
 rows; a null doc_id stays null; other columns are ignored, whatever their names. A text is scanned whole, in one
-pass; memory is one Arrow batch and its spans.
+pass whose time is linear in it, however long its runs of digits, blanks or letters; memory is one Arrow batch and
+its spans.
 """
 
 from __future__ import annotations
@@ -35,13 +36,12 @@ CUES = ["ssn", "social security", "passport", "driver license", "national id", "
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = frozenset("0123456789.")
-_QUADS = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CHAIN = frozenset("0123456789 -")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z]+:(?://)?[^\s<>\"']+")
-_PERSONAL = re.compile(r"://[^/@\s]+:[^/@\s]+@|/~[A-Za-z0-9_]+|/(?:users?|profile|people)/[A-Za-z0-9_.-]+|^(?:mailto|tel):", re.I)
-_ID = re.compile(r"(?:\s*(?:no\.?|number|#))?\s*[:=#]?\s*([A-Za-z0-9](?:[ /-]?[A-Za-z0-9]){4,33})(?![A-Za-z0-9])")
+_PERSONAL = re.compile(r"://[^/@\s:]+:[^/@\s]+@|/~[A-Za-z0-9_]+|/(?:users?|profile|people)/[A-Za-z0-9_.-]+|^(?:mailto|tel):", re.I)
+_ID = re.compile(r"(?:\s*+(?:no\.?|number|#))?+\s*+[:=#]?+\s*+([A-Za-z0-9](?:[ /-]?[A-Za-z0-9]){4,33})(?![A-Za-z0-9])")
 _automaton = None
 
 
@@ -88,6 +88,26 @@ def _region(text: str, at: int, done: int, allowed: frozenset[str]) -> tuple[int
     return a, b
 
 
+def octet(part: str) -> bool:
+    """Whether digits, however many, are a number of at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def quads(run: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, parts) of the leftmost four dotted numbers each of a run of digits and dots, in time linear in it."""
+    at, held = 0, []
+    for part in [*run.split("."), ""]:
+        if part:
+            held.append((at, part))
+        else:
+            held = []
+        at += len(part) + 1
+        if len(held) == 4:
+            yield held[0][0], at - 1, [p for _, p in held]
+            held = []
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans of a text, of every kind."""
     out: list[Span] = []
@@ -108,9 +128,7 @@ def find_spans(text: str | None) -> list[Span]:
                 done[kind] = m.end()
         elif kind == "ip":
             a, b = _region(text, at, done[kind], _DOTTED)
-            for m in _QUADS.finditer(text[a:b]):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-                    out.append((kind, a + m.start(), a + m.end()))
+            out += [(kind, a + i, a + j) for i, j, parts in quads(text[a:b]) if all(map(octet, parts))]
             done[kind] = b
         elif kind == "card":
             a, b = _region(text, at, done[kind], _CHAIN)

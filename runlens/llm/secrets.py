@@ -56,7 +56,7 @@ RULES: dict[str, tuple[str, int]] = {
     "shopify": (r"shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32}", 0),
     "square": (r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}", 0),
     "telegram": (r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}", 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
     "private_key": (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----", 0),
     "url_login": (r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@]{1,64}:[^\s/@]{3,64}@[A-Za-z0-9.-]+", 0),
     "bearer": (r"[Bb]earer [A-Za-z0-9_.=-]{20,}", 0),

@@ -56,6 +56,26 @@ def test_pii_on_noise():
         assert sorted(s for s in pii.find_spans(text) if s[0] in pii.BASE) == sorted(brute_pii(text)), text
 
 
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_long_runs_are_scanned_in_linear_time(n):
+    dots = ".".join(["1"] * n)
+    texts = ["0" * n + ".1.1.1", "1" * n + ".1.1.1", "1." + "1" * n, "1.1.1." + "0" * n + "255", "4" * n, "4 " * n, "+1" + "(" * n, "+" + "1" * n]
+    texts += ["a" * n + "@", "@" * n, "a@" * n, "ssn" + " " * n, "http://" + "a:" * n, "ssn " * n, "-" * n + "1.2", "eyJ" * n]
+    for text in texts:
+        assert sorted(s for s in pii.find_spans(text) if s[0] in pii.BASE) == ([("ip", 0, n + 6)] if text[0] == "0" else [("ip", 0, n + 9)] if text.endswith("0255") else []), text[:20]
+    assert len(pii.find_spans(dots)) == n // 4
+    for _, _, data, offsets in chunks(pa.array(texts + [dots])):
+        secrets.index().spans(data, offsets)
+
+
+def test_recall_of_all_spans(spark, sf_dir):
+    """Every document that plain expressions find personal data in has a span of that kind at that place."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r["doc_id"]: set(r["spans"].split(",")) for r in registry.op10_pii(spark, sf_dir).collect()}
+    wanted = {(i, f"{k}:{a}:{b}") for i, t in texts.items() for k, a, b in brute_pii(t)}
+    assert wanted and all(span in found[i] for i, span in wanted)
+
+
 def test_secrets_on_noise():
     texts = noise(["ToKen", "pass", "word", "wd", "api", "_", "key", "'", '"', " ", "=", ":", "abc", "AKIA", "ABCDEFGH", "0123456789", "ghp_", "secret", "ſecret", "é"], 8000, 20, 1)
     found = []
