@@ -1,30 +1,18 @@
-"""Tables and files in the folder that driver and executors share."""
+"""Tables in the shared folder, bounded Arrow maps, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.storage import fresh_path, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests, local runs) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="runlens-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/runlens-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+__all__ = ["fresh_path", "in_batches", "lookup", "write_table"]
 
 
 #: Rows and bytes of an Arrow batch. Whole texts are long rows: Spark's default of 10,000 rows costs an executor
@@ -83,21 +71,6 @@ def in_batches(df: DataFrame, keep_words: bool = False) -> Batched:
     return Batched(df, keep_words)
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that this application wrote to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/runlens-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: A key counts as hot when it holds over 1/HOT_SHARE of the rows, so there are under HOT_SHARE hot keys at any size.
 HOT_SHARE = 1024
 
