@@ -1,16 +1,17 @@
 """Chat formatting by tool-call linking, with DataFrame functions only.
 
 Messages are (conv_id, turn, role, text). A text that is a JSON object with ``tool_calls`` (each ``id``, ``name`` and
-``arguments``, an object or its JSON text) gives one call a list entry; one with ``tool_call_id`` (and ``content``) gives a
-result. With ``implicit``, plain exchanges are linked likewise: a user's turn is a call of ``message`` named after
+``arguments``, an object or its JSON text) gives one call a list entry, and its ``content`` stays with the first of them;
+one with ``tool_call_id`` (and ``content``) gives a result. An empty ``tool_calls`` gives a message with its content. With ``implicit``, plain exchanges are linked likewise: a user's turn is a call of ``message`` named after
 its turn, and the turn after it, if an assistant's, its result. All other messages stay messages.
 
 Calls and results of one conversation are hash-joined by identifier. Each side is first reduced to the first
 event a identifier, so a repeated identifier cannot multiply rows; the other events of it link to that one. The
 identifiers of over 1/HOT_SHARE of all events, if any, are joined by broadcast. The topological order is
 (order_turn, order_rank): calls stand at their turn, and a result at the later of its own turn and its call's, after
-it. Sorting a conversation by these keys and turn never puts a result before its call; as the keys need no other
-rows, a conversation of any length is ordered without meeting in one task.
+it. Sorting a conversation by these keys, turn and seq never puts a result before its call, and so nothing that a
+later message makes of that result either; as the keys need no other rows, a conversation of any length is ordered
+without meeting in one task.
 
 Arguments are checked against ``schemas``: name -> {"required": [...], "properties": {key: type}}, types string, integer, number,
 boolean, object, array. Canonical JSON has keys in order, no spaces and every field.
@@ -50,9 +51,11 @@ def events(messages: DataFrame, implicit: bool = False) -> DataFrame:
     calls = F.try_variant_get("json", "$.tool_calls", "array<struct<id string, name string, arguments variant>>")
     result_id = F.try_variant_get("json", "$.tool_call_id", "string")
     rows = rows.withColumn("calls", calls).withColumn("result_id", result_id)
+    rows = rows.withColumn("calls", F.when(F.size("calls") > 0, F.col("calls")))
     plain = F.col("calls").isNull() & F.col("result_id").isNull()
+    told = F.size(F.try_variant_get("json", "$.tool_calls", "array<variant>")) == 0  # an empty list of calls
     content = F.coalesce(F.try_variant_get("json", "$.content", "string"), F.to_json(F.try_variant_get("json", "$.content", "variant")))
-    content = F.when(plain, F.col("text")).when(F.col("result_id").isNotNull(), content)
+    content = F.when(plain & ~F.coalesce(told, F.lit(False)), F.col("text")).otherwise(content)
     rows = rows.select("conv_id", "turn", "role", plain.alias("plain"), "result_id", content.alias("content"), F.posexplode_outer("calls").alias("seq", "call"))
     raw = F.col("call.arguments")
     nested = F.try_variant_get(raw, "$", "string")  # arguments given as JSON text
@@ -70,7 +73,7 @@ def events(messages: DataFrame, implicit: bool = False) -> DataFrame:
         call_id.alias("call_id"),
         F.when(asks, F.lit("message")).otherwise(F.col("call.name")).alias("name"),
         F.when(asks & F.col("content").isNotNull(), F.to_json(F.struct("content"))).otherwise(arguments).alias("arguments"),
-        F.when(~F.coalesce(asks, F.lit(False)), F.col("content")).alias("content"),
+        F.when(~F.coalesce(asks, F.lit(False)) & (F.coalesce("seq", F.lit(0)) == 0), F.col("content")).alias("content"),
     )
 
 
@@ -97,7 +100,8 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict], implicit: bool = False) -> DataFrame:
     """conv_id, turn, seq, kind, call_id, linked_turn, order_turn, order_rank, valid, errors, json of every event of ``messages``."""
-    held = write_table(events(messages, implicit).withColumn("link", F.concat_ws("#", F.col("conv_id").cast("string"), "call_id")), "events")
+    # one key of both columns: a struct, so that no two pairs are written alike
+    held = write_table(events(messages, implicit).withColumn("link", F.struct("conv_id", "call_id")), "events")
     tied = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & (F.col("kind") != "message")
     ends = held.filter(tied)
     groups = ends.groupBy("link").agg(
