@@ -6,8 +6,9 @@ can move when the block there ends: a block that no window contains lets it jump
 shift is zero, the bucket of windows that end in this block gives the test strings, and those whose hash agrees
 are compared word by word. Texts are searched many at a time, each in stretches of STRETCH window ends.
 
-The benchmark is broadcast, so its size is checked: beyond BLOCK_BYTES of text it is searched in blocks of about
-that size, one pass over the documents each, the hits of earlier passes carried along in a written table.
+The benchmark is broadcast, so its size is checked: up to BLOCK_BYTES of text (some three million windows, about
+40 bytes each) it is one search, whose tables a worker builds once for all its tasks. Beyond that it is searched in
+blocks of about that size, one pass over the documents each, the hits of earlier passes carried along in a written table.
 
 Cases: null or wordless texts and items have no windows (counts 0, the digest of no items); repeated items or
 equal windows of several items count for each item id once; an item id may be of any type and is taken as a
@@ -18,7 +19,7 @@ benchmark no hits; other columns are ignored, whatever their names. Whole texts
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +31,26 @@ from .words import U, Words, alnum_words, chunks, mix
 
 WINDOW = 10
 STRETCH = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items string"
 Item = tuple[str, str]
 
 
 class Search:
-    """The Wu-Manber tables of all windows of one width."""
+    """The Wu-Manber tables of windows of one width: the word hashes of each, one a row."""
 
-    def __init__(self, width: int, windows: dict[bytes, set[int]], hashes: np.ndarray):
+    def __init__(self, width: int, hashes: np.ndarray):
         self.width, self.block = width, min(2, width)
-        self.windows = list(windows)
-        whole = _rolled(hashes, np.full(len(hashes), width - 1), width)
-        ends = np.stack([self._blocks(hashes, np.full(len(hashes), q - 1)) for q in range(self.block, width + 1)])
         bits = max(10, int(len(hashes) * width * 8).bit_length())
         self.mask = U((1 << min(bits, 24)) - 1)
         self.shift = np.full(int(self.mask) + 1, min(width - self.block + 1, 255), np.uint8)
-        for q, blocks in enumerate(ends, self.block):
+        for q in range(self.block, width + 1):
+            blocks = self._blocks(hashes, np.full(len(hashes), q - 1))
             np.minimum.at(self.shift, (blocks & self.mask).astype(np.int64), np.uint8(min(width - q, 255)))
-        order = np.argsort(ends[-1], kind="stable")  # buckets of windows by the block they end in
-        self.suffix, self.whole, self.number = ends[-1][order], whole[order], order
+        order = np.argsort(blocks, kind="stable")  # buckets of windows by the block they end in
+        self.suffix, self.number = blocks[order], order.astype(np.int32)
+        self.whole = _rolled(hashes, np.full(len(hashes), width - 1), width)[order]
 
     def _blocks(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The hash of the block that ends at word ``at`` (of each row, if hashes has rows)."""
@@ -75,8 +75,8 @@ class Search:
             at, limit = at[go], limit[go]
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def matches(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(last word, window number) of every occurrence."""
+    def matches(self, words: Words, hashes: np.ndarray, text_of: Callable[[int], bytes]) -> Iterator[tuple[int, int]]:
+        """(last word, window number) of every occurrence; ``text_of`` a window is compared."""
         ends = self.candidates(hashes, words.first)
         if not len(ends):
             return
@@ -87,7 +87,7 @@ class Search:
             ends, whole, place, over = ends[go], whole[go], place[go], over[go]
             same = self.whole[place] == whole
             for e, k in zip(ends[same].tolist(), self.number[place[same]].tolist(), strict=True):
-                if words.text(e - self.width + 1, e + 1) == self.windows[k]:
+                if words.text(e - self.width + 1, e + 1) == text_of(k):
                     yield e, k
             place = place + 1
 
@@ -101,44 +101,60 @@ def _rolled(hashes: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
 
 
 class Benchmark:
-    """The searches of a block of items, by window width."""
+    """The searches of a block of items, by window width, and whose windows they are."""
 
     def __init__(self, items: list[Item]):
         self.ids = [i for i, _ in items]
-        by_width: dict[int, dict[bytes, set[int]]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
-        for i, _, data, offsets in chunks(pa.array([t for _, t in items], pa.string())):
-            words = Words(data, offsets, alnum_words())
-            hashed = words.hashes()
-            for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-                width = min(WINDOW, b - a)
-                for s in range(a, b - width + 1) if width else ():
-                    text, own = words.text(s, s + width), by_width.setdefault(width, {})
-                    if text not in own:
-                        own[text] = set()
-                        hashes.setdefault(width, []).append(hashed[s : s + width])
-                    own[text].add(i + k)
-        self.searches = [(Search(w, own, np.stack(hashes[w])), list(own.values())) for w, own in sorted(by_width.items())]
+        raw = [t.encode() for _, t in items]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+        self.words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets, alnum_words())
+        hashes, counts, first = self.words.hashes(), self.words.counts(), self.words.first
+        exact: dict[bytes, int] = {}  # equal words have equal numbers
+        numbers = np.array([exact.setdefault(self.words.text(k, k + 1), len(exact)) for k in range(len(self.words))], np.int32)
+        self.searches = []
+        for width in np.unique(np.minimum(counts, WINDOW)).tolist():
+            if not width:
+                continue
+            own = np.flatnonzero(np.minimum(counts, WINDOW) == width)
+            n = counts[own] - width + 1
+            begin = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item = np.repeat(own, n)
+            _, lead, group = np.unique(np.lib.stride_tricks.sliding_window_view(numbers, width)[begin], axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([group.ravel(), item], axis=1), axis=0)
+            owners = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(lead) + 1))
+            search = Search(width, np.lib.stride_tricks.sliding_window_view(hashes, width)[begin[lead]])
+            self.searches.append((search, begin[lead], owners))
 
     def find(self, words: Words) -> tuple[np.ndarray, list[set[str]]]:
         """The mask of hit words and the ids of found items of each text."""
         hit = np.zeros(len(words) + 1, np.int32)
         found: list[set[str]] = [set() for _ in range(len(words.first) - 1)]
         hashes = words.hashes()
-        for search, owners in self.searches:
+        for search, begin, (item, bounds) in self.searches:
             seen = set()
-            for end, k in search.matches(words, hashes):
+            for end, k in search.matches(words, hashes, lambda k, begin=begin, width=search.width: self.words.text(begin[k], begin[k] + width)):
                 hit[end - search.width + 1] += 1
                 hit[end + 1] -= 1
                 text = int(np.searchsorted(words.first, end, "right")) - 1
                 if (text, k) not in seen:
                     seen.add((text, k))
-                    found[text].update(self.ids[i] for i in owners[k])
+                    found[text].update(self.ids[i] for i in item[bounds[k] : bounds[k + 1]].tolist())
         return np.cumsum(hit[:-1]) > 0, found
 
 
+_held: tuple[list[Item], Benchmark] | None = None
+
+
+def _tables(items: list[Item]) -> Benchmark:
+    """The tables of a broadcast block, kept by the worker for its next tasks."""
+    global _held
+    if _held is None or _held[0] is not items:
+        _held = (items, Benchmark(items))
+    return _held[1]
+
+
 def _scan(batches, handle, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    bench = Benchmark(handle.value)
+    bench = _tables(handle.value)
     for batch in batches:
         for i, j, data, offsets in chunks(batch.column("text")):
             words = Words(data, offsets, alnum_words())
@@ -211,7 +227,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     """The rows of ``docs`` without a hit word, with all their columns."""
 
     def run(batches, handle):
-        bench = Benchmark(handle.value)
+        bench = _tables(handle.value)
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 words = Words(data, offsets, alnum_words())
