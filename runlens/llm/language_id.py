@@ -6,9 +6,11 @@ is hashed to one of BUCKETS embeddings; the text's vector is their mean over the
 softmax gives the languages' scores. Embeddings and weights are trained together by stochastic gradient descent
 in numpy, from zero-mean random starts with a fixed seed.
 
-Training reads a bounded sample: of each of the at most ``max_langs`` most frequent labels, about ``per_lang`` rows
-(twice that at most), chosen by a hash of doc_id and text, so the same rows at every run; copies of a row under one doc_id
-count once. A tenth of them is held back to fit the softmax
+Training reads a bounded sample: of each label about ``per_lang`` rows (twice that at most), fewer where there are so
+many labels that ``rows_most`` rows in all would be passed, but LEAST of each label at any rate, so no language is
+left out. Rows are chosen by a hash of doc_id and text, so they are the same at every run; copies of a row under one doc_id
+count once. A row gives its FEATURES most frequent subwords at most. So the driver collects 24 KB a row, of about
+twice ``rows_most`` rows at most, or of LEAST a label. A tenth of them is held back to fit the softmax
 temperature and the rejection threshold: the score under which only a ``miss`` share of the correct held-back
 predictions fall, and never over one half. Predictions are made for every row, over whole texts.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import in_batches
+from .shared import in_batches, write_table
 from .words import chunks
 
 BUCKETS = 1 << 15
@@ -36,6 +38,8 @@ DIM = 16
 SIZES = (3, 4)
 SLICE = 1 << 20
 UNKNOWN = "und"
+#: Of the training sample: rows of any label (where it has them), and subwords of a row.
+LEAST, FEATURES = 8, 4096
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
@@ -120,7 +124,7 @@ def score_texts(model: Model, tables: tuple[np.ndarray, np.ndarray | None], data
 
 
 def _features(batches) -> Iterator[pa.RecordBatch]:
-    """label, key, and the buckets of a text with their counts; at most BUCKETS of them whatever the text's length."""
+    """label, key, and the buckets of a text with their counts, whatever the text's length."""
     for batch in batches:
         labels, keys = batch.column("lang"), batch.column("key")
         for i, j, data, offsets in chunks(batch.column("text")):
@@ -131,26 +135,26 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
                 for lo in range(0, len(padded), SLICE):
                     bucket, at = subwords(padded[lo : lo + SLICE + max(SIZES) - 1])
                     counts += np.bincount(bucket[at < SLICE], minlength=BUCKETS)
-                used = np.flatnonzero(counts)
-                rows.append((used.astype("<i4").tobytes(), counts[used].astype("<f4").tobytes()))
+                used = np.sort(np.argsort(-counts, kind="stable")[: min(FEATURES, np.count_nonzero(counts))])
+                rows.append((used.astype("<u2").tobytes(), counts[used].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([labels.slice(i, j - i), keys.slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "key", "buckets", "counts"])
 
 
-def sample_features(docs: DataFrame, per_lang: int, max_langs: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def sample_features(docs: DataFrame, per_lang: int, rows_most: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(label, buckets, counts) of the training sample, in a fixed order."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold(docs) != 1))
     rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
     # shares are of distinct rows, so that a label of many copies of few rows keeps them
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("key").alias("kinds")).orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return []
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / max(r["kinds"], 1)))).otherwise(share)
-    chosen = rows.filter(F.pmod("key", F.lit(1 << 24)) < share * (1 << 24)).dropDuplicates(["lang", "key"])
-    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= 2 * per_lang).drop("n")
+    sizes = write_table(rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("kinds")), "labels")
+    labels = sizes.count()
+    each = max(LEAST, min(per_lang, rows_most // max(labels, 1)))
+    # where few rows of a label are wanted, more are drawn, so that a label drawn empty is out of the question
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max(each, 4 * LEAST))) / F.greatest("kinds", F.lit(1))).alias("share"))
+    chosen = rows.join(F.broadcast(share) if labels <= 10_000 else share, "lang").filter(F.pmod("key", F.lit(1 << 24)) < F.ceil(F.col("share") * (1 << 24))).drop("share")
+    chosen = chosen.dropDuplicates(["lang", "key"])
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= 2 * each).drop("n")
     got = in_batches(chosen).mapInArrow(_features, "lang string, key long, buckets binary, counts binary").collect()
-    out = [(r["lang"], r["key"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in got]
+    out = [(r["lang"], r["key"], np.frombuffer(r["buckets"], "<u2").astype(np.int32), np.frombuffer(r["counts"], "<f4")) for r in got]
     return [(lang, b, c) for lang, _, b, c in sorted(out, key=lambda r: (r[1], r[0], len(r[2]))) if len(b)]
 
 
@@ -233,14 +237,14 @@ def _predict(batches, handle) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
 
-def train_on(docs: DataFrame, per_lang: int = 800, max_langs: int = 256) -> Model | None:
+def train_on(docs: DataFrame, per_lang: int = 800, rows_most: int = 16_000) -> Model | None:
     """The model of ``docs`` (doc_id, text, lang): trained on rows whose fold, crc32 of doc_id as text mod 3, is not 1."""
-    return train(sample_features(docs, per_lang, max_langs))
+    return train(sample_features(docs, per_lang, rows_most))
 
 
-def identify(docs: DataFrame, model: Model | None = None, per_lang: int = 800, max_langs: int = 256) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, per_lang: int = 800, rows_most: int = 16_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row of ``docs`` (doc_id, text, lang)."""
-    handle = docs.sparkSession.sparkContext.broadcast(model or train_on(docs, per_lang, max_langs))
+    handle = docs.sparkSession.sparkContext.broadcast(model or train_on(docs, per_lang, rows_most))
     rows = docs.select("doc_id", "text", (_fold(docs) == 1).alias("held_out"))
     return in_batches(rows).mapInArrow(lambda it: _predict(it, handle), RESULT)
 

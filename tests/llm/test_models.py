@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -188,6 +189,59 @@ def test_sample_without_null_ids_and_bounded_by_label(spark):
     rows += [(7, texts["bb"], "bb")] * 400  # copies of one row
     rows += [(i, f"{texts['cc']} {i}", "cc") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    found = Counter(lang for lang, _, _ in language_id.sample_features(docs, 20, 8))
+    found = Counter(lang for lang, _, _ in language_id.sample_features(docs, 20, 1000))
     assert set(found) == {"aa", "bb", "cc"} and found["bb"] == 1
     assert 5 <= found["aa"] <= 40 and 5 <= found["cc"] <= 40
+
+
+def test_every_label_is_learned_however_many_there_are(spark):
+    rng = random.Random(2)
+    words = {f"l{n:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for n in range(400)}
+    rows = [(n * 100 + k, " ".join(rng.choices(own, k=6)), lang) for n, (lang, own) in enumerate(words.items()) for k in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _, _ in language_id.sample_features(docs, 800, 2000))
+    assert set(found) == set(words) and max(found.values()) <= 2 * language_id.LEAST
+
+
+def brute_language(model, text):
+    """(language, score) by plain sums over every subword of a text."""
+    low = ascii_lower(text)
+    total, n = [0.0] * language_id.DIM, 0
+    for word in re.findall(rb"[a-z\x80-\xff]+", low.encode()):
+        marked = b"\0" + word + b"\0"
+        for size in language_id.SIZES:
+            for at in range(len(marked) - size + 1):
+                code = 0
+                for x in marked[at : at + size]:
+                    code = (code * 0x01000193 + x + size) % (1 << 32)
+                bucket = code * 0x9E3779B1 % (1 << 32) >> 17
+                n += 1
+                total = [t + float(e) for t, e in zip(total, model.embeddings[bucket], strict=True)]
+    if not any(c.isalpha() for c in low):
+        return "und", 0.0
+    mean = [t / max(n, 1) for t in total]
+    z = [(sum(m * float(w) for m, w in zip(mean, model.weights[:, k], strict=True)) + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
+    e = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(e)), key=e.__getitem__)
+    return model.langs[best], e[best] / sum(e)
+
+
+def test_predictions_match_plain_sums(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train_on(docs)
+    texts = [(r["doc_id"], r["text"]) for r in docs.filter("length(text) < 1500").orderBy("doc_id").limit(60).collect()]
+    texts += [(-1, "ab é çç xyz"), (-2, "12 3"), (-3, ""), (-4, "a"), (-5, "ABC abc! Abc")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")), model).collect()}
+    for i, text in texts:
+        lang, score = brute_language(model, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-5, text
+
+
+def test_identifiers_of_two_conversations_never_meet(spark):
+    call, result = json.dumps({"tool_calls": [{"id": "2#3", "name": "add", "arguments": {"a": 1, "b": 2}}], "content": "let me add"}), json.dumps({"tool_call_id": "3", "content": "3"})
+    rows = [("1", 0, "assistant", call), ("1#2", 1, "tool", result), ("4", 0, "assistant", '{"tool_calls":[],"content":"done"}'), ("4", 1, "assistant", '{"tool_calls":5}')]
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_calls(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"), SCHEMAS).collect()}
+    assert got[("1", 0)]["linked_turn"] is None and got[("1#2", 1)]["linked_turn"] is None and not got[("1#2", 1)]["valid"]
+    assert json.loads(got[("1", 0)]["json"])["content"] == "let me add"
+    assert got[("4", 0)]["kind"] == "message" and json.loads(got[("4", 0)]["json"])["content"] == "done"
+    assert json.loads(got[("4", 1)]["json"])["content"] == '{"tool_calls":5}'

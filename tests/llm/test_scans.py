@@ -56,7 +56,7 @@ def test_pii_on_noise():
         assert sorted(s for s in pii.find_spans(text) if s[0] in pii.BASE) == sorted(brute_pii(text)), text
 
 
-@pytest.mark.parametrize("n", [5_000, 1_000_000])
+@pytest.mark.parametrize("n", [5_000, 300_000])
 def test_long_runs_are_scanned_in_linear_time(n):
     dots = ".".join(["1"] * n)
     texts = ["0" * n + ".1.1.1", "1" * n + ".1.1.1", "1." + "1" * n, "1.1.1." + "0" * n + "255", "4" * n, "4 " * n, "+1" + "(" * n, "+" + "1" * n]
