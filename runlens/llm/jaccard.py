@@ -9,28 +9,30 @@ shingles the chance that a clash changes their overlap is about 1e-13). Document
    smallest of them; verified links give clusters. A cluster and the documents that were found alike but not linked are
    a family of similar documents, cut into groups of about GROUP. A document that resembles none is a group of its own.
 3. *Matrix columns*: any global order of tokens gives an exact prefix filter; this one puts tokens that more than
-   ``LIGHT`` documents have last, so passages that many documents share stay out of prefixes. The matrix keeps, for each token in some prefix, the groups that
-   have it; two groups meet where they share such a token, have documents of different clusters, and their sizes
-   allow a link.
-4. *Bound*: each group's token union is kept as a bitmap. A group of one document is a query; its tokens that the
-   other union's bitmap lacks are surely missing there, which bounds the overlap.
-5. *Open*: only groups whose bound reaches the threshold (or that give none) are opened: their documents' texts are
-   fetched and compared exactly, unless their clusters are already known to be joined. Components of all verified
-   links give the result.
+   ``LIGHT`` documents have last, so passages that many documents share stay out of prefixes. The matrix keeps, for
+   each token in some prefix, the groups that have it; two groups meet where they share such a token, have documents
+   of different clusters, and their sizes allow a link.
+4. *Bound*: each group's token union is kept as a bitmap, beside those of its documents. Every document of one group is
+   a query against the other's union: its tokens that the bitmap lacks are surely missing there, which bounds the
+   overlap with any document behind it.
+5. *Open*: only pairs of groups in which each has a document whose bound reaches the threshold are opened: their
+   documents' texts are fetched and compared exactly, unless their clusters are already known to be joined. Components
+   of all verified links give the result.
 
 Links within one class or cluster need no further pairs: component ids lose nothing by leaving them out.
 
 Cases: null, empty or wordless texts have no shingles and link with nothing (component_id is their doc_id); rows
-that repeat a doc_id count as one document with several texts, whose links they share; rows with a null doc_id
-get a null component_id and link with nothing; an empty table gives no rows; other columns are ignored, whatever
-their names. Whole texts are read. Broadcasts: at most HEAVY_MOST token hashes, and id filters of at most
+that repeat a doc_id count as one document with several texts, whose links they share (a table with such rows is
+first written under numbers of its own, and the components of one doc_id are united at the end); rows with a null
+doc_id get a null component_id and link with nothing; an empty table gives no rows; other columns are ignored,
+whatever their names. Whole texts are read. Broadcasts: at most HEAVY_MOST token hashes, and id filters of at most
 FILTER_BITS bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,10 @@ LIGHT = 32
 HEAVY_MOST = 1 << 21
 FILTER_BITS = 1 << 27
 BUCKET_TOKENS = 1_000_000
+#: Tasks that buckets are dealt to at most; beyond that each task has several buckets, one after the other.
+BUCKET_TASKS = 20_000
+#: Tokens that a task holds before it counts them and deals out the counts.
+COMBINE = 1 << 21
 CHUNK_PARTNERS = 64
 
 
@@ -160,39 +166,69 @@ def _deal(columns: list[np.ndarray], bucket: np.ndarray, names: list[str]) -> It
     yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges[:-1]]].astype(np.int64)), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", *names])
 
 
-def _whole_buckets(batches, kinds: dict[str, str]) -> Iterator[list[np.ndarray]]:
-    """The entries of each bucket, from rows sorted by bucket."""
-    at, held = None, {k: [] for k in kinds}
+def _whole_buckets(batches, kinds: dict[str, str], fold: Callable | None = None) -> Iterator[list[np.ndarray]]:
+    """The entries of each bucket, from rows sorted by bucket; with ``fold``, entries are folded as they come."""
+    at, held, pending = None, {k: [] for k in kinds}, 0
     for batch in batches:
         for bucket, *blobs in zip(batch.column("bucket").to_pylist(), *(batch.column(k).to_pylist() for k in kinds), strict=True):
             if bucket != at and at is not None:
                 yield [np.concatenate(held[k]) for k in kinds]
-                held = {k: [] for k in kinds}
+                held, pending = {k: [] for k in kinds}, 0
             at = bucket
             for (name, kind), blob in zip(kinds.items(), blobs, strict=True):
                 held[name].append(_unplanes(blob, kind))
+            pending += len(held[name][-1])
+            if fold and pending > COMBINE:
+                held = {k: [v] for k, v in zip(kinds, fold(*(np.concatenate(held[k]) for k in kinds)), strict=True)}
+                pending = 0
     if at is not None:
         yield [np.concatenate(held[k]) for k in kinds]
 
 
 def _by_bucket(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return rows.repartition(min(n, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
 
 
 def _tokens_to_count(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Tokens with their counts in this task: a token that many documents have is sent once for COMBINE tokens."""
+    held, n = [], 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        yield from _deal([tokens, counts.astype("<u4")], (mix(tokens) % U(n_buckets)).astype(np.int64), ["tokens", "counts"])
+
     for _, tokens, _ in _batches(batches):
-        yield from _deal([tokens], (mix(tokens) % U(n_buckets)).astype(np.int64), ["tokens"])
+        held.append(tokens)
+        n += len(tokens)
+        if n > COMBINE:
+            yield from counted()
+            held, n = [], 0
+    if held:
+        yield from counted()
+
+
+def _summed(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    head = np.flatnonzero(np.concatenate([[len(tokens) > 0], tokens[1:] != tokens[:-1]])[: len(tokens)])
+    return tokens[head], np.add.reduceat(counts[order].astype("<u4"), head) if len(head) else counts
 
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
-    for (tokens,) in _whole_buckets(batches, {"tokens": "<u8"}):
-        found, n = np.unique(tokens, return_counts=True)
+    for tokens, counts in _whole_buckets(batches, {"tokens": "<u8", "counts": "<u4"}, _summed):
+        found, n = _summed(tokens, counts)
         yield pa.RecordBatch.from_arrays([pa.array(found[n > LIGHT].view(np.int64)), pa.array(n[n > LIGHT].astype(np.int64))], ["token", "n"])
 
 
+def _in_one(batches) -> Iterator[pa.RecordBatch]:
+    """The tokens of a task as one value."""
+    held = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.int64), *held]).tobytes()], pa.binary())], ["tokens"])
+
+
 def heavy_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     """The tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
-    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, 3 * parts), "bucket long, tokens binary")
+    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, 3 * parts), "bucket long, tokens binary, counts binary")
     counts = write_table(in_batches(_by_bucket(dealt, parts)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
     least = LIGHT
     if counts.count() > HEAVY_MOST:  # 1/HEAVY_MOST steps of the counts' distribution; a tie drops all its tokens
@@ -203,8 +239,8 @@ def heavy_tokens(docs: DataFrame, parts: int) -> np.ndarray:
             if total > HEAVY_MOST:
                 break
             least = 2 ** ((step - 1) / 16)
-    got = [r[0] for r in counts.filter(F.col("n") > least).select("token").collect()]
-    return np.sort(np.array(got, np.int64).view(U))
+    got = in_batches(counts.filter(F.col("n") > least).select("token")).mapInArrow(_in_one, "tokens binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(r[0], U) for r in got)]))
 
 
 # ------------------------------------------------------------------ texts of some documents
@@ -265,6 +301,16 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
     return in_batches(docs).mapInArrow(lambda it: _marked(it, handle), docs.schema), in_batches(docs).mapInArrow(lambda it: _marked(it, handle, False), docs.schema)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not among the ids: found by a bounded bit filter, settled by a join.
+
+    Most rows pass the filter untouched; only those that it may hold are shuffled to meet the exact list.
+    """
+    own = write_table(ids.select(F.col(column).alias("_dropped")).distinct(), "dropped")
+    maybe, clear = split_by_ids(docs, own, "_dropped")
+    return clear.unionByName(maybe.join(own, F.col("doc_id") == F.col("_dropped"), "left_anti"))
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """(doc_id, text) of the documents that are probably among the ids: all that are, and few others."""
     return split_by_ids(docs, ids, column)[0]
@@ -392,21 +438,31 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
             continue
         least, most = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
         low, high = np.minimum.reduceat(cluster, head), np.maximum.reduceat(cluster, head)
-        tokens, gid = tokens[head], gid[head]
+        order = np.lexsort((high, low, tokens[head]))
+        tokens, gid, least, most, low, high = (x[order] for x in (tokens[head], gid[head], least, most, low, high))
         edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         size = np.diff(edge)
+        # where the run of groups of one and the same cluster ends: within it no two groups need to meet
+        alike = (tokens[1:] == tokens[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (low[1:] == high[1:])
+        start = np.flatnonzero(np.concatenate([[True], ~alike]))
+        run_end = np.repeat(np.append(start[1:], len(tokens)), np.diff(np.append(start, len(tokens))))
         mixed = np.unique(gid[low != high])
         found: list[np.ndarray] = [np.stack([mixed, mixed], axis=1)]
         held = 0
         for a, m in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
             for lo in range(a, a + m - 1, 1024):
-                rows, others = np.arange(lo, min(lo + 1024, a + m - 1)), np.arange(lo + 1, a + m)
+                hi = min(lo + 1024, a + m - 1)
+                if run_end[lo] >= a + m:
+                    break
+                rows, others = np.arange(lo, hi), np.arange(run_end[lo] if run_end[lo] >= hi else lo + 1, a + m)
                 ok = others[None] > rows[:, None]
                 ok &= (low[rows][:, None] != high[others][None]) | (high[rows][:, None] != low[others][None])
                 ok &= (5 * most[rows][:, None] >= 4 * least[others][None]) & (5 * most[others][None] >= 4 * least[rows][:, None])
                 i, j = np.nonzero(ok)
                 if len(i):
-                    found.append(np.stack([gid[rows[i]], gid[others[j]]], axis=1))
+                    pair = np.stack([gid[rows[i]], gid[others[j]]], axis=1)
+                    pair.sort(axis=1)
+                    found.append(pair)
                     held += len(i)
             if held > 1_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
@@ -428,52 +484,52 @@ def _bitmaps(batches, mask_handle) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits, pa.binary())], ["doc_id", "bits"])
 
 
-UNIONS = "gid long, docs long, n long, bits binary"
+UNIONS = "gid long, bits binary, members array<struct<n long, bits binary>>"
 
 
 def _unite(batches) -> Iterator[pa.RecordBatch]:
-    """The union bitmap of each group, from rows sorted by group; n is a size of one of its sets."""
-    at, union, docs, last = None, None, 0, 0
+    """The union bitmap of each group and the bitmaps of its documents, from rows sorted by group."""
+    at, union, members = None, None, []
     out: list[tuple] = []
     for batch in batches:
         for gid, n, bits in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), batch.column("bits").to_pylist(), strict=True):
             own = np.frombuffer(bits, np.uint8)
             if gid != at:
                 if at is not None:
-                    out.append((at, docs, last, union.tobytes()))
-                at, union, docs = gid, own, 1
+                    out.append((at, union.tobytes(), members))
+                at, union, members = gid, own, []
             else:
                 size = max(len(own), len(union))
                 # a smaller bitmap is repeated: the token's place is one of those it then marks
                 union = np.tile(union, size // len(union)) | np.tile(own, size // len(own))
-                docs += 1
-            last = n
-        if len(out) > 2000:
+            members.append({"n": n, "bits": bits})
+        if len(out) > 500:
             yield _unions(out)
             out = []
     if at is not None:
-        out.append((at, docs, last, union.tobytes()))
+        out.append((at, union.tobytes(), members))
     if out:
         yield _unions(out)
 
 
 def _unions(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["gid", "docs", "n", "bits"])
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("n", pa.int64()), ("bits", pa.binary())]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["gid", "bits", "members"])
 
 
 def _bound(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups whose bound reaches the threshold.
+    """The pairs of groups of which the first has a document that reaches its bound in the union of the second.
 
-    A group of one document is a query: it may miss at most n - least_overlap(n) of its tokens in the other's
-    union. Groups of several documents give no such bound on any of them, and qualify.
+    A document of n tokens may miss at most n - least_overlap(n) of them in the other's union.
     """
     for batch in batches:
+        members, unions = batch.column("members"), batch.column("bits").to_pylist()
+        sizes, bits = members.flatten().field("n").to_pylist(), members.flatten().field("bits")
+        upto = np.concatenate([[0], np.cumsum([len(m) for m in members])]).tolist()
         keep = []
-        for g_docs, g_n, g_bits, h_docs, h_n, h_bits in zip(*(batch.column(c).to_pylist() for c in ("g_docs", "g_n", "g_bits", "h_docs", "h_n", "h_bits")), strict=True):
-            a, b = np.frombuffer(g_bits, np.uint8), np.frombuffer(h_bits, np.uint8)
-            ok = g_docs > 1 or misses(a, b) <= g_n - least_overlap(g_n)
-            keep.append(ok and (h_docs > 1 or misses(b, a) <= h_n - least_overlap(h_n)))
+        for a, b, union in zip(upto[:-1], upto[1:], unions, strict=True):
+            other = np.frombuffer(union, np.uint8)
+            keep.append(any(misses(np.frombuffer(bits[k].as_py(), np.uint8), other) <= sizes[k] - least_overlap(sizes[k]) for k in range(a, b)))
         yield batch.select(["g", "h"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -515,29 +571,36 @@ def _groups(nodes: DataFrame, star: DataFrame) -> DataFrame:
 
 
 def _qualifying(rows: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of groups (g, h) whose bound reaches the threshold."""
+    """The pairs of groups (g, h) of which each has a document that reaches its bound in the other's union."""
     wanted = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
     own = write_table(members.join(wanted, "gid").select("gid", "doc", "n"), "matrix-members")
     mask = _shared_filter(own, "doc")
     bits = in_batches(rows).mapInArrow(lambda it: _bitmaps(it, mask), "doc_id long, bits binary")
     dealt = bits.join(own, F.col("doc_id") == F.col("doc")).select("gid", "n", "bits")
     unions = write_table(in_batches(dealt.repartition("gid").sortWithinPartitions("gid")).mapInArrow(_unite, UNIONS), "unions")
-    sides = pairs
-    for side in ("g", "h"):
-        sides = sides.join(unions.select(F.col("gid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("docs", "n", "bits"))), side)
-    return write_table(in_batches(sides).mapInArrow(_bound, "g long, h long"), "qualifying")
+    for asks, answers in (("g", "h"), ("h", "g")):
+        sides = pairs.join(unions.select(F.col("gid").alias(asks), "members"), asks).join(unions.select(F.col("gid").alias(answers), "bits"), answers)
+        pairs = write_table(in_batches(sides).mapInArrow(_bound, "g long, h long"), "qualifying")
+    return pairs
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = write_table(in_batches(rows).mapInArrow(_summarise, SETS), "sets")
+def _sets(rows: DataFrame) -> DataFrame:
+    return write_table(in_batches(rows).mapInArrow(_summarise, SETS), "sets")
+
+
+def _repeated(sets: DataFrame) -> bool:
+    """Whether some doc_id has several rows."""
+    return not sets.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+
+
+def _labelled(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows whose doc_ids are distinct, but for null ones."""
     linkable = sets.filter("n > 0 and doc_id is not null")
     keys = [f"k{j}" for j in range(SKETCHES)]
     classes = write_table(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), *(F.min(c).alias(c) for c in ("n", *keys))), "classes")
     tokens, total = classes.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     parts = max(12, int(tokens) // BUCKET_TOKENS)
-    nodes = classes.filter("n > 3").groupBy("doc").agg(*(F.max(c).alias(c) for c in ("n", *keys)))
+    nodes = classes.filter("n > 3").select("doc", "n", *keys)
 
     near = _sketch_pairs(nodes)
     leaders = near.select("anchor", F.col("anchor").alias("doc"), F.col("anchor").alias("cluster")).distinct()
@@ -561,3 +624,54 @@ def link_documents(docs: DataFrame) -> DataFrame:
     out = lookup(linkable.select("doc_id", "n", "digest"), ids, "digest", "rows", total).select("doc_id", "n", "component_id")
     alone = sets.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _numbered(docs: DataFrame, number: str) -> DataFrame:
+    """``docs`` with a number for each row, written so that the numbers hold."""
+    return write_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
+def _united(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components ``found`` of numbered rows, those that share a doc_id united and named by their least doc_id."""
+    held = found.select(F.col("doc_id").alias("number"), "n_shingles", "component_id").join(docs.select("number", "doc_id"), "number")
+    held = write_table(held.select("doc_id", "n_shingles", F.col("component_id").alias("part")), "parts-of-rows")
+    total = held.count()
+    leads = write_table(held.groupBy("doc_id").agg(F.min("part").alias("lead"), F.count("*").alias("rows")), "leads")
+    joined = write_table(components(lookup(held.select("doc_id", "part").distinct(), leads, "doc_id", "rows", total).select(F.col("part").alias("a"), F.col("lead").alias("b"))), "united")
+    sizes = held.groupBy("part").agg(F.count("*").alias("rows"))
+    labels = write_table(sizes.join(joined, F.col("part") == F.col("node"), "left").select("part", "rows", F.coalesce("component", "part").alias("label")), "labels")
+    rows = write_table(lookup(held, labels, "part", "rows", total).select("doc_id", "n_shingles", "label"), "labelled")
+    names = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    return lookup(rows, write_table(names, "names"), "label", "rows", total).select("doc_id", "n_shingles", "component_id")
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = _sets(rows)
+    if not _repeated(sets):
+        return _labelled(rows, sets)
+    named = _numbered(rows.filter("doc_id is not null"), "number")
+    own = named.select(F.col("number").alias("doc_id"), "text")
+    nameless = sets.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return _united(_labelled(own, _sets(own)), named).unionByName(nameless)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those linked with another that stays; of linked rows the one with the smallest doc_id stays.
+
+    Rows are judged one by one, also where they repeat a doc_id; of rows that repeat the smallest doc_id any one
+    stays. Rows with a null doc_id link with nothing, so they stay. All columns stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = _sets(rows)
+    if not _repeated(sets):
+        return without_ids(docs, _labelled(rows, sets).filter("component_id <> doc_id"), "doc_id")
+    number = next(c for c in (f"_row{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    held = _numbered(docs, number)
+    own = held.filter("doc_id is not null").select(F.col(number).alias("doc_id"), "text")
+    found = _labelled(own, _sets(own)).select(F.col("doc_id").alias("number"), "component_id")
+    found = write_table(found.join(held.select(F.col(number).alias("number"), F.col("doc_id").cast("long").alias("doc_id")), "number"), "rows-of-components")
+    stay = found.groupBy("component_id").agg(F.min_by("number", F.struct("doc_id", "number")).alias("number"))
+    gone = write_table(found.join(stay.select("number"), "number", "left_anti").select("number"), "linked-rows")
+    return held.join(gone, F.col(number) == F.col("number"), "left_anti").drop(number)
