@@ -73,6 +73,31 @@ def find_copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: Rows named for removal that are broadcast at most, at some 100 bytes each; more meet the documents by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts one row, with the largest doc_id.
+
+    Rows are judged one by one, also where they repeat a doc_id; of equal texts under one doc_id any one stays. A group
+    whose doc_ids are all null keeps every row of it.
+    """
+    found = write_table(find_copies(docs).select(F.col("doc_id").alias("_copy_id"), F.unhex("text_sha256").alias("_copy_digest"), "kept", "group_size"), "copies")
+    gone = found.filter("not kept").select("_copy_id", "_copy_digest").distinct()
+    ties = found.filter("kept and group_size > 1 and _copy_id is not null").groupBy("_copy_id", "_copy_digest").agg(F.count("*").alias("_rows"))
+    ties = write_table(ties.filter("_rows > 1").select("_copy_id", "_copy_digest"), "tied-copies")
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_copy_id")) & (digest == F.col("_copy_digest"))
+    if found.filter("not kept").count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, same, "left_anti")
+    if ties.isEmpty():
+        return kept
+    tied = kept.join(ties, same).groupBy("_copy_id", "_copy_digest").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return kept.join(ties, same, "left_anti").unionByName(tied.select("_row.*"))
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

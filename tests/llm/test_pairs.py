@@ -54,6 +54,69 @@ def check(df):
     return got
 
 
+def brute_with_repeats(rows):
+    """(sorted n_shingles and component of each doc_id) where rows of one doc_id are one document."""
+    parts = brute_components(list(enumerate(t for _, t in rows)))
+    union = Union()
+    for k, (i, _) in enumerate(rows):
+        union.join(("row", parts[k][1]), ("doc", i))
+    least = defaultdict(list)
+    for i, _ in rows:
+        least[union.root(("doc", i))].append(i)
+    return sorted((i, parts[k][0], min(least[union.root(("doc", i))])) for k, (i, _) in enumerate(rows))
+
+
+def test_repeated_ids_share_their_links(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    long = lambda: " ".join(f"l{rng.random()}" for _ in range(400))
+    rows = [(0, a), (5, a), (5, b), (9, b), (7, c), (7, ""), (7, None), (8, ""), (8, "x")]
+    for i in range(100, 160, 2):
+        short = [f"s{rng.random()}" for _ in range(100)]
+        rows += [(i, " ".join(short)), (i, long()), (i + 1, " ".join([*short[:-1], "other"]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, a), (None, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(df).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute_with_repeats(rows)
+    assert sorted(r for r in got if r[0] is None) == [(None, 0, None), (None, 36, None)]
+    assert {i: c for i, _, c in got if i in (0, 5, 9)} == {0: 0, 5: 0, 9: 0}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, 1), (9, a + " more", 2), (5, b, 3), (5, b, 4), (None, a, 5), (1, c, 6), (2, "", 7), (2, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row0 long")
+    kept = sorted(r["_row0"] for r in jaccard.one_of_each(df).collect())
+    assert kept in ([1, 3, 5, 6, 7, 8], [1, 4, 5, 6, 7, 8])
+    assert jaccard.one_of_each(df).columns == df.columns and jaccard.one_of_each(df.limit(0)).count() == 0
+    alone = df.filter("_row0 in (1, 2, 6)")
+    assert sorted(r["_row0"] for r in jaccard.one_of_each(alone).collect()) == [1, 6]
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    rows = [(5, "copy", 1), (9, "Copy", 2), (5, "unique text", 3), (9, "copy", 4), (None, "COPY", 5), (None, "x", 6), (None, "X", 7), (3, None, 8), (2, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long")
+    kept = sorted(r["a.b"] for r in exact_dedup.keep_one(df).collect())
+    assert kept in ([2, 3, 6, 7, 8], [3, 4, 6, 7, 8])
+    assert exact_dedup.keep_one(df).schema == df.schema and exact_dedup.keep_one(df.limit(0)).count() == 0
+    assert not re.search("Python|Arrow|Pandas", exact_dedup.keep_one(df)._jdf.queryExecution().toString())
+
+
+def test_many_groups_of_similar_documents_match_brute_force(spark):
+    """Several clusters of one passage, each more than a group, so that groups of several documents meet."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for own in range(4):
+        tail = [f"t{own}_{i}" for i in range(22 + own)]
+        for _ in range(90):
+            words = passage + tail
+            words[rng.randrange(60)] = f"x{rng.random()}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def family(rng, n, edits):
     """Copies of one text with a few words changed, so that similarities lie on both sides of the threshold."""
     base = [f"b{i}" for i in range(150)]
