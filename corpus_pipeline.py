@@ -3,8 +3,9 @@
 Each stage is a function of (spark, docs, sf_dir). All but the last keep rows of ``docs`` with the columns of
 ``documents``; the last packs what is left into sequences.
 
-Rows with null or repeated doc_ids: the first four stages judge each by its text; stages that pick one row of a
-group keep every row that carries the kept doc_id.
+Rows are judged one by one, by their texts, also where doc_ids are null or repeated: a stage that keeps one row of a
+group drops the group's other rows and no row beside them. Rows with a null doc_id can't be named as linked to others,
+so near-duplicate removal keeps them, and of equal texts all of whose doc_ids are null all rows stay.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, exact_dedup, jaccard, language_id, packing
 from runlens.llm.shared import write_table
@@ -22,16 +22,6 @@ TOKENIZER = "byte_bpe_50k.json"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _drop(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped``: found by a bounded bit filter, settled by a join.
-
-    Most rows pass the filter untouched; only those that it may hold are shuffled to meet the exact list.
-    """
-    own = write_table(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    maybe, clear = jaccard.split_by_ids(docs, own, "dropped_id")
-    return clear.unionByName(maybe.join(own, F.col("doc_id") == F.col("dropped_id"), "left_anti"))
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language the model rejects."""
     return language_id.keep_identified(docs)
@@ -39,13 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts, with DataFrame functions only."""
-    dropped = exact_dedup.find_copies(docs).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest doc_id, of each group linked by shingles."""
-    return _drop(docs, jaccard.link_documents(docs).filter("component_id <> doc_id"))
+    return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    """All stages over ``documents``; each but the last is written to the shared folder and read again.
+
+    Tables there stay until ``runlens.plans.storage.drop_tables``, or the end of a ``scratch`` block that writes the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name)
