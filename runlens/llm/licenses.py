@@ -1,15 +1,14 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over lower-cased text, built from FAMILIES (how a license is named, in which
-versions) and FORMS (how texts refer to one), plus hand-written notices. A keyword prefilter over the bytes of a
-text decides which rules are tried: a rule is tried where a keyword of its form and one of its name occur, and
-every match has both. Rules see the text with white space and the comment marks of wrapped lines folded to one space. Detections are resolved by
-priority: the more specific rule first, then the longer interval, then the earlier; a detection that lies
-within the interval of one accepted before it is suppressed.
+The rules are some 340 regular expressions written by hand (``license_rules``), in order of precedence. A keyword
+prefilter decides which are tried: from each expression's parse tree the strings are derived of which every match has
+one, and one Aho-Corasick pass finds which of them a text has. Prefilter and rules see the text with white space and
+the comment marks of wrapped lines folded to one space. Detections are resolved by priority: the rule of the earlier section first, then the longer interval, then the
+earlier place, then the earlier rule; a detection that lies within the interval of one accepted before it is suppressed.
 
 Base labels come from fixed phrases whose words stand consecutively, found by word hashes and compared with the
 words themselves; they are reported whatever the rules find. The score is 1 minus the product of (1 - weight) over distinct
-labels, weights by form.
+labels, weights by section.
 
 Cases: null and empty texts have no words, labels "" and score 0; rows that repeat a doc_id each get their row;
 an empty table gives no rows; a null doc_id stays null; other columns are ignored, whatever their names.
@@ -26,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_rules import SECTIONS
+from .secrets import MOST_STRINGS, few_strings, parser
 from .shared import in_batches
 from .words import LOWER, Words, alnum_words, chunks, span_hashes
 
@@ -38,148 +39,106 @@ PHRASES = {
 }
 BASE_WEIGHT = 0.8
 
-#: Label -> (keywords, one for each way the name is written; pattern of the name; versions).
-FAMILIES: dict[str, tuple[tuple[str, ...], str, list[str]]] = {
-    "gpl": (("gpl", "general public licen"), r"(?:gnu )?(?:gpl|general public licen[cs]e)", ["1", "2", "3"]),
-    "lgpl": (("lgpl", "general public licen"), r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", ["2", "2.1", "3"]),
-    "agpl": (("agpl", "affero"), r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", ["1", "3"]),
-    "gfdl": (("gfdl", "free documentation"), r"(?:gnu )?(?:gfdl|free documentation licen[cs]e)", ["1.1", "1.2", "1.3"]),
-    "apache": (("apache",), r"apache(?: software)?(?: licen[cs]e)?", ["1", "1.1", "2"]),
-    "mit": (("mit", "expat"), r"(?:mit|expat)(?: licen[cs]e)?", []),
-    "bsd": (("bsd",), r"bsd(?:[- ]style)?(?: licen[cs]e)?", []),
-    "bsd-2-clause": (("bsd",), r"(?:bsd[- ]2[- ]clause|(?:simplified|freebsd|two[- ]clause) bsd)(?: licen[cs]e)?", []),
-    "bsd-3-clause": (("bsd",), r"(?:bsd[- ]3[- ]clause|(?:new|modified|revised|three[- ]clause) bsd)(?: licen[cs]e)?", []),
-    "isc": (("isc",), r"isc(?: licen[cs]e)?", []),
-    "mpl": (("mpl", "mozilla"), r"(?:mpl|mozilla public licen[cs]e)", ["1", "1.1", "2"]),
-    "epl": (("epl", "eclipse"), r"(?:epl|eclipse public licen[cs]e)", ["1", "2"]),
-    "eupl": (("eupl", "european"), r"(?:eupl|european union public licen[cs]e)", ["1", "1.1", "1.2"]),
-    "cddl": (("cddl", "common development"), r"(?:cddl|common development and distribution licen[cs]e)", ["1", "1.1"]),
-    "cpl": (("cpl", "common public"), r"(?:cpl|common public licen[cs]e)", ["1"]),
-    "afl": (("afl", "academic"), r"(?:afl|academic free licen[cs]e)", ["1.1", "2", "2.1", "3"]),
-    "osl": (("osl", "open software"), r"(?:osl|open software licen[cs]e)", ["1", "2", "2.1", "3"]),
-    "artistic": (("artistic",), r"artistic licen[cs]e", ["1", "2"]),
-    "zlib": (("zlib",), r"zlib(?: licen[cs]e)?", []),
-    "boost": (("boost",), r"boost software licen[cs]e", ["1"]),
-    "unlicense": (("unlicense",), r"unlicense", []),
-    "wtfpl": (("wtfpl",), r"wtfpl", ["1", "2"]),
-    "python": (("psf", "python"), r"(?:psf|python(?: software foundation)?) licen[cs]e", ["2"]),
-    "ofl": (("open font",), r"(?:sil )?open font licen[cs]e", ["1", "1.1"]),
-    "php": (("php",), r"php licen[cs]e", ["3", "3.01"]),
-    "ruby": (("ruby",), r"ruby licen[cs]e", []),
-    "postgresql": (("postgresql",), r"postgresql licen[cs]e", []),
-    "openssl": (("openssl",), r"openssl licen[cs]e", []),
-    "zope": (("zpl", "zope"), r"(?:zpl|zope public licen[cs]e)", ["1.1", "2", "2.1"]),
-    "w3c": (("w3c",), r"w3c(?: software)?(?: notice and)? licen[cs]e", []),
-    "ms-pl": (("ms-pl", "microsoft public"), r"(?:ms-pl|microsoft public licen[cs]e)", []),
-    "ms-rl": (("ms-rl", "microsoft reciprocal"), r"(?:ms-rl|microsoft reciprocal licen[cs]e)", []),
-    "odbl": (("odbl", "open database"), r"(?:odbl|open database licen[cs]e)", ["1"]),
-    "upl": (("upl", "universal permissive"), r"(?:upl|universal permissive licen[cs]e)", ["1"]),
-    "bsl": (("business source",), r"business source licen[cs]e", ["1", "1.1"]),
-    "sspl": (("sspl", "server side"), r"(?:sspl|server side public licen[cs]e)", ["1"]),
-    "elastic": (("elastic",), r"elastic licen[cs]e", ["1", "2"]),
-    "openrail": (("rail",), r"(?:creativeml |bigscience )?open ?rail(?:-[ms]|\+\+)?(?: licen[cs]e)?", ["1"]),
-    "cc0": (("cc0",), r"cc0", ["1"]),
-    "cc-by": (("cc-by", "cc by", "creative commons"), r"(?:cc[- ]by|creative commons attribution)", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-sa": (("cc-by", "cc by", "creative commons"), r"(?:cc[- ]by[- ]sa|creative commons attribution[- ]share ?alike)", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc": (("cc-by", "cc by"), r"cc[- ]by[- ]nc", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nd": (("cc-by", "cc by"), r"cc[- ]by[- ]nd", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc-sa": (("cc-by", "cc by"), r"cc[- ]by[- ]nc[- ]sa", ["1", "2", "2.5", "3", "4"]),
-    "cc-by-nc-nd": (("cc-by", "cc by"), r"cc[- ]by[- ]nc[- ]nd", ["1", "2", "2.5", "3", "4"]),
-}
-
-#: Form -> (keywords, one of which each match has; pattern around {name}; priority; weight); lower priorities win.
-FORMS: dict[str, tuple[tuple[str, ...], str, int, float]] = {
-    "tag": (("spdx",), r"spdx-license-identifier: *{name}(?:-only|-or-later)?(?![a-z0-9])", 10, 0.95),
-    "grant": (("licen",), r"licen[cs]ed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}(?![a-z0-9])", 20, 0.9),
-    "terms": (("terms", "conditions"), r"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?{name}(?![a-z0-9])", 30, 0.85),
-    "field": (("licen",), r"licen[cs]e[\"']? *[:=] *[\"']?{name}(?![a-z0-9])", 40, 0.85),
-    "name": (("licen",), r"(?<![a-z0-9]){name},? licen[cs]e(?![a-z0-9])", 60, 0.6),
-}
-
-#: Label -> (keyword, pattern) of notices that name no license.
-NOTICES: dict[str, tuple[str, str]] = {
-    "mit": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    "isc": ("permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
-    "bsd": ("redistribution and use", r"redistribution and use in source and binary forms"),
-    "bsd-3-clause": ("neither the name", r"neither the name of (?:.{1,80}? )?nor the names of (?:its|their) contributors"),
-    "apache-2": ("www.apache.org", r"https?://www\.apache\.org/licenses/license-2\.0"),
-    "gpl": ("free software", r"this program is free software[:;] you can redistribute it"),
-    "gnu": ("www.gnu.org", r"https?://www\.gnu\.org/licenses/"),
-    "unlicense": ("public domain", r"free and unencumbered software released into the public domain"),
-    "public-domain": ("public domain", r"(?:dedicated|released|placed) (?:in|in)?to the public domain"),
-    "zlib": ("as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    "boost": ("boost software", r"distributed under the boost software license"),
-    "creative-commons": ("creativecommons.org", r"https?://creativecommons\.org/(?:licenses|publicdomain)/[a-z-]+"),
-    "proprietary": ("all rights reserved", r"(?<![a-z])all rights reserved(?![a-z])"),
-    "copyright": ("copyright", r"(?<![a-z])copyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}"),
-}
-
 
 class Rule(NamedTuple):
     label: str
-    keywords: tuple[tuple[bytes, ...], ...]  # every match has one of each group
+    needs: list[str]  # every match has one of these
     pattern: re.Pattern
-    priority: int
+    section: int
+    place: int
     weight: float
 
 
+def needs(pattern: str) -> list[str]:
+    """Strings of which every match of ``pattern`` has one.
+
+    Those of the stretch of the expression that matches one of few strings and whose shortest string is longest.
+    """
+    stretches, strings = [], {""}
+    for node in parser.parse(pattern):
+        more = few_strings(node)
+        if more is not None and len(strings) * len(more) <= MOST_STRINGS:
+            strings = {a + b for a in strings for b in more}
+        else:
+            stretches.append(strings)
+            strings = more or {""}
+    best = max([*stretches, strings], key=lambda x: (min(map(len, x)), -len(x)))
+    if min(map(len, best)) < 3:
+        raise ValueError(f"no keyword is mandatory in {pattern}")
+    return sorted(best)
+
+
 def rules() -> list[Rule]:
     """All rules in the order they are tried."""
-    out = []
-    for label, (written, name, versions) in FAMILIES.items():
-        for form, (cue, around, priority, weight) in FORMS.items():
-            for version in [*versions, ""]:
-                tail = rf"(?:,? ?(?:version|v\.?|-)? ?){re.escape(version)}(?:\.0)?(?![0-9.]*[0-9])" if version else ""
-                if form == "name" and not version and label not in ("bsd", "mit", "isc", "zlib"):
-                    tail = ""
-                pattern = around.replace("{name}", f"(?:{name}){tail}")
-                keys = tuple(tuple(k.encode() for k in group) for group in (cue, written))
-                out.append(Rule(f"{label}-{version}" if version else label, keys, re.compile(pattern), priority - bool(version), weight))
-    for label, (keyword, pattern) in NOTICES.items():
-        out.append(Rule(label, ((keyword.encode(),),), re.compile(pattern, re.S), 50, 0.4 if label in ("copyright", "proprietary") else 0.9))
-    return sorted(out, key=lambda r: (r.priority, r.label))
+    out: list[Rule] = []
+    for k, (weight, section) in enumerate(SECTIONS):
+        for label, pattern in section:
+            out.append(Rule(label, needs(pattern), re.compile(pattern), k, len(out), weight))
+    return out
 
 
-_rules: dict[tuple[tuple[bytes, ...], ...], list[Rule]] = {}
+class Prefilter:
+    """The keywords of all rules, and the rules that each lets be tried."""
 
+    def __init__(self, found: list[Rule]):
+        import ahocorasick
 
-def rules_by_keywords() -> dict[tuple[tuple[bytes, ...], ...], list[Rule]]:
-    """The worker's rules, grouped by their keywords."""
-    if not _rules:
-        for rule in rules():
-            _rules.setdefault(rule.keywords, []).append(rule)
-    return _rules
+        self.by_word: dict[str, list[Rule]] = {}
+        for rule in found:
+            for word in rule.needs:
+                self.by_word.setdefault(word, []).append(rule)
+        self.keywords = ahocorasick.Automaton()
+        for word in self.by_word:
+            self.keywords.add_word(word, word)
+        self.keywords.make_automaton()
 
+    def tried(self, text: str) -> list[Rule]:
+        """The rules that a folded text has a keyword of, each once."""
+        return list({r.place: r for word in {w for _, w in self.keywords.iter(text)} for r in self.by_word[word]}.values())
 
-_STRETCH = 256
 
-#: Every keyword that rules but no text in the prefilter's first look can do without: one of these must occur.
-#: They are single words, as the look is at the text before it is folded.
-GATES = [b"licen", b"spdx", b"copyright", b"permission", b"redistribution", b"neither", b"domain", b"software", b"www.gnu.org", b"as-is", b"boost", b"creativecommons", b"reserved", b"www.apache.org", b"terms", b"conditions"]
+_prefilter: Prefilter | None = None
+
 
+def prefilter() -> Prefilter:
+    """The worker's prefilter."""
+    global _prefilter
+    if _prefilter is None:
+        _prefilter = Prefilter(rules())
+    return _prefilter
+
+
+_STRETCH = 256
 
 _MARK = rb"(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|>+|\|+|!+|<!--+|(?:dnl|rem)(?=\s))"
 
-#: White space that is more than one space, with the comment marks that end a line or begin the next.
-_GAP = re.compile(rb"(?:[ \t\f\v]+" + _MARK + rb")?[ \t\f\v]*[\r\n](?:\s*" + _MARK + rb")*\s*|[ \t\f\v]{2,}|[\t\f\v]")
+_LEAD, _TAIL = re.compile(rb"(?:\s*" + _MARK + rb")+"), re.compile(rb"\s" + _MARK + rb"\s*\Z")
+_LEADS, _TAILS = frozenset(b"/*#;%->|!<dr"), frozenset(b"/*#;%->|!lm")
 
 
 def folded(low: bytes) -> bytes:
-    """The text with each run of white space, and comment marks around its line breaks, as one space."""
-    return _GAP.sub(b" ", low)
+    """The text with each run of white space as one space, without comment marks before and after its line breaks."""
+    lines = low.splitlines()
+    for k, line in enumerate(lines):
+        body = line.strip()
+        if k and body and body[0] in _LEADS:
+            m = _LEAD.match(line)
+            line = line[m.end() :] if m else line
+        if k < len(lines) - 1 and body and body[-1] in _TAILS:
+            m = _TAIL.search(line)
+            line = line[: m.start()] if m else line
+        lines[k] = line
+    return b" ".join(b" ".join(lines).split())
 
 
 def detect(low: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of the accepted detections in a lower-cased text, as places of its ``folded`` form."""
-    if not any(g in low for g in GATES):
-        return []
-    low = folded(low)
-    tried = [r for keys, own in rules_by_keywords().items() if all(any(k in low for k in group) for group in keys) for r in own]
+    text = folded(low).decode("utf-8", "replace")
+    tried = prefilter().tried(text)
     if not tried:
         return []
-    text = low.decode("utf-8", "replace")
     found = [(m.start(), m.end(), rule) for rule in tried for m in rule.pattern.finditer(text)]
-    found.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label))
+    found.sort(key=lambda d: (d[2].section, d[0] - d[1], d[0], d[2].place))
     kept: list[tuple[int, int, Rule]] = []
     near: dict[int, list[tuple[int, int]]] = {}  # accepted intervals by the stretches of text they touch
     for a, b, rule in found:

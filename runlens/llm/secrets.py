@@ -65,7 +65,7 @@ BASE = ["assign", "access", "hex"]
 ORDER = {k: i for i, k in enumerate(RULES)}
 
 Query = list  # an AND of clauses; a clause is an OR of queries or the code of a trigram; [] holds always
-_MOST_STRINGS = 32
+MOST_STRINGS = 32
 
 
 def trigram_query(pattern: str) -> Query:
@@ -83,8 +83,8 @@ def _flush(strings: set[str], query: Query) -> None:
         query += _grams(words[0]) if len(words) == 1 else [[_grams(w) for w in words]]
 
 
-def _choices(node) -> set[str] | None:
-    """The strings a node matches, lower-cased, if they are few."""
+def few_strings(node) -> set[str] | None:
+    """The strings that a node of a parse tree matches, lower-cased, if they are few."""
     op, arg = node
     if op is K.LITERAL:
         c = chr(arg)
@@ -110,8 +110,8 @@ def _choices(node) -> set[str] | None:
 def _strings(nodes) -> set[str] | None:
     out = {""}
     for node in nodes:
-        more = _choices(node)
-        if more is None or len(out) * len(more) > _MOST_STRINGS:
+        more = few_strings(node)
+        if more is None or len(out) * len(more) > MOST_STRINGS:
             return None
         out = {a + b for a in out for b in more}
     return out
@@ -121,8 +121,8 @@ def _of_sequence(nodes) -> Query:
     query: Query = []
     run = {""}
     for node in nodes:
-        more = _choices(node)
-        if more is not None and len(run) * len(more) <= _MOST_STRINGS:
+        more = few_strings(node)
+        if more is not None and len(run) * len(more) <= MOST_STRINGS:
             run = {a + b for a in run for b in more}
             continue
         _flush(run, query)

@@ -106,9 +106,73 @@ def brute_license(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
-def test_hundreds_of_rules_in_priority_order():
+def test_hundreds_of_rules_in_order():
     rules = licenses.rules()
-    assert len(rules) > 300 and [r.priority for r in rules] == sorted(r.priority for r in rules)
+    assert len(rules) > 300 and [(r.section, r.place) for r in rules] == sorted((r.section, r.place) for r in rules)
+    assert len({r.pattern.pattern for r in rules}) == len(rules)
+
+
+def sample_match(rng, nodes):
+    """A string that a parse tree matches, drawn at random."""
+    out = ""
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += rng.choice("ab .")
+        elif name == "IN":
+            kind, value = rng.choice([x for x in arg if str(x[0]) != "NEGATE"])
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif name == "SUBPATTERN":
+            out += sample_match(rng, arg[3])
+        elif name == "BRANCH":
+            out += sample_match(rng, rng.choice(arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample_match(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif name != "ASSERT_NOT":
+            raise AssertionError(name)
+    return out
+
+
+def test_every_rule_is_tried_where_it_matches():
+    rng, tried = random.Random(4), licenses.prefilter().tried
+    for rule in licenses.rules():
+        met = 0
+        for _ in range(60):
+            text = sample_match(rng, secrets.parser.parse(rule.pattern.pattern))
+            if rule.pattern.search(text):
+                met += 1
+                assert rule.place in {r.place for r in tried(text)}, text
+                wrapped = licenses.folded(text.replace(" ", "\n * ").encode()).decode()
+                assert "  " in text or "*" in text or rule.place in {r.place for r in tried(wrapped)}, text
+        assert met, rule.pattern.pattern
+
+
+def test_matches_of_rules_resolve_alike_with_every_rule_tried():
+    rng, rules = random.Random(6), licenses.rules()
+    glue = [" ", "\n", ". ", "\n# ", "; or the ", " under the ", " licensed under the ", " license: ", "2", "v3"]
+    for _ in range(300):
+        low = "".join(sample_match(rng, secrets.parser.parse(rng.choice(rules).pattern.pattern)) + rng.choice(glue) for _ in range(rng.randint(1, 4))).encode()
+        assert [(a, b, r.label) for a, b, r in licenses.detect(low)] == all_rules(licenses.folded(low), rules), low
+
+
+def score(weights):
+    rest = 1.0
+    for w in weights:
+        rest *= 1 - w
+    return 1 - rest
+
+
+def test_labels_and_scores_match_every_rule_tried(spark, sf_dir):
+    rules = licenses.rules()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for i, row in by_id(registry.op9_license_scan(spark, sf_dir)).items():
+        low = licenses.folded(ascii_lower(texts[i]).encode())
+        weights = {x: licenses.BASE_WEIGHT for x in brute_license(texts[i])[4].split(",") if x}
+        for _, _, r in kept_of(low, rules):
+            weights[r.label] = max(weights.get(r.label, 0), r.weight)
+        assert row["labels"] == ",".join(sorted(weights)) and abs(row["score"] - score(weights.values())) < 1e-8
 
 
 def test_contained_detections_are_suppressed():
@@ -116,15 +180,19 @@ def test_contained_detections_are_suppressed():
     assert [r.label for _, _, r in found] == ["apache-2"]
 
 
-def all_rules(low, rules):
-    """Labels by trying every rule, most specific first, then the longest, then the earliest."""
+def kept_of(low, rules):
+    """Detections by trying every rule: the earliest section, then the longest, then the earliest place and rule."""
     text = low.decode("utf-8", "replace")
     found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(text)]
     kept = []
-    for a, b, r in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label)):
+    for a, b, r in sorted(found, key=lambda d: (d[2].section, d[0] - d[1], d[0], d[2].place)):
         if not any(x <= a and b <= y for x, y, _ in kept):
             kept.append((a, b, r))
-    return [(a, b, r.label) for a, b, r in kept]
+    return kept
+
+
+def all_rules(low, rules):
+    return [(a, b, r.label) for a, b, r in kept_of(low, rules)]
 
 
 @pytest.mark.parametrize(
@@ -136,6 +204,13 @@ def all_rules(low, rules):
         ("under the conditions of the expat license", "mit"),
         ("under the terms of creative commons attribution 4.0", "cc-by-4"),
         ("a creative commons attribution-sharealike license", "cc-by-sa"),
+        ("distributed under the terms of the gplv3", "gpl-3"),
+        ("under the terms of the mpl 2.0", "mpl-2"),
+        ("mozilla public license 2.0", "mpl-2"),
+        ("placed in the public domain", "public-domain"),
+        ("permission is hereby granted, free of charge,\nto any person obtaining a copy", "mit"),
+        ("the apache license, version 2.0", "apache-2"),
+        ("released under the bsd 3-clause license", "bsd-3-clause"),
     ],
 )
 def test_abbreviations_need_no_other_word(text, label):
