@@ -207,7 +207,8 @@ def dedup_payload(rows: DataFrame, keys: tuple[str, ...] = (*SHARD_KEYS, "delive
 KEPT = ["created_at", "spec_identity_id", "embed_failed_at", "embed_failure_count"]
 
 
-def _with_state(rows: DataFrame) -> DataFrame:
+def with_state(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns that resolution keeps, empty where they are missing."""
     for c, kind in (("spec_identity_id", "long"), ("embed_failed_at", "timestamp"), ("embed_failure_count", "int")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(0 if kind == "int" else None).cast(kind))
@@ -220,7 +221,7 @@ def merge_observations(existing: DataFrame, delivered: DataFrame) -> DataFrame:
     Rows of redelivered shards go. A delivered example that another shard of the run still has takes that row's
     place and keeps its created_at, identity and failure stamps; of several deliveries the last wins.
     """
-    existing, delivered = _with_state(existing), _with_state(delivered)
+    existing, delivered = with_state(existing), with_state(delivered)
     newest = delivered.groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
     delivered = delivered.join(newest, [*SHARD_KEYS, "delivery_seq"], "left_semi").select(*delivered.columns)
     named = latest_per_key(delivered.filter("example_id is not null"), [*RUN_KEYS, "example_id"], ["delivery_seq"])

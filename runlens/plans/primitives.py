@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import write_table
+
 
 def row_count() -> Column:
     return F.count(F.lit(1))
@@ -52,10 +54,20 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], new
     return found.select(*keys, *(F.col("row")[c].alias(c) for c in rest)).select(*df.columns)
 
 
-def previous_in(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "previous") -> DataFrame:
-    """As-of lookup: each row with a struct of the row before it within its key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.lag(F.struct(*df.columns)).over(w))
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Each row with its place, from 1, in a total order: by ranges of it, so no task numbers more than its range.
+
+    Only the number of rows of each range, one a partition, reaches the driver.
+    """
+    held = write_table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = held.groupBy("_range").count().orderBy("_range").collect()
+    before, at = [], 0
+    for part, n in counts:
+        before.append((part, at))
+        at += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _before long"))
+    w = Window.partitionBy("_range").orderBy(*order)
+    return held.join(offsets, "_range").withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_range", "_before")
 
 
 def at_or_before(created: Column, ident: Column, at: object, row_id: int) -> Column:

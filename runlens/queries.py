@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import expressions as X
 from .operators import clusters, growth, identity, ingest, retention, rollups, runs, stability, tenancy
 from .plans.primitives import upsert
+from .plans.storage import write_table
 from .sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,8 +494,8 @@ def resolved_identities(spark, sf_dir):
     rows = A.observations(spark, sf_dir).withColumn("spec_identity_id", F.lit(None).cast("long"))
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent_entity", "intent_action", "intent_behavior")})
     empty = spark.createDataFrame([], "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp")
-    _, known = identity.resolve(rows.filter(F.col("test_run_id") == RUN - 1), empty, lexical_embedder(), {"id": RUN - 1, "created_at": NOW - timedelta(days=1)})
-    known = known.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else known
+    before = identity.resolve(rows.filter(F.col("test_run_id") == RUN - 1), empty, lexical_embedder(), {"id": RUN - 1, "created_at": NOW - timedelta(days=1)})
+    known = write_table(before.identities, "identities")
     fifth = F.regexp_extract("name", r"([0-9]+)", 1).try_cast("int") % 5
     later = rows.filter(F.col("test_run_id") == RUN).withColumns(
         {
@@ -504,7 +505,7 @@ def resolved_identities(spark, sf_dir):
             "intent_behavior": F.when(fifth == 1, "as before"),
         }
     )
-    linked, _ = identity.resolve(later, known, lexical_embedder(), {"id": RUN, "created_at": NOW})
+    linked = identity.resolve(later, known, lexical_embedder(), {"id": RUN, "created_at": NOW}).rows
     return linked.select("id", "name", "spec_identity_id")
 
 

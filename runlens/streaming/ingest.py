@@ -1,101 +1,211 @@
-"""Ingest as a stream: JSON deliveries (plain or gzip) arrive as files; each micro-batch is merged into versioned tables.
+"""Ingest as a stream: JSON deliveries (plain or gzip) arrive as files; each micro-batch is merged into partitioned tables.
 
-The merge is idempotent: keys come from the payload, the last delivery of a shard wins, and a batch that is run again
-after a failure gives the same tables. A version is written whole beside the last one and becomes current by
-one small pointer file, so readers see either all of a batch or nothing of it.
+Every table is dealt to BUCKETS parts by its key. A batch rewrites the parts that it touches, each into a fresh folder
+of this attempt, and becomes current by one small version file that names the folder of every part; so readers see all
+of a batch or nothing of it, untouched parts keep their files, and an attempt that fails leaves what is current as it
+was. A version remembers the batch and a fingerprint of its deliveries: the same batch run again after it became
+current changes nothing.
+
+With an embedder, each batch's unresolved rows are then resolved to identities, in a version of its own.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ingest
+from ..operators import identity, ingest
+from ..plans.storage import delete, file_system
 
 MAX_BYTES = 64 << 20
+BUCKETS = 64
+#: Fixed value: what a body over the limit is refused with.
+TOO_LARGE = "the request body is too large"
 
 
 def read_deliveries(spark: SparkSession, folder: str, streaming: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Whole files as deliveries: value, repository_id and user_agent (from the path and none), received_at, delivery_seq.
+    """Whole files as deliveries: value (NULL for a body over ``max_bytes``), oversize, repository_id (from the path), received_at, delivery_seq.
 
     A file is one body; ``.gz`` files are inflated by the codec. Files are expected under ``repository_id=<n>/``.
+    Deliveries are in the order of their files' times, and of names within one time.
     """
     reader = spark.readStream if streaming else spark.read
     rows = reader.schema("value string, repository_id long").option("wholetext", "true").option("recursiveFileLookup", "false").text(folder)
     rows = rows.select("value", "repository_id", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("received_at"))
-    rows = rows.filter(F.octet_length("value") <= max_bytes)
-    seq = F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
+    large = F.coalesce(F.octet_length("value") > max_bytes, F.lit(False))
+    seq = F.concat(F.lpad(F.unix_micros("received_at").cast("string"), 20, "0"), F.lit(" "), F.col("file_name"))
+    rows = rows.withColumns({"oversize": large, "value": F.when(~large, F.col("value"))})
     return rows.withColumns({"delivery_seq": seq, "occurred_at": F.col("received_at"), "user_agent": F.lit(None).cast("string")})
 
 
 class Tables:
-    """runs, shards, observations and rejections in versioned folders under ``root``."""
-
-    NAMES = ("runs", "shards", "observations", "rejections")
+    """runs, shards, observations, rejections and identities, in parts under ``root``."""
+
+    #: What each table is dealt by.
+    KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"]}
+    NAMES = tuple(KEYS)
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def current(self) -> dict:
+        """The newest version: its number, batch, fingerprint, and the folder of each part of each table."""
+        fs, p = file_system(self.spark, f"{self.root}/_versions")
+        numbers = [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()] if fs.exists(p) else []
+        if not numbers:
+            return {"version": 0, "batch": None, "fingerprint": None, "parts": {}}
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/_versions/{max(numbers)}").first()[0])
+
+    def bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(*self.KEYS[name]), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: set[int] | None = None, at: dict | None = None) -> DataFrame | None:
+        """A table as of the newest version, or of ``at``; of some parts only where asked. None if there is nothing."""
+        parts = (at or self.current())["parts"].get(name, {})
+        paths = [path for b, path in sorted(parts.items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def touched(self, name: str, *rows: DataFrame) -> set[int]:
+        """The parts of a table that rows with its keys belong to, at most ``buckets`` numbers."""
+        found = reduce(DataFrame.unionByName, (r.select(self.bucket(name).alias("b")) for r in rows))
+        return {r["b"] for r in found.distinct().collect()}
+
+    def write(self, base: dict, tables: dict[str, tuple[DataFrame, set[int]]], batch: int | None, fingerprint: str | None) -> None:
+        """Write parts of tables, each frame the new content of its touched parts, and make them current over ``base``."""
+        attempt = f"{self.root}/data/{base['version'] + 1}-{uuid.uuid4().hex}"
+        parts = {name: dict(own) for name, own in base["parts"].items()}
+        for name, (df, touched) in tables.items():
+            rows = df.withColumn("_bucket", self.bucket(name))
+            # even parts, whatever their sizes; sorted, so that filters on the keys skip row groups
+            rows = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.KEYS[name])
+            rows.write.partitionBy("_bucket").parquet(f"{attempt}/{name}")
+            fs, p = file_system(self.spark, f"{attempt}/{name}")
+            own = {b: path for b, path in parts.get(name, {}).items() if int(b) not in touched}
+            for status in fs.listStatus(p):
+                folder = status.getPath().getName()
+                if folder.startswith("_bucket="):
+                    own[folder.removeprefix("_bucket=")] = f"{attempt}/{name}/{folder}"
+            parts[name] = own
+        made = {"version": base["version"] + 1, "batch": batch, "fingerprint": fingerprint, "parts": parts}
+        self._publish(made)
+        self._drop_parts(base, made)
+
+    def _publish(self, made: dict) -> None:
+        """The version file appears by one rename, and never in place of another's."""
+        fs, temp = file_system(self.spark, f"{self.root}/_versions/.{uuid.uuid4().hex}")
+        out = fs.create(temp, True)
+        try:
+            out.write(bytearray(json.dumps(made).encode()))
+        finally:
+            out.close()
+        _, final = file_system(self.spark, f"{self.root}/_versions/{made['version']}")
+        if not fs.rename(temp, final):
+            raise RuntimeError(f"version {made['version']} of {self.root} was made by another writer")
+
+    def _drop_parts(self, base: dict, made: dict) -> None:
+        """Delete the parts that only the version before ``base`` used; readers of ``base`` may still be at work."""
+        fs, p = file_system(self.spark, f"{self.root}/_versions/{base['version'] - 1}")
+        if not fs.exists(p):
+            return
+        past = json.loads(self.spark.read.option("wholetext", "true").text(p.toString()).first()[0])
+        used = {path for v in (base, made) for own in v["parts"].values() for path in own.values()}
+        for own in past["parts"].values():
+            for path in own.values():
+                if path not in used:
+                    delete(self.spark, path)
+        delete(self.spark, p.toString())
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+def _merge(old: DataFrame | None, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    return merge(old if old is not None else new.limit(0), new)
 
-    def version(self) -> int | None:
-        """The current version: the highest with its mark."""
-        fs, p = self._fs(f"{self.root}/_current")
-        if not fs.exists(p):
-            return None
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=None)
 
-    def read(self, name: str) -> DataFrame | None:
-        v = self.version()
-        if v is None:
-            return None
-        fs, p = self._fs(f"{self.root}/v{v}/{name}")
-        return self.spark.read.parquet(f"{self.root}/v{v}/{name}") if fs.exists(p) else None
+def _fingerprint(batch: DataFrame) -> str:
+    """A digest of a batch's deliveries, whatever their order."""
+    found = batch.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repository_id", "delivery_seq", "value").cast("decimal(38,0)"))).first()
+    return f"{found[0]}:{found[1]}"
 
-    def write(self, version: int, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        fs, p = self._fs(f"{self.root}/_current/{version}")
-        fs.mkdirs(p)
-        old, past = self._fs(f"{self.root}/v{version - 2}")
-        old.delete(past, True)
 
+def check_deliveries(batch: DataFrame) -> DataFrame:
+    """The batch validated; a body over the limit, marked ``oversize``, is refused for its size alone."""
+    checked = ingest.validate(batch)
+    if "oversize" in batch.columns:
+        checked = checked.withColumn("errors", F.when(F.col("oversize"), F.array(F.lit(TOO_LARGE))).otherwise(F.col("errors")))
+    return checked
 
-def _merge(old: DataFrame | None, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    return merge(old if old is not None else new.limit(0), new)
 
-
-def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int) -> None:
-    """Validate one micro-batch and merge it; version n is the tables after batch n."""
-    checked = ingest.validate(batch).persist()
+def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Callable[[Column], Column] | None = None) -> None:
+    """Validate one micro-batch, merge it into the parts that it touches and, with an embedder, resolve its runs' rows."""
+    base, mark = tables.current(), _fingerprint(batch)
+    done = base["fingerprint"] or ""
+    if base["batch"] == batch_id and done in (mark, f"{mark} resolved"):
+        if embed is not None and done == mark:  # merged, but stopped before its rows were resolved
+            _resolve_runs(tables, ingest.accepted(check_deliveries(batch)), embed, batch_id, mark)
+        return
+    checked = check_deliveries(batch).persist()
     good = ingest.accepted(checked)
-    shards = _merge(tables.read("shards"), ingest.shard_rows(good), ingest.merge_shards)
-    runs = _merge(tables.read("runs"), ingest.run_rows(good), ingest.merge_runs)
-    observations = _merge(tables.read("observations"), ingest.observation_rows(good), ingest.merge_observations)
-    refused = ingest.rejections(checked.withColumn("errors", F.col("errors")))
-    old = tables.read("rejections")
-    refused = refused.withColumn("id", F.xxhash64("repository_id", "occurred_at", "details"))
-    refused = ingest.keep_rejections(old.unionByName(refused).dropDuplicates(["id"]) if old is not None else refused)
-    tables.write(batch_id, {"shards": shards, "runs": runs, "observations": observations, "rejections": refused})
+    refused = ingest.rejections(checked).withColumn("id", F.xxhash64("repository_id", "occurred_at", "details"))
+    keys = good.select("repository_id", "run_key").distinct()
+    runs, repositories = tables.touched("runs", keys), tables.touched("rejections", refused.select("repository_id"))
+    old = lambda name, parts: tables.read(name, parts, base)
+    found: dict[str, tuple[DataFrame, set[int]]] = {}
+    if runs:
+        found["runs"] = _merge(old("runs", runs), ingest.run_rows(good), ingest.merge_runs), runs
+        found["shards"] = _merge(old("shards", runs), ingest.shard_rows(good), ingest.merge_shards), runs
+        found["observations"] = _merge(old("observations", runs), ingest.with_state(ingest.observation_rows(good)), ingest.merge_observations), runs
+    if repositories:
+        found["rejections"] = _merge(old("rejections", repositories), refused, lambda a, b: ingest.keep_rejections(a.unionByName(b).dropDuplicates(["id"]))), repositories
+    tables.write(base, found, batch_id, mark)
+    if embed is not None and runs:
+        _resolve_runs(tables, good, embed, batch_id, mark)
     checked.unpersist()
 
 
+IDENTITIES = "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp"
+
+
+def _resolve_runs(tables: Tables, good: DataFrame, embed: Callable[[Column], Column], batch_id: int, mark: str) -> None:
+    """Resolve what is unresolved in the runs of a batch, all at once, against the identities of their repositories.
+
+    Rows are in the order of their deliveries and of their places in them. A batch counts as one run, by its number
+    and the time that it is resolved at.
+    """
+    base = tables.current()
+    keys = good.select("repository_id", "run_key").distinct()
+    parts, owners = tables.touched("observations", keys), tables.touched("identities", keys)
+    if not parts:
+        return
+    held = tables.read("observations", parts, base)
+    rows = held.join(F.broadcast(keys) if keys.count() <= 100_000 else keys, ["repository_id", "run_key"], "left_semi")
+    own = rows.withColumn("id", F.struct("delivery_seq", "position", "shard_key"))
+    known = tables.read("identities", None, base)
+    known = known if known is not None else tables.spark.createDataFrame([], IDENTITIES)
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    known = known.filter(tables.bucket("identities").isin(sorted(owners)))
+    at = datetime.now(timezone.utc)
+    found = identity.resolve(own, known, embed, {"id": batch_id, "created_at": at}, top=top)
+    rest = held.join(keys, ["repository_id", "run_key"], "left_anti")
+    observations = rest.unionByName(found.rows.drop("id").select(*held.columns))
+    tables.write(base, {"observations": (observations, parts), "identities": (found.identities, owners)}, batch_id, f"{mark} resolved")
+
+
 def run_view(tables: Tables) -> DataFrame:
     """Runs with totals derived from their shards."""
     return tables.read("runs").join(ingest.derived_totals(tables.read("shards"), ("repository_id", "run_key")), ["repository_id", "run_key"], "left")
 
 
-def start_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, max_bytes: int = MAX_BYTES, **trigger) -> StreamingQuery:
     """Start the stream (by default over what is there now, then stop)."""
     tables = Tables(spark, root)
-    rows = read_deliveries(spark, folder)
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(lambda df, n: upsert_batch(tables, df, n)).start()
+    rows = read_deliveries(spark, folder, max_bytes=max_bytes)
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(lambda df, n: upsert_batch(tables, df, n, embed)).start()
 
 
 def windowed_events(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "15 minutes") -> DataFrame:

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.functions.vectors import lexical_embedder
 from runlens.operators import ingest, retention
-from runlens.streaming.ingest import Tables, run_view, start_ingest, windowed_events
+from runlens.streaming.ingest import TOO_LARGE, Tables, read_deliveries, run_view, start_ingest, upsert_batch, windowed_events
 
 INTENT = {"entity": "Invoice", "action": "finalize", "behavior": "marks the invoice as paid", "layer": "unit"}
 
@@ -109,25 +111,135 @@ def test_rejections_are_bounded(spark):
     assert len(row["details"]) == 20 and row["total_reasons_count"] == 25 and len(row["user_agent"]) == 300
 
 
+def deliver(folder, name, value, repository=1, at=None):
+    own = folder / f"repository_id={repository}"
+    own.mkdir(parents=True, exist_ok=True)
+    raw = value if isinstance(value, str) else json.dumps(value)
+    path = own / name
+    path.write_bytes(gzip.compress(raw.encode()) if name.endswith(".gz") else raw.encode())
+    if at is not None:
+        os.utime(path, (at, at))
+
+
+def state(tables):
+    """All tables' rows, in any order."""
+    found = {}
+    for name in Tables.NAMES:
+        df = tables.read(name)
+        found[name] = sorted(map(str, df.collect())) if df is not None else []
+    return found
+
+
 def test_stream_is_idempotent(spark, tmp_path):
-    source, root, checkpoint = tmp_path / "in" / "repository_id=1", tmp_path / "out", tmp_path / "check"
-    source.mkdir(parents=True)
-    (source / "0001.json").write_text(json.dumps(body(specs=[spec(id="1"), spec(id="2")])))
-    (source / "0002.json.gz").write_bytes(gzip.compress(json.dumps(body(shard_id="s2", specs=[spec(id="3")])).encode()))
-    (source / "0003.json").write_text("{")
+    source, root, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    deliver(source, "0001.json", body(specs=[spec(id="1"), spec(id="2")]))
+    deliver(source, "0002.json.gz", body(shard_id="s2", specs=[spec(id="3")]))
+    deliver(source, "no digits.json", "{")
 
     def go():
-        q = start_ingest(spark, str(source.parent), str(root), str(checkpoint))
+        q = start_ingest(spark, str(source), str(root), str(checkpoint))
         q.awaitTermination()
         tables = Tables(spark, str(root))
         return sorted(r["example_id"] for r in tables.read("observations").collect()), run_view(tables).first()["total_specs_count"], tables.read("rejections").count()
 
     assert go() == (["1", "2", "3"], 3, 1)
-    (source / "0004.json").write_text(json.dumps(body(specs=[spec(id="1"), spec(id="2")])))
+    deliver(source, "0004.json", body(specs=[spec(id="1"), spec(id="2")]))
     assert go() == (["1", "2", "3"], 3, 1)  # the shard replaced itself
     assert go() == (["1", "2", "3"], 3, 1)  # nothing new
 
 
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    source = tmp_path / "in"
+    deliver(source, "a.json", body(specs=[spec(id="1"), spec(id="2")]))
+    deliver(source, "b.json", "{", repository=2)
+    batch = read_deliveries(spark, str(source), streaming=False)
+    tables = Tables(spark, str(tmp_path / "out"), buckets=8)
+    upsert_batch(tables, batch, 0)
+    once, version = state(tables), tables.current()
+    upsert_batch(tables, batch, 0)
+    assert state(tables) == once and tables.current() == version
+    # another batch under the same number, as after a checkpoint was deleted, is merged
+    deliver(tmp_path / "in2", "c.json", body(ci_run_id="r2", specs=[spec(id="9")]))
+    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in2"), streaming=False), 0)
+    assert {r["example_id"] for r in tables.read("observations").collect()} == {"1", "2", "9"}
+
+
+def test_a_crash_before_the_mark_leaves_what_was(spark, tmp_path, monkeypatch):
+    tables = Tables(spark, str(tmp_path / "out"), buckets=8)
+    deliver(tmp_path / "in", "a.json", body(specs=[spec(id="1")]))
+    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False), 0)
+    before = state(tables)
+    deliver(tmp_path / "in2", "b.json", body(specs=[spec(id="1"), spec(id="2")]))
+    batch = read_deliveries(spark, str(tmp_path / "in2"), streaming=False)
+    with monkeypatch.context() as m:
+        m.setattr(Tables, "_publish", lambda self, made: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            upsert_batch(tables, batch, 1)
+    assert state(tables) == before
+    upsert_batch(tables, batch, 1)
+    after = state(tables)
+    assert len(after["observations"]) == 2
+    upsert_batch(tables, batch, 1)
+    assert state(tables) == after
+
+
+def test_untouched_parts_keep_their_files(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "out"), buckets=16)
+    for k in range(6):
+        deliver(tmp_path / "in", f"{k}.json", body(ci_run_id=f"r{k}", specs=[spec(id=str(k))]), repository=k % 2)
+    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False), 0)
+    first = tables.current()["parts"]["observations"]
+    assert len(first) > 2
+    for n in (1, 2, 3):
+        deliver(tmp_path / f"in{n}", "x.json", body(ci_run_id="r0", shard_id=f"s{n + 1}", specs=[spec(id=f"more{n}")]), repository=0)
+        upsert_batch(tables, read_deliveries(spark, str(tmp_path / f"in{n}"), streaming=False), n)
+    last = tables.current()["parts"]["observations"]
+    moved = {b for b in last if last[b] != first.get(b)}
+    assert len(moved) == 1 and last.keys() == first.keys()
+    assert tables.read("observations").count() == 9
+    assert not (tmp_path / "out").joinpath(*first[moved.pop()].split("/")[-3:]).exists()  # what no reader can still use is gone
+    assert tables.read("observations", set()) is None
+
+
+def test_oversize_bodies_are_refused_for_their_size(spark, tmp_path):
+    deliver(tmp_path / "in", "a.json", body(specs=[spec(id="1")]))
+    deliver(tmp_path / "in", "b.json.gz", body(specs=[spec(id="2", name="x" * 5000)]))
+    tables = Tables(spark, str(tmp_path / "out"))
+    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False, max_bytes=2000), 0)
+    assert [r["details"] for r in tables.read("rejections").collect()] == [[TOO_LARGE]]
+    assert [r["example_id"] for r in tables.read("observations").collect()] == ["1"]
+
+
+def test_the_last_delivery_by_time_wins(spark, tmp_path):
+    deliver(tmp_path / "in", "z.json", body(commit_sha="first", specs=[spec(id="1", name="first")]), at=1_700_000_000)
+    deliver(tmp_path / "in", "b.json", body(commit_sha="second", specs=[spec(id="1", name="second")]), at=1_700_000_100)
+    deliver(tmp_path / "in", "c.json", body(commit_sha="third", specs=[spec(id="1", name="third")]), at=1_700_000_100)
+    tables = Tables(spark, str(tmp_path / "out"))
+    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False), 0)
+    assert [r["name"] for r in tables.read("observations").collect()] == ["third"]
+    assert [r["commit_sha"] for r in tables.read("runs").collect()] == ["first"]
+
+
+def test_batches_resolve_to_identities(spark, tmp_path):
+    source, tables = tmp_path / "in", Tables(spark, str(tmp_path / "out"))
+    deliver(source, "a.json", body(specs=[spec(id="1", name="pays"), spec(id="2", name="renders the footer"), spec(id="3", name="Pays!")]), at=1_700_000_000)
+    deliver(source, "b.json", body(specs=[spec(id="1", name="pays")]), repository=2, at=1_700_000_001)
+    q = start_ingest(spark, str(source), tables.root, str(tmp_path / "check"), embed=lexical_embedder())
+    q.awaitTermination()
+    ids = lambda: {(r["repository_id"], r["run_key"], r["example_id"]): r["spec_identity_id"] for r in tables.read("observations").collect()}
+    first = ids()
+    assert first[(1, "=r1", "1")] == first[(1, "=r1", "3")] != first[(1, "=r1", "2")] and len(set(first.values())) == 3
+    batch = read_deliveries(spark, str(source), streaming=False)
+    once = state(tables)
+    upsert_batch(tables, batch, 0, lexical_embedder())
+    assert state(tables) == once
+    deliver(source, "c.json", body(ci_run_id="r2", specs=[spec(id="7", name="renders the footer"), spec(id="8", name="sends a mail")]))
+    start_ingest(spark, str(source), tables.root, str(tmp_path / "check"), embed=lexical_embedder()).awaitTermination()
+    later = ids()
+    assert later[(1, "=r2", "7")] == first[(1, "=r1", "2")] and later[(1, "=r2", "8")] == 4
+    assert {k: v for k, v in later.items() if k in first} == first and tables.read("identities").count() == 4
+
+
 def test_windowed_events(spark, sf_dir):
     from runlens.sources import adapters
 
