@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from runlens import queries as catalogue
+from runlens import catalogue
 from runlens.session import session
 
 HEADLINE = [

@@ -29,20 +29,12 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _nil(v: Column) -> Column:
-    return _kind(v) == "VOID"
-
-
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _filled(v: Column) -> Column:
-    return (_kind(v) == "STRING") & F.coalesce(stripped(_text(v)) != "", F.lit(False))
-
-
-def _count(v: Column) -> Column:
-    return _kind(v).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$") & F.coalesce(F.try_variant_get(v, "$", "double") >= 0, F.lit(False))
+#: The kinds of a JSON number.
+_NUMBER = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
 
 def _object(v: Column) -> Column:
@@ -69,44 +61,75 @@ def intent_errors(intent: Column) -> Column:
     return F.when(~_object(intent), F.array(F.lit("must be a JSON object"))).otherwise(F.concat(F.array_compact(F.array(*checks)), extras))
 
 
-def _spec_errors(spec: Column, index: Column) -> Column:
-    path, line, status, intent, name = (_get(spec, k) for k in ("file_path", "line_number", "status", "intent", "name"))
-    place = F.concat_ws(":", F.when(~_nil(path), F.coalesce(_text(path), F.to_json(path))), F.when(~_nil(line), F.coalesce(_text(line), F.to_json(line))))
-    label = F.concat(F.lit("specs["), index.cast("string"), F.lit("]"), F.when(_object(spec) & (place != ""), F.concat(F.lit(" "), place)).otherwise(""))
-    integer = (_kind(line) == "BIGINT") & F.coalesce(F.try_variant_get(line, "$", "bigint") > 0, F.lit(False))
-    state = F.when(_kind(status) == "STRING", _text(status))
+SPEC_FIELDS = ("file_path", "line_number", "status", "intent", "name", "duration")
+#: Of a field's value, besides its kind: which plain forms are asked for.
+_TEXTS, _NUMBERS = ("file_path", "line_number", "status", "name"), ("line_number", "duration")
+
+
+def _facts(fields: Column) -> Column:
+    """A spec's fields with the kind of each, and its text or number where that is asked for: each value is looked into once."""
+    out = [fields["is_object"].alias("is_object"), fields["intent"].alias("intent")]
+    for k in SPEC_FIELDS:
+        v = fields[k]
+        out.append(_kind(v).alias(f"{k}_kind"))
+        if k in _TEXTS:
+            out.append(F.coalesce(_text(v), F.when(v.isNotNull(), F.to_json(v)) if k in ("file_path", "line_number") else F.lit(None)).alias(f"{k}_text"))
+        if k in _NUMBERS:
+            out.append(F.try_variant_get(v, "$", "double").alias(f"{k}_number"))
+    return F.struct(*out)
+
+
+def _spec_errors(fact: Column, index: Column) -> Column:
+    kind, text = lambda k: fact[f"{k}_kind"], lambda k: fact[f"{k}_text"]
+    nil = lambda k: kind(k) == "VOID"
+    filled = lambda k: (kind(k) == "STRING") & F.coalesce(stripped(text(k)) != "", F.lit(False))
+    intent = fact["intent"]
+    place = F.concat_ws(":", F.when(~nil("file_path"), text("file_path")), F.when(~nil("line_number"), text("line_number")))
+    label = F.concat(F.lit("specs["), index.cast("string"), F.lit("]"), F.when(fact["is_object"] & (place != ""), F.concat(F.lit(" "), place)).otherwise(""))
+    integer = (kind("line_number") == "BIGINT") & F.coalesce(fact["line_number_number"] > 0, F.lit(False))
+    state = F.when(kind("status") == "STRING", text("status"))
     known = F.coalesce(state.isin(STATUSES), F.lit(False))
-    wrong_name = F.when(_nil(name), F.when(_nil(intent), "name is required when the spec carries no intent")).when(~_filled(name), "name must be a non-empty string when present")
+    timed = kind("duration").rlike(_NUMBER) & F.coalesce(fact["duration_number"] >= 0, F.lit(False))
+    wrong_name = F.when(nil("name"), F.when(nil("intent"), "name is required when the spec carries no intent")).when(~filled("name"), "name must be a non-empty string when present")
     first = F.array(
-        F.when(~_filled(path), "file_path is required and must be a non-empty string"),
+        F.when(~filled("file_path"), "file_path is required and must be a non-empty string"),
         F.when(~integer, "line_number is required and must be a positive integer"),
         F.when(~known, "status must be one of annotated, unannotated"),
-        F.when((state == "annotated") & _nil(intent), 'intent is required when status is "annotated"').when((state == "unannotated") & ~_nil(intent), 'intent must be null when status is "unannotated"'),
+        F.when((state == "annotated") & nil("intent"), 'intent is required when status is "annotated"').when((state == "unannotated") & ~nil("intent"), 'intent must be null when status is "unannotated"'),
     )
-    about = F.when((state == "annotated") & ~_nil(intent), F.transform(intent_errors(intent), lambda m: F.concat(F.lit("intent is invalid — "), m))).otherwise(F.array().cast("array<string>"))
-    last = F.array(wrong_name, F.when(~_nil(_get(spec, "duration")) & ~_count(_get(spec, "duration")), "duration must be a non-negative number when present"))
-    found = F.when(~_object(spec), F.array(F.lit("must be a JSON object"))).otherwise(F.concat(F.array_compact(first), about, F.array_compact(last)))
+    about = F.when((state == "annotated") & ~nil("intent"), F.transform(intent_errors(intent), lambda m: F.concat(F.lit("intent is invalid — "), m))).otherwise(F.array().cast("array<string>"))
+    last = F.array(wrong_name, F.when(~nil("duration") & ~timed, "duration must be a non-negative number when present"))
+    found = F.when(~fact["is_object"], F.array(F.lit("must be a JSON object"))).otherwise(F.concat(F.array_compact(first), about, F.array_compact(last)))
     return F.transform(found, lambda m: F.concat(label, F.lit(": "), m))
 
 
 def validate(deliveries: DataFrame, column: str = "value") -> DataFrame:
     """Deliveries with ``body`` (VARIANT, NULL where the text is no JSON) and ``errors``, all of them, in order."""
-    body = F.col("body")
     rows = deliveries.withColumn("body", F.try_parse_json(column))
-    text_or_nil = lambda k: F.when(~_nil(_get(body, k)) & (_kind(_get(body, k)) != "STRING"), F.lit(f"{k} must be a string when present"))
-    top = F.array(
-        F.when(~_filled(_get(body, "commit_sha")), "commit_sha is required and must be a non-empty string"),
+    body = F.col("body")
+    top = ("commit_sha", "branch", "ci_run_id", "shard_id", "duration_seconds", "specs")
+    # two projections: first each field's value, then its kind, so that the errors look at plain columns
+    rows = rows.withColumn("_fields", F.struct(*(_get(body, k).alias(k) for k in top), _get(body, "_json").alias("_json"), _kind(body).alias("kind")))
+    v = F.col("_fields")
+    facts = [_kind(v[k]).alias(k) for k in top]
+    rows = rows.withColumn("_facts", F.struct(*facts, _text(v["commit_sha"]).alias("sha"), F.try_variant_get(v["duration_seconds"], "$", "double").alias("seconds")))
+    kind = F.col("_facts")
+    text_or_nil = lambda k: F.when(~kind[k].isin("VOID", "STRING"), F.lit(f"{k} must be a string when present"))
+    timed = kind["duration_seconds"].rlike(_NUMBER) & F.coalesce(kind["seconds"] >= 0, F.lit(False))
+    found = F.array(
+        F.when(~((kind["commit_sha"] == "STRING") & F.coalesce(stripped(kind["sha"]) != "", F.lit(False))), "commit_sha is required and must be a non-empty string"),
         text_or_nil("branch"),
         text_or_nil("ci_run_id"),
         text_or_nil("shard_id"),
-        F.when(~_nil(_get(body, "duration_seconds")) & ~_count(_get(body, "duration_seconds")), "duration_seconds must be a non-negative number when present"),
-        F.when(~_kind(_get(body, "specs")).startswith("ARRAY"), "specs is required and must be an array"),
+        F.when((kind["duration_seconds"] != "VOID") & ~timed, "duration_seconds must be a non-negative number when present"),
+        F.when(~kind["specs"].startswith("ARRAY"), "specs is required and must be an array"),
     )
-    specs = F.coalesce(F.try_variant_get(body, "$.specs", "array<variant>"), F.array().cast("array<variant>"))
-    each = F.flatten(F.transform(specs, _spec_errors))
-    is_object = F.coalesce(_object(body), F.lit(False)) & _get(body, "_json").isNull()
+    specs = F.coalesce(F.try_variant_get(v["specs"], "$", "array<variant>"), F.array().cast("array<variant>"))
+    fields = F.transform(specs, lambda s: F.struct(_object(s).alias("is_object"), *(_get(s, k).alias(k) for k in SPEC_FIELDS)))
+    each = F.flatten(F.transform(F.transform(fields, _facts), _spec_errors))
+    is_object = v["kind"].startswith("OBJECT") & v["_json"].isNull()
     errors = F.when(body.isNull(), F.array(F.lit("the request body is not valid JSON"))).when(~is_object, F.array(F.lit("the request body must be a JSON object")))
-    return rows.withColumn("errors", errors.otherwise(F.concat(F.array_compact(top), each)))
+    return rows.withColumn("errors", errors.otherwise(F.concat(F.array_compact(found), each))).drop("_fields", "_facts")
 
 
 def rejections(validated: DataFrame) -> DataFrame:
@@ -215,18 +238,19 @@ def with_state(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def merge_observations(existing: DataFrame, delivered: DataFrame) -> DataFrame:
+def merge_observations(existing: DataFrame, delivered: DataFrame, redelivered: DataFrame | None = None) -> DataFrame:
     """Replace, then upsert.
 
-    Rows of redelivered shards go. A delivered example that another shard of the run still has takes that row's
+    Rows of redelivered shards go. ``redelivered`` has a row (its keys and delivery_seq) a delivery, those without an
+    example included; by default the deliveries are read off ``delivered``. A delivered example that another shard of the run still has takes that row's
     place and keeps its created_at, identity and failure stamps; of several deliveries the last wins.
     """
     existing, delivered = with_state(existing), with_state(delivered)
-    newest = delivered.groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
+    newest = (delivered if redelivered is None else redelivered).groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
     delivered = delivered.join(newest, [*SHARD_KEYS, "delivery_seq"], "left_semi").select(*delivered.columns)
     named = latest_per_key(delivered.filter("example_id is not null"), [*RUN_KEYS, "example_id"], ["delivery_seq"])
     delivered = named.unionByName(delivered.filter("example_id is null"))
-    rest = existing.join(delivered.select(*SHARD_KEYS).distinct(), SHARD_KEYS, "left_anti")
+    rest = existing.join(newest, SHARD_KEYS, "left_anti")
     conflict = [*RUN_KEYS, "example_id"]
     old = rest.filter("example_id is not null").select(*conflict, *(F.col(c).alias(f"_old_{c}") for c in KEPT), F.lit(True).alias("_had"))
     merged = delivered.join(old, conflict, "left")

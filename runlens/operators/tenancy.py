@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import handle, handle_valid
+from ..functions.expressions import digest, full_name, full_name_valid, handle, handle_valid
 
 VIEW, OWNER_ONLY = "view", "owner"
 
@@ -93,3 +93,39 @@ def registration_candidates(names: DataFrame, registered: DataFrame) -> DataFram
     known = registered.select(F.lower("full_name").alias("key"), F.lit(True).alias("known")).distinct()
     rows = first.join(known, "key", "left")
     return rows.select(F.col("row.position").alias("position"), F.col("row.full_name").alias("full_name"), F.when(F.col("known"), "already_registered").otherwise("new").alias("group")).orderBy("position")
+
+
+#: Why a name was not registered, in the order in which the groups are listed.
+SKIP_ORDER = ["already_registered", "not_administered", "not_in_installation", "invalid", "not_installed", "not_authorized", "rate_limited", "unavailable"]
+
+
+def bulk_registration(names: DataFrame, registered: DataFrame, listing: DataFrame) -> DataFrame:
+    """What becomes of each asked name (position, full_name): registered, or why not; blank names and repeats, without case, go.
+
+    A name that is taken is told before one that is malformed; the others are judged by the listing.
+    """
+    asked = names.withColumn("full_name", full_name(F.col("full_name"))).filter("full_name is not null")
+    rows = registration_candidates(asked, registered)
+    rows = listing_verdicts(rows, listing)
+    good = full_name_valid(F.col("full_name"))
+    status = (
+        F.when(F.col("group") == "already_registered", "already_registered")
+        .when(~good, "invalid")
+        .when(F.col("verdict") == "administered", "registered")
+        .when(F.col("verdict") == "visible", "not_administered")
+        .otherwise("not_in_installation")
+    )
+    return rows.select("position", "full_name", status.alias("status"))
+
+
+def skipped_groups(outcomes: DataFrame) -> DataFrame:
+    """The names that were not registered, by reason: the reasons in their fixed order, the names as they were asked for."""
+    place = F.array_position(F.array(*map(F.lit, SKIP_ORDER)), F.col("status")).cast("int")
+    rows = outcomes.filter("status <> 'registered'").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("position", "full_name"))).alias("rows"))
+    return rows.select(place.alias("place"), "status", "n", F.col("rows.full_name").alias("full_names")).orderBy("place")
+
+
+def authenticated(tokens: DataFrame, keys: DataFrame, users: DataFrame) -> DataFrame:
+    """Each presented token with the active user whose key has its digest; NULL where there is none, or no token."""
+    known = keys.join(users.filter("archived_at is null").select("user_id"), "user_id").select("token_digest", "user_id")
+    return tokens.withColumn("token_digest", F.when(F.trim("token") != "", digest(F.col("token")))).join(known, "token_digest", "left").drop("token_digest")

@@ -85,12 +85,6 @@ def keep_newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def first_wins(df: DataFrame, keys: Sequence[str], identifier: str, order: Sequence[str]) -> DataFrame:
-    """The first row of each (keys, identifier); rows without an identifier all stay."""
-    named = latest_per_key(df.filter(F.col(identifier).isNotNull()), [*keys, identifier], order, newest=False)
-    return named.unionByName(df.filter(F.col(identifier).isNull()))
-
-
 def upsert(existing: DataFrame, delivered: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``delivered`` over ``existing`` by key: all columns of the new row, but those in ``keep`` of the old one where there is one."""
     old = existing.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep), F.lit(True).alias("_had"))

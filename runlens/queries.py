@@ -472,7 +472,24 @@ def near_duplicate_pairs(spark, sf_dir):
     return rounded(clusters.near_duplicate_pairs(A.identities(spark, sf_dir), similarity=0.40), "similarity")
 
 
-@query()
+@query(
+    PAIRS_SQL.replace("WITH v AS", "WITH RECURSIVE v AS", 1)
+    + f""", linked AS (SELECT id, neighbour_id FROM edges WHERE neighbour_id IN (SELECT id FROM edges)),
+both_ways AS (SELECT id, neighbour_id FROM linked UNION SELECT neighbour_id, id FROM linked),
+reach AS (SELECT DISTINCT id, id AS other FROM edges UNION SELECT r.id, b.neighbour_id FROM reach r JOIN both_ways b ON b.id = r.other),
+labels AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
+near AS (SELECT id, count(*) AS n, max(similarity) AS strongest, min(similarity) AS weakest FROM edges GROUP BY id),
+weights AS (SELECT CAST(event_id % 500 AS BIGINT) AS id, count(*) AS examples, sum(CASE WHEN event_id % 50 <> 0 THEN value END) AS seconds, count(CASE WHEN event_id % 50 <> 0 THEN value END) AS timed
+  FROM events WHERE event_id % 100 <> 0 AND datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 = {RUN} GROUP BY 1),
+grouped AS (SELECT component, min(CASE source WHEN 0 THEN 'name' ELSE 'intent' END) AS signal_source, count(*) AS member_count, CAST(coalesce(sum(examples), 0) AS BIGINT) AS example_count,
+  sum(seconds) AS total_seconds, CAST(coalesce(sum(timed), 0) AS BIGINT) AS timed_count, max(strongest) AS strongest_similarity, min(weakest) AS weakest_similarity,
+  count(*) FILTER (WHERE n >= 10) AS saturated_member_count, min('vector ' || CAST(l.id AS VARCHAR)) AS least_text, 'spec/vector_spec.rb' AS files
+  FROM labels l JOIN v USING (id) JOIN near USING (id) LEFT JOIN weights USING (id) GROUP BY component)
+SELECT CAST(component AS BIGINT) AS component, * EXCLUDE (component) REPLACE (round(total_seconds, 6) AS total_seconds, round(strongest_similarity, 6) AS strongest_similarity, round(weakest_similarity, 6) AS weakest_similarity),
+count(*) OVER () AS cluster_count, CAST(sum(member_count) OVER () AS BIGINT) AS clustered_identity_count
+FROM grouped ORDER BY total_seconds DESC NULLS LAST, example_count DESC, least_text LIMIT 10""",
+    base=False,
+)
 def near_duplicate_clusters(spark, sf_dir):
     found = clusters.near_duplicate_clusters(A.identities(spark, sf_dir), A.vector_observations(spark, sf_dir), RUN, similarity=0.40)
     return text_lists(rounded(found, "total_seconds", "strongest_similarity", "weakest_similarity"), "files")
@@ -483,7 +500,29 @@ def clusterable_population(spark, sf_dir):
     return clusters.clusterable_population(A.identities(spark, sf_dir))
 
 
-@query()
+def _steps_sql() -> str:
+    """The ladder over the two runs; alike, for the local embedder, are here just the texts of one lexical form."""
+    form = "lower(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g'), '^ | $', '', 'g'))"
+    return f""", known AS (
+SELECT text, {form.format("text")} AS form, row_number() OVER (ORDER BY first_row) AS id FROM (SELECT name AS text, min(id) AS first_row FROM obs WHERE test_run_id = {RUN - 1} AND name IS NOT NULL GROUP BY name)
+), later AS (
+SELECT id, CASE WHEN fifth = 0 THEN upper(name[1]) || lower(name[2:]) || '!' ELSE name END AS name, CASE WHEN fifth = 1 THEN 'Case ' || sha256(name) || ' runs as before' END AS intent
+FROM (SELECT id, name, CAST(regexp_extract(name, '([0-9]+)', 1) AS INTEGER) % 5 AS fifth FROM obs WHERE test_run_id = {RUN} AND name IS NOT NULL)
+), texts AS (
+SELECT coalesce(intent, name) AS text, {form.format("coalesce(intent, name)")} AS form, min(id) AS first_row, arg_min(name, id) AS name, bool_or(intent IS NOT NULL) AS from_intent FROM later GROUP BY 1, 2
+), tried AS (
+SELECT t.*, e.id AS exact, n.id AS near, CASE WHEN from_intent THEN u.id END AS named FROM texts t LEFT JOIN known e ON e.text = t.text
+LEFT JOIN (SELECT form, min(id) AS id FROM known GROUP BY form) n ON n.form = t.form LEFT JOIN known u ON u.text = t.name
+), found AS (
+SELECT text, form, first_row, coalesce(exact, near, named) AS identity FROM tried
+), fresh AS (
+SELECT form, (SELECT coalesce(max(id), 0) FROM known) + row_number() OVER (ORDER BY min(first_row)) AS identity FROM found WHERE identity IS NULL GROUP BY form
+)
+SELECT o.id, CASE WHEN l.id IS NULL THEN o.name ELSE l.name END AS name, CAST(coalesce(f.identity, fresh.identity) AS BIGINT) AS spec_identity_id
+FROM obs o LEFT JOIN later l ON l.id = o.id LEFT JOIN found f ON f.text = coalesce(l.intent, l.name) LEFT JOIN fresh ON f.identity IS NULL AND fresh.form = f.form WHERE o.test_run_id = {RUN}"""
+
+
+@query(_steps_sql())
 def resolved_identities(spark, sf_dir):
     """One run resolved against the identities that the run before it gave, by the local embedder.
 
@@ -521,7 +560,9 @@ def payload_validation(spark, sf_dir):
     sha = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey").cast("string")).otherwise(" ")
     body = F.to_json(F.struct(sha.alias("commit_sha"), F.col("o_totalprice").cast("double").alias("duration_seconds"), F.array(spec).alias("specs")))
     bad = spark.createDataFrame([("{",)], "value string")
-    checked = ingest.validate(o.select(body.alias("value")).unionByName(bad))
+    bodies = o.select(body.alias("value")).unionByName(bad)
+    cores = spark.sparkContext.defaultParallelism  # checking is all work and little data: a small file is dealt out
+    checked = ingest.validate(bodies if bodies.rdd.getNumPartitions() >= cores else bodies.repartition(cores))
     kind = F.when(F.col("body").isNull(), "unparseable").when(F.size("errors") == 0, "accepted").otherwise("rejected")
     return checked.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -581,6 +622,7 @@ def accessible_repositories(spark, sf_dir):
 
 @query(TENANCY_SQL + """SELECT CAST(c_nationkey AS BIGINT) AS repository_id, count(*) AS key_count FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1""", base=False)
 def permission_counts(spark, sf_dir):
+    """Members by repository who may manage its keys."""
     rows = A.memberships(spark, sf_dir).filter(F.array_contains("permissions", "manage_keys"))
     return rows.groupBy("repository_id").agg(F.count(F.lit(1)).alias("key_count"))
 

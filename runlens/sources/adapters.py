@@ -39,6 +39,34 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted deliveries: every order is one, its customer the run, its lines the examples in a fixed order."""
+    from ..operators import ingest
+
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines")
+    rows = o.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(each), "o_orderkey", "left")
+    spec = lambda x: F.struct(
+        F.when(x["l_linenumber"] != 7, (x["l_partkey"] % 50).cast("string")).alias("id"),
+        F.concat(F.lit("spec/f"), (x["l_suppkey"] % 5).cast("string"), F.lit("_spec.rb")).alias("file_path"),
+        x["l_linenumber"].alias("line_number"),
+        F.concat(F.lit("part "), (x["l_partkey"] % 50).cast("string")).alias("name"),
+        x["l_quantity"].alias("duration"),
+        F.when(x["l_linenumber"] == 1, "annotated").otherwise("unannotated").alias("status"),
+        F.when(x["l_linenumber"] == 1, F.struct(F.lit("Part").alias("entity"), F.lit("ships").alias("action"), F.lit("is sent to its buyer").alias("behavior"), F.lit("unit").alias("layer"))).alias("intent"),
+    )
+    none = F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_quantity:double>>")
+    body = F.struct(
+        F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("commit_sha"),
+        F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("ci_run_id"),
+        F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("shard_id"),
+        F.col("o_totalprice").alias("duration_seconds"),
+        F.transform(F.coalesce("lines", none), spec).alias("specs"),
+    )
+    sent = rows.select((F.col("o_custkey") % 7).alias("repository_id"), F.col("o_orderkey").alias("delivery_seq"), F.col("o_orderdate").alias("received_at"), F.to_json(body).alias("value"))
+    return ingest.accepted(ingest.validate(sent))
+
+
 def first_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each run and test, so that descriptions are unique within a run."""
     rows = observations(spark, sf_dir).withColumn("user", F.coalesce("spec_identity_id", -F.col("id")))

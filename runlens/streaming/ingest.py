@@ -159,7 +159,7 @@ def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Callabl
     if runs:
         found["runs"] = _merge(old("runs", runs), ingest.run_rows(good), ingest.merge_runs), runs
         found["shards"] = _merge(old("shards", runs), ingest.shard_rows(good), ingest.merge_shards), runs
-        found["observations"] = _merge(old("observations", runs), ingest.with_state(ingest.observation_rows(good)), ingest.merge_observations), runs
+        found["observations"] = _merge(old("observations", runs), ingest.with_state(ingest.observation_rows(good)), lambda a, b: ingest.merge_observations(a, b, good)), runs
     if repositories:
         found["rejections"] = _merge(old("rejections", repositories), refused, lambda a, b: ingest.keep_rejections(a.unionByName(b).dropDuplicates(["id"]))), repositories
     tables.write(base, found, batch_id, mark)

@@ -4,7 +4,7 @@ import pytest
 from oracle import assert_same
 
 import __spark_entry__ as entry_points
-from runlens.queries import ORACLES, QUERIES
+from runlens.catalogue import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

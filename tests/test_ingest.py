@@ -93,6 +93,16 @@ def test_redelivery_replaces_and_a_moved_example_keeps_its_link(spark):
     assert [(r["example_id"], r["shard_key"], r["name"], r["spec_identity_id"]) for r in rows] == [("1", "=s1", "does it", 7), ("2", "=s2", "moved", 7)]
 
 
+def test_an_empty_redelivery_takes_its_shards_rows_away(spark):
+    rows = deliveries(spark, body(specs=[spec(id="1")]), body(shard_id="s2", specs=[spec(id="2")]), body(specs=[]))
+    early, late = rows.filter("delivery_seq < 2"), rows.filter("delivery_seq = 2")
+    first = ingest.merge_observations(ingest.observation_rows(rows).limit(0), ingest.observation_rows(early), early)
+    assert sorted(r["example_id"] for r in first.collect()) == ["1", "2"]
+    assert [r["example_id"] for r in ingest.merge_observations(first, ingest.observation_rows(late), late).collect()] == ["2"]
+    whole = ingest.merge_observations(first.limit(0), ingest.observation_rows(rows), rows)
+    assert [r["example_id"] for r in whole.collect()] == ["2"]
+
+
 def test_anonymous_deliveries_are_runs_of_their_own(spark):
     rows = deliveries(spark, body(ci_run_id=None), body(ci_run_id=""))
     assert ingest.run_rows(rows).count() == 2
