@@ -36,6 +36,12 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"), tool_calls.MESSAGE_SCHEMAS, implicit=True)
 
 
+def tool_calls_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over calls and results, which ``conversations`` has none of: they are made from the orders."""
+    messages = tool_calls.calls_of_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return tool_calls.link_calls(messages, tool_calls.ORDER_SCHEMAS)
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "tool_calls_of_orders": tool_calls_of_orders,
 }
 
-ORACLES: dict[str, str] = {"op5_tool_calls": tool_calls.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op5_tool_calls": tool_calls.ORACLE, "tool_calls_of_orders": tool_calls.ORDERS_ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

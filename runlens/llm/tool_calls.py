@@ -159,3 +159,54 @@ SELECT conv_id, turn, 0 AS seq, kind, CAST(id AS VARCHAR) AS call_id, CAST(linke
                         'role', role, 'turn', turn) AS VARCHAR) AS json
 FROM v
 """
+
+
+#: The tool that ``calls_of_orders`` calls.
+ORDER_SCHEMAS = {"order": {"required": ["key", "status"], "properties": {"key": "integer", "status": "string", "rush": "boolean"}}}
+
+
+def calls_of_orders(orders: DataFrame) -> DataFrame:
+    """Orders as messages (conv_id, turn, role, text) of agents: every customer is a conversation.
+
+    An order is a call, in three of four also answered by a message after all calls. One call in five gives its
+    arguments as JSON text, one in seven lacks its status, one in six has a misplaced one, one in nine a key more; every
+    eleventh order is an empty list of calls.
+    """
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    status = F.when(key % 7 == 0, "").otherwise(F.when(key % 6 == 0, ',"status":1').otherwise(F.concat(F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"'))))
+    more = F.when(key % 9 == 0, ',"zone":null').otherwise("")
+    arguments = F.concat(F.lit('{"rush":true,"key":'), text, status, more, F.lit("}"))
+    given = F.when(key % 5 == 0, F.to_json(F.struct(arguments.alias("arguments")))).otherwise(F.concat(F.lit('{"arguments":'), arguments, F.lit("}")))
+    call = F.concat(F.lit('{"content":"placing '), text, F.lit('","tool_calls":[{"id":"o'), (key % 50).cast("string"), F.lit('","name":"order",'), F.substring(given, 2, 10_000), F.lit("]}"))
+    empty = F.concat(F.lit('{"tool_calls":[],"content":"nothing for '), text, F.lit('"}'))
+    calls = orders.select(F.col("o_custkey").alias("conv_id"), key.alias("turn"), F.lit("assistant").alias("role"), F.when(key % 11 == 0, empty).otherwise(call).alias("text"))
+    answer = F.concat(F.lit('{"tool_call_id":"o'), (key % 50).cast("string"), F.lit('","content":"done '), text, F.lit('"}'))
+    answers = orders.filter("o_orderkey % 4 <> 0").select(F.col("o_custkey").alias("conv_id"), (key + 10_000_000).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    return calls.unionByName(answers)
+
+
+ORDERS_ORACLE = """
+WITH c AS (
+  SELECT o_custkey AS conv_id, o_orderkey AS turn, 'assistant' AS role, CASE WHEN o_orderkey % 11 = 0 THEN 'message' ELSE 'call' END AS kind,
+         CASE WHEN o_orderkey % 11 <> 0 THEN 'o' || CAST(o_orderkey % 50 AS VARCHAR) END AS call_id,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'nothing for ' ELSE 'placing ' END || CAST(o_orderkey AS VARCHAR) AS content,
+         CASE WHEN o_orderkey % 11 <> 0 THEN '{"key":' || CAST(o_orderkey AS VARCHAR) || ',"rush":true' || CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 6 = 0 THEN ',"status":1' ELSE ',"status":"' || o_orderstatus || '"' END
+           || CASE WHEN o_orderkey % 9 = 0 THEN ',"zone":null' ELSE '' END || '}' END AS arguments,
+         array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'status is missing' WHEN o_orderkey % 6 = 0 THEN 'status is no string' END,
+           CASE WHEN o_orderkey % 9 = 0 THEN 'zone is not allowed' END], lambda x: x IS NOT NULL), '; ') AS wrong
+  FROM orders
+  UNION ALL
+  SELECT o_custkey, o_orderkey + 10000000, 'tool', 'result', 'o' || CAST(o_orderkey % 50 AS VARCHAR), 'done ' || CAST(o_orderkey AS VARCHAR), NULL, '' FROM orders WHERE o_orderkey % 4 <> 0
+), l AS (
+  SELECT *, CASE WHEN kind <> 'message' THEN min(turn) FILTER (WHERE kind = 'call') OVER w END AS call_turn, CASE WHEN kind <> 'message' THEN min(turn) FILTER (WHERE kind = 'result') OVER w END AS result_turn
+  FROM c WINDOW w AS (PARTITION BY conv_id, call_id)
+), v AS (
+  SELECT *, CASE kind WHEN 'call' THEN result_turn WHEN 'result' THEN call_turn END AS linked_turn,
+         CASE WHEN kind = 'call' THEN wrong WHEN kind = 'result' AND call_turn IS NULL THEN 'no call has this identifier' ELSE '' END AS errors FROM l
+)
+SELECT conv_id, turn, 0 AS seq, kind, call_id, linked_turn, CASE WHEN kind = 'result' THEN greatest(turn, call_turn) ELSE turn END AS order_turn, CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS order_rank,
+       errors = '' AS valid, errors,
+       '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":' || coalesce('"' || call_id || '"', 'null') || ',"content":"' || content || '","kind":"' || kind || '","linked_turn":' || coalesce(CAST(linked_turn AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN kind = 'call' THEN '"order"' ELSE 'null' END || ',"role":"' || role || '","turn":' || CAST(turn AS VARCHAR) || '}' AS json
+FROM v
+"""

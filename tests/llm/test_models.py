@@ -122,6 +122,10 @@ def test_tool_calls_match_sql(spark, sf_dir):
     assert_same(registry.op5_tool_calls(spark, sf_dir), sf_dir, registry.ORACLES["op5_tool_calls"])
 
 
+def test_calls_and_results_match_sql(spark, sf_dir):
+    assert_same(registry.tool_calls_of_orders(spark, sf_dir), sf_dir, registry.ORACLES["tool_calls_of_orders"])
+
+
 SCHEMAS = {"add": {"required": ["a", "b"], "properties": {"a": "integer", "b": "number", "note": "string"}}}
 
 
