@@ -12,7 +12,8 @@ visit records in any shuffled order without scanning.
 Cases: a null text is an empty one (just the end id); a null doc_id sorts first and is read back as null; rows
 that repeat a doc_id all get a record, in any order among themselves; an empty table gives no rows; other
 columns are ignored, whatever their names. Files are written under a temporary name and renamed, so a task that
-is run again after a lost executor replaces its own file. Memory: one Arrow batch and one record at a time.
+is run again after a lost executor replaces its own file; what failed and lost attempts leave under temporary names is
+deleted by the attempt itself or, at the latest, once all files are written. Memory: one Arrow batch and one record at a time.
 """
 
 from __future__ import annotations
@@ -81,33 +82,53 @@ def _write(batches, folder: str, tokenizer: str, end_id: int) -> Iterator[pa.Rec
     enc = encoder(tokenizer)
     docs = ids = at = 0
     out = index = None
-    for batch in batches:
-        keys = batch.column("doc_id").to_pylist()
-        for i, _, data, offsets in chunks(batch.column("text")):
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out, index = fs.open_output_stream(temp), fs.open_output_stream(f"{temp}.idx")
-            got, bounds = with_end(*enc.encode(data, offsets), end_id)
-            entries = np.zeros(len(bounds) - 1, _ENTRY)
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                key = keys[i + k]
-                record = frame(_KEY.pack(key or 0, key is not None, enc.width) + got[a:b].tobytes())
-                out.write(record)
-                entries[k] = at, b - a
-                at += len(record)
-            index.write(entries.tobytes())
-            docs += len(entries)
-            ids += len(got)
+    try:
+        for batch in batches:
+            keys = batch.column("doc_id").to_pylist()
+            for i, _, data, offsets in chunks(batch.column("text")):
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out, index = fs.open_output_stream(temp), fs.open_output_stream(f"{temp}.idx")
+                got, bounds = with_end(*enc.encode(data, offsets), end_id)
+                entries = np.zeros(len(bounds) - 1, _ENTRY)
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    key = keys[i + k]
+                    record = frame(_KEY.pack(key or 0, key is not None, enc.width) + got[a:b].tobytes())
+                    out.write(record)
+                    entries[k] = at, b - a
+                    at += len(record)
+                index.write(entries.tobytes())
+                docs += len(entries)
+                ids += len(got)
+    except BaseException:
+        if out is not None:
+            out.close()
+            index.close()
+            _delete(fs, temp, f"{temp}.idx")
+        raise
     if out is not None:
         out.close()
         index.close()
         for suffix, made in ((".idx", f"{temp}.idx"), (".rec", temp)):
-            if fs.get_file_info(name + suffix).type != pafs.FileType.NotFound:
-                fs.delete_file(name + suffix)  # an earlier attempt's, of the same content
+            _delete(fs, name + suffix)  # an earlier attempt's, of the same content
             fs.move(made, name + suffix)
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/ids-{task.partitionId():06d}"], "docs": [docs], "ids": [ids], "bytes": [at]})
 
 
+def _delete(fs: pafs.FileSystem, *paths: str | None) -> None:
+    for path in paths:
+        if path and fs.get_file_info(path).type != pafs.FileType.NotFound:
+            fs.delete_file(path)
+
+
+def _drop_leftovers(folder: str) -> None:
+    """Delete the files of attempts that were lost before they could rename or delete them."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    for found in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith(".ids-"):
+            fs.delete_file(found.path)
+
+
 def _read(batches, shuffle_seed: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
@@ -146,7 +167,9 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
-    return write_table(in_batches(rows, keep_words=True).mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
+    files = write_table(in_batches(rows, keep_words=True).mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), SUMMARY), "record-files")
+    _drop_leftovers(folder)
+    return files
 
 
 def read_records(files: DataFrame, shuffle_seed: int | None = None) -> DataFrame:

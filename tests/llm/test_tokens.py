@@ -99,6 +99,16 @@ def test_shuffled_reads_by_the_index(spark, sf_dir, tmp_path):
     assert sorted(plain) == sorted(mixed)
 
 
+def test_leftovers_of_lost_attempts_go(spark, tmp_path):
+    folder = tmp_path / "r"
+    folder.mkdir()
+    (folder / ".ids-000000-99").write_bytes(b"cut short")
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    files = token_records.write_records(df, PATH, f"file://{folder}", partitions=1)
+    assert sorted(p.name for p in folder.iterdir()) == ["ids-000000.idx", "ids-000000.rec"]
+    assert token_records.read_records(files).count() == 2
+
+
 def test_edge_cases(edge_docs, no_docs):
     rows = token_records.token_records(edge_docs, PATH).collect()
     assert len(rows) == edge_docs.count()
