@@ -11,6 +11,7 @@ import os
 import time
 
 from runlens import catalogue
+from runlens.plans.storage import drop_tables
 from runlens.session import session
 
 HEADLINE = [
@@ -45,6 +46,7 @@ def main() -> None:
             catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - began, 3)
     out = {"metric": "headline queries, warm wall time", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": warm, "cold": cold, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": cpus, "shuffle_partitions": cpus}
+    drop_tables(spark)
     print(json.dumps(out))
     spark.stop()
 

@@ -95,13 +95,19 @@ class Growth:
         return self.state == "comparable"
 
 
+def _kept(rows: DataFrame) -> tuple[DataFrame, Row | None]:
+    """A capped list of rows, run once: as a frame of its own, and its first row."""
+    found = rows.collect()
+    return rows.sparkSession.createDataFrame(found, rows.schema), found[0] if found else None
+
+
 def compare_directories(observations: DataFrame, latest: Row | None, previous: Row | None, limit: int = 10, runtime: bool = False) -> Growth:
     """Area growth between two run rows, in examples or in seconds, behind its state."""
     state = run_state(latest, previous)
     if state:
         return Growth(state)
     rows = (directory_runtime_growth if runtime else directory_growth)(observations, latest["id"], previous["id"], limit)
-    first = rows.first()
+    rows, first = _kept(rows)
     at = lambda c: int(first[c] or 0) if first else 0
     if runtime:
         state = _sides("recorded", at("previous_recorded_total"), at("latest_recorded_total")) or _sides("timed", at("previous_timed_total"), at("latest_timed_total"))
@@ -140,7 +146,7 @@ def compare_window(observations: DataFrame, runs: Sequence[Row], limit: int = 10
         return Growth("no_comparable_composition" if mismatched else "no_measured_baseline", None, context)
     context |= {"baseline_run_id": runs[baseline]["id"], "anchor_run_id": anchor["id"], "runs_back": len(runs) - 1 - baseline}
     rows = directory_growth(observations, anchor["id"], runs[baseline]["id"], limit)
-    first = rows.first()
+    rows, first = _kept(rows)
     at = lambda c: int(first[c] or 0) if first else 0
     state = _sides("recorded", at("previous_total"), at("latest_total"), "baseline", "anchor")
     return Growth(state or "comparable", None if state else rows, context)
