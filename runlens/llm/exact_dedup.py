@@ -73,8 +73,8 @@ def find_copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-#: Rows named for removal that are broadcast at most, at some 100 bytes each; more meet the documents by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Rows named for removal that are broadcast at most, at some 250 bytes each; more meet the documents by a shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -166,3 +166,34 @@ def test_plans_at_random_are_whole_and_near_the_bound():
         assert not plan.left.any() and sum(s[2] * s[4] for s in plan.steps) == 5000
         assert plan.sequences <= 1.01 * lengths.sum() / 512 + 1
     assert len(packing.best_plan({k: 10**9 for k in range(1, 2049)}, 2048).steps) < 10_000
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences, by trying every open one for each piece, longest first."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= lengths[k]}.values():
+            place(k + 1, [*rooms[:i], rooms[i] - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_plans_are_near_the_fewest():
+    rng = np.random.default_rng(9)
+    over = 0
+    for _ in range(300):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        counts = {x: lengths.count(x) for x in lengths}
+        found, best = packing.best_plan(counts, 20).sequences, fewest(lengths, 20)
+        assert best <= found <= best + 1, lengths
+        over += found - best
+    assert over <= 10
