@@ -19,6 +19,7 @@ from .words import U, span_hashes
 MEMO_WORDS = 2_400_000
 MEMO_BYTES = 48_000_000
 MEMO_IDS = 16_000_000
+AT_ONCE = 8192
 _loaded: dict[str, WordEncoder] = {}
 
 #: ASCII white space and separators; leading bytes of three-byte characters some of which are white space.
@@ -95,10 +96,13 @@ class WordEncoder:
 
     def _coded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids) of the byte ranges, by the library."""
-        raw = data.tobytes()
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter((i for row in coded for i in row), self.ids.dtype, int(size.sum())), size
+        raw, size, ids = data.tobytes(), np.zeros(len(start), np.int64), [np.zeros(0, self.ids.dtype)]
+        for lo in range(0, len(start), AT_ONCE):  # the library's answers are large objects
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[lo : lo + AT_ONCE].tolist(), end[lo : lo + AT_ONCE].tolist(), strict=True)]
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            size[lo : lo + len(coded)] = [len(row) for row in coded]
+            ids.append(np.fromiter((i for row in coded for i in row), self.ids.dtype))
+        return np.concatenate(ids), size
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         ids, size = self._coded(data, start, end)
