@@ -17,7 +17,7 @@ def ascii_lower(text: str | None) -> str:
 @pytest.fixture(scope="session")
 def edge_docs(spark):
     """Nulls, empty and repeated texts, repeated and null ids, ties, a long text, and columns with clashing names."""
-    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
     texts = [None, "", "   ", "a", "A b c", "a B c", "x y z w v u", "X Y z w v u", long, long, "password = hunter2hunter2 ä", "Apache License", None]
     rows = [(i, t, "en", "s", len(t or ""), 0.5, "c", 1) for i, t in enumerate(texts)]
     rows += [(3, "a", "en", "s", 1, 0.5, "c", 1), (None, "A b c", None, None, None, None, None, None), (20, "unique text of its own here", "fr", "s", 1, 0.5, "c", 1)]
