@@ -54,7 +54,7 @@ def encoded(enc, texts):
 def test_repetitive_words_keep_their_own_ids():
     texts = [f"{w} and {w}" for n in (3, 5, 6, 7, 12) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
     texts += ["x" * n for n in range(1, 80)] + ["\0" * n for n in range(1, 20)] + ["a" * 63 + "b", "a" * 64 + "b", "a" * 65]
-    assert list(encoded(tokens.WordEncoder(PATH), texts)) == [reference()(t) for t in texts]
+    assert list(encoded(tokens.WordEncoder(PATH), texts)) == list(map(reference(), texts))
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     assert len(set(span_hashes(data, ends - [len(t) for t in texts], ends))) == len(texts)
@@ -64,7 +64,7 @@ def test_repetitive_words_keep_their_own_ids():
 def test_clashing_hashes_change_no_ids(monkeypatch, kinds):
     monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(kinds))
     texts = ODD + [f"w{i % 7} some{i % 11} words é{i % 5}" * (i % 4) for i in range(300)]
-    assert list(encoded(tokens.WordEncoder(PATH), texts)) == [reference()(t) for t in texts]
+    assert list(encoded(tokens.WordEncoder(PATH), texts)) == list(map(reference(), texts))
 
 
 def test_a_spoilt_record_is_found():
