@@ -564,9 +564,10 @@ def payload_validation(spark, sf_dir):
     sha = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey").cast("string")).otherwise(" ")
     body = F.to_json(F.struct(sha.alias("commit_sha"), F.col("o_totalprice").cast("double").alias("duration_seconds"), F.array(spec).alias("specs")))
     bad = spark.createDataFrame([("{",)], "value string")
-    bodies = o.select(body.alias("value")).unionByName(bad)
-    cores = spark.sparkContext.defaultParallelism  # checking is all work and little data: a small file is dealt out
-    checked = ingest.validate(bodies if bodies.rdd.getNumPartitions() >= cores else bodies.repartition(cores))
+    bodies, cores = o.select(body.alias("value")), spark.sparkContext.defaultParallelism
+    if bodies.rdd.getNumPartitions() < cores:  # checking is all work and little data: a small file is dealt out
+        bodies = bodies.repartition(cores)
+    checked = ingest.validate(bodies.unionByName(bad))
     kind = F.when(F.col("body").isNull(), "unparseable").when(F.size("errors") == 0, "accepted").otherwise("rejected")
     return checked.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
