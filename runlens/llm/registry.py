@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, language_id, licenses, packing, pii, secrets, token_records, tool_calls
+from . import clustering, decontaminate, exact_dedup, hard_negatives, jaccard, language_id, licenses, mixing, packing, pii, secrets, token_records, tool_calls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,6 +63,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_personal_data(_documents(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are every hundredth vec_id; of every seventh the label is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(_embeddings(spark, sf_dir).withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_embeddings(spark, sf_dir))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,7 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_mixture_packing": op13_mixture_packing,
     "tool_calls_of_orders": tool_calls_of_orders,
 }
 
-ORACLES: dict[str, str] = {"op5_tool_calls": tool_calls.ORACLE, "tool_calls_of_orders": tool_calls.ORDERS_ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_tool_calls": tool_calls.ORACLE,
+    "tool_calls_of_orders": tool_calls.ORDERS_ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_centroid_clusters": clustering.oracle(),
+}
