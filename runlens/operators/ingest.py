@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import presence, stripped, truncated
+from ..functions.json import with_json
 from ..plans.primitives import keep_newest, latest_per_key
+from ..sources.bodies import NOT_JSON
 
 #: Allowed statuses and layers, least lengths, and limits of a recorded rejection.
 STATUSES = ["annotated", "unannotated"]
@@ -104,8 +106,8 @@ def _spec_errors(fact: Column, index: Column) -> Column:
 
 
 def validate(deliveries: DataFrame, column: str = "value") -> DataFrame:
-    """Deliveries with ``body`` (VARIANT, NULL where the text is no JSON) and ``errors``, all of them, in order."""
-    rows = deliveries.withColumn("body", F.try_parse_json(column))
+    """Deliveries with ``body`` (VARIANT, NULL where the text is not one JSON value and nothing else) and ``errors``, all of them, in order."""
+    rows = with_json(deliveries, "body", F.col(column))
     body = F.col("body")
     top = ("commit_sha", "branch", "ci_run_id", "shard_id", "duration_seconds", "specs")
     # two projections: first each field's value, then its kind, so that the errors look at plain columns
@@ -128,7 +130,7 @@ def validate(deliveries: DataFrame, column: str = "value") -> DataFrame:
     fields = F.transform(specs, lambda s: F.struct(_object(s).alias("is_object"), *(_get(s, k).alias(k) for k in SPEC_FIELDS)))
     each = F.flatten(F.transform(F.transform(fields, _facts), _spec_errors))
     is_object = v["kind"].startswith("OBJECT") & v["_json"].isNull()
-    errors = F.when(body.isNull(), F.array(F.lit("the request body is not valid JSON"))).when(~is_object, F.array(F.lit("the request body must be a JSON object")))
+    errors = F.when(body.isNull(), F.array(F.lit(NOT_JSON))).when(~is_object, F.array(F.lit("the request body must be a JSON object")))
     return rows.withColumn("errors", errors.otherwise(F.concat(F.array_compact(found), each))).drop("_fields", "_facts")
 
 
@@ -238,25 +240,37 @@ def with_state(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def merge_observations(existing: DataFrame, delivered: DataFrame, redelivered: DataFrame | None = None) -> DataFrame:
-    """Replace, then upsert.
+def newest_deliveries(deliveries: DataFrame) -> DataFrame:
+    """The last delivery of each shard."""
+    return deliveries.groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
+
+
+def arriving(existing: DataFrame, delivered: DataFrame, redelivered: DataFrame | None = None) -> DataFrame:
+    """The rows of ``delivered`` that stay, as they are written.
 
-    Rows of redelivered shards go. ``redelivered`` has a row (its keys and delivery_seq) a delivery, those without an
-    example included; by default the deliveries are read off ``delivered``. A delivered example that another shard of the run still has takes that row's
-    place and keeps its created_at, identity and failure stamps; of several deliveries the last wins.
+    Of several deliveries of a shard the last counts, and of an example that several shards deliver the last. One that another
+    shard of the run, not itself redelivered, still has takes that row's place and keeps its created_at, identity and failure
+    stamps. ``redelivered`` has a row (its keys and delivery_seq) a delivery, those without an example included; by
+    default the deliveries are read off ``delivered``.
     """
     existing, delivered = with_state(existing), with_state(delivered)
-    newest = (delivered if redelivered is None else redelivered).groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
+    newest = newest_deliveries(delivered if redelivered is None else redelivered)
     delivered = delivered.join(newest, [*SHARD_KEYS, "delivery_seq"], "left_semi").select(*delivered.columns)
     named = latest_per_key(delivered.filter("example_id is not null"), [*RUN_KEYS, "example_id"], ["delivery_seq"])
     delivered = named.unionByName(delivered.filter("example_id is null"))
-    rest = existing.join(newest, SHARD_KEYS, "left_anti")
     conflict = [*RUN_KEYS, "example_id"]
-    old = rest.filter("example_id is not null").select(*conflict, *(F.col(c).alias(f"_old_{c}") for c in KEPT), F.lit(True).alias("_had"))
+    rest = existing.filter("example_id is not null").join(newest, SHARD_KEYS, "left_anti")
+    old = rest.select(*conflict, *(F.col(c).alias(f"_old_{c}") for c in KEPT), F.lit(True).alias("_had"))
     merged = delivered.join(old, conflict, "left")
-    columns = [F.when(F.col("_had"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in KEPT else F.col(c) for c in delivered.columns]
-    kept = rest.join(named.select(*conflict), conflict, "left_anti")
-    return kept.unionByName(merged.select(*columns), allowMissingColumns=True)
+    return merged.select(*(F.when(F.col("_had"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in KEPT else F.col(c) for c in delivered.columns))
+
+
+def merge_observations(existing: DataFrame, delivered: DataFrame, redelivered: DataFrame | None = None) -> DataFrame:
+    """All rows after a delivery: rows of redelivered shards go, then those whose example arrives from elsewhere, then ``arriving`` ones come."""
+    existing, new = with_state(existing), arriving(existing, delivered, redelivered)
+    rest = existing.join(newest_deliveries(delivered if redelivered is None else redelivered), SHARD_KEYS, "left_anti")
+    kept = rest.join(new.filter("example_id is not null").select(*RUN_KEYS, "example_id"), [*RUN_KEYS, "example_id"], "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def merge_shards(existing: DataFrame, delivered: DataFrame) -> DataFrame:

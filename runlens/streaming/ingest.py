@@ -1,130 +1,52 @@
-"""Ingest as a stream: JSON deliveries (plain or gzip) arrive as files; each micro-batch is merged into partitioned tables.
+"""Ingest as a stream: JSON deliveries (plain or gzip) arrive as files; each micro-batch adds its rows to tables that are merged when read.
 
-Every table is dealt to BUCKETS parts by its key. A batch rewrites the parts that it touches, each into a fresh folder
-of this attempt, and becomes current by one small version file that names the folder of every part; so readers see all
-of a batch or nothing of it, untouched parts keep their files, and an attempt that fails leaves what is current as it
-was. A version remembers the batch and a fingerprint of its deliveries: the same batch run again after it became
-current changes nothing.
+A batch writes what it delivers and nothing else (``store``); a body that can't be read is a rejection like any other
+and stops nothing. A version remembers the batch and a fingerprint of its deliveries: the same batch run again after it
+became current changes nothing, and one that failed before left nothing that a reader sees.
 
-With an embedder, each batch's unresolved rows are then resolved to identities, in a version of its own.
+With an embedder, the unresolved rows of each batch's runs are then resolved to identities, in a version of its own, which
+holds the rows and identities that changed.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import identity, ingest
-from ..plans.storage import delete, file_system
+from ..plans.primitives import numbered
+from ..sources.bodies import MAX_BYTES, read_bodies
+from .store import Change, Tables, row_key
 
-MAX_BYTES = 64 << 20
-BUCKETS = 64
-#: Fixed value: what a body over the limit is refused with.
-TOO_LARGE = "the request body is too large"
+#: Compressed text that a task reads at once.
+ARROW_BYTES = "64m"
+IDENTITIES = "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp"
+CACHE = "provider_fingerprint string, text_digest string, embedding array<float>, created_at timestamp, updated_at timestamp"
+RUN = ["repository_id", "run_key"]
 
 
 def read_deliveries(spark: SparkSession, folder: str, streaming: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Whole files as deliveries: value (NULL for a body over ``max_bytes``), oversize, repository_id (from the path), received_at, delivery_seq.
+    """Files as deliveries: value, fault (why a body can't be read), repository_id (from the path), received_at, delivery_seq.
 
-    A file is one body; ``.gz`` files are inflated by the codec. Files are expected under ``repository_id=<n>/``.
     Deliveries are in the order of their files' times, and of names within one time.
     """
-    reader = spark.readStream if streaming else spark.read
-    rows = reader.schema("value string, repository_id long").option("wholetext", "true").option("recursiveFileLookup", "false").text(folder)
-    rows = rows.select("value", "repository_id", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("received_at"))
-    large = F.coalesce(F.octet_length("value") > max_bytes, F.lit(False))
-    seq = F.concat(F.lpad(F.unix_micros("received_at").cast("string"), 20, "0"), F.lit(" "), F.col("file_name"))
-    rows = rows.withColumns({"oversize": large, "value": F.when(~large, F.col("value"))})
+    rows = read_bodies(spark, folder, streaming, max_bytes)
+    name = F.element_at(F.split("path", "/"), -1)
+    seq = F.concat(F.lpad(F.unix_micros("received_at").cast("string"), 20, "0"), F.lit(" "), name)
     return rows.withColumns({"delivery_seq": seq, "occurred_at": F.col("received_at"), "user_agent": F.lit(None).cast("string")})
 
 
-class Tables:
-    """runs, shards, observations, rejections and identities, in parts under ``root``."""
-
-    #: What each table is dealt by.
-    KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"]}
-    NAMES = tuple(KEYS)
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def current(self) -> dict:
-        """The newest version: its number, batch, fingerprint, and the folder of each part of each table."""
-        fs, p = file_system(self.spark, f"{self.root}/_versions")
-        numbers = [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()] if fs.exists(p) else []
-        if not numbers:
-            return {"version": 0, "batch": None, "fingerprint": None, "parts": {}}
-        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/_versions/{max(numbers)}").first()[0])
-
-    def bucket(self, name: str) -> Column:
-        return F.pmod(F.xxhash64(*self.KEYS[name]), F.lit(self.buckets)).cast("int")
-
-    def read(self, name: str, buckets: set[int] | None = None, at: dict | None = None) -> DataFrame | None:
-        """A table as of the newest version, or of ``at``; of some parts only where asked. None if there is nothing."""
-        parts = (at or self.current())["parts"].get(name, {})
-        paths = [path for b, path in sorted(parts.items()) if buckets is None or int(b) in buckets]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def touched(self, name: str, *rows: DataFrame) -> set[int]:
-        """The parts of a table that rows with its keys belong to, at most ``buckets`` numbers."""
-        found = reduce(DataFrame.unionByName, (r.select(self.bucket(name).alias("b")) for r in rows))
-        return {r["b"] for r in found.distinct().collect()}
-
-    def write(self, base: dict, tables: dict[str, tuple[DataFrame, set[int]]], batch: int | None, fingerprint: str | None) -> None:
-        """Write parts of tables, each frame the new content of its touched parts, and make them current over ``base``."""
-        attempt = f"{self.root}/data/{base['version'] + 1}-{uuid.uuid4().hex}"
-        parts = {name: dict(own) for name, own in base["parts"].items()}
-        for name, (df, touched) in tables.items():
-            rows = df.withColumn("_bucket", self.bucket(name))
-            # even parts, whatever their sizes; sorted, so that filters on the keys skip row groups
-            rows = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.KEYS[name])
-            rows.write.partitionBy("_bucket").parquet(f"{attempt}/{name}")
-            fs, p = file_system(self.spark, f"{attempt}/{name}")
-            own = {b: path for b, path in parts.get(name, {}).items() if int(b) not in touched}
-            for status in fs.listStatus(p):
-                folder = status.getPath().getName()
-                if folder.startswith("_bucket="):
-                    own[folder.removeprefix("_bucket=")] = f"{attempt}/{name}/{folder}"
-            parts[name] = own
-        made = {"version": base["version"] + 1, "batch": batch, "fingerprint": fingerprint, "parts": parts}
-        self._publish(made)
-        self._drop_parts(base, made)
-
-    def _publish(self, made: dict) -> None:
-        """The version file appears by one rename, and never in place of another's."""
-        fs, temp = file_system(self.spark, f"{self.root}/_versions/.{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        try:
-            out.write(bytearray(json.dumps(made).encode()))
-        finally:
-            out.close()
-        _, final = file_system(self.spark, f"{self.root}/_versions/{made['version']}")
-        if not fs.rename(temp, final):
-            raise RuntimeError(f"version {made['version']} of {self.root} was made by another writer")
-
-    def _drop_parts(self, base: dict, made: dict) -> None:
-        """Delete the parts that only the version before ``base`` used; readers of ``base`` may still be at work."""
-        fs, p = file_system(self.spark, f"{self.root}/_versions/{base['version'] - 1}")
-        if not fs.exists(p):
-            return
-        past = json.loads(self.spark.read.option("wholetext", "true").text(p.toString()).first()[0])
-        used = {path for v in (base, made) for own in v["parts"].values() for path in own.values()}
-        for own in past["parts"].values():
-            for path in own.values():
-                if path not in used:
-                    delete(self.spark, path)
-        delete(self.spark, p.toString())
-
-
-def _merge(old: DataFrame | None, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    return merge(old if old is not None else new.limit(0), new)
+def check_deliveries(batch: DataFrame) -> DataFrame:
+    """The batch validated; a body with a ``fault`` is refused for that alone."""
+    checked = ingest.validate(batch)
+    if "fault" in batch.columns:
+        checked = checked.withColumn("errors", F.when(F.col("fault").isNotNull(), F.array("fault")).otherwise(F.col("errors")))
+    return checked
 
 
 def _fingerprint(batch: DataFrame) -> str:
@@ -133,67 +55,131 @@ def _fingerprint(batch: DataFrame) -> str:
     return f"{found[0]}:{found[1]}"
 
 
-def check_deliveries(batch: DataFrame) -> DataFrame:
-    """The batch validated; a body over the limit, marked ``oversize``, is refused for its size alone."""
-    checked = ingest.validate(batch)
-    if "oversize" in batch.columns:
-        checked = checked.withColumn("errors", F.when(F.col("oversize"), F.array(F.lit(TOO_LARGE))).otherwise(F.col("errors")))
-    return checked
-
-
-def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Callable[[Column], Column] | None = None) -> None:
-    """Validate one micro-batch, merge it into the parts that it touches and, with an embedder, resolve its runs' rows."""
-    base, mark = tables.current(), _fingerprint(batch)
-    done = base["fingerprint"] or ""
-    if base["batch"] == batch_id and done in (mark, f"{mark} resolved"):
-        if embed is not None and done == mark:  # merged, but stopped before its rows were resolved
-            _resolve_runs(tables, ingest.accepted(check_deliveries(batch)), embed, batch_id, mark)
+def _stamped(df: DataFrame, version: int) -> DataFrame:
+    return df.withColumns({"_delivered": F.lit(version).cast("long"), "_changed": F.lit(version).cast("long")})
+
+
+def _run_rows(tables: Tables, good: DataFrame, base: dict, hashes: set[int] | None) -> tuple[DataFrame, int]:
+    """The runs of a batch with their ids, and the highest id: new runs are numbered in the order of their deliveries."""
+    rows, top = ingest.run_rows(good), base["tops"].get("run", 0)
+    known = tables.read("runs", hashes, base)
+    old = known.select(*RUN, "id") if known is not None else rows.select(*RUN, F.lit(0).cast("long").alias("id")).limit(0)
+    new, order = rows.join(old, RUN, "left_anti"), ["delivery_seq", *RUN]
+    if hashes is None:
+        new = numbered(new, order, "rank")
+    else:  # at most HASHES rows
+        new = new.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    made = new.withColumn("id", F.lit(top).cast("long") + F.col("rank")).drop("rank")
+    highest = made.agg(F.coalesce(F.max("id"), F.lit(top))).first()[0]
+    return made.unionByName(rows.join(old, RUN)), highest
+
+
+def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Callable[[Column], Column] | None = None, provider: str = "local") -> None:
+    """Validate one micro-batch, add its rows and, with an embedder, resolve its runs' rows."""
+    now, mark = tables.current(), _fingerprint(batch)
+    done = now["fingerprint"] or ""
+    if now["batch"] == batch_id and done in (mark, f"{mark} resolved"):
+        if embed is not None and done == mark:  # added, but stopped before its rows were resolved
+            resolve_runs(tables, ingest.accepted(check_deliveries(batch)), embed, provider, (batch_id, f"{mark} resolved"))
         return
     checked = check_deliveries(batch).persist()
-    good = ingest.accepted(checked)
-    refused = ingest.rejections(checked).withColumn("id", F.xxhash64("repository_id", "occurred_at", "details"))
-    keys = good.select("repository_id", "run_key").distinct()
-    runs, repositories = tables.touched("runs", keys), tables.touched("rejections", refused.select("repository_id"))
-    old = lambda name, parts: tables.read(name, parts, base)
-    found: dict[str, tuple[DataFrame, set[int]]] = {}
-    if runs:
-        found["runs"] = _merge(old("runs", runs), ingest.run_rows(good), ingest.merge_runs), runs
-        found["shards"] = _merge(old("shards", runs), ingest.shard_rows(good), ingest.merge_shards), runs
-        found["observations"] = _merge(old("observations", runs), ingest.with_state(ingest.observation_rows(good)), lambda a, b: ingest.merge_observations(a, b, good)), runs
-    if repositories:
-        found["rejections"] = _merge(old("rejections", repositories), refused, lambda a, b: ingest.keep_rejections(a.unionByName(b).dropDuplicates(["id"]))), repositories
-    tables.write(base, found, batch_id, mark)
-    if embed is not None and runs:
-        _resolve_runs(tables, good, embed, batch_id, mark)
-    checked.unpersist()
-
-
-IDENTITIES = "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp"
-
-
-def _resolve_runs(tables: Tables, good: DataFrame, embed: Callable[[Column], Column], batch_id: int, mark: str) -> None:
-    """Resolve what is unresolved in the runs of a batch, all at once, against the identities of their repositories.
-
-    Rows are in the order of their deliveries and of their places in them. A batch counts as one run, by its number
-    and the time that it is resolved at.
-    """
-    base = tables.current()
-    keys = good.select("repository_id", "run_key").distinct()
-    parts, owners = tables.touched("observations", keys), tables.touched("identities", keys)
-    if not parts:
-        return
-    held = tables.read("observations", parts, base)
-    rows = held.join(F.broadcast(keys) if keys.count() <= 100_000 else keys, ["repository_id", "run_key"], "left_semi")
-    own = rows.withColumn("id", F.struct("delivery_seq", "position", "shard_key"))
-    known = tables.read("identities", None, base)
-    known = known if known is not None else tables.spark.createDataFrame([], IDENTITIES)
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    known = known.filter(tables.bucket("identities").isin(sorted(owners)))
-    at = datetime.now(timezone.utc)
-    found = identity.resolve(own, known, embed, {"id": batch_id, "created_at": at}, top=top)
-    rest = held.join(keys, ["repository_id", "run_key"], "left_anti")
-    observations = rest.unionByName(found.rows.drop("id").select(*held.columns))
-    tables.write(base, {"observations": (observations, parts), "identities": (found.identities, owners)}, batch_id, f"{mark} resolved")
+    try:
+        good = ingest.accepted(checked)
+        refused = ingest.rejections(checked).withColumn("id", F.xxhash64("repository_id", "occurred_at", "details"))
+        add_deliveries(tables, good, refused, batch_id, mark)
+        if embed is not None:
+            resolve_runs(tables, good, embed, provider, (batch_id, f"{mark} resolved"))
+    finally:
+        checked.unpersist()
+
+
+def add_deliveries(tables: Tables, good: DataFrame, refused: DataFrame, batch_id: int | None = None, mark: str | None = None) -> None:
+    """Add accepted deliveries and rejections: one segment a table, of their own rows."""
+    hashes = tables.hashes("runs", good)
+
+    def add(base: dict) -> Change:
+        version, change = base["version"] + 1, Change(runs=hashes, batch=batch_id, fingerprint=mark)
+        made: dict[str, Callable[[], DataFrame]] = {"rejections": lambda: ingest.keep_rejections(refused.dropDuplicates(["id"]))}
+
+        def runs() -> DataFrame:
+            rows, change.tops["run"] = _run_rows(tables, good, base, hashes)
+            return rows
+
+        def observations() -> DataFrame:
+            new, old = ingest.with_state(ingest.observation_rows(good)), tables.read("observations", hashes, base)
+            return ingest.arriving(old if old is not None else new.limit(0), new, good).withColumn("_row", row_key())
+
+        if hashes is None or hashes:
+            made |= {"runs": runs, "shards": lambda: ingest.shard_rows(good), "observations": observations}
+        with ThreadPoolExecutor(len(made)) as pool:  # the tables' jobs do not wait for each other
+            found = dict(zip(made, pool.map(lambda name: tables.write(name, _stamped(made[name](), version), version), made), strict=True))
+        change.added = {name: s for name, s in found.items() if s}
+        return change
+
+    tables.commit(add)
+
+
+def resolve_runs(tables: Tables, good: DataFrame, embed: Callable[[Column], Column], provider: str = "local", mark: tuple[int, str] | None = None, now: datetime | None = None) -> None:
+    """Resolve what is unresolved in the runs of ``good`` against the identities of their repositories."""
+    keys = good.select(*RUN).distinct()
+    hashes = tables.hashes("runs", keys)
+    pick = lambda base: tables.merged("observations", base, hashes)
+    _resolve(tables, lambda base: rows.join(keys, RUN, "left_semi") if (rows := pick(base)) is not None else None, hashes, embed, provider, mark, now)
+
+
+def sweep(tables: Tables, repository_id: int, embed: Callable[[Column], Column], provider: str = "local", now: datetime | None = None, budget: int = identity.SWEEP) -> None:
+    """Try the backlog of a repository again, whatever run its rows are of: failed rows first, within a week and the budget."""
+    at = now or datetime.now(timezone.utc)
+
+    def pick(base: dict) -> DataFrame | None:
+        rows = tables.merged("observations", base)
+        if rows is None:
+            return None
+        rows = rows.filter(F.col("repository_id") == repository_id).withColumn("id", _order())
+        return identity.backlog(rows, at, budget).drop("priority", "id")
+
+    _resolve(tables, pick, None, embed, provider, None, at)
+
+
+def _order() -> Column:
+    """Rows are in the order of their deliveries and of their places in them."""
+    return F.struct("delivery_seq", "position", "shard_key")
+
+
+def _resolve(tables: Tables, pick: Callable[[dict], DataFrame | None], hashes: set[int] | None, embed, provider: str, mark: tuple[int, str] | None, now: datetime | None) -> None:
+    """Resolve the rows that ``pick`` gives of a version, and add those rows and identities that changed."""
+    at = now or datetime.now(timezone.utc)
+
+    def make(base: dict) -> Change | None:
+        held = pick(base)
+        if held is None:
+            return None
+        version = base["version"] + 1
+        runs = tables.read("runs", hashes, base).select(*RUN, F.col("id").alias("run_id"), F.col("received_at").alias("run_at"))
+        before = F.struct("spec_identity_id", "embed_failed_at", "embed_failure_count")
+        rows = ingest.with_state(held).withColumns({"id": _order(), "_before": before}).join(runs, RUN)
+        owners = tables.hashes("identities", held)
+        known = tables.read("identities", owners, base)
+        known = known if known is not None else tables.spark.createDataFrame([], IDENTITIES)
+        cached = tables.read("cache", None, base)
+        cache = identity.Cache(cached if cached is not None else tables.spark.createDataFrame([], CACHE), provider, at)
+        found = identity.resolve(rows, known, embed, None, cache=cache, top=base["tops"].get("identity", 0))
+        change = Change(runs=hashes, batch=mark and mark[0], fingerprint=mark and mark[1])
+        moved = found.rows.filter(~before.eqNullSafe(F.col("_before"))).select(*held.columns).drop("_hash")
+        change.added["observations"] = tables.write("observations", moved.withColumn("_changed", F.lit(version).cast("long")), version)
+        whole = F.struct(*(F.col(c) for c in known.columns if c != "id"))
+        past = known.select("id", whole.alias("_past"))
+        fresh = found.identities.select(*known.columns).join(past, "id", "left").filter(~whole.eqNullSafe(F.col("_past"))).drop("_past")
+        change.added["identities"] = tables.write("identities", _stamped(fresh, version), version)
+        entry = ["provider_fingerprint", "text_digest", "created_at"]
+        change.added["cache"] = tables.write("cache", _stamped(found.cache.join(cache.entries.select(*entry), entry, "left_anti"), version), version)
+        change.added = {name: s for name, s in change.added.items() if s}
+        if "identities" in change.added:
+            top = tables.spark.read.parquet(change.added["identities"]["path"]).agg(F.max("id")).first()[0]
+            change.tops["identity"] = max(top, base["tops"].get("identity", 0))
+        return change if change.added or mark else None
+
+    tables.commit(make)
 
 
 def run_view(tables: Tables) -> DataFrame:
@@ -201,11 +187,24 @@ def run_view(tables: Tables) -> DataFrame:
     return tables.read("runs").join(ingest.derived_totals(tables.read("shards"), ("repository_id", "run_key")), ["repository_id", "run_key"], "left")
 
 
-def start_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, max_bytes: int = MAX_BYTES, **trigger) -> StreamingQuery:
-    """Start the stream (by default over what is there now, then stop)."""
+def start_ingest(
+    spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, max_bytes: int = MAX_BYTES, compact: bool = True, provider: str = "local", **trigger
+) -> StreamingQuery:
+    """Start the stream (by default over what is there now, then stop); segments that are due are merged after each batch."""
     tables = Tables(spark, root)
-    rows = read_deliveries(spark, folder, max_bytes=max_bytes)
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(lambda df, n: upsert_batch(tables, df, n, embed)).start()
+
+    def take(batch: DataFrame, number: int) -> None:
+        upsert_batch(tables, batch, number, embed, provider)
+        if compact:
+            tables.compact()
+
+    key, was = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.set(key, ARROW_BYTES)  # the stream keeps the settings that it starts with
+    try:
+        rows = read_deliveries(spark, folder, max_bytes=max_bytes)
+        return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 def windowed_events(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "15 minutes") -> DataFrame:

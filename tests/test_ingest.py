@@ -9,8 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions.vectors import lexical_embedder
+from runlens.functions.json import with_json
 from runlens.operators import ingest, retention
-from runlens.streaming.ingest import TOO_LARGE, Tables, read_deliveries, run_view, start_ingest, upsert_batch, windowed_events
+from runlens.sources.bodies import CORRUPT, NOT_JSON, TOO_LARGE, inflate, inflates
+from runlens.streaming.ingest import add_deliveries, read_deliveries, run_view, start_ingest, upsert_batch, windowed_events
+from runlens.streaming.store import Tables
 
 INTENT = {"entity": "Invoice", "action": "finalize", "behavior": "marks the invoice as paid", "layer": "unit"}
 
@@ -32,7 +35,7 @@ def errors(spark, value):
     ("value", "expected"),
     [
         (body(), []),
-        ("{", ["the request body is not valid JSON"]),
+        ("{", [NOT_JSON]),
         ("[1]", ["the request body must be a JSON object"]),
         (body(commit_sha=" "), ["commit_sha is required and must be a non-empty string"]),
         (body(branch=5, shard_id=[1]), ["branch must be a string when present", "shard_id must be a string when present"]),
@@ -163,7 +166,7 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     deliver(source, "a.json", body(specs=[spec(id="1"), spec(id="2")]))
     deliver(source, "b.json", "{", repository=2)
     batch = read_deliveries(spark, str(source), streaming=False)
-    tables = Tables(spark, str(tmp_path / "out"), buckets=8)
+    tables = Tables(spark, str(tmp_path / "out"))
     upsert_batch(tables, batch, 0)
     once, version = state(tables), tables.current()
     upsert_batch(tables, batch, 0)
@@ -175,7 +178,7 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
 
 
 def test_a_crash_before_the_mark_leaves_what_was(spark, tmp_path, monkeypatch):
-    tables = Tables(spark, str(tmp_path / "out"), buckets=8)
+    tables = Tables(spark, str(tmp_path / "out"))
     deliver(tmp_path / "in", "a.json", body(specs=[spec(id="1")]))
     upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False), 0)
     before = state(tables)
@@ -193,31 +196,159 @@ def test_a_crash_before_the_mark_leaves_what_was(spark, tmp_path, monkeypatch):
     assert state(tables) == after
 
 
-def test_untouched_parts_keep_their_files(spark, tmp_path):
-    tables = Tables(spark, str(tmp_path / "out"), buckets=16)
-    for k in range(6):
-        deliver(tmp_path / "in", f"{k}.json", body(ci_run_id=f"r{k}", specs=[spec(id=str(k))]), repository=k % 2)
-    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False), 0)
-    first = tables.current()["parts"]["observations"]
-    assert len(first) > 2
-    for n in (1, 2, 3):
-        deliver(tmp_path / f"in{n}", "x.json", body(ci_run_id="r0", shard_id=f"s{n + 1}", specs=[spec(id=f"more{n}")]), repository=0)
-        upsert_batch(tables, read_deliveries(spark, str(tmp_path / f"in{n}"), streaming=False), n)
-    last = tables.current()["parts"]["observations"]
-    moved = {b for b in last if last[b] != first.get(b)}
-    assert len(moved) == 1 and last.keys() == first.keys()
-    assert tables.read("observations").count() == 9
-    assert not (tmp_path / "out").joinpath(*first[moved.pop()].split("/")[-3:]).exists()  # what no reader can still use is gone
-    assert tables.read("observations", set()) is None
-
-
-def test_oversize_bodies_are_refused_for_their_size(spark, tmp_path):
-    deliver(tmp_path / "in", "a.json", body(specs=[spec(id="1")]))
-    deliver(tmp_path / "in", "b.json.gz", body(specs=[spec(id="2", name="x" * 5000)]))
+def test_bodies_that_cannot_be_read_are_refused_and_stop_nothing(spark, tmp_path):
+    """Each outcome of a gzip or plain body, streamed: what is refused is a rejection, and all others are ingested."""
+    source, most = tmp_path / "in", 100_000
+    own = source / "repository_id=1"
+    own.mkdir(parents=True)
+    text = lambda k, **more: json.dumps(body(ci_run_id=f"r{k}", specs=[spec(id=str(k))]) | more).encode()
+    packed = gzip.compress(text(3))
+    files = {
+        "01-good.json": text(1),
+        "02-no-gzip.json.gz": b"this is no gzip",
+        "03-two-members.json.gz": packed + gzip.compress(text(99)),
+        "04-trailing.json.gz": gzip.compress(text(4)) + b"trailing garbage",
+        "05-cut.json.gz": packed[:-20],
+        "06-no-trailer.json.gz": packed[:-8],
+        "07-bad-crc.json.gz": packed[:-8] + bytes(8),
+        "09-bomb.json.gz": gzip.compress(b"x" * 50_000_000),
+        "10-prose.json": text(10) + b" and then prose",
+        "11-repeated.json": b'{"branch":1,"branch":"main",' + text(11)[1:],
+        "12-latin.json": b'{"a":"\xe9"}',
+        "13-long.json": text(13) + b" " * most,
+        "14-very-long.json": b"y" * (2 * most),
+        "15-very-long.json.gz": os.urandom(2 * most),
+        "16-at-the-limit.json.gz": gzip.compress(text(16).ljust(most)),
+        "17-over-the-limit.json.gz": gzip.compress(text(17).ljust(most + 1)),
+    }
+    for k, (name, raw) in enumerate(files.items()):
+        (own / name).write_bytes(raw)
+        os.utime(own / name, (1_700_000_000 + k, 1_700_000_000 + k))
     tables = Tables(spark, str(tmp_path / "out"))
-    upsert_batch(tables, read_deliveries(spark, str(tmp_path / "in"), streaming=False, max_bytes=2000), 0)
-    assert [r["details"] for r in tables.read("rejections").collect()] == [[TOO_LARGE]]
-    assert [r["example_id"] for r in tables.read("observations").collect()] == ["1"]
+    start_ingest(spark, str(source), tables.root, str(tmp_path / "check"), max_bytes=most).awaitTermination()
+    assert {r["example_id"] for r in tables.read("observations").collect()} == {"1", "3", "4", "11", "16"}
+    reasons = [r["details"] for r in tables.read("rejections").orderBy("occurred_at").collect()]
+    too_much = inflates(most)
+    assert reasons == [[x] for x in (CORRUPT, CORRUPT, CORRUPT, CORRUPT, too_much, NOT_JSON, NOT_JSON, TOO_LARGE, TOO_LARGE, too_much, too_much)]
+    assert inflates(64 << 20) == "The gzipped request body inflates to more than 64 MiB."
+
+
+def test_a_bomb_is_left_at_the_limit():
+    import tracemalloc
+
+    bomb = gzip.compress(b"0" * 200_000_000)
+    tracemalloc.start()
+    assert inflate(bomb, 1 << 20) == (None, inflates(1 << 20)) and inflate(b"") == (None, CORRUPT)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_json_is_the_whole_text(spark):
+    good = ['{"a":1}', ' {"a":1}\n', "[1]", '"x"', "null", '{"a":{"b":1,"b":2}}', '{"a":1,"a":2}', "-1.5e3"]
+    bad = ['{"a":1} x', '{"a":1}]', '{"a":1}} x', "1,2", '{"a":1},"v":2', "1] [", '"a":1', "}", '"a"} , {"b":2}', "{'a':1}", '{"a":"\t"}', '{"a":1,}', "", " ", "nul", '{"a":NaN}', '{"a":1}\x00', "1}", "{", "]", '1],"v":[2', None]
+    df = with_json(spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string"), "v", F.col("t"))
+    found = {r["i"]: r["v"] for r in df.select("i", F.to_json("v").alias("v")).collect()}
+    assert [found[i] for i in range(len(good))] == ['{"a":1}', '{"a":1}', "[1]", '"x"', "null", '{"a":{"b":2}}', '{"a":2}', "-1500.0"]
+    assert [found[len(good) + i] for i in range(len(bad))] == [None] * len(bad)
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def accepted_bodies(spark, n, bodies):
+    """Bodies known to be right as (accepted deliveries, no rejections) of hour n, without the plan of all checks."""
+    rows = [(1, f"{n:04d} {k:04d}", datetime(2024, 1, 1, n), json.dumps(b)) for k, b in enumerate(bodies)]
+    df = with_json(spark.createDataFrame(rows, "repository_id long, delivery_seq string, received_at timestamp, value string"), "body", F.col("value"))
+    good = ingest.accepted(df.withColumn("errors", F.array().cast("array<string>"))).persist()
+    return good, spark.createDataFrame([], "repository_id long, occurred_at timestamp, details array<string>, total_reasons_count int, user_agent string, id long")
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
+    """Twenty batches of 20 runs each, onto a store that grows: each adds about as many bytes as the first."""
+    tables, written = Tables(spark, str(tmp_path / "out")), []
+    for n in range(20):
+        bodies = [body(ci_run_id=f"r{k % 90}", shard_id=f"s{n}", specs=[spec(id=f"{n}-{k}-{i}") for i in range(5)]) for k in range(n * 20, n * 20 + 20)]
+        good, refused = accepted_bodies(spark, n, bodies)
+        before = set((tmp_path / "out").rglob("*.parquet"))
+        add_deliveries(tables, good, refused, n, str(n))
+        written.append(sum(p.stat().st_size for p in set((tmp_path / "out").rglob("*.parquet")) - before))
+    assert max(written) < 1.5 * min(written)
+    once, held = state(tables), size_of(tmp_path / "out")
+    assert len(once["observations"]) == 20 * 20 * 5
+    assert [len(own) for own in tables.current()["segments"].values()] == [20, 20, 20]
+    assert tables.compact() >= 3
+    segments = tables.current()["segments"]
+    assert all(len(own) < tables.fanout for own in segments.values()) and state(tables) == once
+    assert sum(s["bytes"] for own in segments.values() for s in own) < held
+    assert tables.compact() == 0
+
+
+def random_bodies(rng, n):
+    return [body(ci_run_id=f"r{rng.randrange(4)}", shard_id=f"s{rng.randrange(3)}", specs=[spec(**({"id": str(rng.randrange(12))} if rng.random() < 0.8 else {}), name=f"n{rng.randrange(100)}") for _ in range(rng.randrange(5))]) for _ in range(n)]
+
+
+def test_reads_equal_the_merge_of_all_batches(spark, tmp_path):
+    """Random deliveries, redeliveries and moved examples: reading merges to what applying one batch after the other gives, compacted or not."""
+    import random
+
+    rng, tables = random.Random(3), Tables(spark, str(tmp_path / "out"), fanout=2)
+    runs = shards = observations = None
+    for n in range(6):
+        good, refused = accepted_bodies(spark, n, random_bodies(rng, 4))
+        new = ingest.with_state(ingest.observation_rows(good))
+        observations = ingest.merge_observations(observations if observations is not None else new.limit(0), new, good).localCheckpoint()
+        runs = ingest.merge_runs(runs if runs is not None else ingest.run_rows(good).limit(0), ingest.run_rows(good)).localCheckpoint()
+        shards = ingest.merge_shards(shards if shards is not None else ingest.shard_rows(good).limit(0), ingest.shard_rows(good)).localCheckpoint()
+        add_deliveries(tables, good, refused, n, str(n))
+        if n % 3 == 2:
+            tables.compact()
+        assert sorted(map(str, tables.read("observations").select(*observations.columns).collect())) == sorted(map(str, observations.collect()))
+        assert sorted(map(str, tables.read("shards").collect())) == sorted(map(str, shards.collect()))
+        held = tables.read("runs")
+        assert sorted(map(str, held.select(*runs.columns).collect())) == sorted(map(str, runs.collect()))
+        assert held.select("id").distinct().count() == held.count()
+
+
+def test_a_read_for_some_runs_opens_their_files_only(spark, tmp_path, monkeypatch):
+    from runlens.streaming import store
+
+    monkeypatch.setattr(store, "FILE_BYTES", 4000)
+    tables = Tables(spark, str(tmp_path / "out"), fanout=2)
+    for n in range(2):
+        add_deliveries(tables, *accepted_bodies(spark, n, [body(ci_run_id=f"r{k}", shard_id=f"s{n}", specs=[spec(id=str(n))]) for k in range(60)]))
+    tables.compact()
+    (segment,) = tables.current()["segments"]["observations"]
+    wanted = tables.hashes("runs", spark.createDataFrame([(1, "=r7")], "repository_id long, run_key string"))
+    files = tables.raw("observations").inputFiles()
+    assert len(files) >= 4 and len(tables._files(segment, wanted)) == 1
+    assert {r["run_key"] for r in tables.read("observations", wanted).collect()} == {"=r7"} and tables.read("observations", wanted).count() == 2
+    assert tables.read("observations", {2**63 - 1}) is None
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Another writer commits between a batch's reading and its publishing: a batch of other runs is published over it, one of the same run is made again."""
+    made = lambda name, n, *bodies: [deliver(tmp_path / name, f"{n}{k}.json", b, at=1_700_000_000 + n) for k, b in enumerate(bodies)] and read_deliveries(spark, str(tmp_path / name), streaming=False)
+    tables, other = Tables(spark, str(tmp_path / "out")), Tables(spark, str(tmp_path / "out"))
+    upsert_batch(tables, made("a", 1, body(ci_run_id="r1", specs=[spec(id="1"), spec(id="2")])), 0)
+    for n, run in ((2, "r1"), (3, "r5")):
+        asked = []
+        publish = tables._publish
+
+        def late(version, n=n, run=run, publish=publish, asked=asked):
+            asked.append(version["version"])
+            if len(asked) == 1:
+                upsert_batch(other, made(f"x{n}", n, body(ci_run_id=run, shard_id="s2", specs=[spec(id="1", name=f"moved {n}")])), 100 + n)
+            return publish(version)
+
+        tables._publish = late
+        upsert_batch(tables, made(f"y{n}", n + 10, body(ci_run_id="r1", shard_id=f"s{n + 1}", specs=[spec(id=f"own{n}")])), n)
+        tables._publish = publish
+        assert len(asked) == 2 and asked[1] == asked[0] + 1
+    rows = {(r["run_key"], r["example_id"]): r["shard_key"] for r in tables.read("observations").collect()}
+    assert rows == {("=r1", "1"): "=s2", ("=r1", "2"): "=s1", ("=r1", "own2"): "=s3", ("=r1", "own3"): "=s4", ("=r5", "1"): "=s2"}
+    assert sorted(r["id"] for r in tables.read("runs").collect()) == [1, 2]
 
 
 def test_the_last_delivery_by_time_wins(spark, tmp_path):
@@ -243,11 +374,43 @@ def test_batches_resolve_to_identities(spark, tmp_path):
     once = state(tables)
     upsert_batch(tables, batch, 0, lexical_embedder())
     assert state(tables) == once
+    runs = {r["run_key"]: r["id"] for r in tables.read("runs").filter("repository_id = 1").collect()}
+    seen = {r["text"]: (r["last_seen_test_run_id"], r["last_seen_at"].timestamp()) for r in tables.read("identities").filter("repository_id = 1").collect()}
+    assert seen == {"pays": (runs["=r1"], 1_700_000_000), "renders the footer": (runs["=r1"], 1_700_000_000)}
     deliver(source, "c.json", body(ci_run_id="r2", specs=[spec(id="7", name="renders the footer"), spec(id="8", name="sends a mail")]))
     start_ingest(spark, str(source), tables.root, str(tmp_path / "check"), embed=lexical_embedder()).awaitTermination()
     later = ids()
     assert later[(1, "=r2", "7")] == first[(1, "=r1", "2")] and later[(1, "=r2", "8")] == 4
     assert {k: v for k, v in later.items() if k in first} == first and tables.read("identities").count() == 4
+    runs = {r["run_key"]: r["id"] for r in tables.read("runs").filter("repository_id = 1").collect()}
+    assert {r["text"]: r["last_seen_test_run_id"] for r in tables.read("identities").filter("repository_id = 1").collect()} == {"pays": runs["=r1"], "renders the footer": runs["=r2"], "sends a mail": runs["=r2"]}
+    assert tables.read("cache").count() == 4  # a text of two repositories, or of two batches, is embedded once
+
+
+def test_a_sweep_tries_the_failed_rows_of_earlier_runs(spark, tmp_path):
+    from datetime import timedelta
+
+    made = lambda name, at, *bodies: [deliver(tmp_path / name, f"{k}.json", b, at=at + k) for k, b in enumerate(bodies)] and read_deliveries(spark, str(tmp_path / name), streaming=False)
+    now = datetime.now()
+    at, tables = int(now.timestamp()) - 7200, Tables(spark, str(tmp_path / "out"))
+    broken = lambda text: F.lit(None).cast("array<float>")
+    upsert_batch(tables, made("a", at, body(ci_run_id="r1", specs=[spec(id="1", name="pays"), spec(id="2", name="renders")]), body(ci_run_id="r2", specs=[spec(id="3", name="pays")])), 0, broken)
+    rows = tables.read("observations")
+    assert {(r["spec_identity_id"], r["embed_failure_count"]) for r in rows.collect()} == {(None, 1)}
+    from runlens.streaming.ingest import sweep
+
+    sweep(tables, 1, broken, now=now, budget=2)
+    assert sorted(r["embed_failure_count"] for r in tables.read("observations").collect()) == [1, 2, 2]
+    sweep(tables, 1, lexical_embedder(), now=now + timedelta(days=8))  # given up after a week
+    assert tables.read("identities") is None
+    sweep(tables, 1, lexical_embedder(), now=now)
+    linked = {r["example_id"]: r["spec_identity_id"] for r in tables.read("observations").collect()}
+    assert linked["1"] == linked["3"] != linked["2"] and None not in linked.values()
+    runs = {r["run_key"]: r["id"] for r in tables.read("runs").collect()}
+    assert {r["text"]: r["last_seen_test_run_id"] for r in tables.read("identities").collect()} == {"pays": runs["=r2"], "renders": runs["=r1"]}
+    version = tables.current()["version"]
+    sweep(tables, 1, lexical_embedder(), now=now)
+    assert tables.current()["version"] == version  # nothing left to try
 
 
 def test_windowed_events(spark, sf_dir):
