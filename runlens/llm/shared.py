@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.storage import fresh_path, write_table
 
-__all__ = ["fresh_path", "in_batches", "lookup", "write_table"]
+__all__ = ["free_names", "fresh_path", "in_batches", "lookup", "write_table"]
 
 
 #: Rows and bytes of an Arrow batch. Whole texts are long rows: Spark's default of 10,000 rows costs an executor
@@ -75,14 +75,28 @@ def in_batches(df: DataFrame, keep_words: bool = False) -> Batched:
 HOT_SHARE = 1024
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", hint: str | None = None) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row a key, ``size`` rows of ``rows`` each) without a hot task.
 
     The rows of hot keys, under HOT_SHARE of them by the definition above, meet a broadcast copy of those
-    groups; all other keys hold at most total / HOT_SHARE rows each and are joined by a shuffle.
+    groups; all other keys hold at most total / HOT_SHARE rows each and are joined by a shuffle (in the way that
+    ``hint`` names, if any).
     """
     floor = max(total // HOT_SHARE, 1)
     hot = groups.filter(F.col(size) > floor)
     rest = groups.filter(F.coalesce(F.col(size), F.lit(0)) <= floor)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rest.hint(hint) if hint else rest
     return rows.join(F.broadcast(hot), key, "inner").unionByName(cold.join(rest, key, how))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has, however it is written."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k, found = 0, name
+        while found.lower() in taken:
+            k, found = k + 1, f"{name}{k}"
+        taken.add(found.lower())
+        out.append(found)
+    return out

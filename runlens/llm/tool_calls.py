@@ -16,6 +16,10 @@ without meeting in one task.
 Arguments are checked against ``schemas``: name -> {"required": [...], "properties": {key: type}}, types string, integer, number,
 boolean, object, array. Canonical JSON has keys in order, no spaces and every field.
 
+A text is JSON only as a whole, so one with prose around an object is a plain message; of a repeated key the last value
+counts. Arguments that are given and are no object (a list, a number, null, text that is no JSON) violate every schema; such text
+stays as it is.
+
 Cases: null, empty and non-JSON texts are plain messages (with null or empty content); a call without arguments has
 null ones, which violate any required key; null roles stay null; events whose conv_id or identifier is null link
 with nothing; repeated rows give repeated events; an empty table gives no rows; other columns are ignored,
@@ -27,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import with_json
 from .shared import lookup, write_table
 
 #: The schema of plain messages.
@@ -46,8 +51,7 @@ _TYPES = {
 def events(messages: DataFrame, implicit: bool = False) -> DataFrame:
     """conv_id, turn, seq, role, kind (call, result, message), call_id, name, arguments (canonical JSON), content."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    json = F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text"))
-    rows = rows.withColumn("json", json)
+    rows = with_json(rows, "json", F.when(F.ltrim("text").startswith("{"), F.col("text")))
     calls = F.try_variant_get("json", "$.tool_calls", "array<struct<id string, name string, arguments variant>>")
     result_id = F.try_variant_get("json", "$.tool_call_id", "string")
     rows = rows.withColumn("calls", calls).withColumn("result_id", result_id)
@@ -58,8 +62,8 @@ def events(messages: DataFrame, implicit: bool = False) -> DataFrame:
     content = F.when(plain & ~F.coalesce(told, F.lit(False)), F.col("text")).otherwise(content)
     rows = rows.select("conv_id", "turn", "role", plain.alias("plain"), "result_id", content.alias("content"), F.posexplode_outer("calls").alias("seq", "call"))
     raw = F.col("call.arguments")
-    nested = F.try_variant_get(raw, "$", "string")  # arguments given as JSON text
-    arguments = F.to_json(F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(nested)).otherwise(raw))
+    rows = with_json(rows, "nested", F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(raw, "$", "string")))  # arguments given as JSON text
+    arguments = F.to_json(F.coalesce("nested", raw))
     asks, answers = F.lit(implicit) & F.col("plain") & (F.col("role") == "user"), F.lit(implicit) & F.col("plain") & (F.col("role") == "assistant")
     turn = F.col("turn").cast("string")
     kind = F.when(F.col("call").isNotNull() | asks, "call").when(F.col("result_id").isNotNull() | answers, "result").otherwise("message")
@@ -95,7 +99,8 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
         extra = F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*map(F.lit, sorted(properties))) if properties else F.array().cast("array<string>"))
         errors = F.concat(known, F.transform(F.array_sort(extra), lambda k: F.concat(k, F.lit(" is not allowed"))))
         out = F.when(name == tool, errors).otherwise(out)
-    return out
+    none = value.isNotNull() & ~F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.when(none & name.isin(*schemas), F.array(F.lit("arguments are no object"))).otherwise(out)
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict], implicit: bool = False) -> DataFrame:
@@ -105,12 +110,12 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], implicit: bool = F
     tied = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & (F.col("kind") != "message")
     ends = held.filter(tied)
     groups = ends.groupBy("link").agg(
-        F.min(F.when(F.col("kind") == "call", F.struct("turn", "seq"))).alias("call"),
-        F.min(F.when(F.col("kind") == "result", F.struct("turn", "seq"))).alias("result"),
+        F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"),
+        F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn"),
         F.count("*").alias("events"),
     )
-    groups = write_table(groups.select("link", F.col("call.turn").alias("call_turn"), F.col("result.turn").alias("result_turn"), "events"), "identifiers")
-    linked = lookup(ends, groups, "link", "events", ends.count()).drop("events")
+    groups = write_table(groups, "identifiers")
+    linked = lookup(ends, groups, "link", "events", ends.count(), hint="shuffle_hash").drop("events")
     rest = held.filter(~tied).withColumn("call_turn", F.lit(None).cast("long")).withColumn("result_turn", F.lit(None).cast("long"))
     rows = linked.withColumn("call_turn", F.col("call_turn").cast("long")).withColumn("result_turn", F.col("result_turn").cast("long")).unionByName(rest)
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"

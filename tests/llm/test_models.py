@@ -129,6 +129,31 @@ def test_calls_and_results_match_sql(spark, sf_dir):
 SCHEMAS = {"add": {"required": ["a", "b"], "properties": {"a": "integer", "b": "number", "note": "string"}}}
 
 
+def test_arguments_must_be_objects_and_texts_whole_json(spark):
+    given = ['"{not json"', "[1,2]", '"5"', '"[1]"', "null", '{"a":1,"a":2}', '"{\\"a\\":1,\\"a\\":3}"', "{}", '"{} and prose"']
+    texts = ['{"tool_calls":[{"id":"%d","name":"free","arguments":%s}]}' % (k, x) for k, x in enumerate(given)]
+    texts += ['{"tool_call_id":"1","content":"c"} and then prose', '{"tool_call_id":"2","content":"c"}}', '{"tool_calls":[{"id":"none","name":"free"}]}']
+    rows = [("c", k, "assistant", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r["turn"]: r for r in tool_calls.link_calls(df, {"free": {"properties": {"a": "integer"}}}).collect()}
+    assert [got[k]["errors"] for k in range(len(given))] == ["arguments are no object"] * 5 + ["", "", "", "arguments are no object"]
+    assert [json.loads(got[k]["json"])["arguments"] for k in range(len(given))] == ["{not json", [1, 2], 5, [1], None, {"a": 2}, {"a": 3}, {}, "{} and prose"]
+    assert got[9]["kind"] == got[10]["kind"] == "message" and json.loads(got[9]["json"])["content"] == texts[9]
+    assert got[11]["valid"] and got[11]["kind"] == "call"
+
+
+def test_links_are_hash_joins_of_hash_aggregates(spark, sf_dir):
+    """Past the size that is broadcast, the plan that ran joins by hash."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.op5_tool_calls(spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan and "Python" not in plan
+
+
 def test_tool_calls_are_linked_checked_and_canonical(spark, edge_docs):
     call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments"), c, strict=True)) for c in calls]})
     rows = [
