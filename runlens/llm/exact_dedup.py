@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT_SHARE, lookup, write_table
+from .shared import HOT_SHARE, free_names, lookup, write_table
 
 SALTS = 16
 
@@ -83,19 +83,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are judged one by one, also where they repeat a doc_id; of equal texts under one doc_id any one stays. A group
     whose doc_ids are all null keeps every row of it.
     """
-    found = write_table(find_copies(docs).select(F.col("doc_id").alias("_copy_id"), F.unhex("text_sha256").alias("_copy_digest"), "kept", "group_size"), "copies")
-    gone = found.filter("not kept").select("_copy_id", "_copy_digest").distinct()
-    ties = found.filter("kept and group_size > 1 and _copy_id is not null").groupBy("_copy_id", "_copy_digest").agg(F.count("*").alias("_rows"))
-    ties = write_table(ties.filter("_rows > 1").select("_copy_id", "_copy_digest"), "tied-copies")
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_copy_id")) & (digest == F.col("_copy_digest"))
+    key, copy, rows = free_names(docs, "copy_key", "copy_of", "tied_rows")
+    found = find_copies(docs).withColumn(copy, _row_key(F.col("doc_id"), F.unhex("text_sha256")))
+    found = write_table(found.select(copy, "kept", "group_size", F.col("keep_id").isNotNull().alias("named")), "copies")
+    gone = found.filter("not kept").select(copy).distinct()
     if found.filter("not kept").count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, same, "left_anti")
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    kept = docs.withColumn(key, _row_key(F.col("doc_id"), digest)).join(gone, F.col(key) == F.col(copy), "left_anti")
+    ties = found.filter("kept and group_size > 1 and named").groupBy(F.col(copy).alias(key)).agg(F.count("*").alias(rows))
+    ties = write_table(ties.filter(F.col(rows) > 1), "tied-copies")
     if ties.isEmpty():
-        return kept
-    tied = kept.join(ties, same).groupBy("_copy_id", "_copy_digest").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
-    return kept.join(ties, same, "left_anti").unionByName(tied.select("_row.*"))
+        return kept.drop(key)
+    # rows of one doc_id and text that stay: each task leaves one of them before they meet
+    marked = lookup(kept, ties, key, rows, found.count(), "left")
+    tied = marked.filter(F.col(rows).isNotNull()).dropDuplicates([key])
+    return marked.filter(F.col(rows).isNull()).union(tied).drop(key, rows)
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """What rows of one doc_id and text share: the digest, and the id where there is one."""
+    return F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
 ORACLE = """

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import in_batches, lookup, write_table
+from .shared import free_names, in_batches, lookup, write_table
 from .words import U, Words, chunks, mix, space_words, windows
 
 SHINGLE = 5
@@ -306,9 +306,10 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
     Most rows pass the filter untouched; only those that it may hold are shuffled to meet the exact list.
     """
-    own = write_table(ids.select(F.col(column).alias("_dropped")).distinct(), "dropped")
-    maybe, clear = split_by_ids(docs, own, "_dropped")
-    return clear.unionByName(maybe.join(own, F.col("doc_id") == F.col("_dropped"), "left_anti"))
+    (name,) = free_names(docs, "dropped")
+    own = write_table(ids.select(F.col(column).alias(name)).distinct(), "dropped")
+    maybe, clear = split_by_ids(docs, own, name)
+    return clear.union(maybe.join(own, F.col("doc_id") == F.col(name), "left_anti"))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -667,11 +668,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     sets = _sets(rows)
     if not _repeated(sets):
         return without_ids(docs, _labelled(rows, sets).filter("component_id <> doc_id"), "doc_id")
-    number = next(c for c in (f"_row{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    number, linked = free_names(docs, "number", "linked_number")
     held = _numbered(docs, number)
     own = held.filter("doc_id is not null").select(F.col(number).alias("doc_id"), "text")
     found = _labelled(own, _sets(own)).select(F.col("doc_id").alias("number"), "component_id")
     found = write_table(found.join(held.select(F.col(number).alias("number"), F.col("doc_id").cast("long").alias("doc_id")), "number"), "rows-of-components")
     stay = found.groupBy("component_id").agg(F.min_by("number", F.struct("doc_id", "number")).alias("number"))
-    gone = write_table(found.join(stay.select("number"), "number", "left_anti").select("number"), "linked-rows")
-    return held.join(gone, F.col(number) == F.col("number"), "left_anti").drop(number)
+    gone = write_table(found.join(stay.select("number"), "number", "left_anti").select(F.col("number").alias(linked)), "linked-rows")
+    return held.join(gone, F.col(number) == F.col(linked), "left_anti").drop(number)

@@ -102,6 +102,27 @@ def test_one_row_of_equal_texts_stays(spark):
     assert not re.search("Python|Arrow|Pandas", exact_dedup.keep_one(df)._jdf.queryExecution().toString())
 
 
+CLASHING = ["number", "NUMBER", "linked_number", "dropped", "_dropped", "copy_key", "Copy_Of", "tied_rows", "_copy_id", "_copy_digest", "_row", "rows", "text_sha256", "component_id", "digest", "kept", "n", "hot", "salt", "norm", "part"]
+
+
+@pytest.mark.parametrize(("names", "repeated"), [(CLASHING[:1] + CLASHING[2:], True), (CLASHING[1:], False)])
+def test_stages_keep_columns_of_clashing_names(spark, sf_dir, names, repeated):
+    """Every stage of the pipeline on a table whose columns have the names that operators use for their own."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (9, a + " more"), (6, b), (7, b), (None, a), (2, ""), (3, None)] + [(6, b), (5, a)] * repeated
+    df = spark.createDataFrame([(i, t, "en", "s", 1, *range(k, k + len(names))) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` long" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, sf_dir)
+        assert got.columns == df.columns, name
+        plain = stage(spark, df.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir)
+        assert sorted(map(str, (r[:5] for r in map(tuple, got.collect())))) == sorted(map(str, map(tuple, plain.collect()))), name
+        for r in got.collect():
+            assert list(r)[5:] == list(range(r[5], r[5] + len(names)))
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() >= len(rows)
+
+
 def test_many_groups_of_similar_documents_match_brute_force(spark):
     """Several clusters of one passage, each more than a group, so that groups of several documents meet."""
     rng = random.Random(11)
