@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .operators import clusters, identity, ingest, retention, tenancy
-from .plans.storage import write_table
-from .queries import NOW, query, rounded
+from .plans.storage import fresh_path, write_table
+from .queries import NOW, ORACLES, query, rounded
 from .sources import adapters as A
+from .sources.bodies import CORRUPT, FILES, NOT_JSON, inflates, texts_of
+from .streaming.ingest import add_deliveries, check_deliveries
+from .streaming.store import Tables
 
 #: Orders as deliveries and their lines as examples: the adapter's rules in SQL.
 DELIVERIES_SQL = """WITH d AS (
@@ -199,21 +204,71 @@ def nearest_committed(spark, sf_dir):
     return rounded(found.drop("repository_id"), "similarity")
 
 
+#: A number for an order that doesn't grow with it, so that a component's least number lies anywhere in it.
+MIXED = "({0} * 48271) % 2147483647"
+
+
 @query(
-    """WITH edges AS (SELECT DISTINCT least(l_partkey % 997, l_suppkey % 997) AS a, greatest(l_partkey % 997, l_suppkey % 997) AS b FROM lineitem WHERE l_partkey % 7 = 0 AND l_linenumber = 1 AND l_quantity < 8),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), nodes AS (SELECT DISTINCT a AS id FROM both_ways),
-g1 AS (SELECT n.id, least(n.id, coalesce(min(b), n.id)) AS c FROM nodes n LEFT JOIN both_ways ON a = n.id GROUP BY n.id)
-SELECT count(*) AS nodes, CAST(min(id) AS BIGINT) AS least_id, count(*) FILTER (WHERE c < id) AS with_smaller_neighbour FROM g1""",
+    f"""WITH e AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_partkey % 3 = 0), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM e),
+n AS (SELECT island, k FROM g UNION SELECT island, k + 1 FROM g) SELECT {MIXED.format("k")} AS id, min({MIXED.format("k")}) OVER (PARTITION BY island) AS component FROM n""",
     base=False,
 )
 def component_nodes(spark, sf_dir):
-    """The nodes of a graph of parts and suppliers, and those with a smaller neighbour, which cannot name a component."""
-    rows = A.table(spark, sf_dir, "lineitem").filter("l_partkey % 7 = 0 and l_linenumber = 1 and l_quantity < 8").select((F.col("l_partkey") % 997).alias("a"), (F.col("l_suppkey") % 997).alias("b"))
-    both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = clusters.connected_components(both.select(F.col("a").alias("id"), F.col("b").alias("neighbour_id")))
-    near = both.groupBy("a").agg(F.min("b").alias("least"))
-    marked = found.join(near, F.col("id") == F.col("a"), "left")
-    return marked.agg(F.count(F.lit(1)).alias("nodes"), F.min("id").alias("least_id"), F.count_if(F.col("least") < F.col("id")).alias("with_smaller_neighbour"))
+    """Orders linked with the next one by a line of every third part: chains, whose components SQL finds as islands."""
+    first = A.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_orderkey").cast("long").alias("k")).distinct()
+    edges = first.select(F.expr(MIXED.format("k")).alias("id"), F.expr(MIXED.format("(k + 1)")).alias("neighbour_id"))
+    return clusters.connected_components(edges.unionByName(edges.select(F.col("neighbour_id").alias("id"), F.col("id").alias("neighbour_id"))))
+
+
+@query(
+    f"""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 2 THEN '{CORRUPT}' WHEN 4 THEN '{CORRUPT}' WHEN 5 THEN '{inflates(1 << 20)}' WHEN 6 THEN '{NOT_JSON}' END AS reason,
+CASE WHEN o_orderkey % 8 IN (0, 1, 3, 7) THEN 'c' || CAST(o_custkey AS VARCHAR) END AS commit_sha FROM orders""",
+    base=False,
+)
+def body_outcomes(spark, sf_dir):
+    """Orders as files of bodies: plain, gzip, no gzip, two members, cut short, a bomb, prose after the JSON, a repeated key."""
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    files = o.mapInPandas(_body_files, FILES)
+    checked = check_deliveries(texts_of(files, 1 << 20))
+    reason = F.when(F.size("errors") > 0, F.col("errors")[0])
+    sha = F.when(F.size("errors") == 0, F.try_variant_get("body", "$.commit_sha", "string"))
+    return checked.select(F.col("repository_id").alias("o_orderkey"), reason.alias("reason"), sha.alias("commit_sha"))
+
+
+def _body_files(frames):
+    bomb = gzip.compress(bytes(2 << 20))
+    for frame in frames:
+        rows = []
+        for key, customer in zip(frame["o_orderkey"].tolist(), frame["customer"], strict=True):
+            text = f'{{"commit_sha":"c{customer}","specs":[]}}'.encode()
+            packed, kind = gzip.compress(text), key % 8
+            raw = [text, packed, text, packed + packed, packed[:-9], bomb, text + b" and prose", b'{"commit_sha":"first",' + text[1:]][kind]
+            rows.append((f"{key}.json{'.gz' if 1 <= kind <= 5 else ''}", pd.Timestamp(0, tz="UTC"), len(raw), raw, key))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content", "repository_id"])
+
+
+@query(ORACLES["ingest_two_batches"], base=False)
+def stored_two_batches(spark, sf_dir):
+    """The same two batches added to stored tables, merged when read."""
+    return _stored(spark, sf_dir, 2).select(*OBSERVED)
+
+
+@query(ORACLES["ingest_two_batches"], base=False)
+def stored_and_compacted(spark, sf_dir):
+    """Once more, with the segments of both batches merged into one before they are read."""
+    return _stored(spark, sf_dir, 2, compact=True).select(*OBSERVED)
+
+
+def _stored(spark, sf_dir, fanout, compact=False):
+    sent = write_table(A.deliveries(spark, sf_dir), "sent")
+    middle = sent.agg(F.floor(F.max("delivery_seq") / 2)).first()[0]
+    none = spark.createDataFrame([], "repository_id long, occurred_at timestamp, details array<string>, total_reasons_count int, user_agent string, id long")
+    tables = Tables(spark, fresh_path(spark, "stored"), fanout)
+    for part in (sent.filter(F.col("delivery_seq") <= middle), sent.filter(F.col("delivery_seq") > middle)):
+        add_deliveries(tables, part, none)
+    if compact:
+        tables.compact()
+    return tables.read("observations")
 
 
 # ------------------------------------------------------------------ tenancy

@@ -81,4 +81,9 @@ def read_bodies(spark: SparkSession, folder: str, streaming: bool = False, max_b
     most = max_bytes + max_bytes // 1000 + 4096
     short = rows.filter(F.col("length") <= most)
     long = rows.filter(F.col("length") > most).withColumn("content", F.lit(None).cast("binary"))
-    return short.unionByName(long).mapInArrow(lambda it: _texts(it, max_bytes), BODIES)
+    return texts_of(short.unionByName(long), max_bytes)
+
+
+def texts_of(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files (the columns of FILES; no content: too long to be read) as bodies."""
+    return files.select(*(c.split()[0] for c in FILES.split(", "))).mapInArrow(lambda it: _texts(it, max_bytes), BODIES)
