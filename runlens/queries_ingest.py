@@ -8,7 +8,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .operators import clusters, identity, ingest, retention, tenancy
+from .operators import clusters, identity, ingest, nearest, retention, tenancy
 from .plans.storage import fresh_path, write_table
 from .queries import NOW, ORACLES, query, rounded
 from .sources import adapters as A
@@ -204,6 +204,18 @@ def nearest_committed(spark, sf_dir):
     return rounded(found.drop("repository_id"), "similarity")
 
 
+@query(ORACLES["nearest_committed"], base=False)
+def nearest_by_cells(spark, sf_dir):
+    """The same by an index of cells, searched where a match may lie."""
+    known = A.identities(spark, sf_dir)
+    texts = known.filter("id % 20 = 0").withColumn("text_digest", F.concat(F.lit("t"), F.col("id").cast("string")))
+    known = known.filter("id % 20 <> 0")
+    centres = clusters.cell_centres(known, 64, 4000)
+    index = write_table(nearest.entries(known, centres), "index")
+    found = nearest.matches(texts, index, centres, 0.3)
+    return rounded(found.drop("repository_id"), "similarity")
+
+
 #: A number for an order that doesn't grow with it, so that a component's least number lies anywhere in it.
 MIXED = "({0} * 48271) % 2147483647"
 

@@ -10,15 +10,17 @@ holds the rows and identities that changed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import identity, ingest
+from ..operators import clusters, identity, ingest, nearest
 from ..plans.primitives import numbered
 from ..sources.bodies import MAX_BYTES, read_bodies
 from .store import Change, Tables, row_key
@@ -163,14 +165,17 @@ def _resolve(tables: Tables, pick: Callable[[dict], DataFrame | None], hashes: s
         known = known if known is not None else tables.spark.createDataFrame([], IDENTITIES)
         cached = tables.read("cache", None, base)
         cache = identity.Cache(cached if cached is not None else tables.spark.createDataFrame([], CACHE), provider, at)
-        found = identity.resolve(rows, known, embed, None, cache=cache, top=base["tops"].get("identity", 0))
+        centres = index_centres(tables, base)
+        found = identity.resolve(rows, known, embed, None, cache=cache, top=base["tops"].get("identity", 0), nearest=None if centres is None else _by_index(tables, base, centres))
         change = Change(runs=hashes, batch=mark and mark[0], fingerprint=mark and mark[1])
         moved = found.rows.filter(~before.eqNullSafe(F.col("_before"))).select(*held.columns).drop("_hash")
         change.added["observations"] = tables.write("observations", moved.withColumn("_changed", F.lit(version).cast("long")), version)
         whole = F.struct(*(F.col(c) for c in known.columns if c != "id"))
         past = known.select("id", whole.alias("_past"))
-        fresh = found.identities.select(*known.columns).join(past, "id", "left").filter(~whole.eqNullSafe(F.col("_past"))).drop("_past")
-        change.added["identities"] = tables.write("identities", _stamped(fresh, version), version)
+        fresh = found.identities.select(*known.columns).join(past, "id", "left").filter(~whole.eqNullSafe(F.col("_past")))
+        change.added["identities"] = tables.write("identities", _stamped(fresh.drop("_past"), version), version)
+        if centres is not None:
+            change.added["cells"] = tables.write("cells", _stamped(_moved_entries(fresh, centres), version), version)
         entry = ["provider_fingerprint", "text_digest", "created_at"]
         change.added["cache"] = tables.write("cache", _stamped(found.cache.join(cache.entries.select(*entry), entry, "left_anti"), version), version)
         change.added = {name: s for name, s in change.added.items() if s}
@@ -182,6 +187,61 @@ def _resolve(tables: Tables, pick: Callable[[dict], DataFrame | None], hashes: s
     tables.commit(make)
 
 
+# ------------------------------------------------------------------ the index of identities
+
+#: Identities from which on they are indexed, and how often the number must grow for new centres.
+INDEXED_FROM, REGROWN = 2000, 4
+#: Vectors that centres are learned from, and the most of them.
+SAMPLE, CELLS = 8000, 4096
+
+
+def index_centres(tables: Tables, at: dict) -> np.ndarray | None:
+    path = at["facts"].get("centres")
+    if not path:
+        return None
+    return np.array([r["v"] for r in tables.spark.read.parquet(path).orderBy("cell").collect()])  # at most CELLS rows
+
+
+def _by_index(tables: Tables, base: dict, centres: np.ndarray) -> Callable[[DataFrame, DataFrame, float], DataFrame]:
+    """The search of ``nearest`` over the stored index: only files that may hold an asked cell are opened."""
+
+    def find(texts: DataFrame, identities: DataFrame, similarity: float) -> DataFrame:
+        whole = tables.read("cells", None, base).filter("not gone")
+        bounds = nearest.cell_bounds(whole, len(centres))
+        asked = nearest.asked_cells(texts, centres, similarity, bounds).select("repository_id", "cell")
+        held = tables.read("cells", tables.hashes("cells", asked), base)
+        return nearest.matches(texts, held.filter("not gone") if held is not None else whole.limit(0), centres, similarity, bounds)
+
+    return find
+
+
+def _moved_entries(fresh: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Index rows of identities that are new or whose vector moved: their new places, and their old ones as gone."""
+    moved = fresh.filter(~F.col("embedding").eqNullSafe(F.col("_past.embedding")))
+    new = nearest.entries(moved, centres).withColumn("gone", F.lit(False))
+    old = nearest.entries(moved.select("repository_id", "id", F.col("_past.embedding").alias("embedding")), centres).withColumn("gone", F.lit(True))
+    return new.unionByName(old.join(new.select("repository_id", "cell", "id"), ["repository_id", "cell", "id"], "left_anti").select(*new.columns))
+
+
+def reindex(tables: Tables, least: int = INDEXED_FROM) -> bool:
+    """Learn centres and index all identities, where there are ``least`` of them and REGROWN times as many as when that was last done."""
+
+    def make(base: dict) -> Change | None:
+        known, version = tables.read("identities", None, base), base["version"] + 1
+        total = known.count() if known is not None else 0
+        if total < least or total < REGROWN * base["facts"].get("indexed", 0):
+            return None
+        centres = clusters.cell_centres(known, min(CELLS, max(1, int(5 * total**0.5))), SAMPLE)
+        path = f"{tables.root}/data/{version}-centres-{uuid.uuid4().hex}"
+        tables.spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centres)], "cell int, v array<double>").coalesce(1).write.parquet(path)
+        segment = tables.write("cells", _stamped(nearest.entries(known, centres).withColumn("gone", F.lit(False)), version), version)
+        past = [s["path"] for s in base["segments"].get("cells", [])]
+        return Change({"cells": segment}, {"cells": past}, set(), facts={"centres": path, "indexed": total}, alone=True)
+
+    before = tables.current()["version"]
+    return tables.commit(make)["version"] != before
+
+
 def run_view(tables: Tables) -> DataFrame:
     """Runs with totals derived from their shards."""
     return tables.read("runs").join(ingest.derived_totals(tables.read("shards"), ("repository_id", "run_key")), ["repository_id", "run_key"], "left")
@@ -195,6 +255,8 @@ def start_ingest(
 
     def take(batch: DataFrame, number: int) -> None:
         upsert_batch(tables, batch, number, embed, provider)
+        if embed is not None:
+            reindex(tables)
         if compact:
             tables.compact()
 

@@ -40,7 +40,7 @@ HASHES = 4096
 ATTEMPTS = 20
 
 #: What each table is sorted and pruned by, and the key of its rows.
-KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"]}
+KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"], "cells": ["repository_id", "cell"]}
 NAMES = tuple(KEYS)
 #: Columns that the store adds: the versions that delivered a row and last changed it, the key of an example, the hash.
 OWN = ["_delivered", "_changed", "_row", "_hash"]
@@ -88,7 +88,12 @@ def merge_cache(rows: DataFrame) -> DataFrame:
     return latest_per_key(rows, ["provider_fingerprint", "text_digest"], ["_delivered", "_changed"])
 
 
-MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache}
+def merge_cells(rows: DataFrame) -> DataFrame:
+    """The newest entry of an identity in a cell; one that is ``gone`` stays, as older segments may hold what it took away."""
+    return latest_per_key(rows, ["repository_id", "cell", "id"], ["_delivered", "_changed"])
+
+
+MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache, "cells": merge_cells}
 
 
 def _listing(path: str) -> str:
@@ -104,12 +109,14 @@ class Change:
     replaced: dict[str, list[str]] = field(default_factory=dict)
     runs: set[int] | None = None
     tops: dict[str, int] = field(default_factory=dict)
+    facts: dict = field(default_factory=dict)
+    alone: bool = False  # whether any other change since makes this one void
     batch: int | None = None
     fingerprint: str | None = None
 
 
 class Tables:
-    """runs, shards, observations, rejections, identities and the embedding cache under ``root``."""
+    """runs, shards, observations, rejections, identities, their index of cells and the embedding cache under ``root``."""
 
     NAMES = NAMES
 
@@ -129,7 +136,7 @@ class Tables:
         """The newest version: its number, the last batch and its fingerprint, segments by table, and the highest ids given."""
         found = self.numbers()
         if not found:
-            return {"version": 0, "batch": None, "fingerprint": None, "segments": {}, "tops": {}}
+            return {"version": 0, "batch": None, "fingerprint": None, "segments": {}, "tops": {}, "facts": {}}
         return json.loads(self._text(f"{self.root}/_versions/{found[-1]}"))
 
     def _publish(self, made: dict) -> bool:
@@ -153,10 +160,10 @@ class Tables:
         if not past:
             return
         kept = [made, *(json.loads(self._text(f"{self.root}/_versions/{made['version'] - 1}")) for _ in range(made["version"] - 1 in self.numbers()))]
-        used = {s["path"] for v in kept for own in v["segments"].values() for s in own}
+        used = {s["path"] for v in kept for own in v["segments"].values() for s in own} | {v["facts"].get("centres") for v in kept}
         for n in past:
             old = json.loads(self._text(f"{self.root}/_versions/{n}"))
-            for path in {s["path"] for own in old["segments"].values() for s in own} - used:
+            for path in ({s["path"] for own in old["segments"].values() for s in own} | ({old["facts"].get("centres")} - {None})) - used:
                 self._delete(path)
             delete(self.spark, f"{self.root}/_versions/{n}")
 
@@ -188,13 +195,15 @@ class Tables:
             segments[name] = [*own[:at], *([segment] if segment else []), *(s for s in own[at:] if s["path"] not in gone)]
         mark = (change.batch, change.fingerprint) if change.batch is not None else (base["batch"], base["fingerprint"])
         tops = base["tops"] | {k: max(v, base["tops"].get(k, 0)) for k, v in change.tops.items()}
-        return {"version": base["version"] + 1, "batch": mark[0], "fingerprint": mark[1], "segments": segments, "tops": tops}
+        return {"version": base["version"] + 1, "batch": mark[0], "fingerprint": mark[1], "segments": segments, "tops": tops, "facts": base["facts"] | change.facts}
 
     def _clash(self, base: dict, now: dict, change: Change) -> bool:
         """Whether versions after ``base`` changed what the change was made from, or took what it replaces."""
         for name, paths in change.replaced.items():
             if not set(paths) <= {s["path"] for s in now["segments"].get(name, [])}:
                 return True
+        if change.alone or (now["facts"] != base["facts"] and "cells" in change.added):
+            return True
         if change.replaced:  # a merged segment stands for the same rows
             return False
         if any(now["tops"].get(k, 0) != base["tops"].get(k, 0) for k in change.tops):
