@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import clusters, identity, ingest, nearest
+from ..operators import clusters, identity, ingest, nearest, retention
 from ..plans.primitives import numbered
 from ..sources.bodies import MAX_BYTES, read_bodies
 from .store import Change, Tables, row_key
@@ -187,6 +187,52 @@ def _resolve(tables: Tables, pick: Callable[[dict], DataFrame | None], hashes: s
     tables.commit(make)
 
 
+# ------------------------------------------------------------------ retention
+
+#: Runs that one step takes away, so that a long neglected branch is drained a step at a time.
+EXPIRED_A_STEP = 500
+
+
+def expire_runs(tables: Tables, kept: int = retention.RUNS_KEPT, most: int = EXPIRED_A_STEP) -> int:
+    """Take away the rows of runs beyond the newest ``kept`` of their branch, at most ``most`` runs, the newest of them last; gives how many.
+
+    Runs and shards stay. A run that expires is one small row: its examples are dead from then on, no file is rewritten, and
+    the next merge of segments leaves them out. A delivery to an expired run brings that delivery's rows, until the next step.
+    """
+    done = []
+
+    def make(base: dict) -> Change | None:
+        done.clear()
+        runs, held = tables.read("runs", None, base), tables.merged("observations", base)
+        if runs is None or held is None:
+            return None
+        ranked = retention.ranked_runs(runs.withColumn("created_at", F.col("received_at"))).filter(F.col("age_rank") > kept)
+        over = ranked.join(held.select(*RUN).distinct(), RUN, "left_semi").orderBy(F.desc("age_rank"), "id").limit(most)
+        version = base["version"] + 1
+        segment = tables.write("expired", _stamped(over.select(*RUN), version), version)
+        if segment is None:
+            return None
+        done.append(segment["rows"])
+        return Change({"expired": segment})
+
+    tables.commit(make)
+    return done[0] if done else 0
+
+
+def expire_cache(tables: Tables, now: datetime, days: int = retention.CACHE_DAYS) -> bool:
+    """Write the embedding cache anew without entries that no one used within the days; whether any was left out."""
+
+    def make(base: dict) -> Change | None:
+        held = tables.merged("cache", base)
+        if held is None or retention.expired_cache(held, now, days).isEmpty():
+            return None
+        version, past = base["version"] + 1, [s["path"] for s in base["segments"]["cache"]]
+        return Change({"cache": tables.write("cache", retention.live_cache(held, now, days).drop("_hash"), version)}, {"cache": past}, set())
+
+    before = tables.current()["version"]
+    return tables.commit(make)["version"] != before
+
+
 # ------------------------------------------------------------------ the index of identities
 
 #: Identities from which on they are indexed, and how often the number must grow for new centres.
@@ -257,6 +303,7 @@ def start_ingest(
         upsert_batch(tables, batch, number, embed, provider)
         if embed is not None:
             reindex(tables)
+        expire_runs(tables)
         if compact:
             tables.compact()
 

@@ -40,7 +40,7 @@ HASHES = 4096
 ATTEMPTS = 20
 
 #: What each table is sorted and pruned by, and the key of its rows.
-KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"], "cells": ["repository_id", "cell"]}
+KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"], "cells": ["repository_id", "cell"], "expired": ["repository_id", "run_key"]}
 NAMES = tuple(KEYS)
 #: Columns that the store adds: the versions that delivered a row and last changed it, the key of an example, the hash.
 OWN = ["_delivered", "_changed", "_row", "_hash"]
@@ -69,8 +69,15 @@ def merge_shards(rows: DataFrame) -> DataFrame:
     return found.select(*ingest.SHARD_KEYS, *(F.col("_newest" if c == "_delivered" else f"row.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 
-def merge_examples(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """The newest row of each example, unless its shard was replaced since."""
+def merge_expired(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS["expired"]).agg(F.max("_delivered").alias("_delivered"), F.max("_changed").alias("_changed"), F.first("_hash").alias("_hash")).select(*rows.columns)
+
+
+def merge_examples(rows: DataFrame, shards: DataFrame, expired: DataFrame | None = None) -> DataFrame:
+    """The newest row of each example, unless its shard was replaced or its run expired since."""
+    if expired is not None:
+        over = expired.select(*KEYS["expired"], F.col("_delivered").alias("_over"))
+        rows = rows.join(over, KEYS["expired"], "left").filter(F.coalesce(F.col("_delivered") > F.col("_over"), F.lit(True))).select(*rows.columns)
     newest = latest_per_key(rows, [*KEYS["observations"], "_row"], ["_delivered", "_changed"])
     buried = shards.select(*ingest.SHARD_KEYS, F.col("_delivered").alias("_replaced"))
     return newest.join(buried, ingest.SHARD_KEYS, "left").filter(F.coalesce(F.col("_delivered") >= F.col("_replaced"), F.lit(True))).select(*rows.columns)
@@ -93,7 +100,7 @@ def merge_cells(rows: DataFrame) -> DataFrame:
     return latest_per_key(rows, ["repository_id", "cell", "id"], ["_delivered", "_changed"])
 
 
-MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache, "cells": merge_cells}
+MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache, "cells": merge_cells, "expired": merge_expired}
 
 
 def _listing(path: str) -> str:
@@ -116,7 +123,7 @@ class Change:
 
 
 class Tables:
-    """runs, shards, observations, rejections, identities, their index of cells and the embedding cache under ``root``."""
+    """runs, shards, observations, rejections, identities, their index of cells, the embedding cache and the list of expired runs under ``root``."""
 
     NAMES = NAMES
 
@@ -270,7 +277,8 @@ class Tables:
         if rows is None:
             return None
         if name == "observations":
-            return merge_examples(rows, merge_shards(self.raw("shards", at, hashes)))
+            expired = self.raw("expired", at, hashes)
+            return merge_examples(rows, merge_shards(self.raw("shards", at, hashes)), expired and merge_expired(expired))
         return MERGES[name](rows)
 
     def read(self, name: str, hashes: set[int] | None = None, at: dict | None = None) -> DataFrame | None:

@@ -12,7 +12,7 @@ from runlens.functions.vectors import lexical_embedder
 from runlens.functions.json import with_json
 from runlens.operators import ingest, nearest, retention
 from runlens.sources.bodies import CORRUPT, NOT_JSON, TOO_LARGE, inflate, inflates
-from runlens.streaming.ingest import add_deliveries, read_deliveries, run_view, start_ingest, upsert_batch, windowed_events
+from runlens.streaming.ingest import add_deliveries, expire_runs, read_deliveries, run_view, start_ingest, upsert_batch, windowed_events
 from runlens.streaming.store import Tables
 
 INTENT = {"entity": "Invoice", "action": "finalize", "behavior": "marks the invoice as paid", "layer": "unit"}
@@ -327,6 +327,31 @@ def test_a_read_for_some_runs_opens_their_files_only(spark, tmp_path, monkeypatc
     assert tables.read("observations", {2**63 - 1}) is None
 
 
+def test_runs_beyond_the_kept_ones_expire_without_rewriting(spark, tmp_path):
+    """A 61st run takes away exactly the first run's rows; no file of examples changes, and merging segments leaves the rows out."""
+    tables = Tables(spark, str(tmp_path / "out"), fanout=2)
+    bodies = [body(ci_run_id=f"r{k}", specs=[spec(id="1"), spec(id="2")]) for k in range(60)] + [body(ci_run_id=f"b{k}", branch=None, specs=[spec(id="1")]) for k in range(60)]
+    add_deliveries(tables, *accepted_bodies(spark, 0, bodies))
+    assert expire_runs(tables) == 0
+    add_deliveries(tables, *accepted_bodies(spark, 1, [body(ci_run_id="r60", specs=[spec(id="1")])]))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("observations/*.parquet")}
+    before, held = files(), tables.read("observations").count()
+    assert expire_runs(tables) == 1 and files() == before
+    runs = lambda: {r["run_key"] for r in tables.read("observations").collect()}
+    assert tables.read("observations").count() == held - 2
+    assert runs() == {f"=r{k}" for k in range(1, 61)} | {f"=b{k}" for k in range(60)}
+    assert expire_runs(tables, kept=50, most=5) == 5  # a step at a time, the oldest first
+    assert runs() >= {f"=r{k}" for k in range(6, 61)}
+    while expire_runs(tables, kept=50, most=5):
+        pass
+    left = {f"=r{k}" for k in range(11, 61)} | {f"=b{k}" for k in range(10, 60)}
+    assert runs() == left and tables.read("runs").count() == 121
+    tables.compact(["observations"])
+    assert {r["run_key"] for r in tables.raw("observations").collect()} == left == runs()
+    add_deliveries(tables, *accepted_bodies(spark, 2, [body(ci_run_id="r0", shard_id="s9", specs=[spec(id="9")])]))
+    assert {r["example_id"] for r in tables.read("observations").filter("run_key = '=r0'").collect()} == {"9"}
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     """Another writer commits between a batch's reading and its publishing: a batch of other runs is published over it, one of the same run is made again."""
     made = lambda name, n, *bodies: [deliver(tmp_path / name, f"{n}{k}.json", b, at=1_700_000_000 + n) for k, b in enumerate(bodies)] and read_deliveries(spark, str(tmp_path / name), streaming=False)
