@@ -204,6 +204,12 @@ def nearest_committed(spark, sf_dir):
     return rounded(found.drop("repository_id"), "similarity")
 
 
+@query(ORACLES["near_duplicate_pairs"], base=False)
+def near_duplicate_pairs_by_rings(spark, sf_dir):
+    """The nearest neighbours of each vector, comparing only what the cells leave possible."""
+    return rounded(clusters.near_duplicate_pairs_by_rings(A.identities(spark, sf_dir), similarity=0.40), "similarity")
+
+
 @query(ORACLES["nearest_committed"], base=False)
 def nearest_by_cells(spark, sf_dir):
     """The same by an index of cells, searched where a match may lie."""
