@@ -93,13 +93,13 @@ def text_lists(df: DataFrame, *columns: str) -> DataFrame:
 count(DISTINCT name) AS distinct_name_count, count(name) AS named_count, count(*) OVER () AS group_count
 FROM areas WHERE test_run_id = {RUN} GROUP BY directory ORDER BY sum(duration_seconds) DESC NULLS LAST, directory LIMIT 10""")
 def directory_durations(spark, sf_dir):
-    return rounded(rollups.directory_durations(A.observations(spark, sf_dir), RUN), "total_seconds")
+    return rounded(rollups.directory_durations(A.observations(spark, sf_dir, RUN), RUN), "total_seconds")
 
 
 @query(f"""SELECT spec_file_path, round(sum(duration_seconds), 6) AS total_seconds, count(*) AS recorded_count, count(duration_seconds) AS timed_count,
 count(*) OVER () AS group_count FROM obs WHERE test_run_id = {RUN} GROUP BY spec_file_path ORDER BY sum(duration_seconds) DESC NULLS LAST, spec_file_path LIMIT 10""")
 def file_durations(spark, sf_dir):
-    return rounded(rollups.file_durations(A.observations(spark, sf_dir), RUN), "total_seconds")
+    return rounded(rollups.file_durations(A.observations(spark, sf_dir, RUN), RUN), "total_seconds")
 
 
 LISTING = "id, spec_file_path, name, duration_seconds, outcome"
@@ -109,32 +109,32 @@ LISTING_COLUMNS = ["id", "spec_file_path", "name", "duration_seconds", "outcome"
 @query(f"""SELECT {LISTING}, count(*) OVER () AS population_recorded_count, count(duration_seconds) OVER () AS population_timed_count
 FROM obs WHERE test_run_id = {RUN} AND spec_file_path = 'spec/d1/f1_spec.rb' ORDER BY duration_seconds DESC NULLS LAST, id LIMIT 50""")
 def examples_in_file(spark, sf_dir):
-    return rollups.examples_in_file(A.observations(spark, sf_dir), RUN, "spec/d1/f1_spec.rb").select(*LISTING_COLUMNS)
+    return rollups.examples_in_file(A.observations(spark, sf_dir, RUN), RUN, "spec/d1/f1_spec.rb").select(*LISTING_COLUMNS)
 
 
 @query(f"""SELECT {LISTING}, count(*) OVER () AS population_recorded_count, count(duration_seconds) OVER () AS population_timed_count
 FROM obs WHERE test_run_id = {RUN} AND name = 'example 7' ORDER BY duration_seconds DESC NULLS LAST, id LIMIT 25""")
 def examples_with_description(spark, sf_dir):
-    return rollups.examples_with_description(A.observations(spark, sf_dir), RUN, "example 7").select(*LISTING_COLUMNS)
+    return rollups.examples_with_description(A.observations(spark, sf_dir, RUN), RUN, "example 7").select(*LISTING_COLUMNS)
 
 
 @query(f"""SELECT spec_file_path, round(sum(duration_seconds), 6) AS total_seconds, count(*) AS recorded_count, count(duration_seconds) AS timed_count,
 count(*) OVER () AS group_count, CAST(sum(count(*)) OVER () AS BIGINT) AS all_recorded_count, CAST(sum(count(duration_seconds)) OVER () AS BIGINT) AS all_timed_count
 FROM areas WHERE test_run_id = {RUN} AND directory = 'spec/d1' GROUP BY spec_file_path ORDER BY sum(duration_seconds) DESC NULLS LAST, spec_file_path LIMIT 25""")
 def files_in_directory(spark, sf_dir):
-    return rounded(rollups.files_in_directory(A.observations(spark, sf_dir), RUN, "spec/d1"), "total_seconds")
+    return rounded(rollups.files_in_directory(A.observations(spark, sf_dir, RUN), RUN, "spec/d1"), "total_seconds")
 
 
 @query(f"SELECT {LISTING} FROM obs WHERE test_run_id = {RUN} AND duration_seconds IS NOT NULL ORDER BY duration_seconds DESC, id LIMIT 10")
 def slowest_examples(spark, sf_dir):
-    return rollups.slowest_examples(A.observations(spark, sf_dir), RUN).select(*LISTING_COLUMNS[:5])
+    return rollups.slowest_examples(A.observations(spark, sf_dir, RUN), RUN).select(*LISTING_COLUMNS[:5])
 
 
 @query(f"""SELECT *, reported_outcome_count - failed_count - pending_count AS other_count, recorded_count - reported_outcome_count AS unreported_count FROM (
 SELECT count(*) AS recorded_count, count(duration_seconds) AS timed_count, count(outcome) AS reported_outcome_count,
 count(*) FILTER (WHERE outcome = 'failed') AS failed_count, count(*) FILTER (WHERE outcome = 'pending') AS pending_count FROM obs WHERE test_run_id = {RUN})""")
 def run_coverage(spark, sf_dir):
-    return rollups.coverage(A.observations(spark, sf_dir), RUN)
+    return rollups.coverage(A.observations(spark, sf_dir, RUN), RUN)
 
 
 @query(f"""SELECT name, round(sum(duration_seconds), 6) AS total_seconds, count(*) AS recorded_count, count(duration_seconds) AS timed_count,
@@ -142,29 +142,29 @@ array_to_string(list_sort(list(DISTINCT spec_file_path)), ',') AS file_paths, co
 CAST(sum(count(*)) OVER () AS BIGINT) AS all_recorded_count, CAST(sum(count(duration_seconds)) OVER () AS BIGINT) AS all_timed_count
 FROM obs WHERE test_run_id = {RUN} AND name IS NOT NULL GROUP BY name HAVING count(*) > 1 ORDER BY sum(duration_seconds) DESC NULLS LAST, name LIMIT 10""")
 def repeated_descriptions(spark, sf_dir):
-    return text_lists(rounded(rollups.repeated_descriptions(A.observations(spark, sf_dir), RUN), "total_seconds"), "file_paths")
+    return text_lists(rounded(rollups.repeated_descriptions(A.observations(spark, sf_dir, RUN), RUN), "total_seconds"), "file_paths")
 
 
 @query(f"SELECT count(*) AS recorded_count, count(*) FILTER (WHERE name IS NULL) AS unnamed_count FROM obs WHERE test_run_id = {RUN}")
 def description_presence(spark, sf_dir):
-    return rollups.description_presence(A.observations(spark, sf_dir), RUN)
+    return rollups.description_presence(A.observations(spark, sf_dir, RUN), RUN)
 
 
 @query(f"SELECT count(*) AS recorded_count, count(*) FILTER (WHERE spec_identity_id IS NULL) AS unresolved_count FROM obs WHERE test_run_id = {RUN}")
 def identity_presence(spark, sf_dir):
-    return rollups.identity_presence(A.observations(spark, sf_dir), RUN)
+    return rollups.identity_presence(A.observations(spark, sf_dir, RUN), RUN)
 
 
 @query(f"""SELECT id, spec_file_path, line_number, count(*) OVER () AS unannotated_recorded_count FROM areas
 WHERE test_run_id = {RUN} AND status = 'unannotated' AND directory = 'spec/d2' ORDER BY spec_file_path, line_number, id LIMIT 100""")
 def unannotated_examples(spark, sf_dir):
-    return rollups.unannotated_examples(A.observations(spark, sf_dir), RUN, directory="spec/d2").select("id", "spec_file_path", "line_number", "unannotated_recorded_count")
+    return rollups.unannotated_examples(A.observations(spark, sf_dir, RUN), RUN, directory="spec/d2").select("id", "spec_file_path", "line_number", "unannotated_recorded_count")
 
 
 @query(f"""SELECT directory, count(*) FILTER (WHERE status = 'unannotated') AS unannotated_count, count(*) AS recorded_count, count(*) OVER () AS group_count
 FROM areas WHERE test_run_id = {RUN} GROUP BY directory ORDER BY unannotated_count DESC, directory LIMIT 10""")
 def unannotated_directories(spark, sf_dir):
-    return rollups.unannotated_directories(A.observations(spark, sf_dir), RUN)
+    return rollups.unannotated_directories(A.observations(spark, sf_dir, RUN), RUN)
 
 
 # ------------------------------------------------------------------ two runs
@@ -193,22 +193,22 @@ ORDER BY abs(latest_seconds - previous_seconds) DESC NULLS LAST, {key} LIMIT {li
 
 @query(_count_growth_sql("directory", "", 10))
 def directory_growth(spark, sf_dir):
-    return growth.directory_growth(A.observations(spark, sf_dir), LATEST, PREVIOUS)
+    return growth.directory_growth(A.observations(spark, sf_dir, LATEST, PREVIOUS), LATEST, PREVIOUS)
 
 
 @query(_count_growth_sql("spec_file_path", "AND directory = 'spec/d1'", 30))
 def file_growth(spark, sf_dir):
-    return growth.file_growth(A.observations(spark, sf_dir), LATEST, PREVIOUS, "spec/d1")
+    return growth.file_growth(A.observations(spark, sf_dir, LATEST, PREVIOUS), LATEST, PREVIOUS, "spec/d1")
 
 
 @query(_runtime_growth_sql("directory", "", 10))
 def directory_runtime_growth(spark, sf_dir):
-    return rounded(growth.directory_runtime_growth(A.observations(spark, sf_dir), LATEST, PREVIOUS), "previous_seconds", "latest_seconds", "change")
+    return rounded(growth.directory_runtime_growth(A.observations(spark, sf_dir, LATEST, PREVIOUS), LATEST, PREVIOUS), "previous_seconds", "latest_seconds", "change")
 
 
 @query(_runtime_growth_sql("spec_file_path", "AND directory = 'spec/d1'", 30))
 def file_runtime_growth(spark, sf_dir):
-    return rounded(growth.file_runtime_growth(A.observations(spark, sf_dir), LATEST, PREVIOUS, "spec/d1"), "previous_seconds", "latest_seconds", "change")
+    return rounded(growth.file_runtime_growth(A.observations(spark, sf_dir, LATEST, PREVIOUS), LATEST, PREVIOUS, "spec/d1"), "previous_seconds", "latest_seconds", "change")
 
 
 #: The oldest run of the window with as many shards (four, as 7 does not divide it) as the newest is the baseline.
@@ -218,7 +218,7 @@ BASELINE = next(d for d in WINDOW if (d % 7 == 0) == (WINDOW[-1] % 7 == 0))
 @query(_count_growth_sql("directory", "", 10, WINDOW[-1], BASELINE))
 def directory_window_growth(spark, sf_dir, limit=len(WINDOW)):
     window = runs.suite_size_trajectory(A.runs(spark, sf_dir), A.shards(spark, sf_dir), runs.latest_run(A.runs(spark, sf_dir), branch="main").first(), limit).collect()
-    return growth.compare_window(A.observations(spark, sf_dir), window).rows
+    return growth.compare_window(A.observations(spark, sf_dir, *(r["id"] for r in window)), window).rows
 
 
 # ------------------------------------------------------------------ a window of runs
@@ -226,7 +226,7 @@ def directory_window_growth(spark, sf_dir, limit=len(WINDOW)):
 
 @query(f"SELECT count(*) AS runs_with_rows, count(*) FILTER (WHERE reported > 0) AS runs_reporting_outcomes FROM (SELECT count(outcome) AS reported FROM obs WHERE test_run_id IN ({WINDOW_SQL}) GROUP BY test_run_id)")
 def window_outcome_reporting(spark, sf_dir, window=WINDOW):
-    return stability.window_outcome_reporting(A.observations(spark, sf_dir), window)
+    return stability.window_outcome_reporting(A.observations(spark, sf_dir, *window), window)
 
 
 @query(f"""SELECT *, recorded_count > run_count AS shared_description FROM (
@@ -236,13 +236,13 @@ array_to_string(list_sort(list(DISTINCT outcome) FILTER (WHERE outcome IS NOT NU
 FROM first_obs WHERE test_run_id IN ({WINDOW_SQL}) AND name IN (SELECT name FROM first_obs WHERE test_run_id IN ({WINDOW_SQL}) AND outcome = 'failed' AND name IS NOT NULL GROUP BY name ORDER BY count(*), name LIMIT 200)
 GROUP BY name) WHERE failed_count > 0 AND reported_outcome_count > failed_count""")
 def unstable_tests(spark, sf_dir, window=WINDOW):
-    return text_lists(stability.unstable_tests(A.first_observations(spark, sf_dir), window), "outcomes", "file_paths")
+    return text_lists(stability.unstable_tests(A.first_observations(spark, sf_dir, *window), window), "outcomes", "file_paths")
 
 
 @query(f"""SELECT test_run_id, id, outcome, list_position([{WINDOW_SQL}], test_run_id) AS window_position, count(*) OVER () AS population_recorded_count,
 count(outcome) OVER () AS population_reported_outcome_count FROM obs WHERE test_run_id IN ({WINDOW_SQL}) AND name = 'example 7' ORDER BY window_position, id LIMIT 200""")
 def unstable_test_runs(spark, sf_dir, window=WINDOW):
-    rows = stability.unstable_test_runs(A.observations(spark, sf_dir), window, "example 7")
+    rows = stability.unstable_test_runs(A.observations(spark, sf_dir, *window), window, "example 7")
     return rows.select("test_run_id", "id", "outcome", F.col("window_position").cast("int").alias("window_position"), "population_recorded_count", "population_reported_outcome_count")
 
 
@@ -253,7 +253,7 @@ array_to_string(list_sort(list(DISTINCT spec_file_path)), ',') AS file_paths
 FROM obs WHERE test_run_id IN ({WINDOW_SQL}) AND spec_identity_id IN (SELECT spec_identity_id FROM obs WHERE test_run_id = {WINDOW[-1]} AND spec_identity_id IS NOT NULL
 GROUP BY spec_identity_id ORDER BY sum(duration_seconds) DESC NULLS LAST, spec_identity_id LIMIT 10) GROUP BY spec_identity_id)""")
 def slowest_tests_window(spark, sf_dir, window=WINDOW):
-    return text_lists(rounded(stability.slowest_tests(A.observations(spark, sf_dir), window), "total_seconds"), "names", "file_paths")
+    return text_lists(rounded(stability.slowest_tests(A.observations(spark, sf_dir, *window), window), "total_seconds"), "names", "file_paths")
 
 
 # The same questions over the branch's whole window: its newest runs, 30 at most. The queries above keep to WINDOW.
@@ -532,7 +532,7 @@ def resolved_identities(spark, sf_dir):
     """
     from .functions.vectors import lexical_embedder
 
-    rows = A.observations(spark, sf_dir).withColumn("spec_identity_id", F.lit(None).cast("long"))
+    rows = A.observations(spark, sf_dir, RUN - 1, RUN).withColumn("spec_identity_id", F.lit(None).cast("long"))
     fifth, hashed = F.regexp_extract("name", r"([0-9]+)", 1).try_cast("int") % 5, F.sha2("name", 256)
     rows = rows.withColumns({"fifth": fifth, "name": F.concat(F.lit("checks "), F.substring(hashed, 1, 8), F.lit(" "), F.substring(hashed, 9, 8))})
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("intent_entity", "intent_action", "intent_behavior")})
@@ -649,7 +649,7 @@ def organizations(spark, sf_dir):
 ELSE printf('%.2fs', duration_seconds) END AS label FROM obs WHERE test_run_id = 30 AND abs(duration_seconds * 100 - floor(duration_seconds * 100) - 0.5) > 0.001 OR test_run_id = 30 AND duration_seconds IS NULL""")
 def duration_labels(spark, sf_dir):
     """Labels of one run's rows, but those on the edge between two hundredths."""
-    rows = A.observations(spark, sf_dir).filter(F.col("test_run_id") == RUN)
+    rows = A.observations(spark, sf_dir, RUN).filter(F.col("test_run_id") == RUN)
     d = F.col("duration_seconds")
     rows = rows.filter(d.isNull() | (F.abs(d * 100 - F.floor(d * 100) - 0.5) > 0.001))
     return rows.select("id", F.when(d >= 60, "long").otherwise(X.humanized_duration(d)).alias("label"))
@@ -658,5 +658,5 @@ def duration_labels(spark, sf_dir):
 @query()
 def duration_labels_of_all_rows(spark, sf_dir):
     """The label of every row of one run; Python's own format checks it, as SQL has none for hours and minutes."""
-    rows = A.observations(spark, sf_dir).filter(F.col("test_run_id") == RUN)
+    rows = A.observations(spark, sf_dir, RUN).filter(F.col("test_run_id") == RUN)
     return rows.select("id", X.humanized_duration(F.col("duration_seconds")).alias("label"))

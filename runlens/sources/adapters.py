@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as an example: a day is a run, a user a test, the event type an outcome."""
+def observations(spark: SparkSession, sf_dir: str, *runs: int) -> DataFrame:
+    """Every event as an example: a day is a run, a user a test, the event type an outcome.
+
+    ``runs``: those asked about; the days from the first to the last of them are a range of ``ts``, which reaches the scan.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    if runs:
+        day_of = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n - 1).cast("timestamp")
+        e = e.filter((F.col("ts") >= day_of(min(runs))) & (F.col("ts") < day_of(max(runs) + 1)))
     day = (F.datediff(F.to_date("ts"), F.lit("2024-01-01")) + 1).cast("long")
     user, event = F.col("user_id"), F.col("event_id")
     path = F.when(user % 25 == 24, "root_spec.rb").otherwise(F.concat(F.lit("spec/d"), (user % 5).cast("string"), F.lit("/f"), (user % 25).cast("string"), F.lit("_spec.rb")))
@@ -67,9 +73,9 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.accepted(ingest.validate(sent))
 
 
-def first_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_observations(spark: SparkSession, sf_dir: str, *runs: int) -> DataFrame:
     """The first row of each run and test, so that descriptions are unique within a run."""
-    rows = observations(spark, sf_dir).withColumn("user", F.coalesce("spec_identity_id", -F.col("id")))
+    rows = observations(spark, sf_dir, *runs).withColumn("user", F.coalesce("spec_identity_id", -F.col("id")))
     return latest_per_key(rows, ["test_run_id", "user"], ["id"], newest=False).drop("user")
 
 

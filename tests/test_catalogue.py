@@ -37,6 +37,17 @@ def test_no_cartesian_product_and_pushed_filters(spark, sf_dir):
     assert "EqualTo(user_id,3)" in plan and "props" not in plan.split("ReadSchema")[-1][:200]
 
 
+RUN_QUERIES = ["directory_durations", "file_durations", "repeated_descriptions", "directory_growth", "directory_runtime_growth", "unstable_tests", "window_outcome_reporting", "slowest_tests_window", "run_coverage", "duration_labels"]
+
+
+@pytest.mark.parametrize("name", RUN_QUERIES)
+def test_questions_about_runs_read_their_days_only(spark, sf_dir, name):
+    """Of the registered query: every scan of the events is told the range of days."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "events.parquet" in line]
+    assert scans and all("GreaterThanOrEqual(ts," in line and "LessThan(ts," in line for line in scans), plan
+
+
 def test_branch_window_is_the_whole_window(spark, sf_dir):
     from runlens import queries
 
