@@ -9,15 +9,17 @@ in numpy, from zero-mean random starts with a fixed seed.
 Training reads a bounded sample: of each label about ``per_lang`` rows (twice that at most), fewer where there are so
 many labels that ``rows_most`` rows in all would be passed, but LEAST of each label at any rate, so no language is
 left out. Rows are chosen by a hash of doc_id and text, so they are the same at every run; copies of a row under one doc_id
-count once. A row gives its FEATURES most frequent subwords at most. So the driver collects 24 KB a row, of about
-twice ``rows_most`` rows at most, or of LEAST a label. A tenth of them is held back to fit the softmax
+count once. A row gives its FEATURES most frequent subwords at most, fewer where all rows together would pass
+SAMPLE_BYTES, and LEAST_FEATURES at any rate; labels so many that even those pass it (some 80,000) are refused with a
+ValueError before anything is collected. So the driver holds at most SAMPLE_BYTES. A tenth of them is held back to fit the softmax
 temperature and the rejection threshold: the score under which only a ``miss`` share of the correct held-back
 predictions fall, and never over one half. Predictions are made for every row, over whole texts.
 
 Cases: a null text, or one without letters, gets lang_pred ``und`` and score 0 and is rejected; an unlabelled table
 trains no model and gives ``und`` everywhere; rows that repeat a doc_id each get their row; an empty table gives
 no rows; a null doc_id stays null, counts as not held out and is not trained on; other columns are ignored,
-whatever their names. Memory: one chunk of texts; a longer text is read in slices of SLICE bytes.
+whatever their names. Memory: one chunk of texts, and HELD
+probabilities of them; a longer text is read in slices of SLICE bytes.
 """
 
 from __future__ import annotations
@@ -39,7 +41,11 @@ SIZES = (3, 4)
 SLICE = 1 << 20
 UNKNOWN = "und"
 #: Of the training sample: rows of any label (where it has them), and subwords of a row.
-LEAST, FEATURES = 8, 4096
+LEAST, FEATURES, LEAST_FEATURES = 8, 4096, 64
+#: What the sample may take on the driver, at FEATURE_BYTES a subword.
+SAMPLE_BYTES, FEATURE_BYTES = 1 << 29, 6
+#: Probabilities (texts times labels) that are held at once.
+HELD = 1 << 21
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
@@ -123,7 +129,15 @@ def score_texts(model: Model, tables: tuple[np.ndarray, np.ndarray | None], data
     return model.softmax(means if matrix is None else means @ matrix), counts
 
 
-def _features(batches) -> Iterator[pa.RecordBatch]:
+def features_of(labels: int, each: int) -> int:
+    """Subwords of a row that keep ``labels`` times twice ``each`` rows within SAMPLE_BYTES."""
+    found = SAMPLE_BYTES // (FEATURE_BYTES * 2 * each * max(labels, 1))
+    if found < LEAST_FEATURES:
+        raise ValueError(f"{labels} labels of {each} rows do not fit {SAMPLE_BYTES} bytes: join labels, or train on groups of them")
+    return min(FEATURES, found)
+
+
+def _features(batches, most: int = FEATURES) -> Iterator[pa.RecordBatch]:
     """label, key, and the buckets of a text with their counts, whatever the text's length."""
     for batch in batches:
         labels, keys = batch.column("lang"), batch.column("key")
@@ -135,7 +149,7 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
                 for lo in range(0, len(padded), SLICE):
                     bucket, at = subwords(padded[lo : lo + SLICE + max(SIZES) - 1])
                     counts += np.bincount(bucket[at < SLICE], minlength=BUCKETS)
-                used = np.sort(np.argsort(-counts, kind="stable")[: min(FEATURES, np.count_nonzero(counts))])
+                used = np.sort(np.argsort(-counts, kind="stable")[: min(most, np.count_nonzero(counts))])
                 rows.append((used.astype("<u2").tobytes(), counts[used].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([labels.slice(i, j - i), keys.slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "key", "buckets", "counts"])
 
@@ -148,12 +162,13 @@ def sample_features(docs: DataFrame, per_lang: int, rows_most: int) -> list[tupl
     sizes = write_table(rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("kinds")), "labels")
     labels = sizes.count()
     each = max(LEAST, min(per_lang, rows_most // max(labels, 1)))
+    features = features_of(labels, each)
     # where few rows of a label are wanted, more are drawn, so that a label drawn empty is out of the question
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max(each, 4 * LEAST))) / F.greatest("kinds", F.lit(1))).alias("share"))
     chosen = rows.join(F.broadcast(share) if labels <= 10_000 else share, "lang").filter(F.pmod("key", F.lit(1 << 24)) < F.ceil(F.col("share") * (1 << 24))).drop("share")
     chosen = chosen.dropDuplicates(["lang", "key"])
     chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("n") <= 2 * each).drop("n")
-    got = in_batches(chosen).mapInArrow(_features, "lang string, key long, buckets binary, counts binary").collect()
+    got = in_batches(chosen).mapInArrow(lambda it: _features(it, features), "lang string, key long, buckets binary, counts binary").collect()
     out = [(r["lang"], r["key"], np.frombuffer(r["buckets"], "<u2").astype(np.int32), np.frombuffer(r["counts"], "<f4")) for r in got]
     return [(lang, b, c) for lang, _, b, c in sorted(out, key=lambda r: (r[1], r[0], len(r[2]))) if len(b)]
 
@@ -212,8 +227,12 @@ def predict_chunk(model: Model | None, tables, data: np.ndarray, offsets: np.nda
     n = len(offsets) - 1
     if model is None:
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    p, _ = score_texts(model, tables, data, offsets)
-    best, score = p.argmax(axis=1), p.max(axis=1)
+    best, score = np.zeros(n, np.int64), np.zeros(n)
+    step = max(1, HELD // len(model.langs))
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        p, _ = score_texts(model, tables, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        best[lo:hi], score[lo:hi] = p.argmax(axis=1), p.max(axis=1)
     letters = (_LETTER[data] != 0) & (data < 128)
     upto = np.concatenate([[0], np.cumsum(letters)])
     plain = upto[offsets[1:]] > upto[offsets[:-1]]

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import ascii_lower
 from oracle import assert_same
@@ -129,6 +130,24 @@ def test_calls_and_results_match_sql(spark, sf_dir):
 SCHEMAS = {"add": {"required": ["a", "b"], "properties": {"a": "integer", "b": "number", "note": "string"}}}
 
 
+def test_many_labels_stay_within_the_budget(spark, monkeypatch):
+    """Three hundred labels on a small budget: fewer subwords a row, every label learned; labels beyond it are refused."""
+    assert language_id.features_of(4, 800) == language_id.FEATURES and language_id.features_of(40_000, 8) < 200
+    with pytest.raises(ValueError, match="do not fit"):
+        language_id.features_of(200_000, 8)
+    rows = [(k * 10 + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in range(30)), f"l{k:03d}") for k in range(300) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 300 * 2 * 53 * language_id.FEATURE_BYTES * 80)
+    got = language_id.sample_features(df, 800, 16_000)
+    assert len({lang for lang, _, _ in got}) == 300 and max(len(b) for _, b, _ in got) <= 80
+    whole = language_id.Model(["a", "b", "c"], np.ones((language_id.BUCKETS, language_id.DIM)), np.arange(language_id.DIM * 3).reshape(-1, 3) / 50, np.zeros(3))
+    data, offsets = np.frombuffer(b"some words here" * 9, np.uint8), np.arange(0, 136, 15)
+    once = language_id.predict_chunk(whole, whole.tables(), data, offsets)
+    monkeypatch.setattr(language_id, "HELD", 4)
+    again = language_id.predict_chunk(whole, whole.tables(), data, offsets)
+    assert once[0] == again[0] and (once[1] == again[1]).all() and (once[2] == again[2]).all()
+
+
 def test_arguments_must_be_objects_and_texts_whole_json(spark):
     given = ['"{not json"', "[1,2]", '"5"', '"[1]"', "null", '{"a":1,"a":2}', '"{\\"a\\":1,\\"a\\":3}"', "{}", '"{} and prose"']
     texts = ['{"tool_calls":[{"id":"%d","name":"free","arguments":%s}]}' % (k, x) for k, x in enumerate(given)]
