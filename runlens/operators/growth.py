@@ -20,6 +20,10 @@ def _flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"change": change, "moved": change != 0, "is_new": F.col("previous_count") == 0, "is_removed": F.col("latest_count") == 0})
 
 
+#: Files of an area that are listed.
+FILES = 30
+
+
 def _count_growth(rows: DataFrame, key: str, latest: int, previous: int, limit: int) -> DataFrame:
     groups = two_point(rows, key, previous, latest, {"count": F.lit(1)})
     counted = with_population(groups, {"group_count": row_count(), "previous_total": F.sum("previous_count"), "latest_total": F.sum("latest_count")})
@@ -31,7 +35,7 @@ def directory_growth(observations: DataFrame, latest: int, previous: int, limit:
     return _count_growth(observations.withColumn("directory", area(F.col("spec_file_path"))), "directory", latest, previous, limit)
 
 
-def file_growth(observations: DataFrame, latest: int, previous: int, directory: str, limit: int = 30) -> DataFrame:
+def file_growth(observations: DataFrame, latest: int, previous: int, directory: str, limit: int = FILES) -> DataFrame:
     """The same for the files of one area."""
     return _count_growth(observations.filter(area(F.col("spec_file_path")) == directory), "spec_file_path", latest, previous, limit)
 
@@ -53,7 +57,7 @@ def directory_runtime_growth(observations: DataFrame, latest: int, previous: int
     return _runtime_growth(observations.withColumn("directory", area(F.col("spec_file_path"))), "directory", latest, previous, limit)
 
 
-def file_runtime_growth(observations: DataFrame, latest: int, previous: int, directory: str, limit: int = 30) -> DataFrame:
+def file_runtime_growth(observations: DataFrame, latest: int, previous: int, directory: str, limit: int = FILES) -> DataFrame:
     return _runtime_growth(observations.filter(area(F.col("spec_file_path")) == directory), "spec_file_path", latest, previous, limit)
 
 
@@ -116,7 +120,7 @@ def compare_directories(observations: DataFrame, latest: Row | None, previous: R
     return Growth(state or "comparable", None if state else rows, {"group_count": at("group_count")})
 
 
-def compare_files(observations: DataFrame, latest: Row | None, previous: Row | None, directory: str, limit: int = 30, runtime: bool = False) -> Growth:
+def compare_files(observations: DataFrame, latest: Row | None, previous: Row | None, directory: str, limit: int = FILES, runtime: bool = False) -> Growth:
     """File growth inside one area; its state is that of the areas' comparison."""
     outer = compare_directories(observations, latest, previous, runtime=runtime)
     if not outer.comparable:

@@ -37,6 +37,22 @@ class Tables:
     observations: DataFrame
     rejections: DataFrame | None = None
     keys: DataFrame | None = None
+    repositories: DataFrame | None = None  # id, full_name, name, registered_at
+
+
+#: The orders that lists are served in, and how a comparison's ends are chosen.
+ORDERS = {"history": "ingested_at_desc,ingest_sequence_desc", "change": "abs_change_desc,path_asc", "runtime": "abs_change_desc_nulls_last,path_asc", "branches": "run_count_desc,last_run_at_desc,name_asc"}
+ENDPOINTS, BEFORE = "two_endpoints", "previous_run_on_branch"
+
+
+def _scope(branch: str | None) -> dict:
+    return {"branch_scope": "single_branch" if branch else "all_branches", "branch": branch}
+
+
+def _run_growth_window(block: dict, order: str, anchor: Row | None, previous: Row | None) -> dict:
+    """How a comparison with the run before came about."""
+    ends = {"anchor_commit_sha": anchor and anchor["commit_sha"], "baseline_commit_sha": previous and previous["commit_sha"]}
+    return {"order": order, "tie_break_served": True, "basis": BEFORE, "branch_scope": "single_branch", "branch": anchor and anchor["branch"], "state": block["state"], "comparable": block["state"] == "comparable", **ends}
 
 
 def _growth_block(found: growth.Growth) -> dict:
@@ -55,15 +71,22 @@ def repository_report(
     unstable_test: object = None,
     unannotated_examples: object = None,
     pinned: Sequence[str] = (),
+    key: object = None,
 ) -> dict:
-    """The report's blocks; those that do not apply are None."""
+    """The report's blocks, and beside each list the window that it was made from; those that do not apply are None.
+
+    ``key``: the name of the key that asks, one of ``tables.keys`` (name, last_used_at, rotated_at).
+    """
     branch, commit_sha, directory, file, description, unstable, unannotated = map(_asked, (branch, commit_sha, spec_directory, spec_file, repeated_description, unstable_test, unannotated_examples))
     own = tables.runs.filter(F.col("repository_id") == repository_id)
     shards = tables.shards
     rows = tables.observations.filter(F.col("repository_id") == repository_id)
     anchor = runs.with_shards(runs.run_anchor(own, commit_sha), shards).first()
     window = runs.recent_runs(own, shards, branch)
+    history_limit = 30 if branch else 10
     out: dict = {
+        "repository": None if tables.repositories is None else _one(tables.repositories.filter(F.col("id") == repository_id).select("id", "full_name", "name", "registered_at")),
+        "api_key": _key_block(tables.keys, repository_id, _asked(key)),
         "delivery_health": None if tables.rejections is None else _one(tenancy.delivery_health(tables.rejections.filter(F.col("repository_id") == repository_id), own)),
         "credential_health": None if tables.keys is None else _rows(tenancy.credential_health(tables.keys.filter(F.col("repository_id") == repository_id))),
         "run_anchor": None if anchor is None else {k: anchor[k] for k in ("id", "source", "resolved", "commit_sha", "branch")},
@@ -71,6 +94,8 @@ def repository_report(
         "history": _rows(window),
         "branches": _rows(runs.branch_histories(own, pinned)),
     }
+    out["history_window"] = {"order": ORDERS["history"], "tie_break_served": False, **_scope(branch), "limit": history_limit, "returned": len(out["history"])}
+    out["branches_window"] = {"order": ORDERS["branches"], "tie_break_served": False, "run_count_limit": 30, "walk_limit": 500, "walk_cut": len(out["branches"]) >= 500, "returned": len(out["branches"])}
     history = list(reversed(window.collect())) if branch else []
     ids = [r["id"] for r in history]
     out["unstable_tests"] = _rows(stability.unstable_tests(rows, ids)) if ids else None
@@ -83,9 +108,22 @@ def repository_report(
     out["directory_runtime_growth"] = _growth_block(compare(rows, anchor, previous, runtime=True))
     for name, runtime in (("directory_run_file_growth", False), ("directory_runtime_file_growth", True)):
         out[name] = _growth_block(growth.compare_files(rows, anchor, previous, directory, runtime=runtime)) if directory else None
+        whole = out["directory_runtime_growth" if runtime else "directory_run_growth"]
+        own_window = _run_growth_window(whole, ORDERS["runtime" if runtime else "change"], anchor, previous)
+        out["directory_runtime_growth_window" if runtime else "directory_run_growth_window"] = own_window
+        out[f"{name}_window"] = {"path": directory, **{k: own_window[k] for k in ("order", "tie_break_served", "basis", "state", "comparable")}, "limit": growth.FILES}
+    out["directory_growth_window"] = {"order": ORDERS["change"], "tie_break_served": True, "basis": ENDPOINTS, **_scope(branch), "grouped": out["directory_growth"] is not None}
     return out
 
 
+def _key_block(keys: DataFrame | None, repository_id: int, name: str | None) -> dict | None:
+    """The asking key, and which blocks tell whether it is accepted and rotated."""
+    if keys is None or name is None:
+        return None
+    found = _one(keys.filter((F.col("repository_id") == repository_id) & (F.col("name") == name)).select("name", "last_used_at", "rotated_at"))
+    return found and found | {"acceptance_reported_by": "delivery_health", "rotation_reported_by": "credential_health"}
+
+
 def _previous(own: DataFrame, shards: DataFrame, anchor: Row | None) -> Row | None:
     if anchor is None:
         return None
