@@ -5,7 +5,7 @@ Each comparison has a state, decided in a fixed order from a few scalars, before
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
@@ -25,7 +25,11 @@ FILES = 30
 
 
 def _count_growth(rows: DataFrame, key: str, latest: int, previous: int, limit: int) -> DataFrame:
-    groups = two_point(rows, key, previous, latest, {"count": F.lit(1)})
+    return ranked_counts(two_point(rows, key, previous, latest, {"count": F.lit(1)}), key, limit)
+
+
+def ranked_counts(groups: DataFrame, key: str, limit: int) -> DataFrame:
+    """Groups with previous_count and latest_count, those that moved most first."""
     counted = with_population(groups, {"group_count": row_count(), "previous_total": F.sum("previous_count"), "latest_total": F.sum("latest_count")})
     return topk(_flags(counted), [F.desc(F.abs("change")), F.asc_nulls_last(key)], limit)
 
@@ -128,8 +132,11 @@ def compare_files(observations: DataFrame, latest: Row | None, previous: Row | N
     return Growth("comparable", (file_runtime_growth if runtime else file_growth)(observations, latest["id"], previous["id"], directory, limit))
 
 
-def compare_window(observations: DataFrame, runs: Sequence[Row], limit: int = 10) -> Growth:
-    """Area growth over a window of run rows, oldest first: the newest run against the oldest measured one assembled like it."""
+def compare_window(observations: DataFrame, runs: Sequence[Row], limit: int = 10, grow: Callable[[DataFrame, int, int, int], DataFrame] = directory_growth) -> Growth:
+    """Area growth over a window of run rows, oldest first: the newest run against the oldest measured one assembled like it.
+
+    ``grow`` compares two runs over ``observations``, or over what it takes in their place.
+    """
     anchor = runs[-1] if runs else None
     if not measured(anchor):
         return Growth("anchor_unmeasured")
@@ -149,7 +156,7 @@ def compare_window(observations: DataFrame, runs: Sequence[Row], limit: int = 10
     if baseline is None:
         return Growth("no_comparable_composition" if mismatched else "no_measured_baseline", None, context)
     context |= {"baseline_run_id": runs[baseline]["id"], "anchor_run_id": anchor["id"], "runs_back": len(runs) - 1 - baseline}
-    rows = directory_growth(observations, anchor["id"], runs[baseline]["id"], limit)
+    rows = grow(observations, anchor["id"], runs[baseline]["id"], limit)
     rows, first = _kept(rows)
     at = lambda c: int(first[c] or 0) if first else 0
     state = _sides("recorded", at("previous_total"), at("latest_total"), "baseline", "anchor")

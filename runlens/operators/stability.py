@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -52,8 +52,13 @@ def unstable_tests(observations: DataFrame, run_ids: Sequence[int], limit: int =
 
     No rows unless two runs of the window report outcomes.
     """
-    gate = window_outcome_reporting(observations, run_ids).select((F.col("runs_reporting_outcomes") >= COMPARABLE_RUNS).alias("comparable"))
     found = outcome_composition(observations, run_ids, unstable_candidates(observations, run_ids, limit))
+    return changed_outcomes(found, window_outcome_reporting(observations, run_ids))
+
+
+def changed_outcomes(found: DataFrame, reporting: DataFrame) -> DataFrame:
+    """Of compositions those that failed and did not only fail, if enough runs report outcomes."""
+    gate = reporting.select((F.col("runs_reporting_outcomes") >= COMPARABLE_RUNS).alias("comparable"))
     changed = found.filter((F.col("failed_count") > 0) & (F.col("reported_outcome_count") > F.col("failed_count")))
     changed = changed.join(F.broadcast(gate)).filter("comparable").drop("comparable")
     changed = changed.withColumn("shared_description", F.col("recorded_count") > F.col("run_count"))
@@ -93,6 +98,11 @@ def slowest_tests(observations: DataFrame, run_ids: Sequence[int], limit: int =
         F.array_sort(F.collect_set("name")).alias("names"),
         F.array_sort(F.collect_set("spec_file_path")).alias("file_paths"),
     )
+    return weighed(found)
+
+
+def weighed(found: DataFrame) -> DataFrame:
+    """Identities over a window, the slowest first, with what changed about them."""
     found = found.withColumns({"renamed": F.size("names") > 1, "moved": F.size("file_paths") > 1, "repeated_within_run": F.col("recorded_count") > F.col("run_count")})
     return found.orderBy(F.desc_nulls_last("total_seconds"), F.desc("recorded_count"), F.asc("spec_identity_id"))
 
@@ -106,11 +116,16 @@ class SlowestTests:
 
 def rank_slowest_tests(observations: DataFrame, run_ids: Sequence[int], limit: int = 10) -> SlowestTests:
     """The ranking behind its state: no_runs, unrecorded, unresolved or ranked."""
+    return ranking(run_ids, lambda anchor: identity_presence(observations, anchor), lambda: slowest_tests(observations, run_ids, limit))
+
+
+def ranking(run_ids: Sequence[int], presence_of: Callable[[int], DataFrame], ranked: Callable[[], DataFrame]) -> SlowestTests:
+    """The state of a ranking, from what its anchor (the last run) has."""
     if not run_ids:
         return SlowestTests("no_runs")
-    presence = identity_presence(observations, run_ids[-1]).first().asDict()
+    presence = presence_of(run_ids[-1]).first().asDict()
     if not presence["recorded_count"]:
         return SlowestTests("unrecorded", None, presence)
     if presence["recorded_count"] == presence["unresolved_count"]:
         return SlowestTests("unresolved", None, presence)
-    return SlowestTests("ranked", slowest_tests(observations, run_ids, limit), presence)
+    return SlowestTests("ranked", ranked(), presence)

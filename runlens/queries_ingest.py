@@ -8,12 +8,12 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .operators import clusters, identity, ingest, nearest, retention, tenancy
+from .operators import clusters, identity, ingest, nearest, partials, retention, runs, tenancy
 from .plans.storage import fresh_path, write_table
-from .queries import NOW, ORACLES, query, rounded
+from .queries import NOW, ORACLES, branch_window, query, rounded, text_lists
 from .sources import adapters as A
 from .sources.bodies import CORRUPT, FILES, NOT_JSON, inflates, texts_of
-from .streaming.ingest import add_deliveries, check_deliveries
+from .streaming.ingest import add_deliveries, check_deliveries, refresh_partials
 from .streaming.store import Tables
 
 #: Orders as deliveries and their lines as examples: the adapter's rules in SQL.
@@ -278,15 +278,77 @@ def stored_and_compacted(spark, sf_dir):
 
 
 def _stored(spark, sf_dir, fanout, compact=False):
+    return _stored_tables(spark, sf_dir, fanout, compact).read("observations")
+
+
+def _stored_tables(spark, sf_dir, fanout, compact=False, follow=False):
     sent = write_table(A.deliveries(spark, sf_dir), "sent")
     middle = sent.agg(F.floor(F.max("delivery_seq") / 2)).first()[0]
     none = spark.createDataFrame([], "repository_id long, occurred_at timestamp, details array<string>, total_reasons_count int, user_agent string, id long")
     tables = Tables(spark, fresh_path(spark, "stored"), fanout)
     for part in (sent.filter(F.col("delivery_seq") <= middle), sent.filter(F.col("delivery_seq") > middle)):
         add_deliveries(tables, part, none)
+        if follow:
+            refresh_partials(tables)
     if compact:
         tables.compact()
-    return tables.read("observations")
+    return tables
+
+
+def _added_up(name: str) -> str:
+    """The examples after both batches, added up within their runs."""
+    by = {"run_facts": [], "run_names": ["name", "spec_file_path"], "run_areas": ["regexp_replace(spec_file_path, '/[^/]*$', '') AS directory"]}[name]
+    named = ", CAST(count(name) AS BIGINT) AS named_count" if name == "run_facts" else ""
+    return f"SELECT {', '.join(['repository_id', 'run_key', *by])}, count(*) AS recorded_count{named} FROM ({ORACLES['ingest_two_batches']}) GROUP BY ALL"
+
+
+@query(_added_up("run_facts"), base=False)
+def stored_run_facts(spark, sf_dir):
+    """Totals of runs, kept up batch by batch: a run of both batches is added up anew by the second."""
+    facts = _stored_tables(spark, sf_dir, 2, follow=True).read("run_facts")
+    return facts.filter("recorded_count > 0").select("repository_id", "run_key", "recorded_count", "named_count")
+
+
+@query(_added_up("run_names"), base=False)
+def stored_run_names(spark, sf_dir):
+    """Descriptions of runs by file, kept up batch by batch and merged."""
+    return _stored_tables(spark, sf_dir, 2, compact=True, follow=True).read("run_names").select("repository_id", "run_key", "name", "spec_file_path", "recorded_count")
+
+
+@query(_added_up("run_areas"), base=False)
+def stored_run_areas(spark, sf_dir):
+    """Areas of runs, kept up batch by batch."""
+    return _stored_tables(spark, sf_dir, 2, follow=True).read("run_areas").select("repository_id", "run_key", "directory", "recorded_count")
+
+
+def _partials(spark, sf_dir, rows):
+    """All runs added up once, and written; the questions read these tables only."""
+    return partials.Partials.of({name: write_table(partials.partial(rows, name), name) for name in partials.WITHIN})
+
+
+@query(ORACLES["window_outcome_reporting_branch_window"], base=False)
+def window_outcome_reporting_from_partials(spark, sf_dir):
+    return partials.window_outcome_reporting(_partials(spark, sf_dir, A.observations(spark, sf_dir)), branch_window(spark, sf_dir))
+
+
+@query(ORACLES["unstable_tests_branch_window"], base=False)
+def unstable_tests_from_partials(spark, sf_dir):
+    """The branch's whole window, from what its runs were added up to."""
+    found = partials.unstable_tests(_partials(spark, sf_dir, A.first_observations(spark, sf_dir)), branch_window(spark, sf_dir))
+    return text_lists(found, "outcomes", "file_paths")
+
+
+@query(ORACLES["slowest_tests_window_branch_window"], base=False)
+def slowest_tests_from_partials(spark, sf_dir):
+    found = partials.slowest_tests(_partials(spark, sf_dir, A.observations(spark, sf_dir)), branch_window(spark, sf_dir))
+    return text_lists(rounded(found, "total_seconds"), "names", "file_paths")
+
+
+@query(ORACLES["directory_window_growth_branch_window"], base=False)
+def directory_growth_from_partials(spark, sf_dir):
+    """The newest run of the branch against the oldest like it, by areas."""
+    window = runs.suite_size_trajectory(A.runs(spark, sf_dir), A.shards(spark, sf_dir), runs.latest_run(A.runs(spark, sf_dir), branch="main").first(), 30).collect()
+    return partials.compare_window(_partials(spark, sf_dir, A.observations(spark, sf_dir)), window).rows
 
 
 # ------------------------------------------------------------------ tenancy

@@ -11,16 +11,17 @@ holds the rows and identities that changed.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import clusters, identity, ingest, nearest, retention
+from ..operators import clusters, identity, ingest, nearest, partials, retention
 from ..plans.primitives import numbered
 from ..sources.bodies import MAX_BYTES, read_bodies
 from .store import Change, Tables, row_key
@@ -233,6 +234,88 @@ def expire_cache(tables: Tables, now: datetime, days: int = retention.CACHE_DAYS
     return tables.commit(make)["version"] != before
 
 
+# ------------------------------------------------------------------ partial aggregates of runs
+
+#: What changes a run's examples.
+FOLLOWED = ("observations", "shards", "expired")
+
+
+def refresh_partials(tables: Tables) -> bool:
+    """Add up again the runs that changed since this was last done; whether there were any.
+
+    Reads the segments that came since, for the names of their runs, and these runs' examples: about what ingest read and wrote. A run's new
+    totals bury what was added up of it before, so nothing is rewritten; a run without examples left has totals of zero.
+    """
+
+    def make(base: dict) -> Change | None:
+        mark, version = base["facts"].get("windows"), base["version"] + 1
+        since = {name: [s["path"] for s in base["segments"].get(name, []) if mark is None or s.get("at", 0) > mark] for name in FOLLOWED}
+        found = [tables.raw(name, base, paths=paths).select(*RUN) for name, paths in since.items() if paths]
+        if not found:
+            return None
+        stale = reduce(DataFrame.unionByName, found).distinct()
+        hashes = tables.hashes("runs", stale)
+        rows = tables.merged("observations", base, hashes)
+        if rows is not None:
+            rows = ingest.with_state(rows).join(stale, RUN, "left_semi").select(*RUN, *partials.READ)
+            rows = rows.persist() if hashes is not None else rows  # four tables of few runs; of more, each reads for itself
+
+        def table(name: str) -> DataFrame | None:
+            made = partials.partial(rows, name, RUN) if rows is not None else None
+            if name != "run_facts":
+                return made
+            zero = {c: 0 for c in ("recorded_count", "named_count", "resolved_count", "reported_count", "timed_count")}
+            if made is None:
+                return stale.withColumns({c: F.lit(0).cast("long") for c in zero} | {"seconds": F.lit(None).cast("double")})
+            return stale.join(made, RUN, "left").fillna(zero)
+
+        try:
+            made = {name: df for name in partials.WITHIN if (df := table(name)) is not None}
+            with ThreadPoolExecutor(len(made)) as pool:
+                written = dict(zip(made, pool.map(lambda name: tables.write(name, _stamped(made[name], version), version), made), strict=True))
+        finally:
+            if rows is not None:
+                rows.unpersist()
+        return Change({name: s for name, s in written.items() if s}, runs=set(), facts={"windows": base["version"]})
+
+    before = tables.current()["facts"].get("windows")
+    return tables.commit(make)["facts"].get("windows") != before
+
+
+def read_partials(tables: Tables, run_ids: Sequence[int], at: dict | None = None) -> partials.Partials:
+    """The partial aggregates of a window's runs (``id`` in runs), as of the last ``refresh_partials``; files of other runs stay closed."""
+    at, found = at or tables.current(), {}
+    runs = _runs_of(tables, run_ids, at)
+    hashes = tables.hashes("runs", runs)
+    for name, within in partials.WITHIN.items():
+        held = tables.read(name, hashes, at)
+        if held is None:
+            kinds = {"spec_identity_id": "bigint", "seconds": "double", "slowest_seconds": "double"}
+            columns = [*within, *partials.measures(name)]
+            held = tables.spark.createDataFrame([], ", ".join(["repository_id bigint, run_key string", *(f"{c} {kinds.get(c, 'bigint' if c.endswith('_count') else 'string')}" for c in columns)]))
+        found[name] = held.join(F.broadcast(runs), RUN).drop(*RUN)
+    return partials.Partials.of(found)
+
+
+def _runs_of(tables: Tables, run_ids: Sequence[int], at: dict) -> DataFrame:
+    """The keys of some runs, with ``test_run_id``: as many rows as ids."""
+    return tables.read("runs", None, at).filter(F.col("id").isin(list(run_ids))).select(*RUN, F.col("id").alias("test_run_id"))
+
+
+def rows_with_description(tables: Tables, run_ids: Sequence[int], name: str, at: dict | None = None) -> DataFrame | None:
+    """The examples of a description in a window, for ``stability.unstable_test_runs``: only runs that hold it by their aggregates are opened.
+
+    None if no run does.
+    """
+    at = at or tables.current()
+    holding = [r["test_run_id"] for r in partials.runs_with_description(read_partials(tables, run_ids, at), run_ids, name).collect()]  # at most the window
+    if not holding:
+        return None
+    runs = _runs_of(tables, holding, at)
+    rows = tables.read("observations", tables.hashes("runs", runs), at)
+    return None if rows is None else rows.filter(F.col("name") == name).join(F.broadcast(runs), RUN).withColumn("id", _order())
+
+
 # ------------------------------------------------------------------ the index of identities
 
 #: Identities from which on they are indexed, and how often the number must grow for new centres.
@@ -296,7 +379,10 @@ def run_view(tables: Tables) -> DataFrame:
 def start_ingest(
     spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, max_bytes: int = MAX_BYTES, compact: bool = True, provider: str = "local", **trigger
 ) -> StreamingQuery:
-    """Start the stream (by default over what is there now, then stop); segments that are due are merged after each batch."""
+    """Start the stream (by default over what is there now, then stop).
+
+    After each batch runs beyond the kept ones expire, the runs that changed are added up again, and segments that are due are merged.
+    """
     tables = Tables(spark, root)
 
     def take(batch: DataFrame, number: int) -> None:
@@ -304,6 +390,7 @@ def start_ingest(
         if embed is not None:
             reindex(tables)
         expire_runs(tables)
+        refresh_partials(tables)
         if compact:
             tables.compact()
 

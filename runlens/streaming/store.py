@@ -6,7 +6,8 @@ row names the version that delivered it, a shard's row the version that last rep
 that shard are dead, so the shard's row is the tombstone of all of them. Reading merges segments by key (``MERGES``).
 Every segment lists its files with their least and greatest hash, so a read for some runs opens the files that may hold them.
 
-Segments of like size are merged into one by ``compact``, a step of its own: a row is rewritten about once each time that the table
+Every segment also names the version that it appeared in, so what is derived from a table (the partial aggregates of
+runs) follows it by looking at the segments that came since. Segments of like size are merged into one by ``compact``, a step of its own: a row is rewritten about once each time that the table
 grows by FANOUT. Dead and superseded rows are dropped there.
 
 A version file names all segments and becomes current by one rename, so readers see all of a change or nothing of it.
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..operators.partials import WITHIN
 from ..plans.primitives import keep_newest, latest_per_key
 from ..plans.storage import delete, file_system
 
@@ -40,7 +42,7 @@ HASHES = 4096
 ATTEMPTS = 20
 
 #: What each table is sorted and pruned by, and the key of its rows.
-KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"], "cells": ["repository_id", "cell"], "expired": ["repository_id", "run_key"]}
+KEYS = {"runs": ["repository_id", "run_key"], "shards": ["repository_id", "run_key"], "observations": ["repository_id", "run_key"], "rejections": ["repository_id"], "identities": ["repository_id"], "cache": ["text_digest"], "cells": ["repository_id", "cell"], "expired": ["repository_id", "run_key"], **{name: ["repository_id", "run_key"] for name in WITHIN}}
 NAMES = tuple(KEYS)
 #: Columns that the store adds: the versions that delivered a row and last changed it, the key of an example, the hash.
 OWN = ["_delivered", "_changed", "_row", "_hash"]
@@ -100,7 +102,17 @@ def merge_cells(rows: DataFrame) -> DataFrame:
     return latest_per_key(rows, ["repository_id", "cell", "id"], ["_delivered", "_changed"])
 
 
-MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache, "cells": merge_cells, "expired": merge_expired}
+def merge_facts(rows: DataFrame) -> DataFrame:
+    """A run's totals as last added up; the version that did buries all that earlier ones added up of the run."""
+    return latest_per_key(rows, KEYS["run_facts"], ["_delivered"])
+
+
+def merge_partials(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """What was added up of a run together with its totals."""
+    return rows.join(facts.select(*KEYS["run_facts"], "_delivered"), [*KEYS["run_facts"], "_delivered"], "left_semi").select(*rows.columns)
+
+
+MERGES: dict[str, Callable[..., DataFrame]] = {"runs": merge_runs, "shards": merge_shards, "observations": merge_examples, "rejections": merge_rejections, "identities": merge_identities, "cache": merge_cache, "cells": merge_cells, "expired": merge_expired, "run_facts": merge_facts}
 
 
 def _listing(path: str) -> str:
@@ -123,7 +135,7 @@ class Change:
 
 
 class Tables:
-    """runs, shards, observations, rejections, identities, their index of cells, the embedding cache and the list of expired runs under ``root``."""
+    """runs, shards, observations, rejections, identities, their index of cells, the embedding cache, the list of expired runs and the partial aggregates of runs under ``root``."""
 
     NAMES = NAMES
 
@@ -197,6 +209,8 @@ class Tables:
     def _over(self, base: dict, change: Change) -> dict:
         segments = {name: list(own) for name, own in base["segments"].items()}
         for name, segment in change.added.items():
+            past = [s.get("at", 0) for s in base["segments"].get(name, []) if s["path"] in change.replaced.get(name, [])]
+            segment = segment and segment | {"at": max(past, default=base["version"] + 1)}
             gone, own = change.replaced.get(name, []), segments.get(name, [])
             at = next((i for i, s in enumerate(own) if s["path"] in gone), len(own))
             segments[name] = [*own[:at], *([segment] if segment else []), *(s for s in own[at:] if s["path"] not in gone)]
@@ -209,7 +223,8 @@ class Tables:
         for name, paths in change.replaced.items():
             if not set(paths) <= {s["path"] for s in now["segments"].get(name, [])}:
                 return True
-        if change.alone or (now["facts"] != base["facts"] and "cells" in change.added):
+        moved = {k for k in now["facts"] | base["facts"] if now["facts"].get(k) != base["facts"].get(k)}
+        if change.alone or ("windows" in moved and "windows" in change.facts) or (moved - {"windows"} and "cells" in change.added):
             return True
         if change.replaced:  # a merged segment stands for the same rows
             return False
@@ -279,6 +294,8 @@ class Tables:
         if name == "observations":
             expired = self.raw("expired", at, hashes)
             return merge_examples(rows, merge_shards(self.raw("shards", at, hashes)), expired and merge_expired(expired))
+        if name in WITHIN and name not in MERGES:
+            return merge_partials(rows, merge_facts(self.raw("run_facts", at, hashes)))
         return MERGES[name](rows)
 
     def read(self, name: str, hashes: set[int] | None = None, at: dict | None = None) -> DataFrame | None:

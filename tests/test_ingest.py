@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens.functions.vectors import lexical_embedder
 from runlens.functions.json import with_json
 from runlens.operators import ingest, nearest, retention
+from runlens.plans.storage import write_table
 from runlens.sources.bodies import CORRUPT, NOT_JSON, TOO_LARGE, inflate, inflates
 from runlens.streaming.ingest import add_deliveries, expire_runs, read_deliveries, resolve_runs, run_view, start_ingest, upsert_batch, windowed_events
 from runlens.streaming.store import Tables
@@ -298,9 +299,9 @@ def test_reads_equal_the_merge_of_all_batches(spark, tmp_path):
     for n in range(6):
         good, refused = accepted_bodies(spark, n, random_bodies(rng, 4))
         new = ingest.with_state(ingest.observation_rows(good))
-        observations = ingest.merge_observations(observations if observations is not None else new.limit(0), new, good).localCheckpoint()
-        runs = ingest.merge_runs(runs if runs is not None else ingest.run_rows(good).limit(0), ingest.run_rows(good)).localCheckpoint()
-        shards = ingest.merge_shards(shards if shards is not None else ingest.shard_rows(good).limit(0), ingest.shard_rows(good)).localCheckpoint()
+        observations = write_table(ingest.merge_observations(observations if observations is not None else new.limit(0), new, good), "observations")
+        runs = write_table(ingest.merge_runs(runs if runs is not None else ingest.run_rows(good).limit(0), ingest.run_rows(good)), "runs")
+        shards = write_table(ingest.merge_shards(shards if shards is not None else ingest.shard_rows(good).limit(0), ingest.shard_rows(good)), "shards")
         add_deliveries(tables, good, refused, n, str(n))
         if n % 3 == 2:
             tables.compact()
