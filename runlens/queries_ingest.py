@@ -8,6 +8,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .functions.providers import Provider, by_index, embed_texts
 from .operators import clusters, identity, ingest, nearest, partials, retention, runs, tenancy
 from .plans.storage import fresh_path, write_table
 from .queries import NOW, ORACLES, branch_window, query, rounded, text_lists
@@ -182,6 +183,25 @@ def embedding_cache_after(spark, sf_dir):
     return after.groupBy("provider_fingerprint").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updated_at") == F.lit(NOW)).alias("fresh"))
 
 
+def _lengths(texts):
+    """Vectors of a text's length, out of order as a service may send them."""
+    answers = [{"index": k, "embedding": [float(len(t)), 0.0]} for k, t in enumerate(texts)]
+    return by_index(reversed(answers))
+
+
+def _down(texts):
+    raise ConnectionError("down")
+
+
+@query("SELECT p_name AS text, CAST(length(p_name) AS BIGINT) AS first_number, TRUE AS refused_by_the_other FROM (SELECT DISTINCT p_name FROM part)", base=False)
+def embeddings_by_provider(spark, sf_dir):
+    """All part names asked of a provider that answers, and of one that is down: each text has its own vector, and the error of the other."""
+    texts = _cache(spark, sf_dir)[0]
+    good, bad = (embed_texts(texts, Provider(name, f, width=2)) for name, f in (("lengths", _lengths), ("down", _down)))
+    both = good.filter("error is null").join(bad.filter("embedding is null and error is not null").select("text_digest", "error").withColumnRenamed("error", "other"), "text_digest")
+    return both.select("text", F.col("embedding")[0].cast("long").alias("first_number"), F.col("other").isin("down", "not asked: down").alias("refused_by_the_other"))
+
+
 @query(CACHE_SQL + "SELECT 2 * count(*) FILTER (WHERE age <= 90) AS live, 2 * count(*) FILTER (WHERE age > 90) AS expired FROM held", base=False)
 def cache_expiry(spark, sf_dir):
     """Entries used within 90 days, the day itself included, are live."""

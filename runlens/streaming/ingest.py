@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.providers import Provider
 from ..operators import clusters, identity, ingest, nearest, partials, retention
 from ..plans.primitives import numbered
 from ..sources.bodies import MAX_BYTES, read_bodies
@@ -31,6 +32,8 @@ ARROW_BYTES = "64m"
 IDENTITIES = "id long, repository_id long, text string, text_digest string, signal_source string, embedding array<float>, file_path string, line_number int, last_seen_test_run_id long, last_seen_at timestamp"
 CACHE = "provider_fingerprint string, text_digest string, embedding array<float>, created_at timestamp, updated_at timestamp"
 RUN = ["repository_id", "run_key"]
+#: What makes vectors: an expression, or a provider, asked in waves and cached under its own fingerprint.
+Embedder = Callable[[Column], Column] | Provider
 
 
 def read_deliveries(spark: SparkSession, folder: str, streaming: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -77,7 +80,7 @@ def _run_rows(tables: Tables, good: DataFrame, base: dict, hashes: set[int] | No
     return made.unionByName(rows.join(old, RUN)), highest
 
 
-def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Callable[[Column], Column] | None = None, provider: str = "local") -> None:
+def upsert_batch(tables: Tables, batch: DataFrame, batch_id: int, embed: Embedder | None = None, provider: str = "local") -> None:
     """Validate one micro-batch, add its rows and, with an embedder, resolve its runs' rows."""
     now, mark = tables.current(), _fingerprint(batch)
     done = now["fingerprint"] or ""
@@ -122,7 +125,7 @@ def add_deliveries(tables: Tables, good: DataFrame, refused: DataFrame, batch_id
     tables.commit(add)
 
 
-def resolve_runs(tables: Tables, good: DataFrame, embed: Callable[[Column], Column], provider: str = "local", mark: tuple[int, str] | None = None, now: datetime | None = None) -> None:
+def resolve_runs(tables: Tables, good: DataFrame, embed: Embedder, provider: str = "local", mark: tuple[int, str] | None = None, now: datetime | None = None) -> None:
     """Resolve what is unresolved in the runs of ``good`` against the identities of their repositories."""
     keys = good.select(*RUN).distinct()
     hashes = tables.hashes("runs", keys)
@@ -130,7 +133,7 @@ def resolve_runs(tables: Tables, good: DataFrame, embed: Callable[[Column], Colu
     _resolve(tables, lambda base: rows.join(keys, RUN, "left_semi") if (rows := pick(base)) is not None else None, hashes, embed, provider, mark, now)
 
 
-def sweep(tables: Tables, repository_id: int, embed: Callable[[Column], Column], provider: str = "local", now: datetime | None = None, budget: int = identity.SWEEP) -> None:
+def sweep(tables: Tables, repository_id: int, embed: Embedder, provider: str = "local", now: datetime | None = None, budget: int = identity.SWEEP) -> None:
     """Try the backlog of a repository again, whatever run its rows are of: failed rows first, within a week and the budget."""
     at = now or datetime.now(timezone.utc)
 
@@ -165,7 +168,8 @@ def _resolve(tables: Tables, pick: Callable[[dict], DataFrame | None], hashes: s
         known = tables.read("identities", owners, base)
         known = known if known is not None else tables.spark.createDataFrame([], IDENTITIES)
         cached = tables.read("cache", None, base)
-        cache = identity.Cache(cached if cached is not None else tables.spark.createDataFrame([], CACHE), provider, at)
+        owner = embed.fingerprint if isinstance(embed, Provider) else provider
+        cache = identity.Cache(cached if cached is not None else tables.spark.createDataFrame([], CACHE), owner, at)
         centres = index_centres(tables, base)
         found = identity.resolve(rows, known, embed, None, cache=cache, top=base["tops"].get("identity", 0), nearest=None if centres is None else _by_index(tables, base, centres))
         change = Change(runs=hashes, batch=mark and mark[0], fingerprint=mark and mark[1])
@@ -377,7 +381,7 @@ def run_view(tables: Tables) -> DataFrame:
 
 
 def start_ingest(
-    spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, max_bytes: int = MAX_BYTES, compact: bool = True, provider: str = "local", **trigger
+    spark: SparkSession, folder: str, root: str, checkpoint: str, embed: Embedder | None = None, max_bytes: int = MAX_BYTES, compact: bool = True, provider: str = "local", **trigger
 ) -> StreamingQuery:
     """Start the stream (by default over what is there now, then stop).
 
