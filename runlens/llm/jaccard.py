@@ -8,10 +8,13 @@ shingles the chance that a clash changes their overlap is about 1e-13). Document
 2. *Groups*: representatives whose sketches (three, each of two minima under hash orders) agree are compared with the
    smallest of them; verified links give clusters. A cluster and the documents that were found alike but not linked are
    a family of similar documents, cut into groups of about GROUP. A document that resembles none is a group of its own.
-3. *Matrix columns*: any global order of tokens gives an exact prefix filter; this one puts tokens that more than
-   ``LIGHT`` documents have last, so passages that many documents share stay out of prefixes. The matrix keeps, for
-   each token in some prefix, the groups that have it; two groups meet where they share such a token, have documents
-   of different clusters, and their sizes allow a link.
+3. *Matrix columns*: any global order of tokens gives an exact prefix filter; this one puts tokens of one document
+   first and those that more than ``LIGHT`` documents have last, so passages that many documents share stay out of
+   prefixes. The matrix keeps, for each token in some prefix, the groups that have it; two groups meet where they share
+   such a token, have documents of different clusters, their sizes allow a link, and so do the tokens before it: at the
+   first token that two documents share, all before it are in one of them only, and linked documents of a and b tokens
+   have at most (a + b) / 9 such. Tokens of one document are counted but not sent, and a pair that has met at the token
+   before is not given again.
 4. *Bound*: each group's token union is kept as a bitmap, beside those of its documents. Every document of one group is
    a query against the other's union: its tokens that the bitmap lacks are surely missing there, which bounds the
    overlap with any document behind it.
@@ -25,8 +28,9 @@ Cases: null, empty or wordless texts have no shingles and link with nothing (com
 that repeat a doc_id count as one document with several texts, whose links they share (a table with such rows is
 first written under numbers of its own, and the components of one doc_id are united at the end); rows with a null
 doc_id get a null component_id and link with nothing; an empty table gives no rows; other columns are ignored,
-whatever their names. Whole texts are read. Broadcasts: at most HEAVY_MOST token hashes, and id filters of at most
-FILTER_BITS bits.
+whatever their names. Whole texts are read. Broadcasts: at most HEAVY_MOST token hashes, and filters of ids and of
+tokens of at most FILTER_BITS bits each. Where the tokens of several documents are too many for theirs, it holds those of
+over 2, 4, 8 or 16 documents, and the tokens below are sent: costs change, results do not.
 """
 
 from __future__ import annotations
@@ -214,10 +218,21 @@ def _summed(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tokens[head], np.add.reduceat(counts[order].astype("<u4"), head) if len(head) else counts
 
 
+#: Documents that a token of each step has at most; a token of the first has one.
+STEPS = (1, 2, 4, 8, 16, LIGHT)
+
+
 def _count(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n) of heavy tokens; of the others that several documents have, a row (their number, n at most, tokens) a step."""
+    names = ["token", "n", "held", "light"]
     for tokens, counts in _whole_buckets(batches, {"tokens": "<u8", "counts": "<u4"}, _summed):
         found, n = _summed(tokens, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found[n > LIGHT].view(np.int64)), pa.array(n[n > LIGHT].astype(np.int64))], ["token", "n"])
+        heavy = n > LIGHT
+        yield pa.RecordBatch.from_arrays([pa.array(found[heavy].view(np.int64)), pa.array(n[heavy].astype(np.int64)), pa.nulls(int(heavy.sum()), pa.int64()), pa.nulls(int(heavy.sum()), pa.binary())], names)
+        steps = [(most, found[(n > least) & (n <= most)]) for least, most in zip(STEPS[:-1], STEPS[1:], strict=True)]
+        steps = [(most, some) for most, some in steps if len(some)]
+        columns = [pa.nulls(len(steps), pa.int64()), pa.array([most for most, _ in steps], pa.int64()), pa.array([len(some) for _, some in steps], pa.int64()), pa.array([some.tobytes() for _, some in steps], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _in_one(batches) -> Iterator[pa.RecordBatch]:
@@ -226,11 +241,15 @@ def _in_one(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.int64), *held]).tobytes()], pa.binary())], ["tokens"])
 
 
-def heavy_tokens(docs: DataFrame, parts: int) -> np.ndarray:
-    """The tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
+def count_tokens(docs: DataFrame, parts: int) -> DataFrame:
+    """The tokens that several documents have, as ``_count`` gives them."""
     dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, 3 * parts), "bucket long, tokens binary, counts binary")
-    counts = write_table(in_batches(_by_bucket(dealt, parts)).mapInArrow(_count, "token long, n long"), "heavy-tokens")
-    least = LIGHT
+    return write_table(in_batches(_by_bucket(dealt, parts)).mapInArrow(_count, "token long, n long, held long, light binary"), "tokens")
+
+
+def heavy_tokens(counted: DataFrame) -> np.ndarray:
+    """The tokens that over LIGHT documents have; over more, if those are above HEAVY_MOST."""
+    counts, least = counted.filter("token is not null"), LIGHT
     if counts.count() > HEAVY_MOST:  # 1/HEAVY_MOST steps of the counts' distribution; a tie drops all its tokens
         sizes = counts.select(F.ceil(F.log2("n") * 16).alias("step")).groupBy("step").count().orderBy(F.desc("step")).collect()
         total = 0
@@ -243,6 +262,20 @@ def heavy_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(r[0], U) for r in got)]))
 
 
+def shared_tokens(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """A packed bit set of the hashed tokens that more than so many documents have: than one, or than the next of STEPS that FILTER_BITS allow."""
+    sizes = dict(counted.groupBy(F.when(F.col("token").isNull(), F.col("n")).otherwise(2 * LIGHT)).agg(F.sum(F.coalesce("held", F.lit(1)))).collect())
+    over = {least: sum(k for n, k in sizes.items() if n > least) for least in STEPS[:-1]}
+    least = next((least for least, k in over.items() if 4 * k <= FILTER_BITS), STEPS[-2])
+
+    def tokens(batch: pa.RecordBatch) -> np.ndarray:
+        light = [np.frombuffer(b, np.int64) for b in batch.column("light").drop_null().to_pylist()]
+        return np.concatenate([batch.column("token").drop_null().to_numpy(zero_copy_only=False), *light])
+
+    rows = counted.filter((F.col("token").isNotNull()) | (F.col("n") > least)).select("token", "light")
+    return np.packbits(_bit_set(rows, over[least], tokens)), least
+
+
 # ------------------------------------------------------------------ texts of some documents
 
 
@@ -250,15 +283,14 @@ def _positions(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U)) & U(bits - 1)).astype(np.int64)
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set, of at most FILTER_BITS, of the hashed ids; united segment by segment before it reaches the driver."""
-    n = ids.count()
+def _bit_set(rows: DataFrame, n: int, ids: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """A bit set, of at most FILTER_BITS, of the n hashed ids of the rows; united segment by segment before it reaches the driver."""
     bits = min(max(1 << 16, 1 << int(16 * n + 1).bit_length()), FILTER_BITS)
 
     def mark(batches):
         mask = np.zeros(bits, bool)
         for batch in batches:
-            mask[_positions(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+            mask[_positions(ids(batch), bits)] = True
         parts = mask.reshape(-1, 1 << 16)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary())], ["bucket", "bits"])
@@ -272,14 +304,19 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([b.tobytes() for b in out.values()], pa.binary())], ["bucket", "bits"])
 
-    rows = in_batches(ids.select(F.col(column).cast("long"))).mapInArrow(mark, "bucket long, bits binary")
-    found = in_batches(rows.repartition(min(bits >> 16, 64), "bucket")).mapInArrow(unite, "bucket long, bits binary").collect()
+    marked = in_batches(rows).mapInArrow(mark, "bucket long, bits binary")
+    found = in_batches(marked.repartition(min(bits >> 16, 64), "bucket")).mapInArrow(unite, "bucket long, bits binary").collect()
     mask = np.zeros((bits >> 16, 1 << 13), np.uint8)
     for k, b in found:
         mask[k] = np.frombuffer(b, np.uint8)
     return np.unpackbits(mask.ravel())
 
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """The bit set of the ids."""
+    return _bit_set(ids.select(F.col(column).cast("long")), ids.count(), lambda batch: batch.column(0).to_numpy(zero_copy_only=False))
+
+
 def _marked(batches, mask_handle, wanted: bool = True) -> Iterator[pa.RecordBatch]:
     """The rows whose doc_id the bit set holds (or, unless ``wanted``, does not hold; a null one never)."""
     packed, bits = mask_handle.value
@@ -403,35 +440,50 @@ def misses(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _prefixes(batches, handle) -> Iterator[pa.RecordBatch]:
-    heavy = handle.value
+    """The tokens of each prefix that other documents may have, and their places in the order of the document's tokens."""
+    heavy, shared, least = handle.value
     for part, tokens, bounds in _batches(batches):
-        last = np.zeros(len(tokens), bool)
+        at = _positions(tokens, 8 * len(shared))
+        level = shared[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1  # the order: by level, then by hash
         if len(heavy):
-            last = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
-        prefix = []
+            level[heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens] = 2
+        prefix, places = [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             n = b - a
             take = n - least_overlap(n) + 1 if n > 3 else 0
-            first = np.argsort(last[a:b], kind="stable")[:take]
-            prefix.append(tokens[a:b][first].tobytes())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "prefix"])
+            first = np.argsort(level[a:b], kind="stable")[:take]
+            place = np.flatnonzero(level[a:b][first]) if least == 1 else np.arange(take)
+            prefix.append(tokens[a:b][first[place]].tobytes())
+            places.append(place.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prefix, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "prefix", "places"])
+
+
+ENTRIES = {"tokens": "<u8", "before": "<u8", "gid": "<i8", "below": "<i8", "n": "<i8", "excess": "<i8"}
 
 
 def _entries(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each token of a prefix with the one before it, if any, and by how much nine times its place exceeds the document's size."""
     for batch in batches:
         blobs = batch.column("prefix").to_pylist()
         size = np.array([len(b) // 8 for b in blobs])
         tokens = np.frombuffer(b"".join(blobs), U)
-        columns = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), size) for c in ("gid", "cluster", "n")]
-        columns[1] = columns[0] - columns[1]
-        yield from _deal([tokens, *columns], (mix(tokens) % U(n_buckets)).astype(np.int64), ["tokens", "gid", "below", "n"])
+        before = np.concatenate([np.zeros(1, U), tokens[:-1]])
+        before[np.cumsum(size) - size] = 0
+        gid, cluster, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), size) for c in ("gid", "cluster", "n"))
+        excess = 9 * np.frombuffer(b"".join(batch.column("places").to_pylist()), "<i8") - n
+        yield from _deal([tokens, before, gid, gid - cluster, n, excess], (mix(tokens) % U(n_buckets)).astype(np.int64), list(ENTRIES))
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups, a group with itself included, that share a prefix token and may hold a link between two clusters."""
-    for tokens, gid, below, n in _whole_buckets(batches, {"tokens": "<u8", "gid": "<i8", "below": "<i8", "n": "<i8"}):
+    """Pairs of groups, a group with itself included, that share a prefix token and may hold a link between two clusters.
+
+    Two documents may link if at their first common token their excesses add up to zero at most. Where all documents of
+    both groups that have a token had one and the same before it, the groups met there: with no fewer documents and
+    lower places.
+    """
+    for tokens, before, gid, below, n, excess in _whole_buckets(batches, ENTRIES):
         order = np.lexsort((gid, tokens))
-        tokens, gid, cluster, n = tokens[order], gid[order], (gid - below)[order], n[order]
+        tokens, before, gid, cluster, n, excess = tokens[order], before[order], gid[order], (gid - below)[order], n[order], excess[order]
         new = np.ones(len(tokens), bool)  # one entry a token and group, with the ranges of its sizes and clusters
         new[1:] = (tokens[1:] != tokens[:-1]) | (gid[1:] != gid[:-1])
         head = np.flatnonzero(new)
@@ -439,16 +491,23 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
             continue
         least, most = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
         low, high = np.minimum.reduceat(cluster, head), np.maximum.reduceat(cluster, head)
-        order = np.lexsort((high, low, tokens[head]))
-        tokens, gid, least, most, low, high = (x[order] for x in (tokens[head], gid[head], least, most, low, high))
-        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+        first, last = np.minimum.reduceat(before, head), np.maximum.reduceat(before, head)
+        before, excess = np.where(first == last, first, U(0)), np.minimum.reduceat(excess, head)
+        tokens, gid = tokens[head], gid[head]
+        mixed = np.unique(gid[(low != high) & (excess <= 0) & (before == 0)])
+        found: list[np.ndarray] = [np.stack([mixed, mixed], axis=1)]
+        # only entries that may link with the token's least excess, their own included
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        may = excess + np.repeat(np.minimum.reduceat(excess, starts), np.diff(np.append(starts, len(tokens)))) <= 0
+        order = np.flatnonzero(may)
+        order = order[np.lexsort((high[order], low[order], tokens[order]))]
+        tokens, before, gid, least, most, low, high, excess = (x[order] for x in (tokens, before, gid, least, most, low, high, excess))
+        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
         size = np.diff(edge)
         # where the run of groups of one and the same cluster ends: within it no two groups need to meet
         alike = (tokens[1:] == tokens[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (low[1:] == high[1:])
-        start = np.flatnonzero(np.concatenate([[True], ~alike]))
-        run_end = np.repeat(np.append(start[1:], len(tokens)), np.diff(np.append(start, len(tokens))))
-        mixed = np.unique(gid[low != high])
-        found: list[np.ndarray] = [np.stack([mixed, mixed], axis=1)]
+        start = np.flatnonzero(np.concatenate([[True], ~alike])) if len(tokens) else np.zeros(0, np.int64)
+        run_end = np.repeat(np.append(start[1:], len(tokens)), np.diff(np.append(start, len(tokens)))) if len(tokens) else start
         held = 0
         for a, m in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
             for lo in range(a, a + m - 1, 1024):
@@ -459,6 +518,8 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
                 ok = others[None] > rows[:, None]
                 ok &= (low[rows][:, None] != high[others][None]) | (high[rows][:, None] != low[others][None])
                 ok &= (5 * most[rows][:, None] >= 4 * least[others][None]) & (5 * most[others][None] >= 4 * least[rows][:, None])
+                ok &= excess[rows][:, None] + excess[others][None] <= 0
+                ok &= (before[rows][:, None] != before[others][None]) | (before[rows] == 0)[:, None]
                 i, j = np.nonzero(ok)
                 if len(i):
                     pair = np.stack([gid[rows[i]], gid[others[j]]], axis=1)
@@ -608,10 +669,11 @@ def _labelled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     star = verify(rows, leaders, near.withColumn("cluster", F.col("doc")), kin=True)
     members = _groups(nodes, star)
 
-    heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, parts))
-    prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, heavy), "doc_id long, prefix binary").filter(F.octet_length("prefix") > 0)
-    columns = prefixes.join(members, F.col("doc_id") == F.col("doc")).select("gid", "cluster", "n", "prefix")
-    entries = in_batches(columns).mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, tokens binary, gid binary, below binary, n binary")
+    counted = count_tokens(texts_of(rows, nodes, "doc"), parts)
+    order = rows.sparkSession.sparkContext.broadcast((heavy_tokens(counted), *shared_tokens(counted)))
+    prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, order), "doc_id long, prefix binary, places binary").filter(F.octet_length("prefix") > 0)
+    columns = prefixes.join(members, F.col("doc_id") == F.col("doc")).select("gid", "cluster", "n", "prefix", "places")
+    entries = in_batches(columns).mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, " + ", ".join(f"{c} binary" for c in ENTRIES))
     pairs = write_table(in_batches(_by_bucket(entries, parts)).mapInArrow(_meet, "g long, h long").distinct(), "candidates")
     opened = _qualifying(rows, members, pairs)
     docs_of = members.select("gid", "doc", "cluster")

@@ -160,6 +160,58 @@ def test_near_copies_match_brute_force(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def just_below(n):
+    """Copies of one text that each have five words of their own, a tenth of them with a near copy: similar, but only those link."""
+    rng, base = random.Random(21), [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(n):
+        words = base[:]
+        for at in range(rng.randint(5, 9), 150, 30):
+            words[at + rng.randint(0, 20)] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    return texts + [t + " more" for t in texts[::10]]
+
+
+def test_family_just_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    counts, write = {}, jaccard.write_table
+
+    def counted(df, label):
+        out = write(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "write_table", counted)
+    for n in (120, 240):
+        texts = just_below(n)
+        got = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert len({c for _, c in got.values()}) == n
+        assert counts["candidates"] <= len(texts)
+
+
+@pytest.mark.parametrize("steps", [(4, 8, 16, 32), (16, 32)])
+def test_rare_tokens_beyond_the_filter_lose_no_link(spark, monkeypatch, steps):
+    """The filter of shared tokens holds only those of over 4 or 16 documents, as where FILTER_BITS allow no more."""
+    monkeypatch.setattr(jaccard, "STEPS", steps)
+    rng = random.Random(5)
+    texts = family(rng, 90, 6) + [t for own in range(12) for t in family(random.Random(own), 3, 3 + own % 3)] + just_below(40)
+    rng.shuffle(texts)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_pair_is_given_where_it_first_meets():
+    import numpy as np
+    import pyarrow as pa
+
+    tokens = np.sort(np.random.default_rng(3).integers(1, 1 << 63, 200, np.uint64))
+    place = np.arange(200, dtype="<i8")
+    own = [(1, tokens[:150], place[:150]), (2, tokens[50:150], place[50:150]), (3, tokens[149:150], place[149:150])]
+    columns = [pa.array([g for g, _, _ in own]), pa.array([g for g, _, _ in own]), pa.array([900, 900, 900])]
+    batch = pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (1, 2))], ["gid", "cluster", "n", "prefix", "places"])
+    dealt = sorted((r for b in jaccard._entries([batch], 64) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    met = [(r["g"], r["h"]) for b in jaccard._meet([pa.RecordBatch.from_pylist(dealt)]) for r in b.to_pylist()]
+    assert met == [(1, 2)]  # at 49 tokens after the first they have met already; with 3 the places before the only token are too many
+
+
 def test_documents_match_brute_force(spark, sf_dir):
     check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
