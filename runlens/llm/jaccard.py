@@ -241,9 +241,10 @@ def _in_one(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.int64), *held]).tobytes()], pa.binary())], ["tokens"])
 
 
-def count_tokens(docs: DataFrame, parts: int) -> DataFrame:
-    """The tokens that several documents have, as ``_count`` gives them."""
-    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(it, 3 * parts), "bucket long, tokens binary, counts binary")
+def count_tokens(docs: DataFrame, ids: DataFrame, column: str, parts: int) -> DataFrame:
+    """The tokens that several of the documents (probably) among the ids have, as ``_count`` gives them."""
+    mask = _shared_filter(ids, column)  # in the same map: a map after a map takes a second worker for each core, and workers stay
+    dealt = in_batches(docs).mapInArrow(lambda it: _tokens_to_count(_marked(it, mask), 3 * parts), "bucket long, tokens binary, counts binary")
     return write_table(in_batches(_by_bucket(dealt, parts)).mapInArrow(_count, "token long, n long, held long, light binary"), "tokens")
 
 
@@ -669,10 +670,10 @@ def _labelled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     star = verify(rows, leaders, near.withColumn("cluster", F.col("doc")), kin=True)
     members = _groups(nodes, star)
 
-    counted = count_tokens(texts_of(rows, nodes, "doc"), parts)
+    counted = count_tokens(rows, nodes, "doc", parts)
     order = rows.sparkSession.sparkContext.broadcast((heavy_tokens(counted), *shared_tokens(counted)))
     prefixes = in_batches(rows).mapInArrow(lambda it: _prefixes(it, order), "doc_id long, prefix binary, places binary").filter(F.octet_length("prefix") > 0)
-    columns = prefixes.join(members, F.col("doc_id") == F.col("doc")).select("gid", "cluster", "n", "prefix", "places")
+    columns = prefixes.join(members.hint("merge"), F.col("doc_id") == F.col("doc")).select("gid", "cluster", "n", "prefix", "places")  # a broadcast would put two maps in one stage
     entries = in_batches(columns).mapInArrow(lambda it: _entries(it, 3 * parts), "bucket long, " + ", ".join(f"{c} binary" for c in ENTRIES))
     pairs = write_table(in_batches(_by_bucket(entries, parts)).mapInArrow(_meet, "g long, h long").distinct(), "candidates")
     opened = _qualifying(rows, members, pairs)

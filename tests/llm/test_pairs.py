@@ -198,6 +198,35 @@ def test_rare_tokens_beyond_the_filter_lose_no_link(spark, monkeypatch, steps):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def maps_in_a_stage(plan):
+    """The most Python maps on a path of a plan between two exchanges."""
+    most, path = 0, []
+    for line in plan.splitlines():
+        node = re.match(r"[ :|+*()\d-]*", line).end()
+        while path and path[-1][0] >= node:
+            path.pop()
+        maps = path[-1][1] if path else 0
+        maps = 0 if "Exchange" in line[node:].split(" ")[0] else maps + line[node:].startswith("MapInArrow")
+        path.append((node, maps))
+        most = max(most, maps)
+    return most
+
+
+def test_no_stage_runs_a_map_after_a_map(spark, sf_dir, monkeypatch):
+    """Each map of a stage takes a Python worker of its own a core; workers outlive the stage with what they hold."""
+    plans, write = [], jaccard.write_table
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard, "write_table", noted)
+    kept = jaccard.one_of_each(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
+    assert {"tokens", "candidates", "sets"} <= {label for label, _ in plans}
+    assert {label: n for label, plan in plans if (n := maps_in_a_stage(plan)) > 1} == {}
+
+
 def test_pair_is_given_where_it_first_meets():
     import numpy as np
     import pyarrow as pa
