@@ -18,7 +18,7 @@ def stripped(text: Column) -> Column:
 
 def presence(text: Column) -> Column:
     """NULL where blank; otherwise the text as it is."""
-    return F.when(stripped(text) != "", text)
+    return F.when(text.rlike(r"\S"), text)
 
 
 def signal(entity: Column, action: Column, behavior: Column, name: Column) -> Column:

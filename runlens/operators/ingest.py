@@ -105,16 +105,82 @@ def _spec_errors(fact: Column, index: Column) -> Column:
     return F.transform(found, lambda m: F.concat(label, F.lit(": "), m))
 
 
+#: A delivery read in one pass. What is told by its kind stays a VARIANT; as binary only a JSON string is read.
+SPECS = "array<struct<id:string,spec_file_path:string,file_path:binary,line_number:variant,status:string,name:variant,intent:variant,duration:variant,outcome:string>>"
+WHOLE = f"struct<commit_sha:binary,branch:variant,ci_run_id:variant,shard_id:variant,duration_seconds:variant,_json:variant,specs:{SPECS}>"
+INTENT = "struct<entity:binary,action:binary,behavior:binary,layer:string,preconditions:variant>"
+
+
+def _filled(text: Column) -> Column:
+    """Whether a text is there and not blank."""
+    return F.coalesce(text.cast("string").rlike(r"\S"), F.lit(False))
+
+
+def _nil(v: Column) -> Column:
+    return v.isNull() | (_kind(v) == "VOID")
+
+
+def _of(value: Column, check) -> Column:
+    """``check`` of a value that is made once, however often the check names it."""
+    return F.exists(F.array(value), check)
+
+
+def _seconds(v: Column) -> Column:
+    """Whether a value is no number below zero, if there is one."""
+    number = lambda kind: (kind == "VOID") | (~kind.isin("STRING", "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "double") >= 0, F.lit(False)))
+    return v.isNull() | _of(_kind(v), number)
+
+
+def _plain_intent(intent: Column) -> Column:
+    """Whether ``intent_errors`` finds nothing, without making any text of it."""
+
+    def fine(v: Column) -> Column:
+        known = F.when(v["preconditions"].isNull(), len(INTENT_REQUIRED)).when(_kind(v["preconditions"]).startswith("ARRAY"), len(INTENT_REQUIRED) + 1)
+        long = [F.length(v[k].cast("string")) >= n for k, n in (INTENT_LEAST | {"action": 0}).items()]
+        return F.coalesce(long[0] & long[1] & long[2] & v["layer"].isin(LAYERS) & (F.size(F.try_variant_get(intent, "$", "map<string,variant>")) == known), F.lit(False))
+
+    return _of(F.try_variant_get(intent, "$", INTENT), fine)
+
+
+def _plain_spec(s: Column) -> Column:
+    """Whether ``_spec_errors`` finds nothing in a spec of SPECS."""
+    line, name, nil = s["line_number"], s["name"], _nil(s["intent"])
+    named = (_kind(name) == "STRING") & _filled(_text(name))
+    integer = (_kind(line) == "BIGINT") & F.coalesce(F.try_variant_get(line, "$", "double") > 0, F.lit(False))
+    stated = F.when(s["status"] == "unannotated", nil & named).when(s["status"] == "annotated", ~nil & (_nil(name) | named) & _plain_intent(s["intent"])).otherwise(False)
+    return _filled(s["file_path"]) & integer & stated & _seconds(s["duration"])
+
+
+def _plain(whole: Column) -> Column:
+    """Whether a delivery read as WHOLE has no error at all."""
+    texts = [F.coalesce(_kind(whole[k]).isin("VOID", "STRING"), F.lit(True)) for k in ("branch", "ci_run_id", "shard_id")]
+    top = whole.isNotNull() & whole["_json"].isNull() & _filled(whole["commit_sha"]) & texts[0] & texts[1] & texts[2] & _seconds(whole["duration_seconds"])
+    return F.coalesce(top & whole["specs"].isNotNull() & F.forall(whole["specs"], _plain_spec), F.lit(False))
+
+
+def _settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with some columns made once a row: what a generator gives is not made again by filters further on, as they stay above it."""
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def validate(deliveries: DataFrame, column: str = "value") -> DataFrame:
-    """Deliveries with ``body`` (VARIANT, NULL where the text is not one JSON value and nothing else) and ``errors``, all of them, in order."""
+    """Deliveries with ``body`` (VARIANT, NULL where the text is not one JSON value and nothing else), ``specs`` (SPECS) and ``errors``, all of them, in order.
+
+    Most deliveries have no errors, which is told from one reading of their values; the others are looked into field by field.
+    """
     rows = with_json(deliveries, "body", F.col(column))
     body = F.col("body")
+    rows = rows.withColumn("_whole", F.try_variant_get(body, "$", WHOLE))
+    rows = rows.withColumn("_plain", _plain(F.col("_whole")))
     top = ("commit_sha", "branch", "ci_run_id", "shard_id", "duration_seconds", "specs")
     # two projections: first each field's value, then its kind, so that the errors look at plain columns
-    rows = rows.withColumn("_fields", F.struct(*(_get(body, k).alias(k) for k in top), _get(body, "_json").alias("_json"), _kind(body).alias("kind")))
+    fields = F.struct(*(_get(body, k).alias(k) for k in top), _get(body, "_json").alias("_json"), _kind(body).alias("kind"))
+    rows = rows.withColumn("_fields", F.when(~F.col("_plain"), fields))
     v = F.col("_fields")
     facts = [_kind(v[k]).alias(k) for k in top]
-    rows = rows.withColumn("_facts", F.struct(*facts, _text(v["commit_sha"]).alias("sha"), F.try_variant_get(v["duration_seconds"], "$", "double").alias("seconds")))
+    facts = F.struct(*facts, _text(v["commit_sha"]).alias("sha"), F.try_variant_get(v["duration_seconds"], "$", "double").alias("seconds"))
+    rows = rows.withColumn("_facts", F.when(~F.col("_plain"), facts))
     kind = F.col("_facts")
     text_or_nil = lambda k: F.when(~kind[k].isin("VOID", "STRING"), F.lit(f"{k} must be a string when present"))
     timed = kind["duration_seconds"].rlike(_NUMBER) & F.coalesce(kind["seconds"] >= 0, F.lit(False))
@@ -130,8 +196,9 @@ def validate(deliveries: DataFrame, column: str = "value") -> DataFrame:
     fields = F.transform(specs, lambda s: F.struct(_object(s).alias("is_object"), *(_get(s, k).alias(k) for k in SPEC_FIELDS)))
     each = F.flatten(F.transform(F.transform(fields, _facts), _spec_errors))
     is_object = v["kind"].startswith("OBJECT") & v["_json"].isNull()
-    errors = F.when(body.isNull(), F.array(F.lit(NOT_JSON))).when(~is_object, F.array(F.lit("the request body must be a JSON object")))
-    return rows.withColumn("errors", errors.otherwise(F.concat(F.array_compact(found), each))).drop("_fields", "_facts")
+    errors = F.when(F.col("_plain"), F.array().cast("array<string>")).when(body.isNull(), F.array(F.lit(NOT_JSON))).when(~is_object, F.array(F.lit("the request body must be a JSON object")))
+    rows = rows.withColumn("errors", errors.otherwise(F.concat(F.array_compact(found), each))).withColumn("specs", F.col("_whole.specs"))
+    return _settled(rows.drop("_whole", "_plain", "_fields", "_facts"), "body", "specs", "errors")
 
 
 def rejections(validated: DataFrame) -> DataFrame:
@@ -153,24 +220,40 @@ def accepted(validated: DataFrame) -> DataFrame:
     """
     body = F.col("body")
     rows = validated.filter(F.size("errors") == 0)
+    if "specs" not in rows.columns:
+        rows = rows.withColumn("specs", F.try_variant_get(body, "$.specs", SPECS))
     get = lambda k, t="string": F.try_variant_get(body, f"$.{k}", t)
     own = F.concat(F.lit("#"), F.col("delivery_seq").cast("string"))
-    specs = get("specs", "array<variant>")
-    out = rows.withColumns(
+    rows = rows.withColumns(
         {
             "ci_run_id": presence(get("ci_run_id")),
             "shard_id": presence(get("shard_id")),
             "commit_sha": stripped(get("commit_sha")),
             "branch": presence(get("branch")),
             "duration_seconds": get("duration_seconds", "double"),
-            "specs": specs,
-            "total_specs_count": F.size(specs),
-            "annotated_specs_count": F.size(F.filter(specs, lambda s: F.try_variant_get(s, "$.status", "string") == "annotated")),
+            "total_specs_count": F.size("specs"),
+            "annotated_specs_count": F.size(F.filter("specs", lambda s: s["status"] == "annotated")),
         }
     )
     run_key = F.when(F.col("ci_run_id").isNotNull(), F.concat(F.lit("="), F.col("ci_run_id"))).otherwise(own)
     shard_key = F.when(F.col("shard_id").isNotNull(), F.concat(F.lit("="), F.col("shard_id"))).otherwise(own)
-    return out.withColumns({"run_key": run_key, "shard_key": shard_key})
+    return rows.withColumns({"run_key": run_key, "shard_key": shard_key})
+
+
+def _example(s: Column) -> list[Column]:
+    """The columns of an example that a spec of SPECS gives."""
+    intent = F.try_variant_get(s["intent"], "$", "struct<entity:string,action:string,behavior:string>")
+    return [
+        presence(s["id"]).alias("example_id"),
+        F.coalesce(presence(s["spec_file_path"]), s["file_path"].cast("string")).alias("spec_file_path"),
+        s["file_path"].cast("string").alias("file_path"),
+        F.try_variant_get(s["line_number"], "$", "int").alias("line_number"),
+        presence(_text(s["name"])).alias("name"),
+        *(intent[k].alias(f"intent_{k}") for k in ("entity", "action", "behavior")),
+        F.try_variant_get(s["duration"], "$", "double").alias("duration_seconds"),
+        presence(s["outcome"]).alias("outcome"),
+        s["status"].alias("status"),
+    ]
 
 
 RUN_KEYS = ["repository_id", "run_key"]
@@ -200,26 +283,8 @@ def derived_totals(shards: DataFrame, keys: tuple[str, ...] = ("test_run_id",))
 
 def observation_rows(deliveries: DataFrame) -> DataFrame:
     """One row an example of each delivery; of equal ids in one payload the first stays, rows without an id all stay."""
-    rows = deliveries.select(*SHARD_KEYS, "delivery_seq", "received_at", F.posexplode("specs").alias("position", "spec"))
-    get = lambda k, t="string": F.try_variant_get("spec", f"$.{k}", t)
-    file_path = get("file_path")
-    rows = rows.select(
-        *SHARD_KEYS,
-        "delivery_seq",
-        "position",
-        presence(get("id")).alias("example_id"),
-        F.coalesce(presence(get("spec_file_path")), file_path).alias("spec_file_path"),
-        file_path.alias("file_path"),
-        get("line_number", "int").alias("line_number"),
-        presence(get("name")).alias("name"),
-        get("intent.entity").alias("intent_entity"),
-        get("intent.action").alias("intent_action"),
-        get("intent.behavior").alias("intent_behavior"),
-        get("duration", "double").alias("duration_seconds"),
-        presence(get("outcome")).alias("outcome"),
-        get("status").alias("status"),
-        F.col("received_at").alias("created_at"),
-    )
+    rows = deliveries.select(*SHARD_KEYS, "delivery_seq", "received_at", F.posexplode_outer("specs").alias("position", "spec")).filter("position is not null")
+    rows = rows.select(*SHARD_KEYS, "delivery_seq", "position", *_example(F.col("spec")), F.col("received_at").alias("created_at"))
     return dedup_payload(rows)
 
 

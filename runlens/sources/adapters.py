@@ -50,7 +50,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import ingest
 
     o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines")
+    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines")
     rows = o.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(each), "o_orderkey", "left")
     spec = lambda x: F.struct(
         F.when(x["l_linenumber"] != 7, (x["l_partkey"] % 50).cast("string")).alias("id"),

@@ -74,6 +74,31 @@ def test_intent_reports_everything(spark):
     assert errors(spark, body(specs=[spec(status="annotated", intent="x")]))[0].endswith("must be a JSON object")
 
 
+ODD = ["x", "", " ", 3, 0, -1, 1.5, 3.0, 1e300, True, None, [], ["x"], {}, {"a": 1}, "annotated", "3", INTENT, INTENT | {"preconditions": None}, INTENT | {"preconditions": []}, INTENT | {"severity": 1}, INTENT | {"layer": 3}, INTENT | {"action": 5}]
+
+
+def test_one_reading_finds_no_errors_where_the_checks_find_none(spark, monkeypatch):
+    """Every odd value at every place: the errors are those of the checks field by field, and deliveries without any pass by the short way."""
+    values = [body(**{k: v}) for k in ("commit_sha", "branch", "ci_run_id", "shard_id", "duration_seconds", "specs", "_json") for v in ODD]
+    values += [body(specs=[spec(), spec(**more, **{k: v})]) for k in ("file_path", "line_number", "status", "name", "intent", "duration") for v in ODD for more in ({}, {"status": "annotated", "intent": INTENT}) if k not in more]
+    texts = [(n, json.dumps(v)) for n, v in enumerate([*values, 3, [1], "x", None, {}])] + [(-1, "{"), (-2, "{} {}"), (-3, None)]
+    df = spark.createDataFrame(texts, "n int, value string")
+    found = {r["n"]: r["errors"] for r in ingest.validate(df).select("n", "errors").collect()}
+    whole = {r["n"]: r["_plain"] for r in with_json(df, "body", F.col("value")).select("n", ingest._plain(F.try_variant_get("body", "$", ingest.WHOLE)).alias("_plain")).collect()}
+    assert whole == {n: not e for n, e in found.items()}
+    monkeypatch.setattr(ingest, "_plain", lambda whole: F.lit(False))
+    assert {r["n"]: r["errors"] for r in ingest.validate(df).select("n", "errors").collect()} == found
+    assert 30 < sum(not e for e in found.values()) < len(found) - 100
+
+
+def test_a_body_is_read_once(spark):
+    """Filters on what was made of a body don't have it parsed again."""
+    df = spark.createDataFrame([], "repository_id long, delivery_seq long, received_at timestamp, value string")
+    good = ingest.accepted(ingest.validate(df))
+    for rows in (ingest.run_rows(good), ingest.shard_rows(good), ingest.observation_rows(good)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def deliveries(spark, *bodies):
     rows = [(1, i, datetime(2024, 1, 1, 0, i), json.dumps(b)) for i, b in enumerate(bodies)]
     df = spark.createDataFrame(rows, "repository_id long, delivery_seq long, received_at timestamp, value string")
