@@ -310,6 +310,11 @@ def newest_deliveries(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy(*SHARD_KEYS).agg(F.max("delivery_seq").alias("delivery_seq"))
 
 
+def newest_of_shards(deliveries: DataFrame) -> DataFrame:
+    """The deliveries that count, whole: of each shard the last. So the examples of all others need not be made."""
+    return deliveries.join(newest_deliveries(deliveries), [*SHARD_KEYS, "delivery_seq"], "left_semi").select(*deliveries.columns)
+
+
 def arriving(existing: DataFrame, delivered: DataFrame, redelivered: DataFrame | None = None) -> DataFrame:
     """The rows of ``delivered`` that stay, as they are written.
 

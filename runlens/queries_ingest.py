@@ -61,6 +61,8 @@ def ingest_run_totals(spark, sf_dir):
     return ingest.derived_totals(ingest.shard_rows(A.deliveries(spark, sf_dir)), ("repository_id", "run_key"))
 
 
+#: Of an accepted delivery, what ingest reads: not the text, nor the body that it was parsed into.
+DELIVERED = [*ingest.SHARD_KEYS, "ci_run_id", "shard_id", "commit_sha", "branch", "duration_seconds", "specs", "total_specs_count", "annotated_specs_count", "received_at", "delivery_seq"]
 OBSERVED = ["repository_id", "run_key", "shard_key", "delivery_seq", "position", "example_id", "spec_file_path", "line_number", "name", "status", "created_at"]
 
 
@@ -90,13 +92,12 @@ FROM two t LEFT JOIN rest r ON t.example_id IS NOT NULL AND r.repository_id = t.
 )
 def ingest_two_batches(spark, sf_dir):
     """Two batches merged: redelivered shards are replaced, late shards added, a moved example keeps when it was first recorded."""
-    sent = A.deliveries(spark, sf_dir)
-    rows = write_table(ingest.observation_rows(sent), "rows")  # each body is looked into once
-    keys = write_table(sent.select(*ingest.SHARD_KEYS, "delivery_seq"), "deliveries")
-    middle = keys.agg(F.floor(F.max("delivery_seq") / 2)).first()[0]
-    early, late = F.col("delivery_seq") <= middle, F.col("delivery_seq") > middle
-    first = ingest.merge_observations(rows.limit(0), rows.filter(early), keys.filter(early))
-    return ingest.merge_observations(first, rows.filter(late), keys.filter(late)).select(*OBSERVED)
+    sent = write_table(A.deliveries(spark, sf_dir).select(*DELIVERED), "sent")  # each body is looked into once
+    middle = sent.agg(F.floor(F.max("delivery_seq") / 2)).first()[0]
+    early, late = (sent.filter(c) for c in (F.col("delivery_seq") <= middle, F.col("delivery_seq") > middle))
+    rows = [ingest.observation_rows(ingest.newest_of_shards(part)) for part in (early, late)]
+    first = write_table(ingest.merge_observations(rows[0].limit(0), rows[0], early), "first")  # read by both sides of the second merge
+    return ingest.merge_observations(first, rows[1], late).select(*OBSERVED)
 
 
 @query(
@@ -302,7 +303,7 @@ def _stored(spark, sf_dir, fanout, compact=False):
 
 
 def _stored_tables(spark, sf_dir, fanout, compact=False, follow=False):
-    sent = write_table(A.deliveries(spark, sf_dir), "sent")
+    sent = write_table(A.deliveries(spark, sf_dir).select(*DELIVERED), "sent")
     middle = sent.agg(F.floor(F.max("delivery_seq") / 2)).first()[0]
     none = spark.createDataFrame([], "repository_id long, occurred_at timestamp, details array<string>, total_reasons_count int, user_agent string, id long")
     tables = Tables(spark, fresh_path(spark, "stored"), fanout)

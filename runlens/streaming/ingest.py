@@ -112,7 +112,7 @@ def add_deliveries(tables: Tables, good: DataFrame, refused: DataFrame, batch_id
             return rows
 
         def observations() -> DataFrame:
-            new, old = ingest.with_state(ingest.observation_rows(good)), tables.read("observations", hashes, base)
+            new, old = ingest.with_state(ingest.observation_rows(ingest.newest_of_shards(good))), tables.read("observations", hashes, base)
             return ingest.arriving(old if old is not None else new.limit(0), new, good).withColumn("_row", row_key())
 
         if hashes is None or hashes:

@@ -132,6 +132,19 @@ def test_an_empty_redelivery_takes_its_shards_rows_away(spark):
     assert [r["example_id"] for r in whole.collect()] == ["2"]
 
 
+def test_examples_are_made_of_the_last_delivery_of_a_shard_only(spark, tmp_path, monkeypatch):
+    """Both for a batch and for stored queries, which keep no bodies."""
+    from runlens.queries_ingest import DELIVERED
+
+    good = deliveries(spark, body(specs=[spec(id="1")]), body(shard_id="s2", specs=[spec(id="2")]), body(specs=[spec(id="3")])).select(*DELIVERED)
+    made, whole = [], ingest.observation_rows
+    monkeypatch.setattr(ingest, "observation_rows", lambda rows: made.append(rows) or whole(rows))
+    none = spark.createDataFrame([], "repository_id long, occurred_at timestamp, details array<string>, total_reasons_count int, user_agent string, id long")
+    add_deliveries(tables := Tables(spark, str(tmp_path / "tables")), good, none)
+    assert [sorted(r["delivery_seq"] for r in rows.collect()) for rows in made] == [[1, 2]]
+    assert sorted(r["example_id"] for r in tables.read("observations").collect()) == ["2", "3"]
+
+
 def test_anonymous_deliveries_are_runs_of_their_own(spark):
     rows = deliveries(spark, body(ci_run_id=None), body(ci_run_id=""))
     assert ingest.run_rows(rows).count() == 2
